@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, shared
-from .components import components
+from .families import having, may_link, members, parity_maps, verified_components
 
 SKETCH_BITS = 19
 SKETCH_PART = 1 << 14
 MAP_WORDS = 4
-#: families above this many sets are verified as pairs of blocks of this size
-BLOCK = 2048
 _SEEDS = [np.uint64(0x5851F42D4C957F2D + 0x632BE59BD9B4E019 * k & (1 << 64) - 1) for k in range(8)]
 
 _COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
@@ -110,9 +108,7 @@ def _nodes(width, percent, classes):
                 n = np.diff(bounds)
                 fp, fp2 = _fingerprints(ids, bounds)
                 keys, at = _prefixes(ids, bounds, classes.value, 0, percent)
-                row = np.repeat(np.arange(len(n)), n)
-                odd = np.bincount(row * 256 + (ids & np.uint64(255)).astype(np.int64), minlength=256 * len(n)) & 1
-                maps = np.packbits(odd.astype(bool).reshape(len(n), 256), axis=1)
+                maps = parity_maps(ids, bounds)
                 yield shared.batch(_NODE, doc_ids.slice(lo, hi - lo), n, fp, fp2, [keys[at[i] : at[i + 1]].tobytes() for i in range(len(n))], [m.tobytes() for m in maps])
 
     return run
@@ -152,19 +148,12 @@ def _deal(parts):
     return run
 
 
-def _may_link(na, nb, maps_a, maps_b, percent):
-    """Sizes and parity maps allow Jaccard >= percent / 100."""
-    small, large = np.minimum(na, nb), np.maximum(na, nb)
-    differ = np.bitwise_count(maps_a ^ maps_b).sum(axis=-1, dtype=np.int64)
-    return (100 * small >= percent * large) & (differ * (100 + percent) <= (100 - percent) * (na + nb))
-
-
 def _bucket_edges(size, maps, percent):
     """Forest edges (as places) of the pairs in one large bucket that may link, a block of rows at a time."""
     label = np.arange(len(size))
     for lo in range(0, len(size), 256):
         rows = np.arange(lo, min(lo + 256, len(size)))
-        ok = _may_link(size[rows][:, None], size[None, : rows[-1] + 1], maps[rows][:, None, :], maps[None, : rows[-1] + 1, :], percent)
+        ok = may_link(size[rows][:, None], size[None, : rows[-1] + 1], maps[rows][:, None, :], maps[None, : rows[-1] + 1, :], percent)
         for r, line in zip(rows, ok):
             near = np.flatnonzero(line[:r])
             if len(near):
@@ -209,7 +198,7 @@ def _bucket_pairs(percent):
             a, b = at[i], at[i + step]
             for lo in range(0, len(a), 1 << 18):
                 x, y = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
-                ok = _may_link(sizes[x], sizes[y], maps[x], maps[y], percent)
+                ok = may_link(sizes[x], sizes[y], maps[x], maps[y], percent)
                 us.append(x[ok])
                 vs.append(y[ok])
         if not us:
@@ -223,55 +212,6 @@ def _bucket_pairs(percent):
     return run
 
 
-def _overlaps(probe, ids, bounds, which):
-    """Intersection sizes of one sorted set with the sets at which."""
-    n = bounds[which + 1] - bounds[which]
-    flat = np.repeat(bounds[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    values = ids[flat]
-    place = np.searchsorted(probe, values)
-    hit = probe[np.minimum(place, len(probe) - 1)] == values
-    total = np.concatenate([[0], np.cumsum(hit)])
-    cut = np.concatenate([[0], np.cumsum(n)])
-    return total[cut[1:]] - total[cut[:-1]]
-
-
-def verified_links(sizes, ids, bounds, maps, classes, left, right, percent, orders):
-    """Forest edges (places) of the links between two groups of rows (or within one), none lost.
-
-    Pairs are tried by falling number of possible partners, so that a hub comes first; a pair
-    whose ends are connected already needs no intersection.
-    """
-    prefixes = [_prefixes_by_row(ids, bounds, classes, k, percent) for k in orders]
-    parent = np.arange(len(sizes))
-    us, vs = [], []
-    ok_rows = []
-    for r in left:
-        other = right[right > r] if left is right else right
-        ok = other[_may_link(sizes[r], sizes[other], maps[r], maps[other], percent)] if len(other) else other
-        ok_rows.append(ok)
-    for k in sorted(range(len(left)), key=lambda i: -len(ok_rows[i])):
-        r, near = left[k], ok_rows[k]
-        near = near[parent[near] != parent[r]]
-        if not len(near):
-            continue
-        for keys, cut in prefixes:
-            near = near[_overlaps(keys[cut[r] : cut[r + 1]], keys, cut, near) > 0]
-            if not len(near):
-                break
-        if not len(near):
-            continue
-        common = _overlaps(ids[bounds[r] : bounds[r + 1]], ids, bounds, near)
-        linked = near[100 * common >= percent * (sizes[r] + sizes[near] - common)]
-        if len(linked):
-            roots = np.unique(np.append(parent[linked], parent[r]))
-            parent[np.isin(parent, roots[1:])] = roots[0]
-            us.append(np.full(len(linked), r))
-            vs.append(linked)
-    if not us:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(us), np.concatenate(vs)
-
-
 def _prefixes_by_row(ids, bounds, classes, order, percent):
     """As _prefixes, for any number of rows."""
     keys, cuts = [], [np.zeros(1, np.int64)]
@@ -283,37 +223,12 @@ def _prefixes_by_row(ids, bounds, classes, order, percent):
     return (np.concatenate(keys) if keys else np.zeros(0, np.uint64)), np.concatenate(cuts)
 
 
-def _verify(width, percent, classes, orders):
-    def run(group: pa.Table) -> pa.Table:
-        fps, side, found = group.column("node").to_numpy(), group.column("side").to_numpy(), []
-        sets, place = [], []
-        text = group.column("text").combine_chunks() if group.num_rows else group.column("text")
-        for lo, hi, ids, bounds in kernels.shingle_sets(text, width):
-            fp, _ = _fingerprints(ids, bounds)
-            for k in np.flatnonzero(fp == fps[lo:hi]):  # a row that shares the doc_id of the set meant, but not the set, stays out
-                sets.append(ids[bounds[k] : bounds[k + 1]])
-                place.append(lo + k)
-        place = np.array(place, np.int64)
-        if len(place) > 1:
-            _, once = np.unique(np.stack([fps[place], side[place]]), axis=1, return_index=True)
-            sets, place = [sets[k] for k in once], place[once]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            ids = np.concatenate(sets)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            odd = np.bincount(row * 256 + (ids & np.uint64(255)).astype(np.int64), minlength=256 * len(sizes)) & 1
-            maps = np.packbits(odd.astype(bool).reshape(-1, 256), axis=1).view(np.uint64)
-            left, right = np.flatnonzero(side[place] == 0), np.flatnonzero(side[place] == 1)
-            if not len(right):
-                right = left
-            u, v = verified_links(sizes, ids, bounds, maps, classes.value, left, right, percent, orders)
-            found = fps[place[u]], fps[place[v]]
-        if not len(found) or not len(found[0]):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        u, v = kernels.forest(*found)
-        return pa.table({"u": u, "v": v})
+def _prefix_filters(percent, classes, orders):
+    return lambda ids, bounds: [_prefixes_by_row(ids, bounds, classes.value, k, percent) for k in orders]
 
-    return run
+
+def _set_node(ids, bounds):
+    return _fingerprints(ids, bounds)[0]
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, orders: int = 3) -> DataFrame:
@@ -335,17 +250,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blobs = sets.select("fp", "n", "map", "keys").mapInArrow(_deal(parts), "part int, keys binary, at binary, nodes binary, sizes binary, maps binary")
     near = blobs.repartition(parts, "part").mapInArrow(_bucket_pairs(percent), "u long, v long")
 
-    fam = components(near)
-    fam = shared.written(fam.unionAll(fam.select("component", "component").distinct()))
-    blocks = fam.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     firsts = found.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    member = fam.join(blocks, "component").join(firsts, F.col("node") == F.col("fp")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(o < F.col("b"), 1).otherwise(0).alias("side")))
-    member = member.join(rows, "doc_id").select("component", "node", "text", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "p.side", "node", "text")
-    links = member.groupBy("component", "i", "j").applyInArrow(_verify(width, percent, classes, range(1, orders)), "u long, v long")
 
-    linked = components(links)
-    linked = linked.unionAll(linked.select("component", "component").distinct()).withColumnRenamed("component", "c")
+    def texts(family: DataFrame) -> DataFrame:
+        wanted = family.join(firsts, F.col("node") == F.col("fp")).drop("fp")
+        there = having(rows, "doc_id", members(wanted, "doc_id"))
+        return wanted.join(there, "doc_id").drop("doc_id")
+
+    linked = verified_components(near, texts, lambda text: kernels.shingle_sets(text, width), percent, _prefix_filters(percent, classes, range(1, orders)), _set_node)
+    linked = linked.withColumnRenamed("component", "c")
     least = linked.join(firsts, F.col("node") == F.col("fp")).groupBy("c").agg(F.min("doc_id").alias("component_id"))
     labels = linked.join(least, "c").select(F.col("node").alias("fp"), "component_id")
     labels = firsts.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
