@@ -64,16 +64,20 @@ def chunks(column: pa.Array, limit: int = CHUNK, rows: int = MAX_ROWS - 1):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+NOT_SPACE = ~_SPACE
+#: ASCII letters and all bytes of longer code points
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row of each maximal run of bytes that are not white space; runs end with their row."""
+def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of each maximal run of bytes of a kind (not white space); runs end with their row."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    text = ~_SPACE[data]
+    text = (NOT_SPACE if kind is None else kind)[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[-1] = text[0], text[-1]
     np.not_equal(text[1:], text[:-1], out=edge[1:-1])
@@ -88,6 +92,14 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.nd
     return starts, ends, row
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the Latin-1 letters (U+00C0 to U+00DE), byte for byte."""
+    out = _LOWER[data]
+    at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    out[at] += 32
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each byte span, from one pass of prefix sums."""
     up, down = _powers(len(data) + 1)

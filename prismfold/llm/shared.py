@@ -52,3 +52,16 @@ def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def with_scores(df: DataFrame, text_col: str, out: str, run) -> DataFrame:
+    """df and a double column that run makes of the text column, one Arrow batch at a time."""
+    place = df.columns.index(text_col)
+    fields = df.withColumn(out, F.lit(0.0)).schema
+
+    def each(batches):
+        for b in batches:
+            column = b.column(place)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run(column), pa.float64())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(each, fields)
