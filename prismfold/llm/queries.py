@@ -7,22 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, toxicity
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
+from .training import crc_fold
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(shared.table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = shared.table(spark, sf_dir, "documents").select("doc_id", "text"), crc_fold(F.col("doc_id"), 3)
+    machine = toxicity.train(docs, shared.table(spark, sf_dir, "labels"), fold != 1)
+    out = toxicity.score(docs, machine, out="score")
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(shared.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op5_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
