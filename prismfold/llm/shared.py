@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,17 @@ def with_scores(df: DataFrame, text_col: str, out: str, run) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run(column), pa.float64())], names=[*b.schema.names, out])
 
     return df.mapInArrow(each, fields)
+
+
+class Shipped:
+    """A broadcast value whose class may live in this package; unpickled once a task."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._held: list = []
+
+    @property
+    def value(self):
+        if not self._held:
+            self._held.append(cloudpickle.loads(self._bytes.value))
+        return self._held[0]

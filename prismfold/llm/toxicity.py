@@ -147,7 +147,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str =
 
     Null and empty texts have no terms and get the bias's score. Whole texts are read, however long.
     """
-    model = docs.sparkSession.sparkContext.broadcast(machine)
+    model = shared.Shipped(docs.sparkSession, machine)
     kept = docs.select([c for c in docs.columns if c != out])
 
     def run(column: pa.Array) -> np.ndarray:
