@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: bits of a shingle id; the rest of a 64-bit word holds a row number within a chunk
 ID_BITS = 54
 MAX_ROWS = 1 << (64 - ID_BITS)

@@ -84,7 +84,7 @@ def _lines(batches, min_chars):
         ids = b.column(0)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        for lo, hi, data, offs in kernels.chunks(b.column(1), rows=1 << 20):
+        for lo, hi, data, offs in kernels.chunks(b.column(1), limit=1 << 19, rows=1 << 20):
             row, no, start, end, chars = split_lines(data, offs)
             use = (chars >= min_chars) & known[lo + row]
             row, no, start, end = row[use], no[use], start[use], end[use]

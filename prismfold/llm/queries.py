@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared, toxicity
+from . import quality_gam, shared, toxicity
 from .decontam import matches
 from .embedding_dedup import embedding_near_dedup
 from .line_dedup import dedup_lines
@@ -35,12 +35,19 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(shared.table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = shared.table(spark, sf_dir, "documents").select("doc_id", "text"), crc_fold(F.col("doc_id"), 5)
+    model = quality_gam.train(docs, shared.table(spark, sf_dir, "labels"), fold != 0)
+    out = quality_gam.score(docs, model, out="score")
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op5_line_dedup, op7_embedding_near_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op5_line_dedup, op7_embedding_near_dedup, op9_quality_gam, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
