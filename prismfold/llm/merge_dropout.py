@@ -7,8 +7,9 @@ that merge independently. A unit is merged by an agenda of neighbouring pairs, b
 leftmost on ties. Each candidate taken from the agenda is skipped for good if a keyed hash of (seed,
 variant, unit, its span and its middle) falls below the dropout rate. The variant of an occurrence is a keyed hash of
 the document id and the unit's place, modulo variants, so the same word is cut in different ways, and
-equal (unit, variant) pairs are merged once a task. Characters without a piece are encoded as bytes; so
-is a literal mark. Decoding turns pieces to bytes and marks to spaces, and drops the first mark.
+equal (unit, variant) pairs are merged once a chunk, all of a length class at a time: one array row
+for each unit's symbols, one agenda step for all rows. Characters without a piece are encoded as bytes;
+so is a literal mark. Decoding turns pieces to bytes and marks to spaces, and drops the first mark.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from . import kernels, shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: (unit, variant) pairs remembered in a task
-REMEMBERED = 200_000
+#: symbols from here on stand for code points without a piece
+_LOOSE = 1 << 20
+_NEVER = np.int32(2**31 - 1)
+#: units of more characters are merged one by one
+_LONG = 48
 _MASK = (1 << 64) - 1
 
 
@@ -45,13 +49,101 @@ def load_pieces(model_file: str = MODEL) -> dict:
                 raise ValueError(f"piece {piece!r} joins words; units would not be independent")
             ids[piece], scores[piece] = k, sp.get_score(k)
             surface.append(piece.replace(MARK, " ").encode())
+    chars = {c for p in ids for c in p if len(p) > 1}
+    symbol = dict(ids) | {c: _LOOSE + ord(c) for c in chars if c not in ids}
+    joins = {}
+    for piece in ids:
+        for k in range(1, len(piece)):
+            a, b = symbol.get(piece[:k]), symbol.get(piece[k:])
+            if a is not None and b is not None:
+                joins[a << 32 | b] = piece
+    keys = np.array(list(joins), np.uint64)
+    bits = max(4, int(len(keys) * 4).bit_length())
+    table = np.full(1 << bits, -1, np.int64)
+    for k, at in enumerate(_slots(keys, bits).tolist()):
+        while table[at] >= 0:
+            at = (at + 1) & ((1 << bits) - 1)
+        table[at] = k
+    ranks = np.unique([-scores[p] for p in joins.values()], return_inverse=True)[1].astype(np.int32) if joins else np.zeros(0, np.int32)
+    joined = np.array([ids[p] for p in joins.values()], np.int32)
     if not any(bytes_):
         raise ValueError("the model has no byte pieces; encoding could lose characters")
-    return {"ids": ids, "rank": {p: -s for p, s in scores.items()}, "bytes": bytes_, "surface": surface}
+    return {"ids": ids, "rank": {p: -s for p, s in scores.items()}, "bytes": bytes_, "surface": surface, "bits": bits, "table": table, "keys": keys, "ranks": ranks, "joined": joined, "chars": {ord(p): k for p, k in ids.items() if len(p) == 1}}
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _lookup(pieces: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of the joins of two symbols; -1 where there is none."""
+    key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+    at, mask = _slots(key, pieces["bits"]), (1 << pieces["bits"]) - 1
+    got = pieces["table"][at]
+    todo = np.flatnonzero((got >= 0) & (pieces["keys"][got] != key))
+    while len(todo):
+        at[todo] = (at[todo] + 1) & mask
+        got[todo] = pieces["table"][at[todo]]
+        todo = todo[(got[todo] >= 0) & (pieces["keys"][got[todo]] != key[todo])]
+    return got
+
+
+def _costs(pieces, left, right):
+    got = _lookup(pieces, np.maximum(left, 0), np.maximum(right, 0))
+    return np.where((got >= 0) & (left >= 0) & (right >= 0), pieces["ranks"][got] if len(pieces["ranks"]) else _NEVER, _NEVER)
+
+
+def merge_units(symbols: np.ndarray, size: np.ndarray, pieces: dict, rate: float, salts: np.ndarray) -> np.ndarray:
+    """Symbols left of each unit (a row, -1 beyond its size) when its agenda is empty; as merge_unit for all."""
+    n, width = symbols.shape
+    sym = symbols.copy()
+    pos = np.minimum(np.arange(width + 1)[None, :], size[:, None]).astype(np.uint64)
+    limit = np.uint64(int(rate * (1 << 32)))
+    done = np.full_like(sym, -1)
+    if width < 2:
+        return sym
+    cost = _costs(pieces, sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1)
+    rows = np.arange(n)
+    salts = salts.astype(np.uint64)
+    while len(rows):
+        k = cost.argmin(axis=1)
+        own = np.arange(len(rows))
+        ended = cost[own, k] == _NEVER
+        if ended.any():
+            done[rows[ended]] = sym[ended]
+            go = ~ended
+            sym, pos, cost, rows, salts, k = sym[go], pos[go], cost[go], rows[go], salts[go], k[go]
+            own = np.arange(len(rows))
+            if not len(rows):
+                break
+        merge = own
+        if limit:
+            h = salts ^ (pos[own, k] * np.uint64(0x9E3779B97F4A7C15)) ^ (pos[own, k + 1] * np.uint64(0xD6E8FEB86659FD93)) ^ (pos[own, k + 2] * np.uint64(0xC2B2AE3D27D4EB4F))
+            skip = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < limit
+            cost[own[skip], k[skip]] = _NEVER
+            merge, k = own[~skip], k[~skip]
+        if not len(merge):
+            continue
+        new = pieces["joined"][_lookup(pieces, sym[merge, k], sym[merge, k + 1])]
+        cols = np.arange(width)
+        beyond = cols[None, :] > k[:, None]
+        s = np.take_along_axis(sym[merge], np.minimum(cols + beyond, width - 1), axis=1)
+        s[:, -1] = -1
+        s[np.arange(len(merge)), k] = new
+        sym[merge] = s
+        pos[merge, :-1] = np.take_along_axis(pos[merge], cols + beyond, axis=1)
+        c = np.full((len(merge), width), _NEVER, np.int32)
+        c[:, : width - 2] = np.take_along_axis(cost[merge], cols[: width - 2] + (cols[: width - 2] >= k[:, None]), axis=1)
+        each = np.arange(len(merge))
+        left = k > 0
+        c[each[left], k[left] - 1] = _costs(pieces, s[each[left], k[left] - 1], new[left])
+        c[each, k] = _costs(pieces, new, s[each, np.minimum(k + 1, width - 1)])
+        cost[merge] = c[:, : width - 1]
+    return done
 
 
 def merge_unit(unit: str, pieces: dict, rate: float, salt: int) -> list[int]:
-    """Piece ids of one unit (marks already in place)."""
+    """Piece ids of one unit (marks already in place, U+D800 for a mark of the text itself)."""
     rank, n = pieces["rank"], len(unit)
     cuts = list(range(n + 1))
     limit = int(rate * (1 << 32))
@@ -79,43 +171,73 @@ def merge_unit(unit: str, pieces: dict, rate: float, salt: int) -> list[int]:
         if k is not None:
             out.append(k)
         else:
-            out += [bytes_[c] for c in unit[a:b].encode()]
+            out += [bytes_[c] for c in unit[a:b].replace("\ud800", MARK).encode()]
     return out
 
 
 def _starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of units and their rows: a space run's first space, a row's start, control characters on their own, literal marks too."""
+    """Starts of units and their rows: a row's start, a space run's first space, control characters on their own."""
     space, control = data == 32, data < 32
-    mark = np.zeros(len(data), bool)
-    if len(data) > 2:
-        m = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
-        mark[m] = True
-        after = m + 3
-        mark[after[after < len(data)]] = True
-    start = mark | control
+    start = control.copy()
     start[1:] |= (space[1:] & ~space[:-1]) | control[:-1]
     start[offs[:-1][offs[:-1] < offs[1:]]] = True
     at = np.flatnonzero(start)
     return at, np.searchsorted(offs, at, side="right") - 1
 
 
+def _segment(units: np.ndarray, size: np.ndarray, text: np.ndarray, first: np.ndarray, pieces: dict, symbol: np.ndarray, rate: float, salts: np.ndarray):
+    """Ids of units (starts in the code points of text), one after the other, and how many each has."""
+    length = size + first
+    flat_ids, flat_of = [], []
+    lo = 0
+    for width in (1, 4, 6, 8, 10, 12, 16, 24, 32, _LONG):
+        sel = np.flatnonzero((length > lo) & (length <= width))
+        lo = width
+        for a in range(0, len(sel), 1 << 15):
+            s = sel[a : a + (1 << 15)]
+            cols = np.arange(width)[None, :] - first[s][:, None]
+            inside = (cols >= 0) & (cols < size[s][:, None])
+            sym = np.where(inside, symbol[text[np.minimum(units[s][:, None] + np.maximum(cols, 0), len(text) - 1)]], -1).astype(np.int32)
+            sym[first[s].astype(bool), 0] = pieces["ids"][MARK]
+            left = merge_units(sym, length[s], pieces, rate, salts[s])
+            here = left >= 0
+            flat_ids.append(left[here])
+            flat_of.append(np.repeat(s, here.sum(axis=1)))
+    for k in np.flatnonzero(length > _LONG):
+        chars = text[units[k] : units[k] + size[k]]
+        unit = (MARK if first[k] else "") + "".join(map(chr, np.where(chars == 32, ord(MARK), np.where(chars == ord(MARK), 0xD800, chars))))
+        ids = merge_unit(unit, pieces, rate, int(salts[k]))
+        flat_ids.append(np.array(ids, np.int32))
+        flat_of.append(np.full(len(ids), k))
+    ids = np.concatenate(flat_ids) if flat_ids else np.zeros(0, np.int32)
+    of = np.concatenate(flat_of) if flat_of else np.zeros(0, np.int64)
+    order = np.argsort(of, kind="stable")
+    ids, of = ids[order], of[order]
+    loose = np.flatnonzero(ids >= _LOOSE)
+    if len(loose):  # code points without a piece become their bytes
+        encoded = [[pieces["bytes"][c] for c in chr(v - _LOOSE).encode()] for v in ids[loose].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[loose] = [len(e) for e in encoded]
+        start = np.cumsum(times) - times
+        ids, of = np.repeat(ids, times), np.repeat(of, times)
+        for at, e in zip(start[loose].tolist(), encoded):
+            ids[at : at + len(e)] = e
+    return ids, np.bincount(of, minlength=len(units))
+
+
+def _symbols(pieces: dict) -> np.ndarray:
+    """The symbol of each code point: its piece, the byte piece of one byte, or itself from _LOOSE on; spaces are marks."""
+    out = np.arange(_LOOSE, _LOOSE + 0x110000, dtype=np.int32)
+    out[:128] = pieces["bytes"][:128]
+    for c, k in pieces["chars"].items():
+        out[c] = k
+    out[ord(MARK)] = _LOOSE + ord(MARK)
+    out[32] = pieces["ids"][MARK]
+    return out
+
+
 def _encoder(pieces, rate, seed, variants):
-    known: dict[tuple[bytes, int], np.ndarray] = {}
-
-    def one(raw: bytes, first: bool, variant: int, salt: int) -> np.ndarray:
-        key = (b"\x00" + raw if first else raw), variant
-        got = known.get(key)
-        if got is None:
-            if raw == b"\xe2\x96\x81":
-                ids = ([pieces["ids"][MARK]] if first else []) + [pieces["bytes"][c] for c in raw]
-            else:
-                unit = raw.decode("utf-8", "replace").replace(" ", MARK)
-                ids = merge_unit(MARK + unit if first else unit, pieces, rate, salt)
-            got = np.array(ids, np.int32)
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[key] = got
-        return got
+    symbol = _symbols(pieces)
 
     def rows(doc_ids: np.ndarray, column: pa.Array):
         """(lo, hi, ids, bounds) for each chunk."""
@@ -123,6 +245,8 @@ def _encoder(pieces, rate, seed, variants):
             if not len(data):
                 yield lo, hi, np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64)
                 continue
+            text = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+            letter = np.cumsum((data & 0xC0) != 0x80) - 1
             at, row = _starts(data, offs)
             end = np.append(at[1:], len(data))
             first = np.append(True, row[1:] != row[:-1])
@@ -132,12 +256,10 @@ def _encoder(pieces, rate, seed, variants):
             variant = draw % np.uint64(variants) if rate else np.zeros(len(at), np.uint64)
             key = kernels.mix(content + variant * np.uint64(0xD6E8FEB86659FD93) + first.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             _, pick, inv = np.unique(key, return_index=True, return_inverse=True)
-            salts = kernels.mix(content[pick] ^ kernels.mix(variant[pick] + np.uint64(seed & _MASK))).tolist()
-            raw = data.tobytes()
-            parts = [one(raw[s:e], f, v, h) for s, e, f, v, h in zip(at[pick].tolist(), end[pick].tolist(), first[pick].tolist(), variant[pick].tolist(), salts)]
-            size = np.array([len(p) for p in parts])
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            flat = np.concatenate(parts)
+            salts = kernels.mix(content[pick] ^ kernels.mix(variant[pick] + np.uint64(seed & _MASK)))
+            letters = np.append(letter[at], len(text))
+            flat, size = _segment(letters[pick], letters[pick + 1] - letters[pick], text, first[pick].astype(np.int64), pieces, symbol, rate, salts)
+            start = np.cumsum(size) - size
             n = size[inv]
             total = np.concatenate([[0], np.cumsum(n)])
             ids = flat[np.repeat(start[inv] - total[:-1], n) + np.arange(total[-1])]
