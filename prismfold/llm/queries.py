@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from . import quality_gam, shared, toxicity
 from .decontam import matches
 from .embedding_dedup import embedding_near_dedup
+from .html_main import extract_main_text
 from .line_dedup import dedup_lines
+from .merge_dropout import decode, encode
 from .ngram_join import ngram_jaccard_join
 from .pii_feistel import pseudonymise
+from .suffix_dedup import remove_repeats
 from .training import crc_fold
 
 
@@ -31,11 +34,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(shared.table(spark, sf_dir, "pages"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode(encode(shared.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    same = F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded"))
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_hash"), same.alias("lossless"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(shared.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(shared.table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(shared.table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +74,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op5_line_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_main_text, op4_sentencepiece, op5_line_dedup, op6_suffix_array_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
