@@ -35,7 +35,7 @@ def fold(docs: DataFrame, id_col: str = "doc_id", keys: tuple[str, str] = ("manu
         elif name in first:
             merged = F.try_element_at(F.array_compact(each(name)), F.lit(1))
         elif name == variants:
-            placed = F.flatten(F.transform("m", lambda x, i, n=name: F.transform(x["d"][n], lambda v: v.withField("source_index", i.cast("int")))))
+            placed = F.flatten(F.transform("m", lambda x, i: F.transform(x["d"][variants], lambda v: v.withField("source_index", i.cast("int")))))
             merged = F.transform(placed, lambda v, i: v.withField("id", i.cast("int")))
         elif name == meta:
             metas = F.array_compact(each(name))

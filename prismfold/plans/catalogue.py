@@ -1,11 +1,317 @@
-"""Registered queries of the catalogue engine and their SQL."""
+"""Registered queries of the catalogue engine over the star schema, each with its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import mining, photometry, text
+from ..operators import counts, fold, reports, search
+from ..operators.predicates import document_matches
+from ..sources import ingest
+from . import bridge
+from .bridge import ORDERS
+from .spec import Spec
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+BASE = f"with v as (select o.*, l.*, row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 as ix, (l_discount > 0.05) as discounted, {bridge.KIND} as kind from orders o join lineitem l on l_orderkey = o_orderkey) "
+IP_CODES = tuple(f"IP{k}" for k in (20, 21, 23, 40, 43, 44, 54, 55, 65, 66))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.withColumn("variant_ix", F.col("variant_ix").cast("long"))
+
+
+def _docs(spark, sf_dir, spec: Spec) -> DataFrame:
+    return bridge.orders(spark, sf_dir).where(document_matches(spec, ORDERS)).select("o_orderkey")
+
+
+MAIN = Spec.of(priority=("1-URGENT", "2-HIGH"), quantity=(10.0, 20.0), line_status=("O",))
+
+
+@query(BASE + "select o_orderkey, ix as variant_ix from v where o_orderpriority in ('1-URGENT', '2-HIGH') and l_quantity between 10 and 20 and l_linestatus = 'O'")
+def q_search_doc_variant(spark, sf_dir):
+    return _hits(search.search(bridge.orders(spark, sf_dir), MAIN, ORDERS))
+
+
+@query(BASE + "select o_orderkey, ix as variant_ix from v where o_orderstatus = 'F'")
+def q_search_docscope_only(spark, sf_dir):
+    return _hits(search.search(bridge.orders(spark, sf_dir), Spec.of(status=("F",)), ORDERS))
+
+
+@query(BASE + "select o_orderkey, ix as variant_ix from v where o_orderpriority in ('1-URGENT', '2-HIGH') and l_quantity between 10 and 20 and l_linestatus = 'O' order by 1, 2 limit 25 offset 50")
+def q_search_page(spark, sf_dir):
+    hits = _hits(search.search(bridge.orders(spark, sf_dir), MAIN, ORDERS))
+    return search.page(hits, "o_orderkey", "variant_ix", offset=50, limit=25)
+
+
+@query(BASE + "select count(*) as total from v where o_orderpriority in ('1-URGENT', '2-HIGH') and l_quantity between 10 and 20 and l_linestatus = 'O'")
+def q_total(spark, sf_dir):
+    return search.total(search.search(bridge.orders(spark, sf_dir), MAIN, ORDERS))
+
+
+def _filter(name: str, sql: str, **values):
+    def run(spark, sf_dir):
+        return _docs(spark, sf_dir, Spec.of(**values))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_filter("q_filter_single", "select o_orderkey from orders where o_orderstatus in ('F', 'P')", status=("F", "P"))
+_filter("q_filter_multi", "select distinct l_orderkey as o_orderkey from lineitem where l_returnflag in ('R')", flags=("R",))
+_filter("q_filter_range", "select distinct l_orderkey as o_orderkey from lineitem where l_discount between 0.02 and 0.03", discount=(0.02, 0.03))
+_filter("q_filter_doc_range", "select o_orderkey from orders where o_totalprice between 1000 and 50000", price=(1000.0, 50000.0))
+_filter("q_filter_min", "select distinct l_orderkey as o_orderkey from lineitem where l_tax >= 0.07", tax_min=0.07)
+_filter("q_filter_enum", "select distinct l_orderkey as o_orderkey from lineitem where l_linestatus in ('O') and l_quantity between 40 and 45", line_status=("O",), quantity=(40.0, 45.0))
+_filter("q_filter_tristate_true", "select distinct l_orderkey as o_orderkey from lineitem where l_discount > 0.05", has_discount=True)
+_filter("q_filter_tristate_false", "select distinct l_orderkey as o_orderkey from lineitem where not l_discount > 0.05", has_discount=False)
+_filter("q_filter_presence_false", f"select distinct l_orderkey as o_orderkey from lineitem where ({bridge.KIND}) is null", has_kind=False)
+_filter("q_filter_depth_guard", "select distinct l_orderkey as o_orderkey from lineitem where l_returnflag = 'R' and l_quantity between 5 and 9", returned_quantity=(5.0, 9.0))
+_filter("q_filter_uncorrelated", "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_discount > 0.05) and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity between 1 and 3 and l_linestatus = 'F')", has_discount=True, quantity=(1.0, 3.0), line_status=("F",))
+
+FACETED = Spec.of(status=("F", "O"), quantity=(5.0, 30.0), line_status=("O",), priority=("1-URGENT", "3-MEDIUM", "5-LOW"))
+_DOC = {"status": "o_orderstatus in ('F', 'O')", "priority": "o_orderpriority in ('1-URGENT', '3-MEDIUM', '5-LOW')"}
+_VAR = {"quantity": "l_quantity between 5 and 30", "line_status": "l_linestatus = 'O'"}
+
+
+def _facet_sql(name: str, relaxed: str, value: str, per_variant: bool) -> str:
+    doc = " and ".join(c for k, c in _DOC.items() if k != relaxed)
+    var = " and ".join(c for k, c in _VAR.items() if k != relaxed)
+    docs = f"select * from orders where {doc} and exists (select 1 from lineitem where l_orderkey = o_orderkey and {var})"
+    if not per_variant:
+        return f"select '{name}' as facet, {value} as value, count(*) as count from ({docs}) group by 2"
+    return f"select '{name}' as facet, value, count(distinct o_orderkey) as count from (select o_orderkey, {value} as value from ({docs}) join lineitem on l_orderkey = o_orderkey) where value is not null group by 2"
+
+
+_FACET_SQL = {
+    "status": _facet_sql("status", "status", "o_orderstatus", False),
+    "priority": _facet_sql("priority", "priority", "o_orderpriority", False),
+    "flags": _facet_sql("flags", "flags", "l_returnflag", True),
+    "line_status": _facet_sql("line_status", "line_status", "l_linestatus", True),
+    "return_flag": _facet_sql("return_flag", "return_flag", "l_returnflag", True),
+    "has_discount": _facet_sql("has_discount", "has_discount", "case when l_discount > 0.05 then 'present' else 'missing' end", True),
+    "kind": _facet_sql("kind", "kind", f"coalesce({bridge.KIND}, case when l_discount > 0.05 then '(unspecified)' end)", True),
+}
+
+
+def _facets(name: str, *facets: str):
+    def run(spark, sf_dir):
+        return counts.facet_counts(bridge.orders(spark, sf_dir), FACETED, ORDERS, facets)
+
+    run.__name__ = name
+    query(" union all ".join(f"({_FACET_SQL[f]})" for f in facets))(run)
+
+
+_facets("q_facets_onepass", *_FACET_SQL)
+_facets("q_facet_status", "status")
+_facets("q_facet_priority", "priority")
+_facets("q_facet_flags", "flags")
+_facets("q_facet_line_status", "line_status")
+_facets("q_facet_presence", "has_discount")
+_facets("q_facet_unspecified", "kind")
+
+
+@query("select facet, value, count, rank, greatest(n - 2, 0) as remainder from (select *, row_number() over (partition by facet order by count desc, value) as rank, count(*) over (partition by facet) as n from (" + " union all ".join(f"({_FACET_SQL[f]})" for f in ("priority", "kind")) + ")) where rank <= 2")
+def q_facet_top(spark, sf_dir):
+    got = counts.facet_counts(bridge.orders(spark, sf_dir), FACETED, ORDERS, ["priority", "kind"])
+    return reports.top_per_facet(got, 2).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(BASE + "select min(l_quantity) filter (where l_discount between 0.02 and 0.06) as quantity_min, max(l_quantity) filter (where l_discount between 0.02 and 0.06) as quantity_max, min(l_discount) filter (where l_quantity between 10 and 30) as discount_min, max(l_discount) filter (where l_quantity between 10 and 30) as discount_max, min(l_quantity) filter (where l_returnflag = 'R' and l_discount between 0.02 and 0.06 and l_quantity between 10 and 30) as returned_quantity_min, max(l_quantity) filter (where l_returnflag = 'R' and l_discount between 0.02 and 0.06 and l_quantity between 10 and 30) as returned_quantity_max from v where o_orderstatus = 'F'")
+def q_bounds(spark, sf_dir):
+    spec = Spec.of(status=("F",), quantity=(10.0, 30.0), discount=(0.02, 0.06))
+    return counts.range_bounds(bridge.orders(spark, sf_dir), spec, ORDERS, ["quantity", "discount", "returned_quantity"])
+
+
+REFS = "(0, 7, 0), (1, 3, 1), (2, 999999999, 0), (3, 7, 0), (4, 32, 50), (5, 2, 0)"
+
+
+@query(BASE + f"select pos, o_orderkey, l_partkey from (values {REFS}) r(pos, id, refix) join v on o_orderkey = id and ix = refix order by pos")
+def q_batch_lookup(spark, sf_dir):
+    refs = spark.sql(f"select * from values {REFS} as r(pos, id, ix)")
+    return search.variants_by_id(bridge.orders(spark, sf_dir), refs, ORDERS).select(F.col("pos").cast("int"), "o_orderkey", F.col("v.l_partkey").alias("l_partkey"))
+
+
+_KEY = "lower(regexp_replace(c_name, '[^\\p{L}\\p{N}]', '', 'g'))"
+
+
+@query(f"select c_custkey as doc_id, c_name as original from customer where {_KEY} = 'customer000000042'")
+def q_article_exact(spark, sf_dir):
+    table = search.articles(bridge.identifiers(spark, sf_dir), "gtin")
+    return search.lookup_article(table, "customer 000.000-042").select("doc_id", "original")
+
+
+@query(f"select {_KEY} as key, c_name as original, c_mktsegment as product from customer where {_KEY} like 'customer00000001%' order by 1 limit 12")
+def q_article_prefix(spark, sf_dir):
+    table = search.articles(bridge.identifiers(spark, sf_dir), "gtin", keep=("product",))
+    return search.suggest_articles(table, "Customer#00000001", "doc_id", limit=12).select("key", "original", "product")
+
+
+@query("with t as (select 'status' as facet, o_orderstatus as value, count(*) as count from orders group by 2 union all select 'priority', o_orderpriority, count(*) from orders group by 2) select facet, value, count from t where contains(lower(value), 'ur') order by case when starts_with(lower(value), 'ur') then 0 else 1 end, count desc, value, facet limit 10")
+def q_suggest_facets(spark, sf_dir):
+    table = counts.suggestion_table(bridge.orders(spark, sf_dir), ORDERS, ["status", "priority"])
+    return counts.suggest_facets(table, " UR ")
+
+
+@query("select r_name as name from region where r_name = 'MIDDLE EAST'")
+def q_resolve_slug(spark, sf_dir):
+    names = bridge.read(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("ord"))
+    return search.resolve_slug(names, "middle-east")
+
+
+_FOLD = "select p_brand as manufacturer, p_type as product, count(*) as n_members, array_to_string(list_sort(list_distinct(list(split_part(p_name, ' ', 1)))), ',') as keywords, arg_min(nullif(p_size % 5, 0), p_partkey) filter (where nullif(p_size % 5, 0) is not null) as ip_code, count(*) as n_variants, array_to_string(list(p_partkey order by p_partkey), ',') as member_list from part group by 1, 2"
+
+
+def _folded(spark, sf_dir):
+    return fold.fold(bridge.parts(spark, sf_dir), union=("keywords",), first=("ip_code",), meta=None, source=None)
+
+
+@query(_FOLD)
+def q_fold(spark, sf_dir):
+    f = _folded(spark, sf_dir)
+    return f.select("manufacturer", "product", F.size("members").cast("long").alias("n_members"), F.array_join("keywords", ",").alias("keywords"), "ip_code", F.size("variants").cast("long").alias("n_variants"), F.array_join("members", ",").alias("member_list"))
+
+
+@query("select p_brand as manufacturer, p_type as product, row_number() over (partition by p_brand, p_type order by p_partkey) - 1 as id, p_retailprice as price from part")
+def q_fold_variants(spark, sf_dir):
+    v = _folded(spark, sf_dir).select("manufacturer", "product", F.explode("variants").alias("v"))
+    return v.select("manufacturer", "product", F.col("v.id").cast("long").alias("id"), F.col("v.price").alias("price"))
+
+
+@query("select cast(p_partkey as varchar) as source_id, case when count(*) over (partition by p_brand, p_type) = 1 then cast(p_partkey as varchar) else sha256('family:' || p_brand || ':' || p_type) end as family_id from part")
+def q_fold_aliases(spark, sf_dir):
+    docs = bridge.parts(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return fold.aliases(fold.fold(docs, union=("keywords",), first=("ip_code",), meta=None, source=None))
+
+
+@query("select count(*) as docs_in, count(*) as variants_in, count(distinct (p_brand, p_type)) as docs_out, count(*) as variants_out, count(*) as aliases from part")
+def q_fold_stats(spark, sf_dir):
+    return fold.fold_stats(bridge.parts(spark, sf_dir), _folded(spark, sf_dir))
+
+
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"select doc_id from documents where contains({_ASCII.format('text')}, 'ér') or contains({_ASCII.format('source')}, 'ér')")
+def q_text(spark, sf_dir):
+    return _texts(spark, sf_dir, Spec.of(text="ÉR"))
+
+
+@query(f"select doc_id from documents where (lang = 'fr' and contains({_ASCII.format('text')}, 'le l')) or contains({_ASCII.format('source')}, 'le l')")
+def q_text_locale(spark, sf_dir):
+    return _texts(spark, sf_dir, Spec.of(text="le l", locale="fr"))
+
+
+def _texts(spark, sf_dir, spec: Spec) -> DataFrame:
+    from .luminaires import LUMINAIRES
+
+    return bridge.texts(spark, sf_dir).where(document_matches(spec, LUMINAIRES)).select("doc_id")
+
+
+def _group(pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract(name, '{pattern}', {group}), '')"
+
+
+def _mined(name: str, column, sql: str):
+    def run(spark, sf_dir):
+        return bridge.names(spark, sf_dir).select("p_partkey", column(F.col("name")).alias("value"))
+
+    run.__name__ = name
+    query(f"select p_partkey, {sql} as value from ({bridge.NAMES_SQL})")(run)
+
+
+_PRODUCT = r"(?i)\b([0-9]{1,3})\s*x\s*([0-9]{1,4})(?:\.[0-9]+)?\s*W\b"
+_DIN = r"(?:^|\s)([89])([0-9]{2})(?:\s|$|[),;.])"
+_mined("q_mine_flux", lambda c: mining.flux(c).cast("int"), f"cast({_group(r'(?i)\b([0-9]{1,7})(?:\.[0-9]+)?\s*lm\b')} as int)")
+_mined("q_mine_power", lambda c: mining.power(c).cast("int"), f"case when regexp_matches(name, '{_PRODUCT}') then cast({_group(_PRODUCT, 1)} as int) * cast({_group(_PRODUCT, 2)} as int) else cast({_group(r'(?i)\b([0-9]{1,4})(?:\.[0-9]+)?\s*W\b')} as int) end")
+_mined("q_mine_beam", lambda c: mining.beam(c).cast("int"), "case when p_partkey % 6 = 0 then 40 when p_partkey % 6 = 1 then 10 else 36 end")
+_mined("q_mine_ip", lambda c: mining.ip_code(c, IP_CODES), f"case when {_group(r'\b(IP[0-9]{2}K?)\b')} in {IP_CODES} then {_group(r'\b(IP[0-9]{2}K?)\b')} end")
+_mined("q_mine_cri", lambda c: mining.cri_checked(c).cast("int"), f"case when cast({_group(_DIN, 2)} as int) between 15 and 100 then cast({_group(_DIN, 1)} as int) * 10 end")
+_mined("q_mine_cct", mining.cct, f"case when regexp_matches(name, '{_DIN}') then case when cast({_group(_DIN, 2)} as int) between 15 and 100 then cast({_group(_DIN, 2)} as int) * 100 end else case when cast({_group(r'(?i)\b([0-9]{4,5})\s*K\b')} as int) between 1500 and 10000 then cast({_group(r'(?i)\b([0-9]{4,5})\s*K\b')} as int) end end")
+_mined("q_mine_form", mining.form, "case when p_partkey % 4 = 0 then 'Round' when p_partkey % 4 = 1 then 'Square' end")
+_mined("q_mine_emergency", mining.emergency, r"regexp_matches(name, '(?i)\bEM\s*[0-9]+(?:/[0-9]+)?h\b')")
+
+
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, case when l_extendedprice >= 0 and l_extendedprice <= 10000 then l_extendedprice end as power, case when l_quantity * 50 <= 1000 then l_quantity * 50 end as depth, case when l_quantity > 0 then l_extendedprice / l_quantity end as efficacy from lineitem")
+def q_sanitize(spark, sf_dir):
+    line = bridge.read(spark, sf_dir, "lineitem")
+    return line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", photometry.capped(F.col("l_extendedprice"), photometry.MAX_POWER).alias("power"), photometry.sane_depth(F.col("l_quantity") * 50).alias("depth"), photometry.efficacy(F.col("l_extendedprice"), F.col("l_quantity")).alias("efficacy"))
+
+
+@query("with x as (select *, l_quantity * 2 as dlor, 100 - l_quantity * 2 as ulor, l_linenumber * 25.0 as beam, case l_partkey % 5 when 0 then 'rotational' when 1 then 'c0_c180' when 2 then 'c90_c270' when 3 then 'both' else 'none' end as sym, l_tax * 1000 as lor from lineitem) select value, count(*) as n from (select case when not lor >= 5 then null when ulor >= 80 then 'Indirect' when ulor >= 20 and dlor >= 20 then case when abs(dlor - ulor) <= 20 and beam >= 150 then 'Diffuse full spherical' else 'Direct indirect' end when dlor < 50 then 'Other' when dlor >= 80 and beam >= 120 then 'Diffuse half spherical' when sym = 'rotational' then case when beam <= 0 then 'Laterally symmetrical medium' when beam <= 30 then 'Laterally symmetrical narrow' when beam <= 60 then 'Laterally symmetrical medium' else 'Laterally symmetrical wide' end when sym = 'c0_c180' then 'Symmetric about 0-180 plane' when sym = 'c90_c270' then 'Symmetric about 90-270 plane' when sym = 'both' then 'Symmetrical in each quadrant' when dlor >= 90 and ulor <= 5 and beam <= 30 then 'Direct' else 'Asymmetrical' end as value from x) group by 1")
+def q_classify(spark, sf_dir):
+    line = bridge.read(spark, sf_dir, "lineitem")
+    kinds = F.col("l_partkey") % 5
+    symmetry = F.when(kinds == 0, "rotational").when(kinds == 1, "c0_c180").when(kinds == 2, "c90_c270").when(kinds == 3, "both").otherwise("none")
+    value = photometry.classify(F.col("l_tax") * 1000, F.col("l_quantity") * 2, 100 - F.col("l_quantity") * 2, F.col("l_linenumber") * F.lit(25.0), symmetry)
+    return line.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '…' else text end as snippet, length(text) > 200 as truncated from documents")
+def q_snippet(spark, sf_dir):
+    cut, truncated = text.snippet(F.col("text"))
+    return bridge.read(spark, sf_dir, "documents").select("doc_id", cut.alias("snippet"), truncated.alias("truncated"))
+
+
+@query("select p_brand as top, p_type as mid, p_size as leaf, sum(count) as count from (select p_brand, p_type, p_size, count(*) as count from part group by all) group by rollup (p_brand, p_type, p_size)")
+def q_app_rollup(spark, sf_dir):
+    leaves = bridge.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("top"), F.col("p_type").alias("mid"), F.col("p_size").alias("leaf")).agg(F.count(F.lit(1)).alias("count"))
+    return counts.application_rollup(leaves, "top", "mid", "leaf")
+
+
+@query("select count(p_brand) as brand_n, count(distinct p_brand) as brand_distinct, 100.0 * (count(p_brand) - count(distinct p_brand)) / count(p_brand) as brand_reduction, count(p_type) as type_n, count(distinct p_type) as type_distinct, 100.0 * (count(p_type) - count(distinct p_type)) / count(p_type) as type_reduction from part")
+def q_dupes(spark, sf_dir):
+    return reports.duplicates(bridge.read(spark, sf_dir, "part"), brand=F.col("p_brand"), type=F.col("p_type"))
+
+
+@query("select p_brand, p_type, count(*) as n from part group by 1, 2 order by n desc, 1, 2 limit 25")
+def q_topn(spark, sf_dir):
+    return reports.top_values(bridge.read(spark, sf_dir, "part"), "p_brand", "p_type", limit=25)
+
+
+@query("select source as name, count(*) as n, lower(split_part(source, ' ', 1)) as slug, count(*) over () as n_names from documents group by 1 order by n desc, name")
+def q_mfr_list(spark, sf_dir):
+    return reports.manufacturers(bridge.read(spark, sf_dir, "documents"), "source").select("name", "n", "slug", "n_names")
+
+
+@query("select count(*) as n, sum(strlen(text)) as text_bytes, avg(strlen(text)) as text_avg, sum(strlen(source)) as source_bytes, avg(strlen(source)) as source_avg from documents")
+def q_sizes(spark, sf_dir):
+    return reports.field_sizes(bridge.read(spark, sf_dir, "documents"), text=F.col("text"), source=F.col("source"))
+
+
+@query("select cast(o_orderkey as varchar) as relative, o_custkey as length, o_orderkey as mtime, (o_orderkey % 3 <> 0 and o_custkey % 5 <> 0 and o_orderkey % 7 <> 0) as reused from orders")
+def q_incremental(spark, sf_dir):
+    o = bridge.read(spark, sf_dir, "orders")
+    now = o.select(F.col("o_orderkey").cast("string").alias("relative"), F.col("o_custkey").alias("length"), F.col("o_orderkey").alias("mtime"))
+    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("relative"), F.expr("case when o_custkey % 5 = 0 then -1 else o_custkey end").alias("length"), F.expr("case when o_orderkey % 7 = 0 then null else o_orderkey end").alias("mtime"))
+    return ingest.incremental(now, old).select("relative", "length", "mtime", "reused")
+
+
+@query("select count(distinct o_orderkey) as docs, count(l_orderkey) as variants, count(case when l_tax > 0.06 or l_tax < 0.02 then 1 end) as with_kind, count(distinct case when l_discount > 0.05 then o_orderkey end) as docs_discounted from orders left join lineitem on l_orderkey = o_orderkey")
+def q_probe_summary(spark, sf_dir):
+    docs = bridge.orders(spark, sf_dir)
+    kinds = F.size(F.filter("variants", lambda v: v["kind"].isNotNull()))
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("variants")).alias("variants"), F.sum(kinds).alias("with_kind"), F.count(F.when(F.exists("variants", lambda v: v["discounted"]), 1)).alias("docs_discounted"))

@@ -162,7 +162,7 @@ def mounting(m: Column) -> tuple[Column, Column, Column]:
     keys = F.map_keys(m)
     place, kind, depth = F.lit("Unknown"), F.lit("Unknown"), F.lit(None).cast("bigint")
     for name, kinds in reversed(ladders):
-        here = F.exists(keys, lambda k, n=name: k.startswith(n + "."))
+        here = F.array_join(keys, "|").rlike(rf"(?:^|\|){name}\.")
         own, own_depth = F.lit("Unknown"), F.lit(None).cast("bigint")
         for k in reversed(kinds):
             has = F.array_contains(keys, f"{name}.{k}")
