@@ -27,7 +27,7 @@ from . import kernels, shared
 from .families import having, may_link, members, parity_maps, verified_components
 
 MAP_WORDS = 4
-#: (from this set size on, twentieths of the shingle space that are counted)
+#: (from this set size on, twentieths of the shingle space that are counted at 90 percent; twice that at 80)
 SIZE_CLASSES = ((1, 20), (48, 10), (256, 4))
 _SEEDS = [np.uint64(0x5851F42D4C957F2D + 0x632BE59BD9B4E019 * k & (1 << 64) - 1) for k in range(8)]
 _EXTRA = np.uint64(1)
@@ -76,7 +76,7 @@ def _class_keys(ids, bounds, cls, percent):
     """For each row, the keys of a size class that it sends: the counted part, and by hash what its prefix lacks."""
     n = np.diff(bounds)
     row = np.repeat(np.arange(len(n)), n)
-    share = np.array([s for _, s in SIZE_CLASSES])[cls][row]
+    share = np.array([min(20, -(-s * (100 - percent) // 10)) for _, s in SIZE_CLASSES])[cls][row]
     counted = (ids % np.uint64(20)).astype(np.int64) < share
     keys = kernels.mix(ids ^ (np.uint64(0x2545F4914F6CDD1D) * (cls[row] + 1).astype(np.uint64)))
     keys = np.where(counted, keys & ~_EXTRA, keys | _EXTRA)
