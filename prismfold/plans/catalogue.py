@@ -255,10 +255,10 @@ _mined("q_mine_form", mining.form, "case when p_partkey % 4 = 0 then 'Round' whe
 _mined("q_mine_emergency", mining.emergency, r"regexp_matches(name, '(?i)\bEM\s*[0-9]+(?:/[0-9]+)?h\b')")
 
 
-@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, case when l_extendedprice >= 0 and l_extendedprice <= 10000 then l_extendedprice end as power, case when l_quantity * 50 <= 1000 then l_quantity * 50 end as depth, case when l_quantity > 0 then l_extendedprice / l_quantity end as efficacy from lineitem")
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, case when l_extendedprice >= 0 and l_extendedprice <= 10000 then l_extendedprice end as power, case when l_quantity * 50 <= 1000 then l_quantity * 50 end as depth, case when l_quantity > 0 then l_extendedprice / l_quantity end as efficacy from lineitem")
 def q_sanitize(spark, sf_dir):
     line = bridge.read(spark, sf_dir, "lineitem")
-    return line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", photometry.capped(F.col("l_extendedprice"), photometry.MAX_POWER).alias("power"), photometry.sane_depth(F.col("l_quantity") * 50).alias("depth"), photometry.efficacy(F.col("l_extendedprice"), F.col("l_quantity")).alias("efficacy"))
+    return line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", photometry.capped(F.col("l_extendedprice"), photometry.MAX_POWER).alias("power"), photometry.sane_depth(F.col("l_quantity") * 50).alias("depth"), photometry.efficacy(F.col("l_extendedprice"), F.col("l_quantity")).alias("efficacy"))
 
 
 @query("with x as (select *, l_quantity * 2 as dlor, 100 - l_quantity * 2 as ulor, l_linenumber * 25.0 as beam, case l_partkey % 5 when 0 then 'rotational' when 1 then 'c0_c180' when 2 then 'c90_c270' when 3 then 'both' else 'none' end as sym, l_tax * 1000 as lor from lineitem) select value, count(*) as n from (select case when not lor >= 5 then null when ulor >= 80 then 'Indirect' when ulor >= 20 and dlor >= 20 then case when abs(dlor - ulor) <= 20 and beam >= 150 then 'Diffuse full spherical' else 'Direct indirect' end when dlor < 50 then 'Other' when dlor >= 80 and beam >= 120 then 'Diffuse half spherical' when sym = 'rotational' then case when beam <= 0 then 'Laterally symmetrical medium' when beam <= 30 then 'Laterally symmetrical narrow' when beam <= 60 then 'Laterally symmetrical medium' else 'Laterally symmetrical wide' end when sym = 'c0_c180' then 'Symmetric about 0-180 plane' when sym = 'c90_c270' then 'Symmetric about 90-270 plane' when sym = 'both' then 'Symmetrical in each quadrant' when dlor >= 90 and ulor <= 5 and beam <= 30 then 'Direct' else 'Asymmetrical' end as value from x) group by 1")
@@ -276,7 +276,7 @@ def q_snippet(spark, sf_dir):
     return bridge.read(spark, sf_dir, "documents").select("doc_id", cut.alias("snippet"), truncated.alias("truncated"))
 
 
-@query("select p_brand as top, p_type as mid, p_size as leaf, sum(count) as count from (select p_brand, p_type, p_size, count(*) as count from part group by all) group by rollup (p_brand, p_type, p_size)")
+@query("select p_brand as top, p_type as mid, p_size as leaf, cast(sum(count) as bigint) as count from (select p_brand, p_type, p_size, count(*) as count from part group by all) group by rollup (p_brand, p_type, p_size)")
 def q_app_rollup(spark, sf_dir):
     leaves = bridge.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("top"), F.col("p_type").alias("mid"), F.col("p_size").alias("leaf")).agg(F.count(F.lit(1)).alias("count"))
     return counts.application_rollup(leaves, "top", "mid", "leaf")
@@ -297,7 +297,7 @@ def q_mfr_list(spark, sf_dir):
     return reports.manufacturers(bridge.read(spark, sf_dir, "documents"), "source").select("name", "n", "slug", "n_names")
 
 
-@query("select count(*) as n, sum(strlen(text)) as text_bytes, avg(strlen(text)) as text_avg, sum(strlen(source)) as source_bytes, avg(strlen(source)) as source_avg from documents")
+@query("select count(*) as n, cast(sum(strlen(text)) as bigint) as text_bytes, avg(strlen(text)) as text_avg, cast(sum(strlen(source)) as bigint) as source_bytes, avg(strlen(source)) as source_avg from documents")
 def q_sizes(spark, sf_dir):
     return reports.field_sizes(bridge.read(spark, sf_dir, "documents"), text=F.col("text"), source=F.col("source"))
 
