@@ -16,6 +16,8 @@ from . import kernels, shared
 from .components import components
 
 BLOCK = 2048
+#: groups of at most so many sets are verified together
+SMALL = 12
 #: log2 of a key filter's bits: 4 MB at any corpus size; a full filter lets more rows into the exact join
 FILTER_BITS = 25
 FILTER_PART = 1 << 17
@@ -134,34 +136,113 @@ def verified_links(sizes, ids, bounds, maps, prefixes, left, right, percent):
     return np.concatenate(us), np.concatenate(vs)
 
 
+def _pair_overlaps(ids, bounds, a, b):
+    """Intersection sizes of the sorted sets at places a and b, pair by pair."""
+    out = np.zeros(len(a), np.int64)
+    size = np.diff(bounds)
+    for lo in range(0, len(a), 512):
+        x, y = a[lo : lo + 512], b[lo : lo + 512]
+        which = np.concatenate([x, y])
+        n = size[which]
+        pair = np.repeat(np.tile(np.arange(len(x)), 2), n)
+        flat = np.repeat(bounds[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        packed = np.sort((pair.astype(np.uint64) << np.uint64(kernels.ID_BITS)) | ids[flat])
+        twice = packed[1:][packed[1:] == packed[:-1]] >> np.uint64(kernels.ID_BITS)
+        out[lo : lo + len(x)] = np.bincount(twice.astype(np.int64), minlength=len(x))
+    return out
+
+
+def _small_pairs(start, stop, side):
+    """All pairs (within one block, or across two) of each small group of places."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, int((stop - start).max(initial=0))):
+        own = stop - start > step
+        n = (stop - start)[own] - step
+        u = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        us.append(u)
+        vs.append(u + step)
+    return np.concatenate(us), np.concatenate(vs)
+
+
 def _verify(sets_of, percent, filters, node_of):
-    def run(group: pa.Table) -> pa.Table:
-        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        nodes, side = group.column("node").to_numpy(), group.column("side").to_numpy()
+    """Links of whole groups of rows (component, i, j, side, node, text), many small groups at a time."""
+
+    def links(group, side, nodes, text):
         sets, place = [], []
-        for lo, hi, ids, bounds in sets_of(group.column("text").combine_chunks()):
+        for lo, hi, ids, bounds in sets_of(text):
             there = np.diff(bounds) > 0
             if node_of:  # a row that shares the key of the set meant, but not the set, stays out
                 there &= node_of(ids, bounds) == nodes[lo:hi]
-            for k in np.flatnonzero(there):
-                sets.append(ids[bounds[k] : bounds[k + 1]])
-                place.append(lo + k)
+            at = np.flatnonzero(there)
+            sets += [ids[bounds[k] : bounds[k + 1]] for k in at]
+            place.append(lo + at)
+        place = np.concatenate(place) if place else np.zeros(0, np.int64)
         if len(place) < 2:
-            return none
-        place = np.array(place)
-        _, once = np.unique(np.stack([nodes[place], side[place]]), axis=1, return_index=True)
-        sets, place = [sets[k] for k in once], place[once]
+            return None
+        order = np.lexsort((nodes[place], side[place], group[place]))
+        place = place[order]
+        g, d, n = group[place], side[place], nodes[place]
+        once = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1]))
+        place, g, d, n = place[once], g[once], d[once], n[once]
+        sets = [sets[k] for k in order[once]]
         sizes = np.array([len(s) for s in sets], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.concatenate(sets)
-        left, right = np.flatnonzero(side[place] == 0), np.flatnonzero(side[place] == 1)
-        if not len(right):
-            right = left
-        u, v = verified_links(sizes, ids, bounds, parity_maps(ids, bounds), filters(ids, bounds) if filters else [], left, right, percent)
-        if not len(u):
-            return none
-        u, v = kernels.forest(nodes[place[u]], nodes[place[v]])
-        return pa.table({"u": u, "v": v})
+        bounds, ids = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(sets)
+        maps = parity_maps(ids, bounds)
+        cut = kernels.unique_spans(g)
+        start, stop = cut[:-1], cut[1:]
+        small = stop - start <= SMALL
+        u, v = _small_pairs(start[small], stop[small], d)
+        crossed = np.zeros(len(g), bool)
+        crossed[d == 1] = True
+        across = np.maximum.reduceat(crossed, start)[np.repeat(np.arange(len(start)), stop - start)] if len(start) else crossed
+        ok = (~across[u] | (d[u] != d[v])) & may_link(sizes[u], sizes[v], maps[u], maps[v], percent)
+        u, v = u[ok], v[ok]
+        for keys, at in filters(ids, bounds) if filters and len(u) else []:
+            ok = _pair_overlaps(keys, at, u, v) > 0
+            u, v = u[ok], v[ok]
+        common = _pair_overlaps(ids, bounds, u, v)
+        ok = 100 * common >= percent * (sizes[u] + sizes[v] - common)
+        us, vs = [n[u[ok]]], [n[v[ok]]]
+        for k in np.flatnonzero(~small):
+            own = slice(bounds[start[k]], bounds[stop[k]])
+            b, here = bounds[start[k] : stop[k] + 1] - bounds[start[k]], d[start[k] : stop[k]]
+            left, right = np.flatnonzero(here == 0), np.flatnonzero(here == 1)
+            right = right if len(right) else left
+            x, y = verified_links(sizes[start[k] : stop[k]], ids[own], b, maps[start[k] : stop[k]], filters(ids[own], b) if filters else [], left, right, percent)
+            us.append(n[start[k] + x])
+            vs.append(n[start[k] + y])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return kernels.forest(u, v) if len(u) else None
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def flush(table, upto):
+            part = table.slice(0, upto).combine_chunks()
+            key = [part.column(c).to_numpy() for c in ("component", "i", "j")]
+            new = np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0)) if upto else np.zeros(0, bool)
+            text = part.column("text")
+            found = links(np.cumsum(new), part.column("side").to_numpy(), part.column("node").to_numpy(), text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows < 4000:
+                continue
+            table = pa.Table.from_batches(held)
+            key = [table.column(c).to_numpy() for c in ("component", "i", "j")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            if len(new):  # the last group may go on in the next batch
+                yield from flush(table, int(new[-1]))
+                table = table.slice(int(new[-1]))
+            held, rows = table.to_batches(), table.num_rows
+        if rows:
+            yield from flush(pa.Table.from_batches(held), rows)
 
     return run
 
@@ -186,5 +267,6 @@ def verified_components(edges: DataFrame, texts, sets_of, percent: int, filters=
     member = texts(fam).join(blocks, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(o < F.col("b"), 1).otherwise(0).alias("side")))
     member = member.select("component", "node", "text", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "p.side", "node", "text")
-    linked = components(member.groupBy("component", "i", "j").applyInArrow(_verify(sets_of, percent, filters, node_of), "u long, v long"))
+    groups = member.repartition(shared.partitions(edges.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    linked = components(groups.mapInArrow(_verify(sets_of, percent, filters, node_of), "u long, v long"))
     return linked.unionAll(linked.select("component", "component").distinct())
