@@ -67,14 +67,14 @@ def in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ok
 
 
-def having(df: DataFrame, key: str, filter_) -> DataFrame:
-    """df's rows whose key may be in the filter: what an exact join of a few keys need not shuffle."""
+def having(df: DataFrame, key: str, filter_, others: bool = False) -> DataFrame:
+    """df's rows whose key may be in the filter (or the others): what an exact join of a few keys need not shuffle."""
     place = df.columns.index(key)
 
     def run(batches):
         for b in batches:
             known = b.column(place).is_valid().to_numpy(zero_copy_only=False)
-            keep = known & in_filter(b.column(place).fill_null(0).to_numpy(zero_copy_only=False), filter_.value)
+            keep = (known & in_filter(b.column(place).fill_null(0).to_numpy(zero_copy_only=False), filter_.value)) != others
             if keep.any():
                 yield b.filter(pa.array(keep))
 
@@ -269,4 +269,5 @@ def verified_components(edges: DataFrame, texts, sets_of, percent: int, filters=
     member = member.select("component", "node", "text", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "p.side", "node", "text")
     groups = member.repartition(shared.partitions(edges.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     linked = components(groups.mapInArrow(_verify(sets_of, percent, filters, node_of), "u long, v long"))
+    shared.forget(fam)
     return linked.unionAll(linked.select("component", "component").distinct())

@@ -352,6 +352,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return wanted.join(there, "doc_id").drop("doc_id")
 
     linked = verified_components(near, texts, lambda text: kernels.shingle_sets(text, width), percent, _prefix_filters(percent, range(1, orders)), _set_node)
+    shared.forget(sets)
     linked = linked.withColumnRenamed("component", "c")
     least = linked.join(firsts, F.col("node") == F.col("fp")).groupBy("c").agg(F.min("doc_id").alias("component_id"))
     labels = linked.join(least, "c").select(F.col("node").alias("fp"), "component_id")

@@ -24,21 +24,40 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, lost executors lose nothing."""
+_MADE: list[str] = []
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, lost executors lose nothing.
+
+    Unless keep is set, the table lasts until drop_tables() is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prismfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._prismfold_path = path
+    if not keep:
+        _MADE.append(path)
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that operators have made so far: for use once their results are stored elsewhere."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._prismfold_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._prismfold_path)
+    if df._prismfold_path in _MADE:
+        _MADE.remove(df._prismfold_path)
 
 
 def partitions(spark: SparkSession) -> int:
