@@ -7,21 +7,37 @@ the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismfold.llm import decontam, line_dedup, merge_dropout, ngram_join, shared, toxicity
+from prismfold.llm.families import having, members
 from prismfold.llm.training import crc_fold
 
 TOXIC_AT = 0.7
 
 
+def stage(f):
+    """A stage starts by deleting what operators left in the shared folder: its input is stored by then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.drop_tables(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: rows whose toxicity is TOXIC_AT or more go. Labels of the table labels, fold as in op2."""
     machine = toxicity.train(docs, shared.table(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 3) != 1)
     return toxicity.keep_civil(docs, machine, threshold=TOXIC_AT)
 
 
+@stage
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: repeated lines go, but for the first; n_chars follows the text.
 
@@ -32,6 +48,7 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@stage
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1 with five words and similarity 0.8: the row with the smallest doc_id of each group stays.
 
@@ -39,15 +56,19 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     that stays, all stay.
     """
     groups = ngram_join.ngram_jaccard_join(docs, width=5, percent=80)
-    goes = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    goes = shared.written(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    some = members(goes, "doc_id")  # most rows are surely none of these and need no shuffle
+    doubtful = having(docs, "doc_id", some).join(goes, "doc_id", "left_anti").select(*docs.columns)
+    return having(docs, "doc_id", some, others=True).unionAll(doubtful)
 
 
+@stage
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: rows that hold a benchmark item's question and answer go."""
     return decontam.without_leaks(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: the kept documents with their piece ids (merge-dropout 0.1)."""
     return merge_dropout.encode(docs)
@@ -67,6 +88,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir))
+    for _, f in STAGES[:-1]:
+        docs = shared.written(f(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
