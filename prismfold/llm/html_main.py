@@ -2,10 +2,13 @@
 
 Pages become blocks: runs of text between block-level tags, each with the chain of tags and classes
 above it. The pages of a host are merged into one tree of these chains. A node's presentation importance is the
-entropy, to the base of its page count, of the sequences of children seen there; its content
-importance is one minus the mean entropy of its block texts over pages (a text on every page has 1, a
-text on one page 0). A branch seen on at least MIN_PAGES pages goes if its content importance is below
-LEAST: its text repeats, whatever the page is about. Besides, elements that HTML itself marks as no
+entropy, to the base of its page count, of the sequences of children seen there; the content
+importance of its own blocks is one minus the mean entropy of their texts over pages (a text on every page has 1, a
+text on one page 0). Its composite importance takes in the whole subtree: the presentation importance, and
+the importances of own blocks and children by their shares in the sequences, where the weight of the children is
+GAMMA to the power of the number of different sequences. A branch seen on at least MIN_PAGES pages goes if
+its composite importance, and that of all below it, is under LEAST: its text repeats, whatever the page is
+about. Where only a node's own blocks repeat, they alone go. Besides, elements that HTML itself marks as no
 content (scripts, navigation, forms, ...) and those whose class, id or role names say so go, and where
 a page has an article or main element only what is inside counts.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MIN_PAGES, LEAST = 8, 0.3
+MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?/]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -51,7 +54,7 @@ def _names(tag: str) -> tuple[str, bool]:
             out |= name == "hidden" or value == "true"
             continue
         if name == "class":
-            label = "." + ".".join(sorted(value.split()))
+            label = "." + ".".join(sorted(value.split())).replace(">", ")")
         out |= any(w in _BOILERPLATE for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
     return label, out
 
@@ -121,20 +124,35 @@ def blocks(page: str):
     return out
 
 
-def main_text(page: str | None, low: frozenset = frozenset()) -> str:
-    """The main text of a page, given the chains of its host's low branches."""
+def main_text(page: str | None, low: frozenset = frozenset(), own: frozenset = frozenset()) -> str:
+    """The main text of a page, given the chains of its host's low branches and of nodes whose own blocks are low."""
     found = [b for b in blocks(page or "") if not b[3]]
     if any(b[2] for b in found):
         found = [b for b in found if b[2]]
-    kept = [b for b in found if not any(b[0] == c or b[0].startswith(c + ">") for c in low)] if low else found
+    kept = [b for b in found if b[0] not in own and not any(b[0] == c or b[0].startswith(c + ">") for c in low)] if low or own else found
     return "\n\n".join(b[1] for b in kept)
 
 
-_SEEN = "host string, chain string, kind int, feature long, pages long"
+_SEEN = "host string, chain string, kind int, feature long, pages long, share long"
+#: a whole sequence of children, in units of share
+_WHOLE = 1 << 20
+
+
+def _sequences(chains: list[str]) -> dict[str, list[str]]:
+    """The children of each node in page order, own text as an empty name; equal neighbours are one."""
+    out: dict[str, list[str]] = {}
+    for chain in chains:
+        up = ""
+        for name in [*chain.split(">")[1:], ""]:
+            names = out.setdefault(up, [])
+            if not names or names[-1] != name:
+                names.append(name)
+            up = f"{up}>{name}"
+    return out
 
 
 def _tree(batches):
-    """Pages of a host by chain (kind 0), by chain and block text (1), by chain and sequence of children (2)."""
+    """Pages of a host by chain (kind 0, with its share in its parent's sequences), by chain and block text (1), by chain and sequence of children (2), by chain with own text (3, with its share in the own sequences)."""
     import zlib
 
     def code(text: str) -> int:
@@ -142,36 +160,69 @@ def _tree(batches):
         return zlib.crc32(raw) << 31 | zlib.crc32(raw[::-1]) >> 1
 
     seen: Counter = Counter()
+    shares: Counter = Counter()
 
     def batch():
-        columns = zip(*((*k, n) for k, n in seen.items()))
-        types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "chain", "kind", "feature", "pages"])
+        columns = zip(*((*k, n, shares[k]) for k, n in seen.items()))
+        types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "chain", "kind", "feature", "pages", "share"])
 
     for b in batches:
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             host = host_of(url)
             if host is None or not page:
                 continue
-            own, children = set(), {}
-            for chain, text, _, _ in blocks(page):
-                own.add((host, chain, 0, 0))
-                own.add((host, chain, 1, code(text)))
-                up, _, last = chain.rpartition(">")
-                children.setdefault(up, []).append(last)
-            for up, names in children.items():
-                own.add((host, up, 2, code(">".join(n for k, n in enumerate(names) if not k or names[k - 1] != n))))
+            found = blocks(page)
+            own = {(host, chain, 1, code(text)) for chain, text, _, _ in found}
+            if found:
+                own.add((host, "", 0, 0))
+            for up, names in _sequences([x[0] for x in found]).items():
+                own.add((host, up, 2, code(">".join(names))))
+                for name, times in Counter(names).items():
+                    key = (host, f"{up}>{name}", 0, 0) if name else (host, up, 3, 0)
+                    own.add(key)
+                    shares[key] += max(1, times * _WHOLE // len(names))
             seen.update(own)
         if len(seen) > 200_000:
             yield batch()
             seen.clear()
+            shares.clear()
     if seen:
         yield batch()
 
 
+def _composites(batches):
+    """The composite importance of each node and the highest one in its subtree; nodes come host by host, each after all below it."""
+    host, held = None, []
+    for b in batches:
+        hosts, paths = b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        out, tops = [], []
+        for k, (share, own_share, styles, inner, presentation, content) in enumerate(zip(*(b.column(c).to_pylist() for c in ("share", "own_share", "styles", "inner", "presentation", "content")))):
+            if hosts[k] != host:
+                host, held = hosts[k], []
+            depth = len(paths[k])
+            while len(held) <= depth:
+                held.append((0, 0.0, 0.0))
+            weight, total, top = held[depth]
+            held[depth] = (0, 0.0, 0.0)
+            if own_share:
+                weight, total, top = weight + own_share, total + own_share * content, max(top, content)
+            value = total / weight
+            if inner:
+                rest = GAMMA**styles
+                value = (1 - rest) * presentation + rest * value
+            top = max(top, value)
+            up = held[depth - 1]
+            held[depth - 1] = (up[0] + share, up[1] + share * value, max(up[2], top))
+            out.append(value)
+            tops.append(top)
+        columns = [b.column(c) for c in ("host", "chain", "pages", "presentation", "content")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64()), pa.array(tops, pa.float64())], names=["host", "chain", "pages", "presentation", "content", "composite", "highest"])
+
+
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, chain, pages, presentation, content: the merged tree of each host with both importances."""
-    counts = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_tree, _SEEN).groupBy("host", "chain", "kind", "feature").agg(F.sum("pages").alias("pages"))
+    """host, chain, pages, presentation, content, composite, highest: the merged tree of each host; content is that of a node's own blocks (null without), highest the greatest composite or content importance in its subtree."""
+    counts = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_tree, _SEEN).groupBy("host", "chain", "kind", "feature").agg(F.sum("pages").alias("pages"), F.sum("share").alias("share"))
     m = F.max(F.when(F.col("kind") == 0, F.col("pages")))
     texts, styles = F.col("kind") == 1, F.col("kind") == 2
     n_log_n = F.col("pages") * F.log(F.col("pages").cast("double"))
@@ -181,16 +232,25 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.sum(F.when(texts, n_log_n)).alias("texts_log"),
         F.sum(F.when(styles, F.col("pages"))).alias("n_styles"),
         F.sum(F.when(styles, n_log_n)).alias("styles_log"),
+        F.count(F.when(styles, 1)).alias("styles"),
+        F.sum(F.when(F.col("kind") == 0, F.col("share"))).alias("share"),
+        F.coalesce(F.sum(F.when(F.col("kind") == 3, F.col("share"))), F.lit(0)).alias("own_share"),
     )
     base = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    content = F.when(F.col("pages") > 1, 1 - F.col("texts_log") / F.col("n_texts") / base).otherwise(1.0)
+    content = F.when(F.col("own_share") > 0, F.when(F.col("pages") > 1, 1 - F.col("texts_log") / F.col("n_texts") / base).otherwise(1.0))
     presentation = F.when(F.col("n_styles") > 1, (F.log(F.col("n_styles").cast("double")) - F.col("styles_log") / F.col("n_styles")) / F.log(F.col("n_styles").cast("double"))).otherwise(1.0)
-    return node.select("host", "chain", "pages", presentation.alias("presentation"), content.alias("content"))
+    # own text alone is at most a whole sequence a page; a node with less has children somewhere
+    inner = F.col("own_share") < F.col("n_styles") * _WHOLE
+    path = F.split("chain", ">")
+    nodes = node.select("host", "chain", "pages", "share", "own_share", "styles", inner.alias("inner"), presentation.alias("presentation"), content.alias("content"), path.alias("path"))
+    return nodes.repartition("host").sortWithinPartitions("host", F.col("path").desc()).mapInArrow(_composites, "host string, chain string, pages long, presentation double, content double, composite double, highest double")
 
 
 def low_branches(tree: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST) -> DataFrame:
-    """host, low: the chains of each host whose content repeats from page to page."""
-    return tree.where((F.col("pages") >= min_pages) & (F.col("content") < least)).groupBy("host").agg(F.array_sort(F.collect_set("chain")).alias("low"))
+    """host, low, own: the chains of each host whose whole branch repeats from page to page, and those of which only the own blocks do."""
+    low = F.col("highest") < least
+    own = ~low & (F.col("content") < least)
+    return tree.where((F.col("pages") >= min_pages) & (low | own)).groupBy("host").agg(F.array_sort(F.collect_set(F.when(low, F.col("chain")))).alias("low"), F.array_sort(F.collect_set(F.when(own, F.col("chain")))).alias("own"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -203,11 +263,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     low = low_branches(style_tree(pages, url_col, html_col)).withColumnRenamed("host", "low_host")
     host = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    joined = rows.join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low")
+    joined = rows.join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low", "own")
 
     def run(batches):
         for b in batches:
-            texts = [main_text(page, frozenset(low or ())) for page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [main_text(page, frozenset(low or ()), frozenset(own or ())) for page, low, own in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

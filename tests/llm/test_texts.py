@@ -98,6 +98,18 @@ def test_html(spark):
     assert html_main.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_loose_words(spark):
+    pages = [(k, f"http://loose.example/{k}", f"<html><body><article>Share<h1>Title {k}</h1><p>Body {k}</p></article><div class='x1'><div>Strip <p>Same</p></div></div></body></html>") for k in range(9)]
+    pages += [(k + 20, f"http://div.example/{k}", f"<body><div class='c'>Share<p>Body {k}</p></div><div class='x1'>Strip<p>Same</p></div></body>") for k in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract_main_text(df).collect()}
+    assert all(f"Title {k}\n\nBody {k}" in got[k] and got[k + 20] == f"Body {k}" for k in range(9))
+    tree = {r.chain: r for r in html_main.style_tree(df).where("host = 'div.example'").collect()}
+    c, x = tree[">body>div.c"], tree[">body>div.x1"]
+    assert c.content == pytest.approx(0) and c.composite == pytest.approx(0.45) and c.highest == pytest.approx(1)
+    assert x.composite == pytest.approx(0) and tree[">body"].composite == pytest.approx(0.9 * 0.45 / 2)
+
+
 def test_html_table(spark, sf):
     for r, (i, page) in zip(queries.queries()["op3_html_main_text"](spark, sf).orderBy("page_id").collect(), duckdb.sql(f"select page_id, html from '{sf}/pages.parquet' order by 1").fetchall()):
         import html
