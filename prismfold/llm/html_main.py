@@ -6,16 +6,20 @@ entropy, to the base of its page count, of the sequences of children seen there;
 importance of its own blocks is one minus the mean entropy of their texts over pages (a text on every page has 1, a
 text on one page 0). Its composite importance takes in the whole subtree: the presentation importance, and
 the importances of own blocks and children by their shares in the sequences, where the weight of the children is
-GAMMA to the power of the number of different sequences. A branch seen on at least MIN_PAGES pages goes if
-its composite importance, and that of all below it, is under LEAST: its text repeats, whatever the page is
-about. Where only a node's own blocks repeat, they alone go. Besides, elements that HTML itself marks as no
+GAMMA to the power of the number of different sequences. Pages of a host with the same blocks (repeated rows, mirrors,
+other parameters in the url) are one page of the tree. A branch goes if its composite importance, and that of all
+below it, is under LEAST: its text repeats, whatever the page is about. Where only a node's own blocks repeat,
+they alone go. Below MIN_PAGES different pages the limit sinks with the logarithm of their number, down to FEWEST. Headings, paragraphs, items and
+cells inside an article or main element stay even where they repeat. Besides, elements that HTML itself marks as no
 content (scripts, navigation, forms, ...) and those whose class, id or role names say so go, and where
 a page has an article or main element only what is inside counts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import math
 import re
 from collections import Counter
 
@@ -24,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .families import having, members
 
 MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
+#: different pages below which nothing counts as repeated: two may be two versions of one page
+FEWEST = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?/]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -35,6 +42,8 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOT_CONTENT = frozenset("head nav footer aside form button menu dialog header search object audio video canvas map label".split())
 _BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond widget toolbar pagination pager login signup search contentinfo complementary hidden".split())
+#: elements of running text; inside an article or main element their blocks always stay
+_PROSE = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 _ENDS_P = _BLOCK - {"html", "body"}
 #: an element that the start of one of these ends, up to the container
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -124,13 +133,18 @@ def blocks(page: str):
     return out
 
 
+def _prose(chain: str) -> bool:
+    return chain.rpartition(">")[2].partition(".")[0] in _PROSE
+
+
 def main_text(page: str | None, low: frozenset = frozenset(), own: frozenset = frozenset()) -> str:
     """The main text of a page, given the chains of its host's low branches and of nodes whose own blocks are low."""
     found = [b for b in blocks(page or "") if not b[3]]
     if any(b[2] for b in found):
         found = [b for b in found if b[2]]
-    kept = [b for b in found if b[0] not in own and not any(b[0] == c or b[0].startswith(c + ">") for c in low)] if low or own else found
-    return "\n\n".join(b[1] for b in kept)
+    if low or own:
+        found = [b for b in found if b[2] and _prose(b[0]) or b[0] not in own and not any(b[0] == c or b[0].startswith(c + ">") for c in low)]
+    return "\n\n".join(b[1] for b in found)
 
 
 _SEEN = "host string, chain string, kind int, feature long, pages long, share long"
@@ -151,6 +165,44 @@ def _sequences(chains: list[str]) -> dict[str, list[str]]:
     return out
 
 
+def content_key(found) -> int:
+    """64 bits of the chains and texts of a page's blocks, without structural boilerplate where there is anything else."""
+    kept = [b for b in found if not b[3]] or found
+    raw = "\n".join(f"{b[0]} {b[1]}" for b in kept).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
+def page_key(url: str | None, page: str | None) -> int | None:
+    """64 bits of a page's host and content; null without a host or blocks."""
+    host = host_of(url)
+    found = blocks(page) if host is not None and page else []
+    if not found:
+        return None
+    raw = content_key(found).to_bytes(8, "big", signed=True) + host.encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
+def _keyed(batches):
+    for b in batches:
+        keys = pa.array([page_key(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.int64())
+        some = keys.is_valid()
+        yield pa.RecordBatch.from_arrays([keys.filter(some), *(b.column(k).filter(some) for k in range(b.num_columns))], names=["key", *b.schema.names])
+
+
+def different_pages(pages: DataFrame) -> list[DataFrame]:
+    """Pages (url, html) without the copies within a host, in two parts: those surely without, and one of each of the others.
+
+    Only keys are shuffled for the first part; copies, and what the filters take for copies, meet by their keys.
+    """
+    rows = pages.withColumn("raw", F.xxhash64("url", "html"))
+    keys = shared.written(rows.mapInArrow(lambda batches: (b.select(["key", "raw"]) for b in _keyed(batches)), "key long, raw long"))
+    again = members(keys.groupBy("key").count().where("count > 1"), "key")
+    raws = members(having(keys, "key", again), "raw")
+    copies = having(rows, "raw", raws).mapInArrow(_keyed, "key long, url string, html string, raw long")
+    one = copies.groupBy("key").agg(F.min(F.struct("url", "html")).alias("page")).select("page.url", "page.html")
+    return [having(rows, "raw", raws, others=True).select("url", "html"), one]
+
+
 def _tree(batches):
     """Pages of a host by chain (kind 0, with its share in its parent's sequences), by chain and block text (1), by chain and sequence of children (2), by chain with own text (3, with its share in the own sequences)."""
     import zlib
@@ -221,8 +273,9 @@ def _composites(batches):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, chain, pages, presentation, content, composite, highest: the merged tree of each host; content is that of a node's own blocks (null without), highest the greatest composite or content importance in its subtree."""
-    counts = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_tree, _SEEN).groupBy("host", "chain", "kind", "feature").agg(F.sum("pages").alias("pages"), F.sum("share").alias("share"))
+    """host, chain, pages, presentation, content, composite, highest: the merged tree of the different pages of each host; content is that of a node's own blocks (null without), highest the greatest composite or content importance in its subtree."""
+    alone, one = different_pages(pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")))
+    counts = alone.mapInArrow(_tree, _SEEN).union(one.mapInArrow(_tree, _SEEN)).groupBy("host", "chain", "kind", "feature").agg(F.sum("pages").alias("pages"), F.sum("share").alias("share"))
     m = F.max(F.when(F.col("kind") == 0, F.col("pages")))
     texts, styles = F.col("kind") == 1, F.col("kind") == 2
     n_log_n = F.col("pages") * F.log(F.col("pages").cast("double"))
@@ -248,16 +301,17 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def low_branches(tree: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST) -> DataFrame:
     """host, low, own: the chains of each host whose whole branch repeats from page to page, and those of which only the own blocks do."""
-    low = F.col("highest") < least
-    own = ~low & (F.col("content") < least)
-    return tree.where((F.col("pages") >= min_pages) & (low | own)).groupBy("host").agg(F.array_sort(F.collect_set(F.when(low, F.col("chain")))).alias("low"), F.array_sort(F.collect_set(F.when(own, F.col("chain")))).alias("own"))
+    limit = least * F.least(F.lit(1.0), F.log(F.col("pages").cast("double")) / math.log(max(2, min_pages)))
+    low = F.col("highest") < limit
+    own = ~low & (F.col("content") < limit)
+    return tree.where((F.col("pages") >= FEWEST) & (low | own)).groupBy("host").agg(F.array_sort(F.collect_set(F.when(low, F.col("chain")))).alias("low"), F.array_sort(F.collect_set(F.when(own, F.col("chain")))).alias("own"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages.
 
     Null or empty html and pages without main text give an empty text. Pages whose url is null or has
-    no host have no site tree; repeated pages and ids stay as they are. White space is what str.split
+    no host have no site tree; repeated pages and ids stay as they are, and count once in the tree. White space is what str.split
     takes. Other columns are ignored; an empty table gives an empty result.
     """
     low = low_branches(style_tree(pages, url_col, html_col)).withColumnRenamed("host", "low_host")

@@ -110,6 +110,24 @@ def test_html_loose_words(spark):
     assert x.composite == pytest.approx(0) and tree[">body"].composite == pytest.approx(0.9 * 0.45 / 2)
 
 
+def test_html_copies(spark):
+    page = lambda n: f"<body><div class='x1'>Same strip</div><div class='c'><h1>Title {n}</h1><p>Body {n}</p><p>More {n}</p></div></body>"
+    article = lambda n: f"<body><div class='x1'>Same strip</div><article><h2>Summary</h2><p>Body {n}</p><h2>Notes</h2><p>None.</p></article></body>"
+    whole = lambda n, strip="": f"{strip}Title {n}\n\nBody {n}\n\nMore {n}"
+    hosts = {
+        "copies": [(page(0) + f"<!-- {k} -->", whole(0, "Same strip\n\n")) for k in range(12)],
+        "two": [(page(k // 6), whole(k // 6, "Same strip\n\n")) for k in range(8)],
+        "most": [(page(max(0, k - 255)), whole(max(0, k - 255))) for k in range(320)],
+        "seven": [(page(k), whole(k)) for k in range(7)],
+        "eight": [(page(k), whole(k)) for k in range(8)],
+        "article": [(article(k), f"Summary\n\nBody {k}\n\nNotes\n\nNone.") for k in range(9)],
+    }
+    rows = [(k, f"http://{host}.example/?utm_source={k}", html, want) for host, own in hosts.items() for k, (html, want) in enumerate(own)]
+    want = {(url, text) for _, url, _, text in rows}
+    got = html_main.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(3))
+    assert {(r.url, r.text) for r in got.collect()} == want
+
+
 def test_html_table(spark, sf):
     for r, (i, page) in zip(queries.queries()["op3_html_main_text"](spark, sf).orderBy("page_id").collect(), duckdb.sql(f"select page_id, html from '{sf}/pages.parquet' order by 1").fetchall()):
         import html
