@@ -39,11 +39,11 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: repeated lines go, but for the first; n_chars follows the text.
+    """Operator 5: repeated lines of any length go, but for the first; n_chars follows the text.
 
     Rows that lose lines and keep no other than white space go too: nothing of them is unique.
     """
-    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    out = line_dedup.dedup_lines(docs, min_chars=1).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -1,8 +1,9 @@
 """Line dedup: MinHash of character shingles, banding, exact Jaccard, distributed union-find.
 
-Lines of at least min_chars code points take part. One pass lists their places under a 64-bit hash of
+Lines of at least min_chars code points that are not blank take part; the registered query and the pipeline
+give 1, so that every line but blank ones does. One pass lists their places under a 64-bit hash of
 their bytes (equal lines are one node). A second pass makes a one-permutation MinHash signature of
-each distinct line's character shingles and deals band keys out in packed blocks; lines that share a
+each distinct line's character shingles (lines shorter than a shingle equal only themselves and need none) and deals band keys out in packed blocks; lines that share a
 band are candidates. Families of candidates fetch their texts and are verified exactly (all pairs of a
 family whose sizes and parity maps allow the threshold, except where both ends are connected). In each
 component of links the line with the smallest (doc_id, line number) stays, all others go.
@@ -86,7 +87,8 @@ def _lines(batches, min_chars):
         ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         for lo, hi, data, offs in kernels.chunks(b.column(1), limit=1 << 19, rows=1 << 20):
             row, no, start, end, chars = split_lines(data, offs)
-            use = (chars >= min_chars) & known[lo + row]
+            marks = np.concatenate([[0], np.cumsum(data > 32)])
+            use = (chars >= min_chars) & (marks[end] > marks[start]) & known[lo + row]
             row, no, start, end = row[use], no[use], start[use], end[use]
             node = kernels.span_hashes(data, start, end, lower=False).view(np.int64) if len(data) else np.zeros(0, np.int64)
             yield ids[lo + row], no, data, start, end, node
@@ -117,7 +119,7 @@ def _bands(min_chars, width, bands, rows, parts):
 
     def run(batches):
         nodes, keys, size = [], [], 0
-        for _, _, data, start, end, node in _lines(batches, min_chars):
+        for _, _, data, start, end, node in _lines(batches, max(min_chars, width)):
             if not len(node):
                 continue
             node, once = np.unique(node, return_index=True)
@@ -199,7 +201,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_removed (both long) in front of clashing columns.
 
-    A line is what split at newline gives; lines below min_chars code points, null texts and rows with a
+    A line is what split at newline gives; blank lines, lines below min_chars code points, null texts and rows with a
     null id are left alone. Ties go to the smallest (doc_id, line number). Rows that share an id lose
     the same line numbers. Removed lines take one separator with them. An empty table gives an
     empty result. Equality of lines is that of 64-bit hashes of their bytes.

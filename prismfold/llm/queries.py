@@ -45,7 +45,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(shared.table(spark, sf_dir, "documents"))
+    out = dedup_lines(shared.table(spark, sf_dir, "documents"), min_chars=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from prismfold.llm import embedding_dedup, kernels, line_dedup, ngram_join, suffix_dedup
+import corpus_pipeline
+from prismfold.llm import embedding_dedup, kernels, line_dedup, ngram_join, queries, suffix_dedup
 from prismfold.llm.components import components
 
 
@@ -112,6 +114,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "Les.\n\na line that is long enough\n \nEnd", "u"), (2, "Les.\n\nOf, edti oner.\n \nunlike", "u"), (3, "Of, edti oner.\nLes.\nown 3\né\né\nLes", "u"), (4, "Of, edti onera.\nlast", "u"), (5, "and ten short ones\nand ten short one", "u")]
+    want = {1: rows[0][1], 2: "\nOf, edti oner.\n \nunlike", 3: "own 3\né\nLes", 4: rows[3][1], 5: "and ten short ones"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("x")).withColumn("n_chars", F.length("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.kept_sha256 for r in got} == {k: hashlib.sha256(x.encode()).hexdigest() for k, x in want.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.first_lines(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for _ in range(150):
