@@ -57,7 +57,7 @@ def members(df: DataFrame, key: str):
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for r in parts.collect():
         bits[r.part * FILTER_PART : (r.part + 1) * FILTER_PART] |= np.frombuffer(r.bits, np.uint8)
-    return df.sparkSession.sparkContext.broadcast(bits)
+    return shared.broadcast(df.sparkSession, bits)
 
 
 def in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -67,6 +67,21 @@ def in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ok
 
 
+def having_any(df: DataFrame, keys, filter_) -> DataFrame:
+    """df's rows that may have one of the filter's keys in one of several columns (no nulls)."""
+    places = [df.columns.index(k) for k in keys]
+
+    def run(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for p in places:
+                keep |= in_filter(b.column(p).to_numpy(zero_copy_only=False), filter_.value)
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def having(df: DataFrame, key: str, filter_, others: bool = False) -> DataFrame:
     """df's rows whose key may be in the filter (or the others): what an exact join of a few keys need not shuffle."""
     place = df.columns.index(key)
@@ -256,18 +271,17 @@ def parity_maps(ids, bounds) -> np.ndarray:
 
 
 def verified_components(edges: DataFrame, texts, sets_of, percent: int, filters=None, node_of=None) -> DataFrame:
-    """(node, component) of the pairs within candidate families whose sets have Jaccard >= percent / 100.
+    """(node, component: any one node of it) of the pairs within candidate families whose sets have Jaccard >= percent / 100.
 
     texts maps a frame with a column node to that frame with a column text; sets_of yields the sets
     of a text column; filters gives prefix arrays of further orders, all of which a pair must share.
     """
-    fam = components(edges)
+    fam = components(edges, smallest=False)
     fam = shared.written(fam.unionAll(fam.select("component", "component").distinct()))
     blocks = fam.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     member = texts(fam).join(blocks, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(o < F.col("b"), 1).otherwise(0).alias("side")))
     member = member.select("component", "node", "text", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "p.side", "node", "text")
     groups = member.repartition(shared.partitions(edges.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    linked = components(groups.mapInArrow(_verify(sets_of, percent, filters, node_of), "u long, v long"))
-    shared.forget(fam)
+    linked = components(groups.mapInArrow(_verify(sets_of, percent, filters, node_of), "u long, v long"), smallest=False)
     return linked.unionAll(linked.select("component", "component").distinct())

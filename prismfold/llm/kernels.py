@@ -4,37 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
 #: bits of a shingle id; the rest of a 64-bit word holds a row number within a chunk
 ID_BITS = 54
 MAX_ROWS = 1 << (64 - ID_BITS)
-_P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: spans of more bytes are hashed one by one
+LONG_SPAN = 96
+_SEED = 0x7A3C1F5E9B2D4861
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
+#: the first k bytes of a little-endian word
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    x = x ^ (x >> np.uint64(30))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
+#: items that are mixed at once: all steps stay in the cache
+_LOT = 1 << 14
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK + 4096)
-        for name, base in (("up", _P), ("down", _PINV)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["up"], _POWERS["down"]
 
-
-def byte_codes() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P)) | np.uint64(1)
+def mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser."""
+    out = np.array(x, dtype=np.uint64, order="C")
+    flat = out.reshape(-1)
+    spare = np.empty(min(_LOT, len(flat)), np.uint64)
+    for lo in range(0, len(flat), _LOT):
+        y = flat[lo : lo + _LOT]
+        t = spare[: len(y)]
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            np.right_shift(y, np.uint64(shift), out=t)
+            np.bitwise_xor(y, t, out=y)
+            if times != 1:
+                np.multiply(y, np.uint64(times), out=y)
+    return out
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,15 +101,50 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_views(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a little-endian word (zeros beyond the end)."""
+    buf = np.zeros(len(data) + 8, np.uint8)
+    buf[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=buf, strides=(1,)).copy()  # aligned: gathers are much faster
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one pass of prefix sums."""
-    up, down = _powers(len(data) + 1)
-    codes = byte_codes()
+    """A 64-bit hash of each byte span: words of 8 bytes are mixed in one after the other; long spans by seeded XXH3."""
     if lower:
-        codes = codes[_LOWER]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        data = _LOWER[data]
+    n = ends - starts
+    at = word_views(data)
+    h = mix((at[starts] & _FIRST[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * _ODD[0] + np.uint64(_SEED)))
+    live, k = np.flatnonzero((n > 8) & (n <= LONG_SPAN)), 8
+    while len(live):
+        h[live] = mix((h[live] * _ODD[1]) ^ (at[starts[live] + k] & _FIRST[np.minimum(n[live] - k, 8)]))
+        k += 8
+        live = live[n[live] > k]
+    long = np.flatnonzero(n > LONG_SPAN)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        one = xxhash.xxh3_64_intdigest
+        h[long] = np.fromiter((one(view[s:e], _SEED) for s, e in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return h
+
+
+def word_hashes(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """span_hashes of spans of 8 bytes, given the word_views of their bytes."""
+    return mix(at[starts] ^ np.uint64((8 * int(_ODD[0]) + _SEED) & (1 << 64) - 1))
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width bytes from each place on (width up to 64)."""
+    n = len(data) - width + 1
+    at = word_views(data)
+    if width < 8:
+        return mix((at[:n] & _FIRST[width]) * _ODD[0])
+    acc = at[:n] * _ODD[0]
+    for k, place in enumerate([*range(8, width - 7, 8), *([width - 8] if width % 8 else [])]):
+        acc += at[place : place + n] * _ODD[(k + 1) % 8]
+    acc ^= acc >> np.uint64(29)
+    acc *= np.uint64(0xBF58476D1CE4E5B9)
+    return acc ^ (acc >> np.uint64(32))
 
 
 _TURN = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16)], dtype=np.uint64)
@@ -170,9 +206,17 @@ def unique_spans(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) for the graph with these edges, without the trivial pairs."""
+def forest(u: np.ndarray, v: np.ndarray, order=None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, first node of its component) for the graph with these edges, without the trivial pairs.
+
+    The first node is the smallest, or that with the smallest value of order (a function of the nodes).
+    """
     nodes, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
+    if order is not None:
+        by = np.argsort(order(nodes), kind="stable")
+        place = np.empty(len(nodes), np.int64)
+        place[by] = np.arange(len(nodes))
+        nodes, inv = nodes[by], place[inv]
     a, b = inv[: len(u)], inv[len(u) :]
     label = np.arange(len(nodes))
     while True:

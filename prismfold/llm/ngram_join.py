@@ -323,6 +323,7 @@ def _set_node(ids, bounds):
     return _fingerprints(ids, bounds)[0]
 
 
+@shared.call
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, orders: int = 3) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -340,11 +341,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     once = [F.first(c).alias(c) for c in ("keys", "keys_up", "map")]
     sets = found.where("n > 0 and doc_id is not null").groupBy("fp", "fp2", "n").agg(*once)
     sets = shared.written(sets.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("up"), "keys"), F.struct(F.lit(1).alias("up"), F.col("keys_up").alias("keys")))).alias("s"), "n", "map").where("s.keys is not null").select("fp", "s.up", "s.keys", "n", "map"))
+    every = shared.written(found.select("doc_id", "n", "fp"))
+    shared.forget(found)
     seen = sets.select("fp", "up", "keys").mapInArrow(_send(parts), _ddl(_POST)).repartition(parts, "part").mapInArrow(_count(parts), _ddl(_SEEN))
     seen = seen.unionAll(sets.mapInArrow(_describe(parts), _ddl(_SEEN))).repartition(parts, "part")
     near = seen.mapInArrow(_first_prefix(parts, percent), _ddl(_BLOB)).repartition(parts, "part").mapInArrow(_bucket_pairs(percent), _ddl(_EDGE))
 
-    firsts = found.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    firsts = every.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
 
     def texts(family: DataFrame) -> DataFrame:
         wanted = family.join(firsts, F.col("node") == F.col("fp")).drop("fp")
@@ -352,10 +355,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return wanted.join(there, "doc_id").drop("doc_id")
 
     linked = verified_components(near, texts, lambda text: kernels.shingle_sets(text, width), percent, _prefix_filters(percent, range(1, orders)), _set_node)
-    shared.forget(sets)
     linked = linked.withColumnRenamed("component", "c")
     least = linked.join(firsts, F.col("node") == F.col("fp")).groupBy("c").agg(F.min("doc_id").alias("component_id"))
     labels = linked.join(least, "c").select(F.col("node").alias("fp"), "component_id")
     labels = firsts.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labels, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labels, "fp", "left")
+    return shared.lasting(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -16,48 +19,115 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder serves a local master (tests) only."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="prismfold-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
-_MADE: list[str] = []
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Space:
+    """Intermediate tables and broadcasts of one call; close() deletes them."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+        self.broadcasts: list = []
+
+    def close(self) -> None:
+        while self.tables:
+            _delete(*self.tables.pop())
+        while self.broadcasts:
+            self.broadcasts.pop().destroy()
+
+
+class _Stack(threading.local):
+    def __init__(self) -> None:
+        self.spaces = [Space()]  # of a thread; the first one stays: results outside any call
+
+    def __reduce__(self):  # this module travels with the functions that run on executors
+        return _Stack, ()
+
+
+_STACK = _Stack()
+
 
+@contextlib.contextmanager
+def space(held: Space | None = None):
+    """What is written inside goes at the end (or with held, when that is closed), but for lasting() tables."""
+    own = held or Space()
+    _STACK.spaces.append(own)
+    try:
+        yield own
+    finally:
+        _STACK.spaces.remove(own)
+        if held is None:
+            own.close()
 
-def written(df: DataFrame, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, lost executors lose nothing.
 
-    Unless keep is set, the table lasts until drop_tables() is called.
-    """
+@contextlib.contextmanager
+def _frugal(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as it has ended: its output is stored, nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _stored(df: DataFrame, owner: Space) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prismfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    owner.tables.append((spark, path))
+    with _frugal(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._prismfold_path = path
-    if not keep:
-        _MADE.append(path)
     return out
 
 
-def _delete(spark: SparkSession, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, lost executors lose nothing. It goes with the current space."""
+    return _stored(df, _STACK.spaces[-1])
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables that operators have made so far: for use once their results are stored elsewhere."""
-    while _MADE:
-        _delete(spark, _MADE.pop())
+def lasting(df: DataFrame) -> DataFrame:
+    """As written(), for what a call returns: the table goes with the space around the current one."""
+    return _stored(df, _STACK.spaces[-2] if len(_STACK.spaces) > 1 else _STACK.spaces[0])
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table that written() made, once nothing reads it any more."""
+    """Delete a stored table, once nothing reads it any more."""
+    for s in _STACK.spaces:
+        s.tables = [t for t in s.tables if t[1] != df._prismfold_path]
     _delete(df.sparkSession, df._prismfold_path)
-    if df._prismfold_path in _MADE:
-        _MADE.remove(df._prismfold_path)
+
+
+def broadcast(spark: SparkSession, value):
+    """A broadcast value that goes with the current space."""
+    out = spark.sparkContext.broadcast(value)
+    _STACK.spaces[-1].broadcasts.append(out)
+    return out
+
+
+def call(f):
+    """An operator whose intermediate tables go when it returns: its result reads lasting() tables only."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        with space():
+            return f(*args, **kwargs)
+
+    return run
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,8 @@ GRAM-byte grams (their anchor) is the same too. Every start of a window belongs
 a run of starts with one anchor, with the bytes their windows cover, is a segment.
 
 1. All segments are listed by anchor, without text. Segments with equal bytes and another copy
-   repeat throughout; anchors seen in different segments go on, each distinct segment once.
+   repeat throughout; where an anchor has different segments, those go on, each once, that share the
+   bytes on one side of it with another (two segments that share a window do).
 2. Those segments' bytes are fetched, dealt to shards by anchor, and each shard's suffix array is made:
    suffixes are classified, the leftmost-smaller (LMS) substrings are sorted by induction, named and
    sorted recursively, and induce the order of all suffixes. Induction goes bucket by bucket, a whole
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, shared
-from .families import having, in_filter, members
+from .families import having, having_any, in_filter, members
 
 WINDOW, GRAM = 400, 32
 #: segments of one anchor that are sorted together; more are dealt to several shards in pairs of groups
@@ -36,7 +37,7 @@ GROUP = 4096
 _PLACE = 20
 _GAP = 255  # never a byte of UTF-8
 
-_SEGMENT = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("count", pa.int32())])
+_SEGMENT = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("count", pa.int32())])
 _BYTES = pa.schema([("content", pa.int64()), ("bytes", pa.binary())])
 
 
@@ -236,7 +237,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int):
-    """Row, first start, number of starts, anchor and content hash of each segment of a chunk.
+    """Row, first start, number of starts, place of the anchor and its hash of each segment of a chunk.
 
     The anchor is the smallest gram hash of a window (without its last _PLACE bits, which hold a gram's
     place and part runs of different occurrences); no segment covers more than twice the window.
@@ -244,16 +245,16 @@ def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int):
     none = (np.zeros(0, np.int64),) * 5
     if len(data) < window:
         return none
-    up, down = kernels._powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(kernels.byte_codes()[data] * up[: len(data)], out=total[1:])
-    grams = kernels.mix((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])
+    grams = kernels.window_hashes(data, gram)
     low = np.uint64((1 << _PLACE) - 1)
-    least = _sliding_min((grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low), window - gram + 1)
-    starts = np.arange(len(least))
-    row = np.searchsorted(offs, starts, side="right") - 1
-    valid = starts + window <= offs[row + 1]
-    at = np.flatnonzero(valid)
+    grams &= ~low
+    grams |= np.arange(len(grams), dtype=np.uint64) & low
+    least = _sliding_min(grams, window - gram + 1)
+    valid = np.zeros(len(data) + 1, np.int8)  # starts of windows inside one row
+    long = np.diff(offs) >= window
+    valid[offs[:-1][long]] = 1
+    valid[offs[1:][long] - window + 1] = -1
+    at = np.flatnonzero(np.cumsum(valid[: len(least)], dtype=np.int8))
     if not len(at):
         return none
     anchor = least[at]
@@ -261,34 +262,61 @@ def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     begin = at[first]
+    row = np.searchsorted(offs, begin, side="right") - 1
+    place = begin + (((anchor[first] & low).astype(np.int64) - begin) & ((1 << _PLACE) - 1))
     own = anchor[first] >> np.uint64(_PLACE)
-    end = begin + count - 1 + window
-    content = kernels.mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    return row[begin], begin - offs[row[begin]], count, own.view(np.int64), content.view(np.int64)
+    return row, begin - offs[row], count, place, own.view(np.int64)
+
+
+def sides(data, begin, count, place, window, gram):
+    """Hashes of the bytes to the left and to the right of each segment's anchor, anchor included; 0 where the segment ends before.
+
+    A window spans its anchor and so at least half of (window - gram) bytes on one side of it. Segments that share
+    a window therefore share the hash of a side.
+    """
+    half = (window - gram) // 2
+    out = []
+    for lo, hi, salt in ((place - half, place + gram, 1), (place, place + gram + half, 2)):
+        inside = np.flatnonzero((lo >= begin) & (hi <= begin + count - 1 + window))
+        h = np.zeros(len(begin), np.uint64)
+        h[inside] = kernels.mix(kernels.span_hashes(data, lo[inside], hi[inside], lower=False) + np.uint64(salt)) | np.uint64(1)
+        out.append(h.view(np.int64))
+    return out
+
+
+def _contents(data, begin, count, window):
+    return kernels.span_hashes(data, begin, begin + count - 1 + window, lower=False).view(np.int64)
 
 
 def _list(window, gram):
     def run(batches):
         for b in batches:
             keys = b.column(0).to_numpy()
-            for lo, hi, data, offs in kernels.chunks(b.column(1), rows=1 << 30):
-                row, start, count, anchor, content = segments(data, offs, window, gram)
+            for lo, hi, data, offs in kernels.chunks(b.column(1), limit=1 << 18, rows=1 << 30):
+                row, start, count, place, anchor = segments(data, offs, window, gram)
                 if len(row):
-                    yield shared.batch(_SEGMENT, anchor, content, keys[lo + row], start, count.astype(np.int32))
+                    begin = offs[row] + start
+                    left, right = sides(data, begin, count, place, window, gram)
+                    yield shared.batch(_SEGMENT, anchor, _contents(data, begin, count, window), left, right, keys[lo + row], start, count.astype(np.int32))
 
     return run
 
 
 def _fetch(window, gram, wanted):
+    """The bytes of wanted contents, from rows that hold one of them."""
+
     def run(batches):
         for b in batches:
-            for lo, hi, data, offs in kernels.chunks(b.column(1), rows=1 << 30):
-                row, start, count, _, content = segments(data, offs, window, gram)
-                hit = np.flatnonzero(in_filter(content, wanted.value)) if len(row) else []
+            for lo, hi, data, offs in kernels.chunks(b.column(0), limit=1 << 18, rows=1 << 30):
+                row, start, count, _, _ = segments(data, offs, window, gram)
+                if not len(row):
+                    continue
+                begin = offs[row] + start
+                content = _contents(data, begin, count, window)
+                hit = np.flatnonzero(in_filter(content, wanted.value))
                 if len(hit):
                     hit = hit[np.unique(content[hit], return_index=True)[1]]
-                    begin = offs[row[hit]] + start[hit]
-                    yield shared.batch(_BYTES, content[hit], [data[s : s + c - 1 + window].tobytes() for s, c in zip(begin, count[hit])])
+                    yield shared.batch(_BYTES, content[hit], [data[s : s + c - 1 + window].tobytes() for s, c in zip(begin[hit], count[hit])])
 
     return run
 
@@ -324,47 +352,62 @@ def _sort_shard(window):
 def _remove(window):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
+    def covered(size, starts, counts, hits):
+        """Which bytes the windows at repeated starts cover."""
+        first, last = [], []  # runs of repeated starts
+        for s, c, h in zip(starts, counts, hits):
+            if h is None:
+                first.append([s])
+                last.append([s + c])
+            else:
+                edge = np.diff(np.unpackbits(np.frombuffer(h, np.uint8))[:c].astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+                first.append(s + np.flatnonzero(edge > 0))
+                last.append(s + np.flatnonzero(edge < 0))
+        edge = np.zeros(size + 2, np.int32)
+        np.add.at(edge, np.concatenate(first), 1)
+        np.add.at(edge, np.concatenate(last) - 1 + window, -1)
+        return np.cumsum(edge[:size]) > 0
+
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(5)]
             data, offs = kernels.raw(b.column(1))
-            for k, (starts, counts, hits) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
-                text = data[offs[k] : offs[k + 1]]
-                edge = np.zeros(len(text) + 1, np.int32)
-                for s, c, h in zip(starts or (), counts or (), hits or ()):
-                    own = np.arange(c) if h is None else np.flatnonzero(np.unpackbits(np.frombuffer(h, np.uint8))[:c])
-                    np.add.at(edge, s + own, 1)
-                    np.add.at(edge, s + own + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = text[~gone].tobytes()
-                for column, value in zip(out, (len(text), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(kept).hexdigest(), kept)):
-                    column.append(value)
-            yield shared.batch(schema, b.column(0), *out)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                out = [[] for _ in range(5)]
+                lists = zip(*(part.column(c).to_pylist() for c in (2, 3, 4))) if part.num_columns > 2 else [(None, None, None)] * part.num_rows
+                for k, (starts, counts, hits) in enumerate(lists, lo):
+                    text = data[offs[k] : offs[k + 1]]
+                    removed = spans = 0
+                    if starts:
+                        gone = covered(len(text), starts, counts, hits)
+                        removed, spans = int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
+                        text = text[~gone]
+                    kept = text.tobytes()
+                    for column, value in zip(out, (int(offs[k + 1] - offs[k]), removed, spans, hashlib.sha256(kept).hexdigest(), kept)):
+                        column.append(value)
+                yield shared.batch(schema, part.column(0), *out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
-
-    Each byte covered by `window` bytes that also start anywhere else (in the same document too) is
-    removed; matches never cross documents and are judged on the input. Null and empty texts have no
-    bytes; texts below the window stay. Repeated rows and ids are separate documents, also with null ids.
-    Other columns are ignored; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    parts = shared.partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # equal (id, text) rows share a key; they are told apart by their number
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull(), F.col("text"))
-    keyed = rows.select(key.alias("row_key"), "text", "doc_id")
-    found = shared.written(keyed.select("row_key", "text").mapInArrow(_list(window, gram), "anchor long, content long, row_key long, start long, count int"))
+@shared.call
+def repeats(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(row_key, s): for each text of (row_key, text) with repeated windows, the segments (start, count, hits) that hold their starts; hits is a bit for each start, null for all."""
+    parts = shared.partitions(keyed.sparkSession)
+    found = shared.written(keyed.select("row_key", "text").mapInArrow(_list(window, gram), "anchor long, content long, left long, right long, row_key long, start long, count int"))
 
-    contents = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"))
+    contents = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"), F.max("right").alias("right"), F.min("row_key").alias("one"))
     anchors = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where("n > 1")
     contents = shared.written(contents.join(anchors.select("anchor", "kinds"), "anchor"))
-    mixed = contents.where("kinds > 1").select("anchor", "content", F.ceil(F.col("kinds") / GROUP).cast("int").alias("groups"))
-    raw = keyed.select("row_key", "text").mapInArrow(_fetch(window, gram, members(mixed, "content")), "content long, bytes binary").dropDuplicates(["content"])
+    # of the contents of an anchor, those that may share a window with another one
+    several = contents.where("kinds > 1")
+    side = several.select(F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
+    filter_ = members(side.groupBy("side").count().where("count > 1"), "side")
+    mixed = having_any(several, ("left", "right"), filter_)
+    sizes = mixed.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+    mixed = shared.written(mixed.select("anchor", "content", "one").join(sizes, "anchor"))
+    rows = having(keyed.select("text", "row_key"), "row_key", members(mixed, "one"))
+    raw = rows.mapInArrow(_fetch(window, gram, members(mixed, "content")), "content long, bytes binary").dropDuplicates(["content"])
     b = F.pmod(F.xxhash64("content"), F.col("groups")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda o: F.struct(F.least(b, o).alias("i"), F.greatest(b, o).alias("j")))
     shards = mixed.join(raw, "content").select("anchor", F.explode(pairs).alias("p"), "content", "bytes").select("anchor", "p.i", "p.j", "content", "bytes")
@@ -375,6 +418,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = shared.written(whole.unionAll(partly))
 
     spans = having(found.select("content", "row_key", "start", "count"), "content", members(marks, "content")).join(marks, "content")
-    spans = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "count", "hits")).alias("s"))
-    joined = keyed.join(spans, "row_key", "left").select("doc_id", "text", F.col("s.start").alias("starts"), F.col("s.count").alias("counts"), F.col("s.hits").alias("hits"))
-    return joined.mapInArrow(_remove(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return shared.lasting(spans.groupBy("row_key").agg(F.collect_set(F.struct("start", "count", "hits")).alias("s")))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
+
+    Each byte covered by `window` bytes that also start anywhere else (in the same document too) is
+    removed; matches never cross documents and are judged on the input. Null and empty texts have no
+    bytes; texts below the window stay. Repeated rows and ids are separate documents, also with null ids.
+    Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # equal (id, text) rows share a key, and the segments found under it
+    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull(), F.col("text"))
+    keyed = rows.select(key.alias("row_key"), "text", "doc_id")
+    spans = repeats(keyed, window, gram)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    some = members(spans, "row_key")  # the other rows stay as they are, and where they are
+    alone = having(keyed, "row_key", some, others=True).select("doc_id", "text").mapInArrow(_remove(window), out)
+    joined = having(keyed, "row_key", some).join(spans, "row_key", "left").select("doc_id", "text", F.col("s.start").alias("starts"), F.col("s.count").alias("counts"), F.col("s.hits").alias("hits"))
+    return alone.unionAll(joined.mapInArrow(_remove(window), out))

@@ -108,7 +108,7 @@ def test_line_dedup(spark):
     for x in keys:
         stays[u.find(x)] = min(stays.get(u.find(x), (1 << 60, 0)), first[x])
     want = {i: None if t is None else t if i is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < 20 or stays[u.find(x)] == (i, n)) for i, t in rows}
-    got = line_dedup.dedup_lines(df)
+    got = line_dedup.dedup_lines(df, min_chars=20)
     assert got.columns == ["doc_id", "text", "drop", "n_lines", "n_removed"]
     assert {r.doc_id: r.text for r in got.collect()} == want
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
