@@ -8,6 +8,7 @@ the columns of documents.
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,22 @@ from prismfold.llm.training import crc_fold
 TOXIC_AT = 0.7
 
 
+_LEFT: dict[tuple[int, str], shared.Space] = {}
+
+
 def stage(f):
-    """A stage starts by deleting what operators left in the shared folder: its input is stored by then."""
+    """What a stage leaves in the shared folder for its result goes when the next one starts: that has its input stored."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.drop_tables(spark)
-        return f(spark, docs, sf_dir)
+        key = (threading.get_ident(), sf_dir)
+        if key in _LEFT:
+            _LEFT.pop(key).close()
+        own = shared.Space()
+        if f is not encoded.__wrapped__:  # the last one leaves nothing but its result
+            _LEFT[key] = own
+        with shared.space(own):
+            return f(spark, docs, sf_dir)
 
     return run_stage
 
@@ -43,9 +53,11 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that lose lines and keep no other than white space go too: nothing of them is unique.
     """
-    out = line_dedup.dedup_lines(docs, min_chars=1).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars)
+    return out.select(*docs.columns)
 
 
 @stage
@@ -88,6 +100,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
-    for _, f in STAGES[:-1]:
-        docs = shared.written(f(spark, docs, sf_dir), keep=True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (_, f) in enumerate(STAGES[:-1]):
+        with shared.space():
+            kept = shared.lasting(f.__wrapped__(spark, docs, sf_dir))
+        if k:
+            shared.forget(docs)
+        docs = kept
+    return encoded(spark, docs, sf_dir)
