@@ -65,8 +65,20 @@ class Index:
     parts: list
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    """None if no item has a word."""
+@dataclass
+class Totals:
+    """What the weights take from all items, however many indexes these are dealt to: document frequencies by word
+    hash (sorted), the number of items, their mean and their greatest length."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    items: int
+    mean: float
+    longest: int
+
+
+def build_index(items: list[tuple[int, str]], totals: Totals | None = None) -> Index | None:
+    """None if no item has a word. Without totals, these items are all there are."""
     hashes, row = [], []
     for lo, _, h, r in _tokens(pa.array([t for _, t in items], pa.large_string())):
         hashes.append(h)
@@ -78,9 +90,11 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     pair, tf = np.unique(inv * len(items) + row, return_counts=True)
     term, item = pair // len(items), pair % len(items)
     length = np.bincount(row, minlength=len(items))
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, length.mean())))
+    if totals is None:
+        totals = Totals(terms, np.bincount(term, minlength=len(terms)), len(items), float(length.mean()), int(length.max()))
+    df = totals.df[np.searchsorted(totals.terms, terms)]
+    idf = np.log(1 + (totals.items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, totals.mean)))
     weight /= np.bincount(item, weight, minlength=len(items))[item]
     top = np.zeros(len(terms))
     np.maximum.at(top, term, weight)
@@ -100,7 +114,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
 
     split = [split_item(t) for _, t in items]
     parts = list(zip(grams([q for q, _ in split]), grams([a for _, a in split])))
-    return Index(np.array([i for i, _ in items], np.int64), terms, top, _csr(term, item, weight, len(terms)), _csr(by // blocks, by % blocks, peak, len(terms)), int(length.max()), parts)
+    return Index(np.array([i for i, _ in items], np.int64), terms, top, _csr(term, item, weight, len(terms)), _csr(by // blocks, by % blocks, peak, len(terms)), totals.longest, parts)
 
 
 def _expand(csr, term):
@@ -189,14 +203,36 @@ def _matches(index: Index, column: pa.Array, threshold: float, overlap: float):
     return out
 
 
+def _item_terms(batches):
+    """For each item, its part, its number of words and its different ones."""
+    for b in batches:
+        part = b.column(0)
+        for lo, hi, h, r in _tokens(b.column(1)):
+            cut = np.searchsorted(r, np.arange(hi - lo + 1))
+            terms = [np.unique(h[cut[k] : cut[k + 1]]).view(np.int64) for k in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([part.slice(lo, hi - lo), pa.array(np.diff(cut)), pa.array(terms, pa.list_(pa.int64()))], names=["part", "n", "terms"])
+
+
 def _indexes(items: DataFrame, id_col: str, text_col: str):
-    """Broadcast indexes over parts of the items, each of about INDEX_BYTES of text at most."""
+    """Broadcast indexes over parts of the items, each of about INDEX_BYTES of text at most; all weigh by the same totals."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(total) // INDEX_BYTES))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
+    if parts > 1:
+        words = shared.written(rows.select("part", "text").mapInArrow(_item_terms, "part int, n long, terms array<long>"))
+        n_items, mean, longest = words.agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
+        df = shared.written(words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        index = build_index([(r.item_id, r.text) for r in part]) if part else None
+        part = rows.where(F.col("part") == k).orderBy("item_id", "text").collect()
+        totals = None
+        if parts > 1:
+            own = words.where(F.col("part") == k).select(F.explode("terms").alias("term")).distinct()
+            own = own.join(df, "term").collect()  # the words of one part
+            terms, counts = np.array([r.term for r in own], np.int64).view(np.uint64), np.array([r.df for r in own], np.int64)
+            order = np.argsort(terms)
+            totals = Totals(terms[order], counts[order], n_items, float(mean), int(longest))
+        index = build_index([(r.item_id, r.text) for r in part], totals) if part else None
         if index is not None:
             yield shared.Shipped(items.sparkSession, index)
 
