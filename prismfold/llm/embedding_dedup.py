@@ -91,21 +91,27 @@ def _tile(threshold):
     return run
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v times the power of two that brings its largest component to between 1/2 and 1: exact, and no norm overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1]).astype("<f8")
+
+
 def _usable(batches):
     """Rows whose vectors can link, as packed doubles."""
     for b in batches:
         rows = [(i, lab, v) for i, lab, v in zip(*(b.column(k).to_pylist() for k in range(3))) if v and None not in v]
-        packed = [(i, lab, a) for i, lab, v in rows if np.isfinite(a := np.array(v, "<f8")).all() and a.any()]
+        packed = [(i, lab, scaled(a)) for i, lab, v in rows if np.isfinite(a := np.array(v, "<f8")).all() and a.any()]
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64()), pa.array([p[1] for p in packed], b.schema.field(1).type), pa.array([p[2].tobytes() for p in packed], pa.binary())], names=["vec_id", "label", "v"])
 
 
+@shared.call
 def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Only vectors of the same non-null label link, at cosine >= threshold in double precision. Null,
     empty and zero vectors, and those with null or non-finite components, link with nothing; nor do
-    vectors of different lengths. A null id has no links, a null component and is not kept. Rows that
+    vectors of different lengths. Magnitudes do not matter: vectors are scaled by powers of two first. A null id has no links, a null component and is not kept. Rows that
     share an id count as one in components, and each has the sum of their links to other ids. Other
     columns are ignored; an empty table gives an empty result.
     """
@@ -122,4 +128,4 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     found = counts.join(components(links).withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("vec_id"), "n", "component")
     out = rows.select("vec_id").join(found, "vec_id", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return shared.lasting(out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")))
