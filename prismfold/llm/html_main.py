@@ -11,8 +11,8 @@ other parameters in the url) are one page of the tree. A branch goes if its comp
 below it, is under LEAST: its text repeats, whatever the page is about. Where only a node's own blocks repeat,
 they alone go. Below MIN_PAGES different pages the limit sinks with the logarithm of their number, down to FEWEST. Headings, paragraphs, items and
 cells inside an article or main element stay even where they repeat. Besides, elements that HTML itself marks as no
-content (scripts, navigation, forms, ...) and those whose class, id or role names say so go, and where
-a page has an article or main element only what is inside counts.
+content (scripts, navigation, forms, ...) and those whose class, id or role is as a whole the name of such a thing go, and where
+a page has an article or main element only what is inside counts, with the running text that stands beside it.
 """
 
 from __future__ import annotations
@@ -34,14 +34,16 @@ MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
 #: different pages below which nothing counts as repeated: two may be two versions of one page
 FEWEST = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?/]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?/]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOT_CONTENT = frozenset("head nav footer aside form button menu dialog header search object audio video canvas map label".split())
-_BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond widget toolbar pagination pager login signup search contentinfo complementary hidden".split())
+_BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond widget toolbar pagination pager login signup search contentinfo complementary hidden response responses discussion".split())
+#: words that may stand beside one of those in a name without changing what it says
+_NEUTRAL = frozenset("a area bar block body bottom box col column container content desktop fixed footer form global group head inner item items left link links list main mobile outer page post posts primary right row secondary section site slot sticky text thread title top unit wrap wrapper zone".split())
 #: elements of running text; inside an article or main element their blocks always stay
 _PROSE = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 _ENDS_P = _BLOCK - {"html", "body"}
@@ -54,18 +56,27 @@ def host_of(url: str | None) -> str | None:
     return m.group(1).lower() if m else None
 
 
-def _names(tag: str) -> tuple[str, bool]:
-    """The part of a start tag that goes into its chain, and whether its names say that it is no content."""
-    label, out = "", False
-    for name, value in _NAMES.findall(tag):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden":
-            out |= name == "hidden" or value == "true"
-            continue
-        if name == "class":
-            label = "." + ".".join(sorted(value.split())).replace(">", ")")
-        out |= any(w in _BOILERPLATE for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return label, out
+def _says_no(name: str) -> bool:
+    """Whether a class, id or role is the name of something that is no content: all its words, one of them a telling one."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    return any(w in _BOILERPLATE for w in words) and all(w in _BOILERPLATE or w in _NEUTRAL for w in words)
+
+
+def _names(tag: str, at: int) -> tuple[str, bool, bool]:
+    """Of a start tag whose name ends at a place: the part that goes into its chain, whether its names say that it is no content, and whether it has the role main."""
+    label, out, main = "", False, False
+    for name, value in _ATTRIBUTE.findall(tag, at):
+        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        if name == "hidden":
+            out = True
+        elif name == "aria-hidden":
+            out |= value == "true"
+        elif name in ("class", "id", "role"):
+            if name == "class":
+                label = "." + ".".join(sorted(value.split())).replace(">", ")")
+            main |= name == "role" and value.lower() == "main"
+            out |= any(_says_no(w) for w in value.split())
+    return label, out, main
 
 
 def blocks(page: str):
@@ -124,10 +135,10 @@ def blocks(page: str):
         if name in _VOID or m.group().endswith("/>") and name not in _BLOCK:
             continue
         _, chain, inside, gone = stack[-1]
-        label, no = _names(m.group()) if "=" in m.group() or "hidden" in m.group() else ("", False)
-        whole = name in ("html", "body", "article", "main")
+        label, no, main = _names(m.group(), tag.end() - m.start()) if "=" in m.group() or "hidden" in m.group() else ("", False, False)
+        whole = main or name in ("html", "body", "article", "main")
         in_article_header = name == "header" and inside
-        stack.append((name, f"{chain}>{name}{label}" if name in _BLOCK else chain, inside or name in ("article", "main") or "role=\"main\"" in m.group(), gone or (not whole and no) or (name in _NOT_CONTENT and not in_article_header)))
+        stack.append((name, f"{chain}>{name}{label}" if name in _BLOCK else chain, inside or main or name in ("article", "main"), gone or (not whole and no) or (name in _NOT_CONTENT and not in_article_header)))
     piece.append(page[at:])
     flush()
     return out
@@ -137,11 +148,18 @@ def _prose(chain: str) -> bool:
     return chain.rpartition(">")[2].partition(".")[0] in _PROSE
 
 
+def _beside(chain: str, holders: set[str]) -> bool:
+    """Running text next to an article or main element."""
+    return _prose(chain) and chain.rpartition(">")[0] in holders
+
+
 def main_text(page: str | None, low: frozenset = frozenset(), own: frozenset = frozenset()) -> str:
     """The main text of a page, given the chains of its host's low branches and of nodes whose own blocks are low."""
     found = [b for b in blocks(page or "") if not b[3]]
     if any(b[2] for b in found):
-        found = [b for b in found if b[2]]
+        first = [b[0].split(">") for b in found if b[2]]
+        holders = {">".join(c[:k]) for c in first for k in range(1, len(c)) if c[k].partition(".")[0] in ("article", "main")}
+        found = [b for b in found if b[2] or _beside(b[0], holders)]
     if low or own:
         found = [b for b in found if b[2] and _prose(b[0]) or b[0] not in own and not any(b[0] == c or b[0].startswith(c + ">") for c in low)]
     return "\n\n".join(b[1] for b in found)
@@ -307,6 +325,11 @@ def low_branches(tree: DataFrame, min_pages: int = MIN_PAGES, least: float = LEA
     return tree.where((F.col("pages") >= FEWEST) & (low | own)).groupBy("host").agg(F.array_sort(F.collect_set(F.when(low, F.col("chain")))).alias("low"), F.array_sort(F.collect_set(F.when(own, F.col("chain")))).alias("own"))
 
 
+#: characters of low branches that are broadcast at most; more are joined by a shuffle that Spark can split
+BROADCAST_CHARS = 8 << 20
+
+
+@shared.call
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages.
 
@@ -314,7 +337,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     no host have no site tree; repeated pages and ids stay as they are, and count once in the tree. White space is what str.split
     takes. Other columns are ignored; an empty table gives an empty result.
     """
-    low = low_branches(style_tree(pages, url_col, html_col)).withColumnRenamed("host", "low_host")
+    low = shared.lasting(low_branches(style_tree(pages, url_col, html_col)).withColumnRenamed("host", "low_host"))
+    chars = low.agg(F.sum(F.length("low_host") + F.length(F.array_join("low", ">")) + F.length(F.array_join("own", ">")))).first()[0] or 0
+    if chars <= BROADCAST_CHARS:
+        low = F.broadcast(low)
     host = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     joined = rows.join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low", "own")
