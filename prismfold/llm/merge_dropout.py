@@ -14,6 +14,8 @@ so is a literal mark. Decoding turns pieces to bytes and marks to spaces, and dr
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -143,28 +145,45 @@ def merge_units(symbols: np.ndarray, size: np.ndarray, pieces: dict, rate: float
 
 
 def merge_unit(unit: str, pieces: dict, rate: float, salt: int) -> list[int]:
-    """Piece ids of one unit (marks already in place, U+D800 for a mark of the text itself)."""
-    rank, n = pieces["rank"], len(unit)
-    cuts = list(range(n + 1))
+    """Piece ids of one unit (marks already in place, U+D800 for a mark of the text itself).
+
+    The agenda is a heap of pairs, the pieces a linked list: n log n in the unit's length.
+    """
+    get, n = pieces["rank"].get, len(unit)
     limit = int(rate * (1 << 32))
-    get, worst = rank.get, float("inf")
-    cost = [get(unit[k : k + 2], worst) for k in range(n - 1)]
-    while cost:
-        low = min(cost)
-        if low == worst:
-            break
-        k = cost.index(low)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def pair(start):
+        """The agenda's entry for the piece at start and the next one: best rank first, leftmost on ties."""
+        middle = end[start]
+        if middle < n and (cost := get(unit[start : end[middle]])) is not None:
+            heappush(agenda, (cost, start, middle, end[middle]))
+
+    agenda: list = []
+    for k in range(n - 1):
+        pair(k)
+    gone = bytearray(n)
+    while agenda:
+        _, start, middle, stop = heappop(agenda)
+        if gone[start] or end[start] != middle or end[middle] != stop:
+            continue  # one of the two has been merged meanwhile
         if limit:
-            h = (salt ^ (cuts[k] * 0x9E3779B97F4A7C15) ^ (cuts[k + 1] * 0xD6E8FEB86659FD93) ^ (cuts[k + 2] * 0xC2B2AE3D27D4EB4F)) & _MASK
+            h = (salt ^ (start * 0x9E3779B97F4A7C15) ^ (middle * 0xD6E8FEB86659FD93) ^ (stop * 0xC2B2AE3D27D4EB4F)) & _MASK
             h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
             if (h >> 32) < limit:
-                cost[k] = worst
                 continue
-        del cuts[k + 1], cost[k]
-        if k:
-            cost[k - 1] = get(unit[cuts[k - 1] : cuts[k + 1]], worst)
-        if k < len(cost):
-            cost[k] = get(unit[cuts[k] : cuts[k + 2]], worst)
+        gone[middle] = 1
+        end[start] = after[start] = stop
+        if stop < n:
+            before[stop] = start
+            pair(start)
+        if before[start] >= 0:
+            pair(before[start])
+    cuts, k = [], 0
+    while k < n:
+        cuts.append(k)
+        k = end[k]
+    cuts.append(n)
     ids, bytes_, out = pieces["ids"], pieces["bytes"], []
     for a, b in zip(cuts, cuts[1:]):
         k = ids.get(unit[a:b])
