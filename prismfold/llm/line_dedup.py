@@ -28,6 +28,8 @@ _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _TEXT = pa.schema([("node", pa.int64()), ("text", pa.string())])
 _MASK = pa.schema([("doc_id", pa.int64()), ("mask", pa.list_(pa.bool_())), ("n", pa.int64())])
 _NONE = np.uint32(2**32 - 1)
+#: bytes of masks that are broadcast to the documents at most; more meet them by a shuffle
+BROADCAST_BYTES = 16 << 20
 #: lines (with their band keys) that are sent on together
 _LOT = 150_000
 
@@ -326,6 +328,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # documents that surely lose nothing need no shuffle
     some = members(drop, "__prismfold_id")
+    rows, flags = drop.agg(F.count(F.lit(1)), F.sum(F.size("__prismfold_mask"))).first()
+    if rows * 64 + (flags or 0) <= BROADCAST_BYTES:
+        drop = F.broadcast(drop)
     source = docs.select(*kept, F.col(id_col).cast("long").alias("__prismfold_id"))
     alone = having(source, "__prismfold_id", some, others=True).select(*row(F.col(text_col), F.lit(0)))
     joined = having(source, "__prismfold_id", some).join(drop, "__prismfold_id", "left")
