@@ -44,10 +44,10 @@ def hex_id(c: Column) -> Column:
 
 
 def manufacturer_key(c: Column) -> Column:
-    """Comparable company name: words of letters and digits, trailing legal forms dropped, runs of single letters joined."""
+    """Comparable company name: words of letters and digits, trailing legal forms dropped (a name of nothing else is empty), runs of single letters joined."""
     forms = sorted({" ".join(s.replace(".", " ").split()) for s in LEGAL_SUFFIXES}, key=lambda s: (-len(s), s))
     words = F.trim(F.regexp_replace(F.regexp_replace(F.translate(c, UPPER, LOWER), r"[^\p{L}\p{N}]", " "), " +", " "))
-    bare = F.regexp_replace(words, f"(?: (?:{'|'.join(forms)}))+$", "")
+    bare = F.regexp_replace(words, f"(?:(?:^| )(?:{'|'.join(forms)}))+$", "")
     return F.regexp_replace(bare, "(?<=(?:^| )[^ ]) (?=[^ ](?: |$))", "")
 
 
@@ -57,6 +57,12 @@ def snippet(c: Column, limit: int = 200) -> tuple[Column, Column]:
     return F.when(cut, F.concat(F.substring(c, 1, limit), F.lit("…"))).otherwise(c), F.coalesce(cut, F.lit(False))
 
 
+def described(descriptions: Column, limit: int = 200) -> tuple[Column, Column]:
+    """The snippet of an array of (locale, text): of the English text, else of the first."""
+    english = F.try_element_at(F.filter(descriptions, lambda d: F.lower(d["locale"]) == "en"), F.lit(1))
+    return snippet(F.coalesce(english, F.try_element_at(descriptions, F.lit(1)))["text"], limit)
+
+
 def percent_path(c: Column) -> Column:
     """Percent-encoding of a path that keeps its slashes."""
     return F.array_join(F.transform(F.split(c, "/"), lambda s: F.regexp_replace(F.regexp_replace(F.url_encode(s), r"\+", "%20"), "%7E", "~")), "/")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,9 +74,20 @@ def range_bounds(docs: DataFrame, spec: Spec, registry: Registry, axes: Iterable
     return flat.agg(*out)
 
 
-def suggestion_table(docs: DataFrame, registry: Registry, names: Iterable[str]) -> DataFrame:
-    """Unfiltered counts of the facets that suggestions draw from."""
-    return facet_counts(docs, Spec(), registry, names).withColumn("folded", F.lower("value"))
+def with_names(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Counts of coded facets by name. dictionary has facet, id and name (a closed table of a few hundred rows): ids that
+    it lacks drop out, facets that it does not know stay as they are, counts of ids of one name add up."""
+    names = dictionary.select(F.col("facet").alias("__facet"), F.col("id").cast("string").alias("__id"), F.col("name").alias("__name"))
+    coded = names.select(F.col("__facet").alias("__coded")).distinct()
+    out = counts.join(F.broadcast(names), (F.col("facet") == F.col("__facet")) & (F.col("value") == F.col("__id")), "left")
+    out = out.join(F.broadcast(coded), F.col("facet") == F.col("__coded"), "left").where(F.col("__coded").isNull() | F.col("__name").isNotNull() | (F.col("value") == UNSPECIFIED))
+    return out.groupBy("facet", F.coalesce("__name", "value").alias("value")).agg(F.sum("count").alias("count"))
+
+
+def suggestion_table(docs: DataFrame, registry: Registry, names: Iterable[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """Unfiltered counts of the facets that suggestions draw from, coded ones by name."""
+    counts = facet_counts(docs, Spec(), registry, names)
+    return (counts if dictionary is None else with_names(counts, dictionary)).withColumn("folded", F.lower("value"))
 
 
 def suggest_facets(table: DataFrame, prefix: str, limit: int = SUGGEST, tenant: str | None = None) -> DataFrame:
@@ -93,9 +103,3 @@ def suggest_facets(table: DataFrame, prefix: str, limit: int = SUGGEST, tenant:
 def application_rollup(counts: DataFrame, top: str, mid: str, leaf: str) -> DataFrame:
     """Leaf counts summed to mid and top levels; a document with several leaves counts in each."""
     return counts.rollup(top, mid, leaf).agg(F.sum("count").alias("count"))
-
-
-def naive_facet_counts(docs: DataFrame, spec: Spec, registry: Registry, names: Iterable[str]) -> DataFrame:
-    """The same by one scan for each facet; for comparison."""
-    frames = [docs.where(document_matches(spec.without(registry.facet(n).relaxes), registry)).select(F.lit(n).alias("facet"), F.explode(facet_values(registry.facet(n), registry)).alias("value")).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count")) for n in names]
-    return reduce(DataFrame.unionAll, frames)

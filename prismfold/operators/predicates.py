@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import folded_contains
@@ -27,22 +27,28 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def predicate(field: Field, value, base: Column | None) -> Column:
-    """A field's condition on a document row or a variant; never null."""
+def bare_predicate(field: Field, value, base: Column | None) -> Column:
+    """A field's condition on a document row or a variant; null where the value is. To filter by: a null does there
+    what false does, and file readers can use the plain comparison."""
     x = at(base, field.path)
     if field.kind == "single":
-        return _sure(x.isin(*value))
+        return x.isin(*value)
     if field.kind == "multi":
-        return _sure(F.exists(x, lambda e: e.isin(*value)))
+        return F.exists(x, lambda e: e.isin(*value))
     if field.kind == "min":
-        return _sure(x >= F.lit(value).cast(field.type))
+        return x >= F.lit(value).cast(field.type)
     low, high = (F.lit(v).cast(field.type) for v in value)
     inside = (x >= low) & (x <= high)
     if field.type in ("float", "double"):
         inside &= ~F.isnan(x)
     if field.gate:
         inside &= at(base, field.gate[0]) == F.lit(field.gate[1])
-    return _sure(inside)
+    return inside
+
+
+def predicate(field: Field, value, base: Column | None) -> Column:
+    """The same for masks; never null."""
+    return _sure(bare_predicate(field, value, base))
 
 
 def _flag(registry: Registry, field: Field, want: bool) -> Column:
@@ -60,13 +66,18 @@ def _text(needle: str, locale: str | None) -> Column:
     return _sure(found) | _sure(folded_contains(F.col("manufacturer"), needle)) | _sure(folded_contains(F.col("product"), needle)) | _sure(F.exists("keywords", lambda k: folded_contains(k, needle)))
 
 
-def doc_scope(spec: Spec, registry: Registry) -> Column:
+def _doc_conditions(spec: Spec, registry: Registry, one) -> list[Column]:
     """Conditions on the document, cheap ones first, text last."""
     fields = [f for f in registry.fields if f.scope == "doc" and spec.get(f.name) is not None]
-    plain = [predicate(f, spec.get(f.name), None) for f in fields if f.kind not in ("flag", "text")]
+    plain = [one(f, spec.get(f.name), None) for f in fields if f.kind not in ("flag", "text")]
     flags = [_flag(registry, f, spec.get(f.name)) for f in fields if f.kind == "flag"]
     text = [_text(spec.get(f.name), spec.get("locale")) for f in fields if f.kind == "text"]
-    return _all([*plain, *flags, *text])
+    return [*plain, *flags, *text]
+
+
+def doc_scope(spec: Spec, registry: Registry) -> Column:
+    """All document conditions as a mask."""
+    return _all(_doc_conditions(spec, registry, predicate))
 
 
 def variant_scope(spec: Spec, registry: Registry) -> Callable[[Column], Column]:
@@ -80,3 +91,14 @@ def document_matches(spec: Spec, registry: Registry) -> Column:
     if spec.has_variant_predicate(registry):
         match &= _sure(F.exists(registry.variants, variant_scope(spec, registry)))
     return match
+
+
+def in_scope(docs: DataFrame, spec: Spec, registry: Registry) -> DataFrame:
+    """The documents that meet all document conditions, each a filter of its own that can reach the scan."""
+    return reduce(DataFrame.where, _doc_conditions(spec, registry, bare_predicate), docs)
+
+
+def matching(docs: DataFrame, spec: Spec, registry: Registry) -> DataFrame:
+    """The documents that match as a whole: in scope, and some variant meets all variant conditions."""
+    docs = in_scope(docs, spec, registry)
+    return docs.where(F.exists(registry.variants, variant_scope(spec, registry))) if spec.has_variant_predicate(registry) else docs

@@ -66,3 +66,16 @@ def archive_categories(entries: DataFrame) -> DataFrame:
     kind = F.when(ext.isin("ldt", "ies", "eul"), "photometry").when(ext.isin("png", "jpg", "jpeg", "gif", "svg", "webp", "bmp"), "image").when(ext.isin("l3d", "obj", "gltf", "glb", "stl", "3ds", "m3d", "r3d"), "geometry").when(ext == "xml", "xml").when(ext.isin("pdf", "txt", "md", "html", "htm"), "document").otherwise("other")
     sums = entries.groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.sum("packed").alias("packed"))
     return sums.withColumn("ratio", F.col("packed") / F.greatest("bytes", F.lit(1)))
+
+
+def projected(categories: DataFrame, sampled: int, files: int) -> DataFrame:
+    """Categories with their bytes projected from the sampled archives to a corpus of so many files."""
+    scale = F.lit(files / max(1, sampled))
+    return categories.withColumn("projected_bytes", F.round(F.col("bytes") * scale).cast("long")).withColumn("projected_packed", F.round(F.col("packed") * scale).cast("long"))
+
+
+def variant_sizes(docs: DataFrame) -> DataFrame:
+    """One row: documents, variants, the share of variants with photometry and variants a document."""
+    has = F.size(F.filter("variants", lambda v: v["photometry"].isNotNull()))
+    sums = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("variants")), F.lit(0)).cast("long").alias("variants"), F.coalesce(F.sum(has), F.lit(0)).cast("long").alias("with_photometry"))
+    return sums.withColumn("photometry_share", F.col("with_photometry") / F.greatest("variants", F.lit(1))).withColumn("variants_a_doc", F.col("variants") / F.greatest("docs", F.lit(1)))

@@ -26,7 +26,11 @@ def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return files.select("path", relative.alias("relative"), "length", F.unix_timestamp("modificationTime").alias("mtime"), *(["content"] if content else []))
 
 
-_PRODUCT = "path string, unique_id string, manufacturer string, name array<struct<locale:string,text:string>>, product_number array<struct<locale:string,text:string>>, texts array<struct<ord:int,locale:string,text:string>>, gtins array<string>, version struct<major:int,minor:int,rc:int>, applications array<string>, variants array<struct<id:string,name:array<struct<locale:string,text:string>>,mountings:map<string,string>,typed:map<string,string>,model:boolean,emergency:string,emergency_block:boolean,lamp_changeable:array<string>,lamp_fixed:array<string>,gear:array<string>>>, ldts array<string>, files array<struct<id:string,content_type:string,name:string>>, error string"
+#: typed elements of a variant, with the table that has their values and what they are also called
+MARKS = {"Application": "applications", "Label": "labels", "ProductForm": "product_form", "IKRating": "ik_rating", "Adjustability": "adjustability", "IngressProtectionIPCode": "ip_code", "ElectricalSafetyClass": "safety_class", "LightDistribution": "light_distribution"}
+_ALSO = {"IPCode": "IngressProtectionIPCode", "SafetyClass": "ElectricalSafetyClass"}
+
+_PRODUCT = "path string, unique_id string, manufacturer string, name array<struct<locale:string,text:string>>, product_number array<struct<locale:string,text:string>>, texts array<struct<ord:int,locale:string,text:string>>, gtins array<string>, version struct<major:int,minor:int,rc:int>, applications array<string>, variants array<struct<id:string,name:array<struct<locale:string,text:string>>,mountings:map<string,string>,marks:array<struct<field:string,value:string>>,model:boolean,emergency:string,emergency_block:boolean,lamp_changeable:array<string>,lamp_fixed:array<string>,gear:array<string>>>, ldts array<string>, files array<struct<id:string,content_type:string,name:string>>, error string"
 
 
 def _locales(node) -> list[dict]:
@@ -69,23 +73,29 @@ def parse_archive(path: str, content: bytes) -> dict:
             for v in root.iter("Variant"):
                 gather(v, "Name", "Description", "ProductNumber", "TenderText")
                 mounts = {f"{place.tag}.{kind.tag}": kind.findtext("RecessedDepth") or kind.get("recessedDepth") or "" for m in v.iter("Mountings") for place in m for kind in (list(place) or [place])}
-                typed = {k: (v.findtext(f".//{k}") or "") for k in ("IPCode", "IKRating", "SafetyClass", "ElectricalSafetyClass", "ProductForm", "LightDistribution") if v.find(f".//{k}") is not None}
+                marks = [{"field": _ALSO.get(e.tag, e.tag), "value": e.text.strip()} for e in v.iter() if _ALSO.get(e.tag, e.tag) in MARKS and (e.text or "").strip()]
                 block = v.find(".//EmergencyLighting")
-                row["variants"].append({"id": v.get("id") or "", "name": _locales(v.find("Name")), "mountings": mounts, "typed": typed, "model": v.find(".//ModelGeometryReference") is not None or v.find(".//SimpleGeometryReference") is not None, "emergency": text(block, "EmergencyLightingType"), "emergency_block": block is not None, "lamp_changeable": [e.text or "" for s in root.iter("ChangeableLightSource") for e in s.iter("CIE97LampType")], "lamp_fixed": [e.text or "" for s in root.iter("FixedLightSource") for e in s.iter("CIE97LampType")], "gear": [e.text or "" for e in root.iter("Interface")]})
+                row["variants"].append({"id": v.get("id") or "", "name": _locales(v.find("Name")), "mountings": mounts, "marks": marks, "model": v.find(".//ModelGeometryReference") is not None or v.find(".//SimpleGeometryReference") is not None, "emergency": text(block, "EmergencyLightingType"), "emergency_block": block is not None, "lamp_changeable": [e.text or "" for s in root.iter("ChangeableLightSource") for e in s.iter("CIE97LampType")], "lamp_fixed": [e.text or "" for s in root.iter("FixedLightSource") for e in s.iter("CIE97LampType")], "gear": [e.text or "" for e in root.iter("Interface")]})
     except Exception as e:  # a bad file is a row with its error
         row["error"] = f"{type(e).__name__}: {e}"
     return row
 
 
+_LISTED = ("relative", "length", "mtime")
+
+
 def products(files: DataFrame) -> DataFrame:
-    """Parsed archives (needs path and content), broken ones with their error."""
+    """Parsed archives of a listing with content, broken ones with their error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split(" ")[0] for c in ("path", "unique_id", "manufacturer", "name", "product_number", "texts", "gtins", "version", "applications", "variants", "ldts", "files", "error")]
         for b in batches:
-            yield pd.DataFrame([parse_archive(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=columns)
+            out = pd.DataFrame([parse_archive(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=columns)
+            for c in _LISTED:  # the listing's columns come along: nothing is joined back
+                out[c] = b[c].to_numpy()
+            yield out
 
-    return files.select("path", "content").mapInPandas(run, _PRODUCT)
+    return files.select("path", "content", *_LISTED).mapInPandas(run, f"{_PRODUCT}, relative string, length long, mtime long")
 
 
 LDT = "flux float, power float, appearance string, rendering string, lorl float, dff float, symmetry int, beam float, field float"
@@ -187,15 +197,23 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
     known = dictionaries or {}
     ids = lambda name, x: (F.array_position(F.array(*map(F.lit, known[name])), x) - 1).cast("smallint") if known.get(name) else F.lit(None).cast("smallint")
     valid = lambda x: F.when(x >= 0, x)
-    p = products(files).where("error is null").join(files.select("path", "relative", "length", "mtime"), "path")
+    p = products(files).where("error is null")
     p = p.withColumn("ldt", ldt_stats(F.try_element_at("ldts", F.lit(1))))
     name = picked_text(F.col("name"))
 
+    named = lambda v: F.coalesce(picked_text(v["name"]), v["id"])
+    table = mining.probes(list(known.get("applications", ())))
+    flat = lambda f: F.flatten(F.transform("variants", f))
+
+    def typed_ids(v: Column, field: str) -> Column:
+        """Ids of a variant's known values of a typed element, in their order."""
+        return F.array_compact(F.transform(F.filter(v["marks"], lambda m: m["field"] == field), lambda m: valid(ids(MARKS[field], m["value"]))))
+
     def variant(v: Column, ix: Column) -> Column:
-        label = F.coalesce(picked_text(v["name"]), v["id"])
+        label = named(v)
         place, kind, depth = mounting(v["mountings"])
         mined = {"flux_lm": mining.flux(label), "power_w": mining.power(label), "cct_k": mining.cct(label), "cri_ra": mining.cri_checked(label), "beam_deg": mining.beam(label)}
-        typed = valid(ids("light_distribution", F.try_element_at(v["typed"], F.lit("LightDistribution"))))
+        typed = F.try_element_at(typed_ids(v, "LightDistribution"), F.lit(1))
         none = F.lit(None)
         fields = {n: F.coalesce(F.col("ldt")[n], mined.get(n, none.cast(t))).cast(t) for n, t in (("flux_lm", "float"), ("power_w", "float"), ("efficacy_lm_w", "float"), ("cct_k", "int"), ("cri_ra", "smallint"), ("r9", "tinyint"), ("beam_deg", "float"), ("field_deg", "float"), ("ulor", "float"), ("dlor", "float"))}
         symmetry = F.when(F.col("ldt").isNotNull(), F.col("ldt")["symmetry"]).otherwise(photometry.symmetry_of(typed))
@@ -210,18 +228,36 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
             gear.alias("control_gear_interfaces"), v["emergency_block"].alias("has_emergency_lighting"), valid(ids("emergency_type", v["emergency"])).alias("emergency_lighting_type"), F.lit(0).alias("emitter_count"), F.lit(0).alias("source_index"),
         ).cast(VARIANT)
 
-    def first(field: str, dictionary: str) -> Column:
-        return F.try_element_at(F.array_compact(F.transform("variants", lambda v: valid(ids(dictionary, F.try_element_at(v["typed"], F.lit(field)))))), F.lit(1))
+    def first(field: str, mined=None) -> Column:
+        """Variant by variant the typed value, then the mined one; the first there is."""
+        own = lambda v: F.try_element_at(typed_ids(v, field), F.lit(1))
+        both = flat(lambda v: F.array(own(v), *([valid(ids(MARKS[field], mined(named(v))))] if mined else [])))
+        return F.try_element_at(F.array_compact(both), F.lit(1))
+
+    def united(field: str, *more: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.concat(flat(lambda v: typed_ids(v, field)), *more)))
+
+    def unknown(m: Column) -> Column:
+        """A typed value that its table lacks; without a table nothing can be said."""
+        return F.coalesce(*[F.when(m["field"] == field, valid(ids(name, m["value"])).isNull()) for field, name in MARKS.items() if known.get(name)], F.lit(False))
 
     source = F.struct(F.lit("Path").alias("kind"), F.col("relative").alias("value"))
-    words = F.array_sort(F.array_distinct(F.flatten(F.transform("variants", lambda v: mining.keywords(F.coalesce(picked_text(v["name"]), v["id"]), known.get("ip_code", ("",)), known.get("ik_rating", ("",)))))))
+    mined_words = flat(lambda v: mining.keywords(named(v), known.get("ip_code", ("",)), known.get("ik_rating", ("",))))
+    typed_words = flat(lambda v: F.transform(F.filter(v["marks"], lambda m: F.coalesce(*[F.when(m["field"] == field, valid(ids(name, m["value"])).isNotNull()) for field, name in MARKS.items() if known.get(name)], F.lit(False))), lambda m: m["value"]))
+    mined_apps = flat(lambda v: mining.applications(named(v), table))
+    app_words = F.transform(mined_apps, lambda k: F.get(F.array(*map(F.lit, known["applications"])), k.cast("int"))) if known.get("applications") else F.array().cast("array<string>")
+    words = F.array_sort(F.array_distinct(F.array_compact(F.concat(mined_words, typed_words, app_words))))
     gtin = F.try_element_at(F.filter("gtins", lambda g: F.trim(g) != ""), F.lit(1))
-    apps = F.array_sort(F.array_distinct(F.array_compact(F.transform("applications", lambda a: valid(ids("applications", a))))))
-    none = F.array().cast("array<smallint>")
-    warnings = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit("").alias("detail"))) for k, c in (("ManufacturerEmpty", F.trim(F.coalesce("manufacturer", F.lit(""))) == ""), ("DocIdUnavailable", F.trim(F.coalesce("unique_id", F.lit(""))) == ""), ("PhotometryMissing", F.size("ldts") == 0), ("PhotometryParseFailed", (F.size("ldts") > 0) & F.col("ldt").isNull()))]))
+    loose_apps = F.array_compact(F.transform("applications", lambda a: valid(ids("applications", a))))
+    warning = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))
+    of_doc = [F.when(c, warning(k, F.lit(""))) for k, c in (("ManufacturerEmpty", F.trim(F.coalesce("manufacturer", F.lit(""))) == ""), ("DocIdUnavailable", F.trim(F.coalesce("unique_id", F.lit(""))) == ""))]
+    of_photometry = lambda v: F.array(F.when(F.size("ldts") == 0, warning("PhotometryMissing", v["id"])), F.when((F.size("ldts") > 0) & F.col("ldt").isNull(), warning("PhotometryParseFailed", v["id"])))
+    of_values = lambda v: F.transform(F.filter(v["marks"], unknown), lambda m: warning("NonCanonicalEnumValue", F.concat_ws(" ", v["id"], m["field"], m["value"])))
+    warnings = F.array_compact(F.concat(F.array(*of_doc), flat(of_values), flat(of_photometry)))
     return p.select(
         document_id(F.col("unique_id"), F.concat(F.lit("path:"), "relative")).alias("doc_id"), source.alias("source"), F.array(source).alias("source_paths"), F.trim(F.coalesce("manufacturer", F.lit(""))).alias("manufacturer"), F.coalesce(name, F.lit("")).alias("product"), gtin.alias("gtin"), picked_text(F.col("product_number")).alias("product_code"),
-        gathered_descriptions(F.col("texts")).alias("descriptions"), words.alias("keywords"), apps.alias("applications"), none.alias("labels"), none.alias("adjustability"), first("IPCode", "ip_code").alias("ip_code"), first("SafetyClass", "safety_class").alias("safety_class"), first("IKRating", "ik_rating").alias("ik_rating"), first("ProductForm", "product_form").alias("product_form"),
+        gathered_descriptions(F.col("texts")).alias("descriptions"), words.alias("keywords"), united("Application", loose_apps, mined_apps).alias("applications"), united("Label").alias("labels"), united("Adjustability").alias("adjustability"),
+        first("IngressProtectionIPCode", lambda c: mining.ip_code(c, known.get("ip_code", ("",)))).alias("ip_code"), first("ElectricalSafetyClass").alias("safety_class"), first("IKRating", lambda c: mining.ik_rating(c, known.get("ik_rating", ("",)))).alias("ik_rating"), first("ProductForm", mining.form).alias("product_form"),
         F.transform("variants", variant).alias("variants"), F.struct(F.col("length").alias("size_bytes"), F.col("mtime").alias("mtime_epoch_s"), version_text(F.col("version")).alias("format_version")).alias("file_meta"), "path", warnings.alias("warnings"),
     )
 
@@ -248,10 +284,41 @@ def manifest(files: DataFrame, target: str, force: bool = False) -> DataFrame:
     if not force and fs.exists(path) and len(fs.listStatus(path)):
         raise FileExistsError(target)
     out = files.select("relative", "length", F.sha2("content", 256).alias("sha256"))
-    out.coalesce(1).write.mode("overwrite").json(target)
+    out.repartition(1).sortWithinPartitions("relative").write.mode("overwrite").json(target)  # contents are hashed where they are read
     return out
 
 
+def copy_sample(files: DataFrame, target: str) -> DataFrame:
+    """Write each file (with content) below target under its relative path; (relative, copied bytes). Executors write, so target is a shared folder."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for relative, content in zip(b["relative"], b["content"]):
+                place = os.path.join(target.removeprefix("file://"), relative.lstrip("/"))
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(f"{place}.part", "wb") as f:
+                    f.write(content)
+                os.replace(f"{place}.part", place)  # a task that runs again writes the same file
+            yield pd.DataFrame({"relative": b["relative"], "copied": [len(c) for c in b["content"]]})
+
+    return files.select("relative", "content").mapInPandas(run, "relative string, copied long")
+
+
+def as_json(docs: DataFrame) -> DataFrame:
+    """Documents with their warnings as one JSON text each (column json)."""
+    return docs.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def rebuilt(listed: DataFrame, snapshot: DataFrame, extract, path: str = "relative") -> DataFrame:
+    """Documents of all listed files: those of unchanged files from the snapshot, the rest extracted anew; deleted files
+    drop out. extract turns listed rows into documents; a document's file is source.value, its size and time are in file_meta."""
+    known = snapshot.select(F.col("source.value").alias(path), F.col("file_meta.size_bytes").alias("length"), F.col("file_meta.mtime_epoch_s").alias("mtime"))
+    marked = incremental(listed, known)
+    same = marked.where("reused").select(F.col(path).alias("__file"))
+    kept = snapshot.join(same, F.col("source.value") == F.col("__file"), "left_semi")
+    return kept.unionByName(extract(marked.where("not reused").drop("reused")), allowMissingColumns=True)
+
+
 def inspect(parsed: DataFrame) -> DataFrame:
     """Files of each archive by class of content type, with variants and locales."""
     kind = F.col("f.content_type")
@@ -264,6 +331,15 @@ def file_of_variant(files: Column, n_variants: Column, ix: Column) -> Column:
     return F.when((F.size(files) == n_variants) & (ix >= 0) & (ix < F.size(files)), F.try_element_at(files, ix + 1)).otherwise(F.try_element_at(files, F.lit(1)))
 
 
+def picture(name: Column, content_type: Column, content: Column) -> Column:
+    """struct(mime, content) of a product picture: the type as given, with image/ in front of a bare name; without one, by the file's extension."""
+    kind = F.lower(F.trim(content_type))
+    ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+    by_name = F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "svg", "image/svg+xml").when(ext != "", F.concat(F.lit("image/"), ext)).otherwise("application/octet-stream")
+    mime = F.when(kind.isNull() | (kind == ""), by_name).when(kind.contains("/"), kind).otherwise(F.concat(F.lit("image/"), kind))
+    return F.struct(mime.alias("mime"), content.alias("content"))
+
+
 def corpus_root(explicit: str | None = None, debug: str = "CATALOGUE_DEBUG_ROOT", variable: str = "CATALOGUE_ROOT") -> str:
     root = explicit or os.environ.get(debug) or os.environ.get(variable)
     if not root:

@@ -1,7 +1,8 @@
-"""Versioned Parquet snapshots, swapped in whole."""
+"""Versioned Parquet snapshots, taken over in whole."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,43 +14,52 @@ class SnapshotMismatch(ValueError):
     """The snapshot is of another version; it must be built anew."""
 
 
+class SnapshotMissing(FileNotFoundError):
+    """There is no snapshot yet."""
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _builds(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete builds, oldest first: a build counts once its version file is in place."""
+    root, fs = _fs(spark, path)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(n for n in names if n.startswith("build-") and fs.exists(_fs(spark, f"{path}/{n}/version/_SUCCESS")[0]))
+
+
 def write(docs: DataFrame, path: str, version: str = VERSION) -> None:
-    """Write beside the target, then swap; readers see the old or the new snapshot."""
+    """Write a new build beside the last one. Readers take the newest complete build, so there is one at any moment;
+    the one before stays for readers that have begun, older ones go."""
     spark = docs.sparkSession
-    new, fs = _fs(spark, f"{path}.tmp")
-    target, old = _fs(spark, path)[0], _fs(spark, f"{path}.old")[0]
-    fs.delete(new, True)
-    docs.write.parquet(f"{path}.tmp/data")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(f"{path}.tmp/version")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+    build = f"{path}/build-{time.time_ns():020d}"
+    docs.write.parquet(f"{build}/data")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(f"{build}/version")
+    for old in _builds(spark, path)[:-2]:
+        where, fs = _fs(spark, f"{path}/{old}")
+        fs.delete(where, True)
 
 
 def read(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
-    found = spark.read.schema("version string").json(f"{path}/version").first()
+    builds = _builds(spark, path)
+    if not builds:
+        raise SnapshotMissing(path)
+    found = spark.read.schema("version string").json(f"{path}/{builds[-1]}/version").first()
     if found is None or found.version != version:
         raise SnapshotMismatch(f"{path}: version {found and found.version}, wanted {version}")
-    return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{path}/{builds[-1]}/data")
 
 
 def cached(spark: SparkSession, path: str | None, build: Callable[[], DataFrame]) -> DataFrame:
-    """The snapshot as it is if it can be read, else a fresh build, written back if possible."""
+    """The snapshot as it is, or, where there is none of this version, a fresh build that is written back. Other failures are raised."""
     if path is None:
         return build()
     try:
         return read(spark, path)
-    except Exception:  # missing, broken or of another version: build
-        docs = build()
-    try:
-        write(docs, path)
+    except (SnapshotMissing, SnapshotMismatch):
+        write(build(), path)
         return read(spark, path)
-    except Exception:  # a failed write is not fatal
-        return docs

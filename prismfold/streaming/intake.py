@@ -27,7 +27,7 @@ def watch(spark: SparkSession, root: str, target: str, checkpoint: str, transfor
         rows = transform(rows) if transform else rows.drop("content")
         try:
             current = snapshot.read(spark, target)
-        except Exception:  # no snapshot yet
+        except snapshot.SnapshotMissing:  # the first batch; any other failure stops the query before anything is replaced
             current = None
         snapshot.write(upsert(current, rows), target)
 

@@ -1,5 +1,8 @@
+from functools import reduce
+
 import pytest
 from catalogue_docs import SAMPLE, doc, frame, photometry, variant
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismfold.operators import counts, search
@@ -7,6 +10,12 @@ from prismfold.operators.predicates import document_matches
 from prismfold.plans.luminaires import LUMINAIRES as L
 from prismfold.plans.spec import Spec
 
+
+def naive_facet_counts(docs, spec, names):
+    """The same by one scan for each facet."""
+    frames = [docs.where(document_matches(spec.without(L.facet(n).relaxes), L)).select(F.lit(n).alias("facet"), F.explode(counts.facet_values(L.facet(n), L)).alias("value")).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count")) for n in names]
+    return reduce(DataFrame.unionAll, frames)
+
 CASES = [
     ({}, True), ({"applications": [10, 200]}, True), ({"applications": [199, 200]}, False), ({"labels": [0], "applications": [200]}, False), ({"flux": (10000.0, 10000.0)}, True), ({"flux": (15000.0, 20000.0)}, True), ({"flux": (50000.0, 60000.0)}, False),
     ({"cri_min": 80}, True), ({"cri_min": 95}, False), ({"manufacturer": ["LEDVANCE"]}, True), ({"manufacturer": ["Other"]}, False), ({"text": "Hallen", "locale": "de"}, True), ({"text": "Hallen", "locale": "en"}, False), ({"text": "not present", "locale": "de"}, False), ({"text": "Bay"}, True),
@@ -55,7 +64,7 @@ def test_facets_relax_their_own_field(spark):
     names = ["manufacturer", "ip_code", "has_photometry"]
     got = {(r.facet, r.value): r["count"] for r in counts.facet_counts(df, spec, L, names).collect()}
     assert got == {("manufacturer", "Acme"): 1, ("manufacturer", "Beta"): 1, ("ip_code", "0"): 1, ("ip_code", "1"): 1, ("has_photometry", "present"): 1}
-    naive = {(r.facet, r.value): r["count"] for r in counts.naive_facet_counts(df, spec, L, names).collect()}
+    naive = {(r.facet, r.value): r["count"] for r in naive_facet_counts(df, spec, names).collect()}
     assert naive == got
     assert counts.facet_counts(df, Spec.of(text="x"), L, names, skip_text_only=True).count() == 0
     assert counts.facet_counts(df, Spec(), L, []).count() == 0
