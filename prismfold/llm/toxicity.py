@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     """The machine fitted on labelled rows whose doc_id satisfies keep: at most sample_rows, brought to one task by their terms."""
     sample = labelled_sample(docs, labels, label, keep, sample_rows).mapInArrow(_sample_terms, "doc_id long, y int, terms binary")
     rows = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fitted(params), "machine binary").collect()
-    return cloudpickle.loads(rows[0].machine)
+    return cloudpickle.loads(rows[0].machine) if rows else fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), **params)
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "toxicity") -> DataFrame:
