@@ -18,6 +18,9 @@ ORDERS = Registry(
         Field("tax_min", "min", "variant", "l_tax", "tx", type="double"),
         Field("line_status", "single", "variant", "l_linestatus", "ls"),
         Field("return_flag", "single", "variant", "l_returnflag", "rf"),
+        Field("line_number", "integer_range", "variant", "l_linenumber", "ln", type="int"),
+        Field("line_code", "single", "variant", "l_linenumber", "lc", numeric=True),
+        Field("codes", "multi", "variant", "codes", "cd"),
         Field("returned_quantity", "range", "variant", "l_quantity", "rq", gate=("l_returnflag", "R")),
         Field("has_discount", "flag", "doc", "discounted", "hd"),
         Field("has_kind", "flag", "doc", "kind", "hk", present=True),
@@ -28,6 +31,8 @@ ORDERS = Registry(
         Facet("flags", "flags", "flags", "doc_array"),
         Facet("line_status", "line_status", "l_linestatus", "variant"),
         Facet("return_flag", "return_flag", "l_returnflag", "variant"),
+        Facet("line_code", "line_code", "l_linenumber", "variant"),
+        Facet("codes", "codes", "codes", "variant_array"),
         Facet("has_discount", "has_discount", "discounted", "presence"),
         Facet("kind", "has_kind", "kind", "subtype", flag="discounted"),
     ),
@@ -43,12 +48,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per order with its line items in a fixed order; orders without lines have no variants.
+def orders(spark: SparkSession, sf_dir: str, codes: bool = False) -> DataFrame:
+    """One document per order with its line items in a fixed order; orders without lines have no variants. codes adds an array to each line.
 
     One shuffle of the pruned line items by order key; the grouped side keeps that partitioning for the join.
     """
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", (F.col("l_discount") > 0.05).alias("discounted"), F.expr(KIND).alias("kind")).alias("v"))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", (F.col("l_discount") > 0.05).alias("discounted"), F.expr(KIND).alias("kind"), *([F.array("l_returnflag", "l_linestatus").alias("codes")] if codes else [])).alias("v"))
     grouped = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("v")).alias("variants"))
     docs = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     joined = docs.join(grouped, docs.o_orderkey == grouped.l_orderkey, "left").drop("l_orderkey")
@@ -62,6 +67,21 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("manufacturer"), F.col("p_type").alias("product"), F.array(F.element_at(F.split("p_name", " "), 1)).alias("keywords"), F.nullif(F.col("p_size") % 5, F.lit(0)).alias("ip_code"), F.array(F.struct(F.lit(0).alias("id"), F.col("p_retailprice").alias("price"), F.lit(0).alias("source_index"))).alias("variants"))
 
 
+#: a part's two variants: the second one has no photometry where the key is a multiple of 4
+VARIANTS = "array(named_struct('id', 0, 'name', concat(p_name, ' A'), 'photometry', if(p_partkey % 6 = 5, null, named_struct('flux_lm', p_retailprice, 'power_w', cast(p_size as double), 'efficacy_lm_w', p_retailprice / p_size, 'cct_k', 2700 + p_size * 10, 'cri_ra', 80)), 'mounting_place', if(p_partkey % 5 = 0, 'Unknown', 'Ceiling'), 'mounting_type', if(p_partkey % 10 = 0, 'Unknown', 'Recessed'), 'has_3d', p_partkey % 2 = 0, 'source_index', 0), named_struct('id', 1, 'name', concat(p_name, ' B'), 'photometry', if(p_partkey % 4 = 0, null, named_struct('flux_lm', p_retailprice * 2, 'power_w', cast(p_size as double), 'efficacy_lm_w', p_retailprice * 2 / p_size, 'cct_k', 4000, 'cri_ra', 90)), 'mounting_place', 'Wall', 'mounting_type', 'SurfaceMounted', 'has_3d', false, 'source_index', cast(p_partkey % 3 as int)))"
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per part in the shape of the product catalogue: identifiers, texts, coded columns, files, two variants."""
+    p = read(spark, sf_dir, "part")
+    return p.selectExpr(
+        "p_partkey as doc_id", "p_brand as manufacturer", "p_type as product", "if(p_partkey % 3 = 0, null, concat('C-', p_partkey)) as product_code", "concat('G', p_partkey) as gtin",
+        "if(p_partkey % 4 = 0, array(named_struct('locale', 'de', 'text', concat('Teil ', p_name))), array(named_struct('locale', 'de', 'text', concat('Teil ', p_name)), named_struct('locale', 'EN', 'text', repeat(concat(p_name, ' '), 20)))) as descriptions",
+        "split(p_name, ' ') as keywords", "cast(p_size % 7 as int) as ip_code", f"{VARIANTS} as variants", "concat('f', p_partkey) as source", "if(p_partkey % 2 = 0, array(concat('f', p_partkey), concat('g', p_partkey)), array()) as source_paths",
+        "named_struct('size_bytes', cast(p_size as bigint), 'mtime_epoch_s', p_partkey, 'format_version', if(p_partkey % 2 = 0, '1.0.0', null)) as file_meta",
+    )
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: language as locale, source as manufacturer."""
     d = read(spark, sf_dir, "documents")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mining, photometry, text
 from ..operators import counts, fold, reports, search
-from ..operators.predicates import document_matches
+from ..operators.predicates import matching
 from ..sources import ingest
 from . import bridge
 from .bridge import ORDERS
@@ -45,7 +45,7 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def _docs(spark, sf_dir, spec: Spec) -> DataFrame:
-    return bridge.orders(spark, sf_dir).where(document_matches(spec, ORDERS)).select("o_orderkey")
+    return matching(bridge.orders(spark, sf_dir), spec, ORDERS).select("o_orderkey")
 
 
 MAIN = Spec.of(priority=("1-URGENT", "2-HIGH"), quantity=(10.0, 20.0), line_status=("O",))
@@ -92,6 +92,14 @@ _filter("q_filter_presence_false", f"select distinct l_orderkey as o_orderkey fr
 _filter("q_filter_depth_guard", "select distinct l_orderkey as o_orderkey from lineitem where l_returnflag = 'R' and l_quantity between 5 and 9", returned_quantity=(5.0, 9.0))
 _filter("q_filter_uncorrelated", "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_discount > 0.05) and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity between 1 and 3 and l_linestatus = 'F')", has_discount=True, quantity=(1.0, 3.0), line_status=("F",))
 
+_filter("q_filter_integer_range", "select distinct l_orderkey as o_orderkey from lineitem where l_linenumber between 3 and 4 and l_linestatus = 'F'", line_number=(3, 4), line_status=("F",))
+
+
+@query("select distinct l_orderkey as o_orderkey from lineitem where (l_returnflag in ('R', 'O') or l_linestatus in ('R', 'O')) and l_quantity between 1 and 4")
+def q_filter_variant_array(spark, sf_dir):
+    return matching(bridge.orders(spark, sf_dir, codes=True), Spec.of(codes=("R", "O"), quantity=(1.0, 4.0)), ORDERS).select("o_orderkey")
+
+
 FACETED = Spec.of(status=("F", "O"), quantity=(5.0, 30.0), line_status=("O",), priority=("1-URGENT", "3-MEDIUM", "5-LOW"))
 _DOC = {"status": "o_orderstatus in ('F', 'O')", "priority": "o_orderpriority in ('1-URGENT', '3-MEDIUM', '5-LOW')"}
 _VAR = {"quantity": "l_quantity between 5 and 30", "line_status": "l_linestatus = 'O'"}
@@ -228,7 +236,7 @@ def q_text_locale(spark, sf_dir):
 def _texts(spark, sf_dir, spec: Spec) -> DataFrame:
     from .luminaires import LUMINAIRES
 
-    return bridge.texts(spark, sf_dir).where(document_matches(spec, LUMINAIRES)).select("doc_id")
+    return matching(bridge.texts(spark, sf_dir), spec, LUMINAIRES).select("doc_id")
 
 
 def _group(pattern: str, group: int = 1) -> str:
@@ -310,8 +318,182 @@ def q_incremental(spark, sf_dir):
     return ingest.incremental(now, old).select("relative", "length", "mtime", "reused")
 
 
-@query("select count(distinct o_orderkey) as docs, count(l_orderkey) as variants, count(case when l_tax > 0.06 or l_tax < 0.02 then 1 end) as with_kind, count(distinct case when l_discount > 0.05 then o_orderkey end) as docs_discounted from orders left join lineitem on l_orderkey = o_orderkey")
+@query("select count(distinct o_orderkey) as docs, count(l_orderkey) as variants, count(case when l_tax > 0.06 or l_tax < 0.02 then 1 end) as with_photometry, count(distinct o_orderkey) filter (where l_discount > 0.09) as with_applications, (select count(*) from region) as failures, (select count(*) from nation) as warnings, 100.0 * count(case when l_tax > 0.06 or l_tax < 0.02 then 1 end) / count(l_orderkey) as photometry_percent from orders left join lineitem on l_orderkey = o_orderkey")
 def q_probe_summary(spark, sf_dir):
-    docs = bridge.orders(spark, sf_dir)
-    kinds = F.size(F.filter("variants", lambda v: v["kind"].isNotNull()))
-    return docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("variants")).alias("variants"), F.sum(kinds).alias("with_kind"), F.count(F.when(F.exists("variants", lambda v: v["discounted"]), 1)).alias("docs_discounted"))
+    docs = bridge.orders(spark, sf_dir).withColumn("applications", F.filter("variants", lambda v: v["l_discount"] > 0.09))
+    docs = docs.withColumn("variants", F.transform("variants", lambda v: F.struct(v["kind"].alias("photometry"))))
+    return reports.intake_summary(docs, bridge.read(spark, sf_dir, "region"), bridge.read(spark, sf_dir, "nation"))
+
+
+@query("select count(distinct o_orderkey) as docs, count(l_orderkey) as variants from orders left join lineitem on l_orderkey = o_orderkey")
+def q_stats(spark, sf_dir):
+    return search.corpus_stats(bridge.orders(spark, sf_dir), ORDERS)
+
+
+_CODES = "with l as (select l_orderkey, l_linenumber as code from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F') "
+
+
+@query(_CODES + "select 'line_code' as facet, r_name as value, count(distinct l_orderkey) as count from l join region on r_regionkey = code group by 2 union all select 'priority', o_orderpriority, count(*) from orders where o_orderstatus = 'F' group by 2")
+def q_facet_names(spark, sf_dir):
+    names = bridge.read(spark, sf_dir, "region").select(F.lit("line_code").alias("facet"), F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return counts.with_names(counts.facet_counts(bridge.orders(spark, sf_dir), Spec.of(status=("F",)), ORDERS, ["line_code", "priority"]), names)
+
+
+@query("select 'codes' as facet, value, count(distinct l_orderkey) as count from (select l_orderkey, unnest([l_returnflag, l_linestatus]) as value from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'O') group by 2")
+def q_facet_variant_array(spark, sf_dir):
+    return counts.facet_counts(bridge.orders(spark, sf_dir, codes=True), Spec.of(status=("O",)), ORDERS, ["codes"])
+
+
+@query("select 'line_code' as facet, r_name as value, count(distinct l_orderkey) as count from lineitem join region on r_regionkey = l_linenumber where contains(lower(r_name), 'as') group by 2 order by case when starts_with(lower(r_name), 'as') then 0 else 1 end, 3 desc, 2 limit 10")
+def q_suggest_names(spark, sf_dir):
+    names = bridge.read(spark, sf_dir, "region").select(F.lit("line_code").alias("facet"), F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return counts.suggest_facets(counts.suggestion_table(bridge.orders(spark, sf_dir), ORDERS, ["line_code"], names), "as")
+
+
+@query("select 'text_only' as facet, 'x' as value, 1 as count where false")
+def q_facets_text_only(spark, sf_dir):
+    from .luminaires import LUMINAIRES
+
+    return counts.facet_counts(bridge.texts(spark, sf_dir), Spec.of(text="abc", locale="en"), LUMINAIRES, ["manufacturer"], skip_text_only=True).withColumn("count", F.col("count").cast("int"))
+
+
+_IDS = "(0, 11), (1, 5), (2, 999999999), (3, 11), (4, 8)"
+
+
+@query(f"select pos, p_partkey as doc_id, p_brand as manufacturer from (values {_IDS}) r(pos, id) join part on p_partkey = id")
+def q_docs_by_id(spark, sf_dir):
+    ids = spark.sql(f"select pos, cast(id as bigint) as id from values {_IDS} as r(pos, id)")
+    return search.documents_by_id(bridge.products(spark, sf_dir), ids).select("pos", "doc_id", "manufacturer")
+
+
+@query(f"select pos, p_partkey as doc_id from (values {_IDS}) r(pos, id) join part on p_partkey = id where lower(p_brand) = (select lower(p_brand) from part where p_partkey = 5)")
+def q_docs_of_tenant(spark, sf_dir):
+    ids = spark.sql(f"select pos, cast(id as bigint) as id from values {_IDS} as r(pos, id)")
+    docs = bridge.products(spark, sf_dir)
+    tenant = docs.where("doc_id = 5").select(F.upper("manufacturer")).first()
+    return search.documents_by_id(docs, ids, tenant=tenant[0] if tenant else "").select("pos", "doc_id")
+
+
+@query("select a.p_partkey as source_id, b.p_partkey as family_id, b.p_brand as manufacturer from part a join part b on b.p_partkey = a.p_partkey - a.p_partkey % 10 where a.p_partkey < 40")
+def q_docs_by_alias(spark, sf_dir):
+    docs = bridge.products(spark, sf_dir)
+    aliases = docs.select(F.col("doc_id").alias("source_id"), (F.col("doc_id") - F.col("doc_id") % 10).alias("family_id"))
+    ids = spark.range(40).select(F.col("id").alias("pos"), "id")
+    return search.documents_by_id(docs, ids, aliases).select(F.col("pos").alias("source_id"), F.col("doc_id").alias("family_id"), "manufacturer")
+
+
+@query("select p_partkey as doc_id, cast(ix as bigint) as variant_ix, case when p_partkey % 2 = 0 and ix = 0 then 'f' || p_partkey when p_partkey % 2 = 0 and p_partkey % 3 = 0 then 'f' || p_partkey when p_partkey % 2 = 0 and p_partkey % 3 = 1 then 'g' || p_partkey else 'f' || p_partkey end as source from part, (values (0), (1)) v(ix)")
+def q_source_of_variant(spark, sf_dir):
+    return _hits(search.source_of_variant(bridge.products(spark, sf_dir)))
+
+
+_FLUX = "case when ix = 0 then case when p_partkey % 6 <> 5 then p_retailprice end else case when p_partkey % 4 <> 0 then p_retailprice * 2 end end"
+_TEXT = "case when p_partkey % 4 = 0 then 'Teil ' || p_name else repeat(p_name || ' ', 20) end"
+
+
+@query(f"select p_partkey as doc_id, p_brand as manufacturer, p_type as product, case when p_partkey % 3 = 0 then 'G' || p_partkey else 'C-' || p_partkey end as sku, p_name || case ix when 0 then ' A' else ' B' end as variant, {_FLUX} as flux_lm, case when ({_FLUX}) is not null then cast(p_size as double) end as power_w, ({_FLUX}) / p_size as efficacy_lm_w, case when ({_FLUX}) is not null then case ix when 0 then 2700 + p_size * 10 else 4000 end end as cct_k, case when ({_FLUX}) is not null then case ix when 0 then 80 else 90 end end as cri_ra, case when ix = 1 then 'Wall · SurfaceMounted' when p_partkey % 10 = 0 then null when p_partkey % 5 = 0 then 'Unknown · Recessed' else 'Ceiling · Recessed' end as mounting, case when length({_TEXT}) > 200 then substr({_TEXT}, 1, 200) || '…' else {_TEXT} end as snippet, length({_TEXT}) > 200 as truncated, ix = 0 and p_partkey % 2 = 0 as has_3d, ({_FLUX}) is not null as has_photometry, r_name as ip_code from (select *, unnest([0, 1]) as ix from part) left join region on r_regionkey = p_size % 7")
+def q_slim(spark, sf_dir):
+    docs = bridge.products(spark, sf_dir)
+    rows = search.slim(docs.withColumn("v", F.explode("variants")), "ip_code")
+    return search.coded_names(rows, {"ip_code": bridge.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))})
+
+
+@query("select p_partkey as doc_id, p_brand as manufacturer, p_type as product, case when p_partkey % 3 = 0 then 'G' || p_partkey else 'C-' || p_partkey end as sku, array_to_string(list_sort(string_split(p_name, ' ')), ',') as keywords, case when p_partkey % 6 <> 5 then cast(round(p_retailprice) as bigint) || ' lm · ' || p_size || ' W · ' || (2700 + p_size * 10) || ' K' when p_partkey % 4 <> 0 then cast(round(p_retailprice * 2) as bigint) || ' lm · ' || p_size || ' W · 4000 K' else '' end as figures from part")
+def q_hit_rows(spark, sf_dir):
+    return search.hit_rows(bridge.products(spark, sf_dir)).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query("select p_brand as manufacturer, p_type as product, p_partkey % 50 as part_of, count(*) as n_members, sum(p_size) as size_bytes, max(p_partkey) as mtime_epoch_s, max(case when p_partkey % 2 = 0 then '1.0.0' end) as format_version, case when count(*) = 1 and min(p_partkey) % 2 = 0 then 'f' || min(p_partkey) || ',g' || min(p_partkey) else string_agg('f' || p_partkey, ',' order by p_partkey) end as source_paths, case when count(*) = 1 then cast(min(p_partkey) as varchar) end as single_id from part group by 1, 2, 3")
+def q_fold_files(spark, sf_dir):
+    docs = bridge.products(spark, sf_dir).withColumn("product", F.concat_ws("|", "product", (F.col("doc_id") % 50).cast("string"))).withColumn("doc_key", F.col("doc_id")).withColumn("doc_id", F.format_string("%012d", "doc_id"))
+    f = fold.fold(docs, union=("keywords", "descriptions"), first=("ip_code", "gtin", "product_code"))
+    parts = F.split("product", "\\|")
+    return f.select("manufacturer", parts[0].alias("product"), parts[1].cast("bigint").alias("part_of"), F.size("members").cast("long").alias("n_members"), F.col("file_meta.size_bytes").alias("size_bytes"), F.col("file_meta.mtime_epoch_s").alias("mtime_epoch_s"), F.col("file_meta.format_version").alias("format_version"), F.array_join("source_paths", ",").alias("source_paths"), F.when(F.size("members") == 1, F.col("doc_id").cast("long").cast("string")).alias("single_id"))
+
+
+@query("select count(*) as docs, cast(count(*) * 2 as bigint) as variants, cast(sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) as bigint) as with_photometry, sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) / (count(*) * 2.0) as photometry_share, 2.0 as variants_a_doc from part")
+def q_variant_sizes(spark, sf_dir):
+    return reports.variant_sizes(bridge.products(spark, sf_dir))
+
+
+_ENTRIES = "select case p_partkey % 7 when 0 then 'a.ldt' when 1 then 'b/p.PNG' when 2 then 'c.glb' when 3 then 'product.xml' when 4 then 'd.pdf' when 5 then 'x' else 'e.IES' end as name, cast(p_size as bigint) as size, cast(p_size % 3 as bigint) as packed from part"
+
+
+@query(f"select category, n, bytes, packed, packed / cast(bytes as double) as ratio, bytes * 10 as projected_bytes, packed * 10 as projected_packed from (select case when name in ('a.ldt', 'e.IES') then 'photometry' when name = 'b/p.PNG' then 'image' when name = 'c.glb' then 'geometry' when name = 'product.xml' then 'xml' when name = 'd.pdf' then 'document' else 'other' end as category, count(*) as n, cast(sum(size) as bigint) as bytes, cast(sum(packed) as bigint) as packed from ({_ENTRIES}) group by 1)")
+def q_zipcat(spark, sf_dir):
+    bridge.read(spark, sf_dir, "part").createOrReplaceTempView("__prismfold_part")
+    entries = spark.sql(_ENTRIES.replace("from part", "from __prismfold_part"))
+    return reports.projected(reports.archive_categories(entries), sampled=20, files=200)
+
+
+@query("select 's/' || p_partkey as path, p_size as length from part order by p_size desc, path limit 15")
+def q_largest(spark, sf_dir):
+    listed = bridge.read(spark, sf_dir, "part").select(F.concat(F.lit("s/"), F.col("p_partkey")).alias("path"), F.col("p_size").alias("length"))
+    return reports.largest_files(listed, 15)
+
+
+_MAKERS = "case p_partkey % 6 when 0 then p_brand || ' GmbH & Co. KG' when 1 then 'S.A. ' || p_brand || ', S.p.A.' when 2 then 'GmbH' when 3 then 'A. E. G. ' || p_brand when 4 then '  ' || upper(p_brand) || ' Ltd. ' else p_brand || '-Co-Op' end"
+
+
+@query("select p_partkey, case p_partkey % 6 when 0 then b when 1 then 'sa ' || b when 2 then '' when 3 then 'aeg ' || b when 4 then b else b || ' co op' end as key from (select p_partkey, lower(replace(p_brand, '#', ' ')) as b from part)")
+def q_manufacturer_key(spark, sf_dir):
+    return bridge.read(spark, sf_dir, "part").select("p_partkey", text.manufacturer_key(F.expr(_MAKERS)).alias("key"))
+
+
+_PHOT = "select p_partkey, 'LED ' || (p_partkey * 7 % 1000) || ' x' as appearance, case when p_partkey % 2 = 0 then 'Ra' || (p_size * 3) || ' ' || (p_partkey * 13 % 12000) || 'K' else '1B ' || (800 + p_partkey % 150) end as render from part"
+_RUNS = "regexp_extract_all({}, '[0-9]+')"
+_DIN_OF = "list_filter(" + _RUNS + ", lambda r: length(r) = 3 and r[1] in ('8', '9') and try_cast(r[2:3] as int) between 15 and 99)[1]"
+_KELVIN_OF = "cast(list_filter(" + _RUNS + ", lambda r: length(r) = 4 and try_cast(r as int) between 1500 and 9999)[1] as int)"
+_RA_OF = "case when try_cast(nullif(regexp_extract({0}, '(?i)ra([0-9]*)', 1), '') as int) between 50 and 100 then try_cast(nullif(regexp_extract({0}, '(?i)ra([0-9]*)', 1), '') as int) end"
+
+
+@query(f"with t as ({_PHOT}), d as (select *, coalesce({_DIN_OF.format('appearance')}, {_DIN_OF.format('render')}) as din from t) select p_partkey, {_KELVIN_OF.format('render')} as kelvin, {_RA_OF.format('render')} as ra, cast({_DIN_OF.format('appearance')}[2:3] as int) * 100 as din_cct, case when din is not null then cast(din[2:3] as int) * 100 else coalesce({_KELVIN_OF.format('appearance')}, {_KELVIN_OF.format('render')}) end as cct, case when din is not null then cast(din[1] as int) * 10 else coalesce({_RA_OF.format('render')}, {_RA_OF.format('appearance')}) end as cri from d")
+def q_phot_colour(spark, sf_dir):
+    bridge.read(spark, sf_dir, "part").createOrReplaceTempView("__prismfold_part")
+    t = spark.sql(_PHOT.replace("from part", "from __prismfold_part"))
+    c = photometry.colour(F.col("appearance"), F.col("render"))
+    return t.select("p_partkey", photometry.kelvin(F.col("render")).alias("kelvin"), photometry.rendering(F.col("render")).alias("ra"), photometry.din_code(F.col("appearance"))["cct"].alias("din_cct"), c["cct"].alias("cct"), c["cri"].alias("cri"))
+
+
+@query("select p_partkey, case when d between 0 and 3 then 'Rotational' when d in (4, 5) then 'Axial' when d between 6 and 8 then 'Asymmetric' when d in (9, 10) then 'Diffuse' when d between 11 and 13 then 'Rotational' else 'Unknown' end as symmetry from (select p_partkey, case when p_partkey % 17 = 16 then null else p_partkey % 17 end as d from part)")
+def q_phot_symmetry(spark, sf_dir):
+    k = F.col("p_partkey") % 17
+    return bridge.read(spark, sf_dir, "part").select("p_partkey", photometry.symmetry_of(F.when(k != 16, k)).alias("symmetry"))
+
+
+IK_RATINGS = tuple(f"IK{k:02d}" for k in range(11)) + ("IK10+",)
+APPLICATIONS = ("Indoor: Office: Widgets and rings", "Indoor: Gears", "Outdoor: Street: Hot bolts (small)", "Outdoor: Small areas/red zones")
+
+
+def _ik_names(spark, sf_dir):
+    return bridge.read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Spot "), F.col("p_name"), F.lit(" IK"), F.lpad((F.col("p_size") % 15).cast("string"), 2, "0"), F.when(F.col("p_partkey") % 9 == 0, "+").otherwise(""), F.lit(" 840 IP54 12W")).alias("name"))
+
+
+@query(r"select p_partkey, case when p_size % 15 <= 10 then 'IK' || lpad(cast(p_size % 15 as varchar), 2, '0') end as value from part")
+def q_mine_ik(spark, sf_dir):
+    return _ik_names(spark, sf_dir).select("p_partkey", mining.ik_rating(F.col("name"), IK_RATINGS).alias("value"))
+
+
+@query("select p_partkey, array_to_string(list_filter(['lm', '12W'], lambda x: x <> 'lm') || ['IP54'] || case when p_size % 15 <= 10 then ['IK' || lpad(cast(p_size % 15 as varchar), 2, '0')] else [] end || ['CRI80', '4000K'], ',') as words from part")
+def q_mine_keywords(spark, sf_dir):
+    return _ik_names(spark, sf_dir).select("p_partkey", F.array_join(mining.keywords(F.col("name"), IP_CODES, IK_RATINGS), ",").alias("words"))
+
+
+@query("with probe as (select unnest(['widgets and rings', 'widgets', 'widget', 'rings', 'ring', 'gears', 'gear', 'bolts', 'bolt', 'small areas red zones', 'small', 'areas', 'area', 'zones', 'zone']) as word, unnest([0, 0, 0, 0, 0, 1, 1, 2, 2, 3, 3, 3, 3, 3, 3]) as id) select p_partkey, nullif(array_to_string(list_sort(list_distinct(list(id))), ','), '') as applications from part left join probe on regexp_matches(lower(p_name), '(^|[^a-z0-9_])' || word || '($|[^a-z0-9_])') group by 1")
+def q_mine_app(spark, sf_dir):
+    found = mining.applications(F.col("p_name"), mining.probes(list(APPLICATIONS)))
+    return bridge.read(spark, sf_dir, "part").select("p_partkey", F.nullif(F.array_join(F.array_sort(F.transform(found, lambda k: k.cast("string"))), ","), F.lit("")).alias("applications"))
+
+
+@query("select p_partkey, 'http://view.example/?f=' || replace(replace(url_encode('http://files.example/' || replace(url_encode(p_name), '%2F', '/') || '/' || p_partkey || '.x'), '%7E', '~'), '+', '%20') as link from part")
+def q_viewer(spark, sf_dir):
+    path = F.concat_ws("/", "p_name", F.concat(F.col("p_partkey"), F.lit(".x")))
+    return bridge.read(spark, sf_dir, "part").select("p_partkey", text.viewer_link("http://view.example/?f=", F.lit("http://files.example"), path).alias("link"))
+
+
+@query("select p_partkey, trim(name) as trimmed, case when p_partkey % 2 = 0 then sha256(p_name) end as hex, substr(t, 1, 1) as first_of_top, m as mid, l as leaf from (select p_partkey, p_name, '  ' || p_name || ' ' as name, p_brand as t, case when p_partkey % 2 = 0 then p_type end as m, p_name as l from part)")
+def q_values(spark, sf_dir):
+    p = bridge.read(spark, sf_dir, "part")
+    even = F.col("p_partkey") % 2 == 0
+    id_ = F.when(even, F.upper(F.sha2("p_name", 256))).otherwise(F.col("p_name"))
+    return p.select("p_partkey", text.unicode_trim(F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).alias("trimmed"), text.hex_id(id_).alias("hex"), F.substring("p_brand", 1, 1).alias("first_of_top"), F.when(even, F.col("p_type")).alias("mid"), F.col("p_name").alias("leaf"))

@@ -119,3 +119,14 @@ def test_lookups(spark):
     assert [(r.doc_id, r.v.id) for r in search.variants_by_id(df, refs, L).collect()] == [("a", 1), ("b", 0)]
     assert search.source_of_variant(df).count() == 3
     assert photometry(10.0, 2.0, 3000)["efficacy_lm_w"] == 5
+
+
+def test_conditions_reach_the_scan(spark, sf):
+    from prismfold.plans import catalogue
+
+    def scans(name):
+        plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        return [x for x in plan.split("\n") if "PushedFilters" in x]
+
+    assert any("In(o_orderpriority, [1-URGENT,2-HIGH])" in x for x in scans("q_search_doc_variant"))
+    assert any("In(l_orderkey, [2,3,32,7,999999999])" in x for x in scans("q_batch_lookup"))

@@ -48,6 +48,37 @@ def test_documents(spark, corpus):
     assert ingest.inspect(ingest.products(files)).where("manufacturer is not null").first().ldc == 1
 
 
+MARKED = XML.replace('<Variant id="v1">', """<Variant id="v1"><DescriptiveAttributes><Marketing><Applications><Application>Indoor: Office</Application><Application>Nowhere</Application></Applications><Labels><Label>CE</Label></Labels></Marketing><Mechanical><ProductForm>Oval</ProductForm><Adjustabilities><Adjustability>Tilt</Adjustability></Adjustabilities></Mechanical></DescriptiveAttributes>""").replace('<Variant id="v2"/>', """<Variant id="v2"><Name><Locale language="en">round school spot IK08</Locale></Name><DescriptiveAttributes><Marketing><Labels><Label>ENEC</Label></Labels></Marketing><Electrical><IngressProtectionIPCode>IP20</IngressProtectionIPCode><ElectricalSafetyClass>II</ElectricalSafetyClass></Electrical></DescriptiveAttributes></Variant>""")
+TABLES = {"applications": ("Indoor: Office", "Indoor: School rooms"), "labels": ("ENEC", "CE"), "adjustability": ("Tilt",), "ip_code": ("IP20", "IP65"), "ik_rating": ("IK08",), "product_form": ("Round", "Square"), "safety_class": ("I", "II")}
+
+
+def test_typed_and_mined(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "m.gldf", "w") as z:
+        z.writestr("product.xml", MARKED.format(uid=""))
+    d = ingest.documents(ingest.listing(spark, str(tmp_path), content=True), TABLES).first()
+    # typed Office of v1 and the word school mined of v2; labels of both variants
+    assert (d.applications, d.labels, d.adjustability) == ([0, 1], [0, 1], [0])
+    # v1 has a mined IP65 and comes first; the form Oval is unknown, so the mined one of v2 counts
+    assert (d.ip_code, d.ik_rating, d.product_form, d.safety_class) == (1, 0, 0, 1)
+    assert {"Indoor: Office", "CE", "ENEC", "Tilt", "IP20", "II"} <= set(d.keywords) and "Oval" not in d.keywords
+    assert sorted((w.kind, w.detail) for w in d.warnings) == [("DocIdUnavailable", ""), ("NonCanonicalEnumValue", "v1 Application Nowhere"), ("NonCanonicalEnumValue", "v1 ProductForm Oval"), ("PhotometryMissing", "v1"), ("PhotometryMissing", "v2")]
+
+
+def test_rebuild_and_json(spark, corpus, tmp_path):
+    files = ingest.listing(spark, corpus, content=True)
+    docs = ingest.documents(files)
+    snapshot.write(docs.withColumn("product", F.lit("kept")), str(tmp_path / "s"))
+    old = snapshot.read(spark, str(tmp_path / "s"))
+    changed = files.withColumn("mtime", F.when(F.col("relative") == "a.gldf", F.col("mtime") + 1).otherwise(F.col("mtime")))
+    got = {r.source.value: r["product"] for r in ingest.rebuilt(changed, old, ingest.documents).collect()}
+    assert got == {"a.gldf": "Test Product", "sub/b.GLDF": "kept"}
+    assert '"manufacturer":"ACME"' in ingest.as_json(docs).first().json
+    assert ingest.copy_sample(files, str(tmp_path / "copy")).agg(F.sum("copied")).first()[0] == files.agg(F.sum("length")).first()[0]
+    assert os.path.exists(tmp_path / "copy" / "sub" / "b.GLDF")
+    x = spark.createDataFrame([("a.JPG", None), ("b", "png"), ("c", "image/gif")], "n string, t string")
+    assert [r.m for r in x.select(ingest.picture(F.col("n"), F.col("t"), F.lit(b"x"))["mime"].alias("m")).collect()] == ["image/jpeg", "image/png", "image/gif"]
+
+
 def test_samples_and_manifest(spark, corpus, tmp_path):
     files = ingest.listing(spark, corpus, content=True)
     assert ingest.sample(files, 2, 42).count() == 2 and ingest.sample(files, 99).count() == 3
@@ -72,6 +103,12 @@ def test_snapshot(spark, tmp_path):
     snapshot.write(spark.range(5), path)
     assert snapshot.cached(spark, path, lambda: spark.range(9)).count() == 5
     assert snapshot.cached(spark, str(tmp_path / "fresh"), lambda: spark.range(9)).count() == 9
+    reader = snapshot.read(spark, path)  # goes on while a new build comes in
+    os.makedirs(f"{path}/build-99999999999999999999/data")  # a build that did not end does not count
+    snapshot.write(spark.range(7), path)
+    assert (reader.count(), snapshot.read(spark, path).count()) == (5, 7)
+    with pytest.raises(snapshot.SnapshotMissing):
+        snapshot.read(spark, str(tmp_path / "none"))
 
 
 def test_increment_and_stream(spark, corpus, tmp_path):
