@@ -124,13 +124,20 @@ def _lines(batches, min_chars):
                 yield ids[lo + row], no, data, start, end, kernels.span_hashes(data, start, end, lower=False).view(np.int64)
 
 
+def _different(line, ids, no):
+    """Places by line, document and number, each once: rows that share an id share their places."""
+    order = np.lexsort((no, ids, line))
+    line, ids, no = line[order], ids[order], no[order].astype(np.int32)
+    new = np.append(True, (line[1:] != line[:-1]) | (ids[1:] != ids[:-1]) | (no[1:] != no[:-1]))
+    return line[new], ids[new], no[new]
+
+
 def _list(min_chars, parts):
     """First places of a task's lines, packed by part of their hash, and (part -1) the places that follow a first one."""
 
     def flush(held):
         node, ids, no = map(np.concatenate, zip(*held))
-        order = np.lexsort((no, ids, node))
-        node, ids, no = node[order], ids[order], no[order].astype(np.int32)
+        node, ids, no = _different(node, ids, no)
         first = np.append(True, node[1:] != node[:-1])
         part = np.where(first, (kernels.mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64), -1)
         order = np.argsort(part, kind="stable")
@@ -178,8 +185,7 @@ def _later(linked):
         line, ids, no = _unpacked(batches)
         if not len(line):
             return
-        order = np.lexsort((no, ids, line))
-        line, ids, no = line[order], ids[order], no[order]
+        line, ids, no = _different(line, ids, no)
         first = np.append(True, line[1:] != line[:-1])
         keep = ~first
         keep[first] = in_filter(line[first], linked.value)

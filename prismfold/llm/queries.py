@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_gam, shared, toxicity
+from . import quality_gam, shared, sql, toxicity
 from .decontam import matches
 from .embedding_dedup import embedding_near_dedup
 from .html_main import extract_main_text
@@ -78,4 +78,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have none: trained models (2, 9), a style tree (3), keyed draws (4, 8), MinHash candidates (5), block-max search (10)."""
+    return {"op1_ngram_jaccard_join": sql.OP1, "op6_suffix_array_dedup": sql.OP6, "op7_embedding_near_dedup": sql.OP7}

@@ -101,7 +101,8 @@ def fit(terms: np.ndarray, row: np.ndarray, y: np.ndarray, factors: int = 8, epo
     g_bias, g_lin, g_lat = 1.0, np.ones(len(known)), np.ones(latent.shape)
     best, kept = np.inf, (bias, linear.copy(), latent * 0)
 
-    for use, upto, patience in ((z[known] > CLEAR, epochs, 8), (np.ones(len(known), bool), epochs // 10, 2)):
+    clear = z[known] > CLEAR
+    for use, upto, patience in ((clear, epochs, 8), (np.ones(len(known), bool), *((epochs // 10, 2) if clear.any() else (epochs, 20)))):
         some = use[at]
         a_all, r_all = at[some], row[some]
         start = np.searchsorted(r_all, np.arange(rows + 1))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,6 +54,67 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_levels(spark):
+    """A path, a star and a dense group dealt over many tasks, with and without the smallest node as name."""
+    path = [(k, k + 1) for k in range(400)]
+    star = [(5000, 6000 + k) for k in range(300)] + [(6299, 4999)]
+    dense = [(a, b) for a in range(7000, 7030) for b in range(a)][-400:]
+    edges = path + star + dense + [(9000, 9000)]
+    random.Random(2).shuffle(edges)
+    u = Union()
+    for a, b in edges:
+        u.join(a, b)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(9)
+    assert {r.node: r.component for r in components(df).collect()} == {x: u.find(x) for x in u.up if u.find(x) != x}
+    any_name = {r.node: r.component for r in components(df, smallest=False).collect()}
+    groups = {}
+    for x in u.up:
+        if x != 9000:
+            groups.setdefault(any_name.get(x, x), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(x for x in u.up if u.find(x) == r) for r in {u.find(x) for x in u.up} - {9000})
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(k).count("1") + flip) & 1] for k in range(n))
+
+
+def test_hashes():
+    for n in (8, 512, 1024, 4096):  # strings that collide under any polynomial modulo a power of two
+        both = (thue_morse(n) + thue_morse(n, 1)).encode()
+        data = np.frombuffer(both, np.uint8)
+        h = kernels.span_hashes(data, np.array([0, n, 0]), np.array([n, 2 * n, n]))
+        assert h[0] == h[2] != h[1]
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 4, 5000).astype(np.uint8)
+    start = rng.integers(0, 4900, 3000)
+    end = start + rng.integers(0, 100, 3000)
+    seen, back = {}, {}
+    for s, e, h in zip(start, end, kernels.span_hashes(data, start, end, lower=False).tolist()):
+        assert seen.setdefault(data[s:e].tobytes(), h) == h and back.setdefault(h, data[s:e].tobytes()) == data[s:e].tobytes()
+    for width in (4, 8, 13, 32):
+        w = kernels.window_hashes(data, width)
+        assert len(w) == len(data) - width + 1 and len(set(w.tolist())) == len({data[k : k + width].tobytes() for k in range(len(w))})
+
+
+def test_ngram_join_long_words(spark):
+    a, b = thue_morse(1024), thue_morse(1024, 1)
+    rows = [(1, a), (2, b), (3, f"{a} {b} x y"), (4, f"{b} {a} x y"), (5, f"{a} {b} x y")]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_exact_queries_against_sql(spark, sf):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    assert set(queries.oracle_sql()) == {"op1_ngram_jaccard_join", "op6_suffix_array_dedup", "op7_embedding_near_dedup"}
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        answer = con.execute(sql)
+        assert [d[0] for d in answer.description] == df.columns
+        assert sorted(map(tuple, df.collect())) == sorted(answer.fetchall())
+
+
 def test_ngram_join(spark, monkeypatch):
     from prismfold.llm import families
 
@@ -124,6 +186,48 @@ def test_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.first_lines(spark, docs, str(tmp_path)).collect()} == want
 
 
+def test_line_dedup_odd_rows(spark):
+    rows = [(7, "same line\nsame line\nown"), (7, "same line\nsame line\nown"), (3, "\n\nsame line"), (None, "same line"), (4, None), (5, "x" * 200_000 + "\n" + "x" * 200_000), (6, "y\n" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("n", F.lit(2))
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df).collect()), key=repr)
+        spark.conf.unset("spark.sql.ansi.enabled")
+        # rows that share an id share their line numbers: line 0 is a copy of document 3's, line 2 is kept by both
+        assert got == sorted([(7, "own", 3, 2), (7, "own", 3, 2), (3, rows[2][1], 3, 0), (None, "same line", 1, 0), (4, None, 0, 0), (5, "x" * 200_000, 2, 1), (6, "y\n", 3001, 2999)], key=repr)
+    assert line_dedup.dedup_lines(df.where("doc_id = 4")).count() == 1
+
+
+def test_line_dedup_recall():
+    """Of pairs at a similarity of 0.8 to 0.9, the bands find nearly all."""
+    rng = random.Random(8)
+    found = tried = 0
+    for _ in range(600):
+        a = "".join(rng.choice("abcdefghijklmno ") for _ in range(rng.randint(40, 300)))
+        at = rng.randrange(len(a))
+        b = a[:at] + rng.choice("XYZ") * rng.randint(1, 4) + a[at:]
+        x, y = ({s[k : k + 8] for k in range(len(s) - 7)} for s in (a, b))
+        if not 0.8 <= len(x & y) / len(x | y) < 0.9:
+            continue
+        data = np.frombuffer((a + "\n" + b).encode(), np.uint8)
+        start, end = np.array([0, len(a) + 1]), np.array([len(a), len(data)])
+        h, line = line_dedup.char_shingles(data, start, end, 8)
+        keys = line_dedup.band_keys(line_dedup.signatures(h, line, 2, 70), 14, 5)
+        tried += 1
+        found += bool((keys[0] == keys[1]).any())
+    assert tried > 100 and found / tried > 0.98
+
+
+def test_char_shingles():
+    text = "short\nplain line of letters\nélan ünd größe 日本語 テスト🙂 end\nab"
+    data = np.frombuffer(text.encode(), np.uint8)
+    row, no, start, end = line_dedup.split_lines(data, np.array([0, len(data)]))
+    assert no.tolist() == [0, 1, 2, 3] and [data[s:e].tobytes().decode() for s, e in zip(start, end)] == text.split("\n")
+    h, line = line_dedup.char_shingles(data, start, end, 8)
+    for k, x in enumerate(text.split("\n")):
+        assert len(set(h[line == k].tolist())) == len({x[j : j + 8] for j in range(max(1, len(x) - 7))})
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for _ in range(150):
@@ -186,6 +290,12 @@ def test_embeddings(spark, monkeypatch):
     assert got == {**{k: (links[k], u.find(k), u.find(k) == k) for k in range(90)}, **{k: (0, k, True) for k in range(100, 107)}, None: (0, None, False)}
 
 
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 0.0], 0), (4, [1e-200, 0.0], 0), (5, [5e-324, 0.0], 0), (6, [1.0, 1.0], 0), (6, [1.0, 1.0], 0)]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(1, 3, 1), (2, 3, 1), (3, 2, 3), (4, 2, 3), (5, 2, 3), (6, 4, 1)}
+
+
 def test_quantisation_bound():
     x = np.random.default_rng(0).normal(size=(40, 30))
     x /= np.linalg.norm(x, axis=1)[:, None]

@@ -1,6 +1,7 @@
 """Scoring, extraction, encoding, pseudonyms, decontamination and the pipeline."""
 
 import re
+import time
 import zlib
 
 import duckdb
@@ -54,6 +55,27 @@ def test_toxicity_pairs():
     assert raw[(a == 1) & (b == 1)].min() > raw[(a != 1) | (b != 1)].max()
 
 
+def test_toxicity_neutral_parts():
+    """A pair counts whose parts say nothing alone: exactly one of both makes a row toxic."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2, 3000), rng.integers(0, 2, 3000)
+    row = np.concatenate([np.flatnonzero(a), np.flatnonzero(b), np.flatnonzero(a == 0), np.flatnonzero(b == 0)])
+    terms = np.concatenate([np.full(a.sum(), 11), np.full(b.sum(), 22), np.full((a == 0).sum(), 33), np.full((b == 0).sum(), 44)])
+    order = np.lexsort((terms, row))
+    m = toxicity.fit(terms[order], row[order], (a ^ b).astype(float), epochs=600)
+    assert auc(m.raw(terms[order], row[order], 3000), (a ^ b).astype(float)) > 0.99
+
+
+def test_toxicity_weighs_every_term():
+    rng = np.random.default_rng(2)
+    rows = 400
+    row = np.repeat(np.arange(rows), 60)
+    terms = rng.integers(0, 3000, len(row))
+    order = np.lexsort((terms, row))
+    m = toxicity.fit(terms[order], row[order], rng.integers(0, 2, rows).astype(float))
+    assert (m.place >= 0).sum() == (np.bincount(terms) >= 3).sum() > 2500
+
+
 def test_quality_held_out():
     ids, texts, y = labelled("/root/testdata/sf0.1", "quality")
     fold = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in ids])
@@ -98,6 +120,38 @@ def test_html(spark):
     assert html_main.extract_main_text(df.limit(0)).count() == 0
 
 
+HTML = {
+    "<div class='content no-sidebar'><p>keep</p></div>": "keep",
+    "<p title='hidden gems'>keep</p>": "keep",
+    "<p data-id='ad'>keep</p>": "keep",
+    "<p data-role='menu'>keep</p>": "keep",
+    "<section class='social-history'><p>keep</p></section>": "keep",
+    "<div class='alert-level'>keep</div>": "keep",
+    "<h1>keep1</h1><article><p>keep2</p></article><p>keep3</p><div class='ad'>no</div>": "keep1\n\nkeep2\n\nkeep3",
+    "<article><p>keep</p></article><section class='responses'><article><p>no</p></article></section>": "keep",
+    '<p>keep <a href="x>this</a> too</p>': "keep this too",
+    "<div id=comments><p>no</p></div><div class='cookie-banner'>no</div><p hidden>no</p><p aria-hidden='true'>no</p><p>keep</p>": "keep",
+    "<div role='main'><p>keep</p></div><aside>no</aside>": "keep",
+    "<p></p><div> \n </div>": "",
+}
+
+
+def test_html_names():
+    for body, want in HTML.items():
+        assert html_main.main_text(f"<html><body><nav><a>x</a></nav>{body}<footer>f</footer></body></html>") == want
+
+
+def test_html_by_the_tree_alone(spark):
+    """No element or name tells; what stands on all pages of the host goes, broadcast or joined."""
+    rows = [(k, f"http://plain.example/{k}", f"<body><div class='q1'>Bar<div>Same links</div></div><div class='q2'><div>Story {k} begins</div><div>and ends with {k * 7}</div></div><div class='q3'>All rights</div></body>") for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (html_main.BROADCAST_CHARS, -1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(html_main, "BROADCAST_CHARS", most)
+            got = {r.page_id: r.text for r in html_main.extract_main_text(df).collect()}
+        assert got == {k: f"Story {k} begins\n\nand ends with {k * 7}" for k in range(12)}
+
+
 def test_html_loose_words(spark):
     pages = [(k, f"http://loose.example/{k}", f"<html><body><article>Share<h1>Title {k}</h1><p>Body {k}</p></article><div class='x1'><div>Strip <p>Same</p></div></div></body></html>") for k in range(9)]
     pages += [(k + 20, f"http://div.example/{k}", f"<body><div class='c'>Share<p>Body {k}</p></div><div class='x1'>Strip<p>Same</p></div></body>") for k in range(9)]
@@ -167,6 +221,33 @@ def test_merges():
         assert left[left >= 0].tolist() == merge_dropout.merge_unit(w, pieces, 0.3, salt)
 
 
+def plain_agenda(unit, rank, rate, salt):
+    """The agenda by looking at all pairs at each step."""
+    cuts, skipped = list(range(len(unit) + 1)), set()
+    while True:
+        best = min(((rank[unit[a:c]], k) for k, (a, b, c) in enumerate(zip(cuts, cuts[1:], cuts[2:])) if unit[a:c] in rank and (a, b, c) not in skipped), default=None)
+        if best is None:
+            return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
+        a, b, c = cuts[best[1] : best[1] + 3]
+        h = (salt ^ (a * 0x9E3779B97F4A7C15) ^ (b * 0xD6E8FEB86659FD93) ^ (c * 0xC2B2AE3D27D4EB4F)) & ((1 << 64) - 1)
+        if (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)) >> 32 < int(rate * (1 << 32)):
+            skipped.add((a, b, c))
+        else:
+            del cuts[best[1] + 1]
+
+
+def test_long_units():
+    pieces = merge_dropout.load_pieces()
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30, 60, 150):
+        for rate in (0.0, 0.2):
+            unit, salt = "".join(rng.choice(list("etaoinshr"), n)), int(rng.integers(0, 1 << 62))
+            assert merge_dropout.merge_unit(unit, pieces, rate, salt) == [pieces["ids"][p] for p in plain_agenda(unit, pieces["rank"], rate, salt)]
+    began = time.perf_counter()
+    long = merge_dropout.merge_unit("acgt" * 50_000, pieces, 0.1, 1)  # a word of 200,000 letters
+    assert b"".join(pieces["surface"][k] for k in long) == b"acgt" * 50_000 and time.perf_counter() - began < 60
+
+
 def test_encoding_frames(spark):
     rows = [*ODD[:2], *[(k + 10, t) for k, t in enumerate(TEXTS)], (None, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit(1)).withColumn("decoded", F.lit(2))
@@ -224,6 +305,17 @@ def test_decontamination(spark, sf):
         assert dict(zip(found.tolist(), scores.round(9).tolist())) == {k: round(float(v), 9) for k, v in plain.items()}
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    """Scores do not depend on the number of parts that the items are dealt to."""
+    from prismfold.llm import shared
+
+    d, i = (shared.table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "benchmark"))
+    whole = sorted(tuple(r) for r in decontam.matches(d, i).collect())
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
+    parts = sorted(tuple(r) for r in decontam.matches(d, i).collect())
+    assert whole and [r[:2] for r in whole] == [r[:2] for r in parts] and np.allclose([r[2:] for r in whole], [r[2:] for r in parts])
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "what is the capital of nowhere. it is nothing"), (2, None), (3, ""), (4, "zz")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "so What is the capital, of nowhere? It is nothing!"), (2, "clean words here"), (3, None), (4, ""), (None, "zz")], "doc_id long, text string").withColumn("score", F.lit(1))
@@ -243,3 +335,25 @@ def test_pipeline(spark, sf):
     assert all(r.n_chars == len(r.text) and r.tokens for r in rows if r.text)
     lines = [x for r in rows for x in r.text.split("\n") if len(x) >= 20]
     assert len(lines) == len(set(lines))
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, empty tables and further columns, in every stage."""
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    none.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, None, None, None, None), (2, "", "x", "s", 0), (3, "one two three four five six", "x", None, 27), (3, "one two three four five six", "x", None, 27), (None, "one two three four five six", None, "s", 27), (4, "another text of its own", "x", "s", 23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("fp", F.lit(1)).withColumn("node", F.lit("n"))
+    for df in (docs, docs.limit(0), docs.drop("n_chars")):
+        got = df
+        for name, f in corpus_pipeline.STAGES:
+            got = f(spark, got, str(tmp_path))
+            assert got.columns == df.columns + ["tokens"] * (name == "SentencePiece encoding")
+        left = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+        assert left == ([] if df is not docs and "n_chars" in df.columns else [(0, "one two three four five six"), (1, ""), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (4, "another text of its own")])
+
+
+def test_frames_outlive_a_pipeline_run(spark, sf):
+    made = queries.queries()["op6_suffix_array_dedup"](spark, sf)
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert made.count() == 200
