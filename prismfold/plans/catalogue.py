@@ -403,7 +403,7 @@ def q_hit_rows(spark, sf_dir):
     return search.hit_rows(bridge.products(spark, sf_dir)).withColumn("keywords", F.array_join("keywords", ","))
 
 
-@query("select p_brand as manufacturer, p_type as product, p_partkey % 50 as part_of, count(*) as n_members, sum(p_size) as size_bytes, max(p_partkey) as mtime_epoch_s, max(case when p_partkey % 2 = 0 then '1.0.0' end) as format_version, case when count(*) = 1 and min(p_partkey) % 2 = 0 then 'f' || min(p_partkey) || ',g' || min(p_partkey) else string_agg('f' || p_partkey, ',' order by p_partkey) end as source_paths, case when count(*) = 1 then cast(min(p_partkey) as varchar) end as single_id from part group by 1, 2, 3")
+@query("select p_brand as manufacturer, p_type as product, p_partkey % 50 as part_of, count(*) as n_members, cast(sum(p_size) as bigint) as size_bytes, max(p_partkey) as mtime_epoch_s, max(case when p_partkey % 2 = 0 then '1.0.0' end) as format_version, case when count(*) = 1 and min(p_partkey) % 2 = 0 then 'f' || min(p_partkey) || ',g' || min(p_partkey) else string_agg('f' || p_partkey, ',' order by p_partkey) end as source_paths, case when count(*) = 1 then cast(min(p_partkey) as varchar) end as single_id from part group by 1, 2, 3")
 def q_fold_files(spark, sf_dir):
     docs = bridge.products(spark, sf_dir).withColumn("product", F.concat_ws("|", "product", (F.col("doc_id") % 50).cast("string"))).withColumn("doc_key", F.col("doc_id")).withColumn("doc_id", F.format_string("%012d", "doc_id"))
     f = fold.fold(docs, union=("keywords", "descriptions"), first=("ip_code", "gtin", "product_code"))
@@ -411,7 +411,7 @@ def q_fold_files(spark, sf_dir):
     return f.select("manufacturer", parts[0].alias("product"), parts[1].cast("bigint").alias("part_of"), F.size("members").cast("long").alias("n_members"), F.col("file_meta.size_bytes").alias("size_bytes"), F.col("file_meta.mtime_epoch_s").alias("mtime_epoch_s"), F.col("file_meta.format_version").alias("format_version"), F.array_join("source_paths", ",").alias("source_paths"), F.when(F.size("members") == 1, F.col("doc_id").cast("long").cast("string")).alias("single_id"))
 
 
-@query("select count(*) as docs, cast(count(*) * 2 as bigint) as variants, cast(sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) as bigint) as with_photometry, sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) / (count(*) * 2.0) as photometry_share, 2.0 as variants_a_doc from part")
+@query("select count(*) as docs, cast(count(*) * 2 as bigint) as variants, cast(sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) as bigint) as with_photometry, sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) / (count(*) * 2.0) as photometry_share, cast(2.0 as double) as variants_a_doc from part")
 def q_variant_sizes(spark, sf_dir):
     return reports.variant_sizes(bridge.products(spark, sf_dir))
 
