@@ -213,6 +213,7 @@ def _sample(batches):
             yield shared.batch(_ROWS, b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), [r.tobytes() for r in x])
 
 
+@shared.call
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", sample_rows: int = SAMPLE_ROWS, **params) -> Model:
     """The model fitted on labelled rows whose doc_id satisfies keep."""
     got = labelled_sample(docs, labels, label, keep, sample_rows).mapInArrow(_sample, "doc_id long, y int, x binary").orderBy("doc_id").collect()
