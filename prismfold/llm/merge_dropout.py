@@ -5,9 +5,9 @@ mark U+2581 with one in front, as the model was made; no piece holds a mark afte
 (checked), so a text falls apart into units (a run of marks and what follows, or one control character)
 that merge independently. A unit is merged by an agenda of neighbouring pairs, best rank first and
 leftmost on ties. Each candidate taken from the agenda is skipped for good if a keyed hash of (seed,
-variant, unit, its span and its middle) falls below the dropout rate. The variant of an occurrence is a keyed hash of
-the document id and the unit's place, modulo variants, so the same word is cut in different ways, and
-equal (unit, variant) pairs are merged once a chunk, all of a length class at a time: one array row
+document id, the unit's place, its span and its middle) falls below the dropout rate: every occurrence draws for itself. Each
+different unit of a chunk is merged once without skips, with a note of the candidates taken; occurrences whose draws
+skip none of them share its pieces, the others are merged one by one, all of a length class at a time: one array row
 for each unit's symbols, one agenda step for all rows. Characters without a piece are encoded as bytes;
 so is a literal mark. Decoding turns pieces to bytes and marks to spaces, and drops the first mark.
 """
@@ -91,57 +91,73 @@ def _lookup(pieces: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _costs(pieces, left, right):
+    """Ranks and numbers of the joins of two symbols; _NEVER and -1 where there is none."""
     got = _lookup(pieces, np.maximum(left, 0), np.maximum(right, 0))
-    return np.where((got >= 0) & (left >= 0) & (right >= 0), pieces["ranks"][got] if len(pieces["ranks"]) else _NEVER, _NEVER)
+    got[(left < 0) | (right < 0)] = -1
+    return np.where(got >= 0, pieces["ranks"][got] if len(pieces["ranks"]) else _NEVER, _NEVER), got
 
 
-def merge_units(symbols: np.ndarray, size: np.ndarray, pieces: dict, rate: float, salts: np.ndarray) -> np.ndarray:
-    """Symbols left of each unit (a row, -1 beyond its size) when its agenda is empty; as merge_unit for all."""
+def _spans(start, middle, stop):
+    """What a candidate's places add to its hash."""
+    return (start * np.uint64(0x9E3779B97F4A7C15)) ^ (middle * np.uint64(0xD6E8FEB86659FD93)) ^ (stop * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _skipped(salts: np.ndarray, spans: np.ndarray, rate: float) -> np.ndarray:
+    h = salts ^ spans
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < np.uint64(int(rate * (1 << 32)))
+
+
+def merge_units(symbols: np.ndarray, size: np.ndarray, pieces: dict, rate: float, salts: np.ndarray, taken: list | None = None) -> np.ndarray:
+    """Symbols left of each unit (a row, -1 beyond its size) when its agenda is empty; as merge_unit for all.
+
+    taken gets the rows and the spans of all candidates that the agendas gave out.
+    """
     n, width = symbols.shape
-    sym = symbols.copy()
-    pos = np.minimum(np.arange(width + 1)[None, :], size[:, None]).astype(np.uint64)
-    limit = np.uint64(int(rate * (1 << 32)))
-    done = np.full_like(sym, -1)
+    out = symbols.copy()
     if width < 2:
-        return sym
-    cost = _costs(pieces, sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1)
-    rows = np.arange(n)
-    salts = salts.astype(np.uint64)
+        return out
+    # a unit's pieces as a list linked by places; a piece stands at its first place, places of others in it are empty
+    after = np.minimum(np.arange(1, width + 1, dtype=np.int32)[None, :], size[:, None]).astype(np.int32)
+    before = np.repeat(np.arange(-1, width - 1, dtype=np.int32)[None, :], n, axis=0)
+    cost, join = np.full((n, width), _NEVER, np.int32), np.full((n, width), -1, np.int32)
+    first, number = _costs(pieces, out[:, :-1].ravel(), out[:, 1:].ravel())
+    cost[:, :-1], join[:, :-1] = first.reshape(n, width - 1), number.reshape(n, width - 1)
+    sym, rows, size, salts = out.copy(), np.arange(n), size.astype(np.int64), salts.astype(np.uint64)
     while len(rows):
         k = cost.argmin(axis=1)
-        own = np.arange(len(rows))
-        ended = cost[own, k] == _NEVER
-        if ended.any():
-            done[rows[ended]] = sym[ended]
-            go = ~ended
-            sym, pos, cost, rows, salts, k = sym[go], pos[go], cost[go], rows[go], salts[go], k[go]
-            own = np.arange(len(rows))
+        base = np.arange(len(rows)) * width
+        live = cost.ravel()[base + k] != _NEVER
+        if live.sum() < 0.7 * len(rows):
+            out[rows[~live]] = sym[~live]
+            sym, after, before, cost, join, rows, size, salts, k = (x[live] for x in (sym, after, before, cost, join, rows, size, salts, k))
+            go, base = np.arange(len(rows)), np.arange(len(rows)) * width
             if not len(rows):
                 break
-        merge = own
-        if limit:
-            h = salts ^ (pos[own, k] * np.uint64(0x9E3779B97F4A7C15)) ^ (pos[own, k + 1] * np.uint64(0xD6E8FEB86659FD93)) ^ (pos[own, k + 2] * np.uint64(0xC2B2AE3D27D4EB4F))
-            skip = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < limit
-            cost[own[skip], k[skip]] = _NEVER
-            merge, k = own[~skip], k[~skip]
-        if not len(merge):
-            continue
-        new = pieces["joined"][_lookup(pieces, sym[merge, k], sym[merge, k + 1])]
-        cols = np.arange(width)
-        beyond = cols[None, :] > k[:, None]
-        s = np.take_along_axis(sym[merge], np.minimum(cols + beyond, width - 1), axis=1)
-        s[:, -1] = -1
-        s[np.arange(len(merge)), k] = new
-        sym[merge] = s
-        pos[merge, :-1] = np.take_along_axis(pos[merge], cols + beyond, axis=1)
-        c = np.full((len(merge), width), _NEVER, np.int32)
-        c[:, : width - 2] = np.take_along_axis(cost[merge], cols[: width - 2] + (cols[: width - 2] >= k[:, None]), axis=1)
-        each = np.arange(len(merge))
-        left = k > 0
-        c[each[left], k[left] - 1] = _costs(pieces, s[each[left], k[left] - 1], new[left])
-        c[each, k] = _costs(pieces, new, s[each, np.minimum(k + 1, width - 1)])
-        cost[merge] = c[:, : width - 1]
-    return done
+        else:
+            go = np.flatnonzero(live)
+        s, nxt, prv, c, number = (x.reshape(-1) for x in (sym, after, before, cost, join))
+        at, k = base[go], k[go]
+        here = at + k
+        middle = nxt[here].astype(np.int64)
+        stop = nxt[at + middle].astype(np.int64)
+        spans = _spans(k.astype(np.uint64), middle.astype(np.uint64), stop.astype(np.uint64)) if rate or taken is not None else None
+        if taken is not None:
+            taken.append((rows[go], spans))
+        if rate:
+            skip = _skipped(salts[go], spans, rate)
+            c[here[skip]] = _NEVER
+            keep = ~skip
+            go, at, k, here, middle, stop = go[keep], at[keep], k[keep], here[keep], middle[keep], stop[keep]
+        new = pieces["joined"][number[here]] if len(here) else np.zeros(0, np.int32)
+        s[here], s[at + middle], c[at + middle], c[here], nxt[here] = new, -1, _NEVER, _NEVER, stop
+        inside = stop < size[go]
+        right = at[inside] + stop[inside]
+        prv[right] = k[inside]
+        c[here[inside]], number[here[inside]] = _costs(pieces, new[inside], s[right])
+        left = prv[here] >= 0
+        there = at[left] + prv[here[left]]
+        c[there], number[there] = _costs(pieces, s[there], new[left])
+    return out
 
 
 def merge_unit(unit: str, pieces: dict, rate: float, salt: int) -> list[int]:
@@ -204,8 +220,8 @@ def _starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.searchsorted(offs, at, side="right") - 1
 
 
-def _segment(units: np.ndarray, size: np.ndarray, text: np.ndarray, first: np.ndarray, pieces: dict, symbol: np.ndarray, rate: float, salts: np.ndarray):
-    """Ids of units (starts in the code points of text), one after the other, and how many each has."""
+def _segment(units: np.ndarray, size: np.ndarray, text: np.ndarray, first: np.ndarray, pieces: dict, symbol: np.ndarray, rate: float, salts: np.ndarray, taken: list | None = None):
+    """Ids of units (starts in the code points of text), one after the other, and how many each has. taken gets (unit, span) of the candidates of all but long units."""
     length = size + first
     flat_ids, flat_of = [], []
     lo = 0
@@ -218,7 +234,10 @@ def _segment(units: np.ndarray, size: np.ndarray, text: np.ndarray, first: np.nd
             inside = (cols >= 0) & (cols < size[s][:, None])
             sym = np.where(inside, symbol[text[np.minimum(units[s][:, None] + np.maximum(cols, 0), len(text) - 1)]], -1).astype(np.int32)
             sym[first[s].astype(bool), 0] = pieces["ids"][MARK]
-            left = merge_units(sym, length[s], pieces, rate, salts[s])
+            given: list | None = None if taken is None else []
+            left = merge_units(sym, length[s], pieces, rate, salts[s], given)
+            if taken is not None:
+                taken += [(s[r], m) for r, m in given]
             here = left >= 0
             flat_ids.append(left[here])
             flat_of.append(np.repeat(s, here.sum(axis=1)))
@@ -255,7 +274,7 @@ def _symbols(pieces: dict) -> np.ndarray:
     return out
 
 
-def _encoder(pieces, rate, seed, variants):
+def _encoder(pieces, rate, seed):
     symbol = _symbols(pieces)
 
     def rows(doc_ids: np.ndarray, column: pa.Array):
@@ -269,25 +288,43 @@ def _encoder(pieces, rate, seed, variants):
             at, row = _starts(data, offs)
             end = np.append(at[1:], len(data))
             first = np.append(True, row[1:] != row[:-1])
-            place = np.arange(len(at)) - np.searchsorted(row, row)
-            content = kernels.span_hashes(data, at, end, lower=False)
-            draw = kernels.mix(kernels.mix(doc_ids[lo + row].view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & _MASK)) + place.astype(np.uint64))
-            variant = draw % np.uint64(variants) if rate else np.zeros(len(at), np.uint64)
-            key = kernels.mix(content + variant * np.uint64(0xD6E8FEB86659FD93) + first.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            _, pick, inv = np.unique(key, return_index=True, return_inverse=True)
-            salts = kernels.mix(content[pick] ^ kernels.mix(variant[pick] + np.uint64(seed & _MASK)))
             letters = np.append(letter[at], len(text))
-            flat, size = _segment(letters[pick], letters[pick + 1] - letters[pick], text, first[pick].astype(np.int64), pieces, symbol, rate, salts)
-            start = np.cumsum(size) - size
-            n = size[inv]
+            length, first = np.diff(letters), first.astype(np.int64)
+
+            def cut(which, own_rate, salts, taken=None):
+                return _segment(letters[which], length[which], text, first[which], pieces, symbol, own_rate, salts, taken)
+
+            # each different unit once, without skips
+            key = kernels.span_hashes(data, at, end, lower=False) ^ (first.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            _, pick, inv = np.unique(key, return_index=True, return_inverse=True)
+            taken: list = []
+            flat, size = cut(pick, 0.0, np.zeros(len(pick), np.uint64), taken if rate else None)
+            n, begin = size[inv], (np.cumsum(size) - size)[inv]
+            if rate:
+                # an occurrence whose draws skip none of the candidates that its unit takes has the same pieces; the others are cut one by one
+                place = np.arange(len(at)) - np.searchsorted(row, row)
+                salts = kernels.mix(kernels.mix(doc_ids[lo + row].view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & _MASK)) + place.astype(np.uint64))
+                unit, spans = (np.concatenate(c) for c in zip(*taken)) if taken else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                order = np.argsort(unit, kind="stable")
+                spans = spans[order]
+                bounds = np.searchsorted(unit[order], np.arange(len(pick) + 1))
+                many = np.diff(bounds)[inv]
+                which = np.repeat(np.arange(len(at)), many)
+                flat_at = np.repeat(bounds[:-1][inv] - (np.cumsum(many) - many), many) + np.arange(len(which))
+                own = length + first > _LONG
+                own[which[_skipped(salts[which], spans[flat_at], rate)]] = True
+                own = np.flatnonzero(own)
+                more, counts = cut(own, rate, salts[own])
+                n[own], begin[own] = counts, len(flat) + np.cumsum(counts) - counts
+                flat = np.concatenate([flat, more])
             total = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[np.repeat(start[inv] - total[:-1], n) + np.arange(total[-1])]
+            ids = flat[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
             yield lo, hi, ids, total[np.searchsorted(row, np.arange(hi - lo + 1))]
 
     return rows
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "tokens", model_file: str = MODEL, rate: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "tokens", model_file: str = MODEL, rate: float = 0.1, seed: int = 1) -> DataFrame:
     """docs with a column out, array<int>: piece ids of the whole text; a clashing column gives way.
 
     rate 0 gives the model's own segmentation. Null and empty texts give an empty array. Rows with a null id
@@ -300,7 +337,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out:
     fields = docs.selectExpr("*", f"array(0) as `{out}`").schema
 
     def run(batches):
-        rows = _encoder(pieces.value, rate, seed, variants)
+        rows = _encoder(pieces.value, rate, seed)
         for b in batches:
             ids = b.column(id_at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi, tokens, bounds in rows(ids, b.column(text_at)):

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prismfold.llm import decontam, html_main, merge_dropout, pii_feistel, quality_gam, queries, toxicity
+from prismfold.llm import decontam, html_main, kernels, merge_dropout, pii_feistel, quality_gam, queries, toxicity
 
 ODD = [(1, None), (2, ""), (3, "x " * 50_000), (3, "x"), (None, "a b")]
 
@@ -200,7 +200,7 @@ def test_merges():
 
     def tokens(rate, seed=1, texts=TEXTS):
         out = []
-        for lo, hi, ids, b in merge_dropout._encoder(pieces, rate, seed, 4)(np.arange(len(texts)), pa.array(texts, pa.string())):
+        for lo, hi, ids, b in merge_dropout._encoder(pieces, rate, seed)(np.arange(len(texts)), pa.array(texts, pa.string())):
             out += [ids[b[k] : b[k + 1]].tolist() for k in range(hi - lo)]
         return out
 
@@ -208,8 +208,12 @@ def test_merges():
     for rate in (0, 0.1, 0.5, 1.0):
         assert [b"".join(pieces["surface"][k] for k in t)[1:].decode() for t in tokens(rate)] == TEXTS
     assert tokens(0.3) == tokens(0.3) != tokens(0.3, seed=2)
-    same = tokens(0.5, texts=["international organisation"] * 30)
-    assert len(set(map(tuple, same))) > 1
+    same = tokens(0.5, texts=["international organisation"] * 300)
+    assert len(set(map(tuple, same))) > 30  # every occurrence draws for itself
+    # an occurrence has what the agenda of its own draws gives, whether it shares its pieces or not
+    for k, got in enumerate(tokens(0.2, texts=["international"] * 200)):
+        salt = kernels.mix(kernels.mix(np.array([k], np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)))[0]
+        assert got == merge_dropout.merge_unit("▁international", pieces, 0.2, int(salt))
     # the array form agrees with the plain agenda, unit by unit
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("etaoinshr"), rng.integers(1, 20))) for _ in range(200)]
