@@ -100,6 +100,10 @@ def suggest_facets(table: DataFrame, prefix: str, limit: int = SUGGEST, tenant:
     return top if tenant is None else top.where((F.col("facet") != "manufacturer") | (F.lower("value") == tenant.lower()))
 
 
-def application_rollup(counts: DataFrame, top: str, mid: str, leaf: str) -> DataFrame:
-    """Leaf counts summed to mid and top levels; a document with several leaves counts in each."""
-    return counts.rollup(top, mid, leaf).agg(F.sum("count").alias("count"))
+def application_rollup(counts: DataFrame, top: str, mid: str, leaf: str, seen: str | None = None) -> DataFrame:
+    """Leaf counts summed to mid and top levels; a document with several leaves counts in each. seen is a column with the
+    leaves' places: each node then has its first one (column seen), and rows come in that order, parents before their children."""
+    if seen is None:
+        return counts.rollup(top, mid, leaf).agg(F.sum("count").alias("count"))
+    out = counts.rollup(top, mid, leaf).agg(F.sum("count").alias("count"), F.min(seen).alias("seen"), F.grouping_id().alias("__level"))
+    return out.orderBy("seen", F.desc("__level")).drop("__level")

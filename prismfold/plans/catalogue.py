@@ -290,6 +290,12 @@ def q_app_rollup(spark, sf_dir):
     return counts.application_rollup(leaves, "top", "mid", "leaf")
 
 
+@query("select p_brand as top, p_type as mid, p_size as leaf, cast(sum(count) as bigint) as count, min(first) as seen from (select p_brand, p_type, p_size, count(*) as count, min(p_partkey) as first from part group by all) group by rollup (p_brand, p_type, p_size)")
+def q_app_tree(spark, sf_dir):
+    leaves = bridge.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("top"), F.col("p_type").alias("mid"), F.col("p_size").alias("leaf")).agg(F.count(F.lit(1)).alias("count"), F.min("p_partkey").alias("first"))
+    return counts.application_rollup(leaves, "top", "mid", "leaf", seen="first")
+
+
 @query("select count(p_brand) as brand_n, count(distinct p_brand) as brand_distinct, 100.0 * (count(p_brand) - count(distinct p_brand)) / count(p_brand) as brand_reduction, count(p_type) as type_n, count(distinct p_type) as type_distinct, 100.0 * (count(p_type) - count(distinct p_type)) / count(p_type) as type_reduction from part")
 def q_dupes(spark, sf_dir):
     return reports.duplicates(bridge.read(spark, sf_dir, "part"), brand=F.col("p_brand"), type=F.col("p_type"))
