@@ -13,17 +13,22 @@ def family_id(manufacturer: Column, product: Column) -> Column:
     return F.sha2(F.concat(F.lit("family:"), manufacturer, F.lit(":"), product), 256)
 
 
-def fold(docs: DataFrame, id_col: str = "doc_id", keys: tuple[str, str] = ("manufacturer", "product"), union: tuple[str, ...] = UNION, first: tuple[str, ...] = FIRST, variants: str | None = "variants", meta: str | None = "file_meta", source: str | None = "source") -> DataFrame:
+def fold(docs: DataFrame, id_col: str = "doc_id", keys: tuple[str, str] = ("manufacturer", "product"), union: tuple[str, ...] = UNION, first: tuple[str, ...] = FIRST, variants: str | None = "variants", meta: str | None = "file_meta", source: str | None = "source", nameless: bool = True) -> DataFrame:
     """One row per exact key pair; rows of a family are taken in the order of their ids.
 
     A document alone in its family passes unchanged (source_paths filled if empty). Sets are sorted distinct
     unions, scalars the first non-null, sizes add up, the latest time counts; variants are concatenated,
-    numbered from 0 and carry their member's place. members lists the source ids.
+    numbered from 0 and carry their member's place. members lists the source ids. A family is one row, made in one
+    task: where many documents have neither key, nameless=False leaves each of those by itself.
     """
     alone = F.col("n") == 1
     own = [c for c in docs.columns if c not in keys]
     member = F.struct(F.col(id_col).alias("id"), F.struct(*own).alias("d"))
-    g = docs.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("m"), F.count(F.lit(1)).alias("n"))
+    blank = F.lit(True)
+    for k in keys:
+        blank = blank & (F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))) == "")
+    apart = [] if nameless else [F.when(blank, F.col(id_col)).alias("__apart")]
+    g = docs.groupBy(*keys, *apart).agg(F.array_sort(F.collect_list(member)).alias("m"), F.count(F.lit(1)).alias("n"))
     each = lambda name: F.transform("m", lambda x: x["d"][name])
     single = lambda name: F.element_at("m", 1)["d"][name]
     out = [F.when(alone, single(id_col)).otherwise(family_id(*(F.col(k).cast("string") for k in keys))).alias(id_col), *keys]

@@ -111,3 +111,10 @@ def test_fold(spark):
     assert rows["erco", "X"].doc_id == "c" and rows["erco", "X"].ip_code == 3
     assert {r.source_id: r.family_id for r in fold.aliases(f).collect()} == {"a1": x.doc_id, "b1": x.doc_id, "c": "c", "d": "d"}
     assert tuple(fold.fold_stats(df, f).first()) == (4, 4, 3, 4, 4)
+
+
+def test_fold_nameless(spark):
+    rows = [(1, "", " "), (2, None, ""), (3, "", " "), (4, "A", "p"), (5, "A", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, manufacturer string, product string").selectExpr("cast(doc_id as string) as doc_id", "manufacturer", "product", "array(named_struct('id', 0, 'source_index', 0)) as variants")
+    sizes = lambda **kw: sorted(len(r.members) for r in fold.fold(df, meta=None, source=None, **kw).collect())
+    assert sizes() == [1, 2, 2] and sizes(nameless=False) == [1, 1, 1, 2]
