@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -52,6 +54,15 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offs
 
 
+def tidy() -> None:
+    """Free memory goes back to the system: workers live through many stages, and each would keep the most that any stage took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library keeps its own ways
+        pass
+
+
 def chunks(column: pa.Array, limit: int = CHUNK, rows: int = MAX_ROWS - 1):
     """(lo, hi, bytes, offsets) for runs of rows of about limit bytes; a longer row stands alone."""
     data, offs = raw(column)
@@ -61,6 +72,8 @@ def chunks(column: pa.Array, limit: int = CHUNK, rows: int = MAX_ROWS - 1):
         hi = min(n, max(hi, lo + 1), lo + rows)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    if n:
+        tidy()
 
 
 _SPACE = np.zeros(256, bool)

@@ -279,7 +279,7 @@ def _encoder(pieces, rate, seed):
 
     def rows(doc_ids: np.ndarray, column: pa.Array):
         """(lo, hi, ids, bounds) for each chunk."""
-        for lo, hi, data, offs in kernels.chunks(column, rows=1 << 30):
+        for lo, hi, data, offs in kernels.chunks(column, limit=1 << 19, rows=1 << 30):
             if not len(data):
                 yield lo, hi, np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64)
                 continue

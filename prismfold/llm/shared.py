@@ -14,7 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: rows of an Arrow batch, unless the session says otherwise: whole texts are long, and every task holds a few batches
+BATCH_ROWS = 2000
+
+
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows where the session has no size of its own (Spark's is 10,000 rows)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -93,7 +93,9 @@ def fit(terms: np.ndarray, row: np.ndarray, y: np.ndarray, factors: int = 8, epo
     if rows < 8 or positive in (0, rows) or not len(known):
         return Machine(place, bias, linear.astype(np.float32), latent.astype(np.float32))
     at = place[terms]
-    row, at = row[at >= 0], at[at >= 0]
+    some = at >= 0
+    row, at = row[some], at[some]
+    del some, terms
     scale = np.clip((z[known] / SURE) ** 2, min(1.0, (rows / max(1, len(at))) ** 0.5), 1.0)
     order = rng.permutation(rows)
     held, train = order[: rows // 8], order[rows // 8 :]
@@ -103,8 +105,7 @@ def fit(terms: np.ndarray, row: np.ndarray, y: np.ndarray, factors: int = 8, epo
 
     clear = z[known] > CLEAR
     for use, upto, patience in ((clear, epochs, 8), (np.ones(len(known), bool), *((epochs // 10, 2) if clear.any() else (epochs, 20)))):
-        some = use[at]
-        a_all, r_all = at[some], row[some]
+        a_all, r_all = (at, row) if use.all() else (at[use[at]], row[use[at]])
         start = np.searchsorted(r_all, np.arange(rows + 1))
         bias, linear, latent = kept[0], kept[1].copy(), np.where(kept[2].any(axis=1)[:, None], kept[2], latent)
 
@@ -171,8 +172,9 @@ def _fitted(params):
         for b in batches:
             terms += [np.frombuffer(t, np.int32) for t in b.column(2).to_pylist()]
             y += b.column(1).to_pylist()
-        row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        flat = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+        flat = np.concatenate(terms) if terms else np.zeros(0, np.int32)
+        terms.clear()
         machine = fit(flat, row, np.clip(np.array(y, float), 0, 1), **params)
         yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(machine)], pa.binary())], names=["machine"])
 
