@@ -28,6 +28,7 @@ def stage(f):
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.modest(spark)
         key = (threading.get_ident(), sf_dir)
         if key in _LEFT:
             _LEFT.pop(key).close()
