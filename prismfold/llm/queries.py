@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .merge_dropout import decode, encode
 from .ngram_join import ngram_jaccard_join
 from .pii_feistel import pseudonymise
+from .sale_enrichment import enriched_sales
 from .suffix_dedup import remove_repeats
 from .training import crc_fold
 
@@ -73,10 +74,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return matches(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
 
 
+def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched_sales(shared.table(spark, sf_dir, "sales"), shared.table(spark, sf_dir, "client_changes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_main_text, op4_sentencepiece, op5_line_dedup, op6_suffix_array_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_main_text, op4_sentencepiece, op5_line_dedup, op6_suffix_array_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination, op11_sale_enrichment)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others have none: trained models (2, 9), a style tree (3), keyed draws (4, 8), MinHash candidates (5), block-max search (10)."""
-    return {"op1_ngram_jaccard_join": sql.OP1, "op6_suffix_array_dedup": sql.OP6, "op7_embedding_near_dedup": sql.OP7}
+    return {"op1_ngram_jaccard_join": sql.OP1, "op6_suffix_array_dedup": sql.OP6, "op7_embedding_near_dedup": sql.OP7, "op11_sale_enrichment": sql.OP11}

@@ -24,3 +24,19 @@ o as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from f where la
 l as (select a.vec_id as u, b.vec_id as v from o a join o b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
 r as (with recursive r(node, reached) as (select vec_id, vec_id from embeddings union select r.node, l.v from r join l on r.reached = l.u) select node, min(reached) as component_id from r group by 1)
 select vec_id, (select count(*) from l where u = vec_id) as n_links, component_id, vec_id = component_id as kept from embeddings join r on node = vec_id"""
+#: versions and waiting sales by batch: what a start has seen, and what the starts before it have pruned; crc32 bit by bit
+OP11 = r"""with recursive b(k) as (select unnest(range(0, 13))),
+s as (select row_number() over () as r, sale_id, client_id, sold_at, greatest(0, least(11, floor((date_diff('day', date '1970-01-01', cast(arrived_at as date)) - 19723) * 12 / 152))) as a from sales),
+bits as (select change_id, list_reduce(flatten(list_transform(string_split(cast(change_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), lambda h, x: case when x >= 0 then xor(h, x) when h & 1 = 1 then xor(h >> 1, 3988292384) else h >> 1 end, 4294967295) as h from (select distinct cast(change_id as bigint) as change_id from client_changes)),
+c as (select d.*, greatest(0, least(11, floor((date_diff('day', date '1970-01-01', cast(valid_at as date)) + xor(h, 4294967295) % 4 - 19723) * 12 / 152))) as a from (select distinct * from client_changes where valid_at is not null) d left join bits using (change_id)),
+ws as (select k, (select max(sold_at) from s where a < k) as w from b), wc as (select k, (select max(valid_at) from c where a < k) as w from b),
+h as (select k, case when ws.w is not null and wc.w is not null then least(ws.w, wc.w) end as h from ws join wc using (k)),
+v as (select c.* from c join wc on a = k where not coalesce(valid_at < w, false)),
+e as (select r, sale_id, client_id, sold_at, coalesce((select min(k) from h where k >= a and k < 12 and (sold_at is null or sold_at < h)), 12) as k from s),
+n as (select client_id, k, v.valid_at, v.change_id, v.balance, v.op from (select distinct client_id, k from e) x join v using (client_id) where v.a <= k),
+m as (select n.client_id, n.k, max((valid_at, change_id)) as top from n join h on h.k = n.k - 1 join v using (client_id, valid_at, change_id) where v.a < n.k and valid_at <= h group by 1, 2),
+u as (select n.* from n left join m using (client_id, k) where m.top is null or (n.valid_at, n.change_id) >= m.top),
+t as (select client_id, k, count(*) as n_held from u group by 1, 2),
+f as (select r, arg_max((change_id, balance, op), (valid_at, change_id)) as x from e join u using (client_id, k) where valid_at <= sold_at group by 1)
+select 'sale' as rec, sale_id as id, cast(e.k as bigint) as batch, cast(coalesce(n_held, 0) as bigint) as n_held, x[1] as change_id, cast(floor(100 * x[2] + 0.5) as bigint) as balance_cents, x[3] as op from e left join t using (client_id, k) left join f using (r)
+union all select 'late', change_id, cast(a as bigint), null, null, null, null from c join wc on a = k where valid_at < w"""
