@@ -155,6 +155,8 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store of every start takes 4 MB of disk at least
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of ended starts are closed then
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
