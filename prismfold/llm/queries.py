@@ -17,6 +17,7 @@ from .ngram_join import ngram_jaccard_join
 from .pii_feistel import pseudonymise
 from .sale_enrichment import enriched_sales
 from .suffix_dedup import remove_repeats
+from .tandem_runs import periodic_runs
 from .training import crc_fold
 
 
@@ -78,10 +79,31 @@ def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched_sales(shared.table(spark, sf_dir, "sales"), shared.table(spark, sf_dir, "client_changes"))
 
 
+def _looped(docs: DataFrame) -> DataFrame:
+    """The documents of query 13: in a tenth of them, by crc32 of the id, the words from some place on go round in a loop."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    picked = F.when(h % 10 == 0, words)
+    loop = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda k: F.element_at("w", F.when(k < F.col("a"), k).otherwise(F.col("a") + (k - F.col("a")) % F.col("p")).cast("int") + 1))
+    out = docs.select("doc_id", "text", picked.alias("w"), g.alias("g"))
+    out = out.withColumn("a", F.col("g") % F.size("w")).withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    return out.select("doc_id", F.when(F.size("w") > 0, F.array_join(loop, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_looped(shared.table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    found = found.withColumn("top", top)
+    start, period = -F.col("top.start"), -F.col("top.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), F.col("top.length").alias("length"), period.alias("period"), F.floor(1000 * F.col("top.length") / period).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_main_text, op4_sentencepiece, op5_line_dedup, op6_suffix_array_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination, op11_sale_enrichment)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_main_text, op4_sentencepiece, op5_line_dedup, op6_suffix_array_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination, op11_sale_enrichment, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others have none: trained models (2, 9), a style tree (3), keyed draws (4, 8), MinHash candidates (5), block-max search (10)."""
-    return {"op1_ngram_jaccard_join": sql.OP1, "op6_suffix_array_dedup": sql.OP6, "op7_embedding_near_dedup": sql.OP7, "op11_sale_enrichment": sql.OP11}
+    return {"op1_ngram_jaccard_join": sql.OP1, "op6_suffix_array_dedup": sql.OP6, "op7_embedding_near_dedup": sql.OP7, "op11_sale_enrichment": sql.OP11, "op13_periodic_runs": sql.OP13}

@@ -40,3 +40,15 @@ t as (select client_id, k, count(*) as n_held from u group by 1, 2),
 f as (select r, arg_max((change_id, balance, op), (valid_at, change_id)) as x from e join u using (client_id, k) where valid_at <= sold_at group by 1)
 select 'sale' as rec, sale_id as id, cast(e.k as bigint) as batch, cast(coalesce(n_held, 0) as bigint) as n_held, x[1] as change_id, cast(floor(100 * x[2] + 0.5) as bigint) as balance_cents, x[3] as op from e left join t using (client_id, k) left join f using (r)
 union all select 'late', change_id, cast(a as bigint), null, null, null, null from c join wc on a = k where valid_at < w"""
+#: runs from words that equal those q further on, by 6-word stretches that stand twice; of runs that a divisor's run covers none counts
+OP13 = r"""with recursive bits as (select doc_id, list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), lambda h, x: case when x >= 0 then xor(h, x) when h & 1 = 1 then xor(h >> 1, 3988292384) else h >> 1 end, 4294967295) as c from (select distinct doc_id from documents)),
+t as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, xor(c, 4294967295) as h from documents left join bits using (doc_id)),
+l as (select *, (h // 10) % greatest(len(w), 1) as a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) as p from t),
+d as (select r, doc_id, case when h % 10 = 0 and len(w) > 0 then list_transform(range(len(w)), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w from l),
+s as (select r, i, md5(array_to_string(w[i + 1:i + 6], ' ')) as m from (select r, w, unnest(range(0, greatest(len(w) - 5, 0))) as i from d)),
+e as (select x.r, x.i, y.i - x.i as q from s x join s y on x.r = y.r and x.m = y.m and x.i < y.i),
+g as (select r, q, min(i) as start, count(*) + 5 + q as length from (select *, i - row_number() over (partition by r, q order by i) as z from e) group by r, q, z having count(*) + 5 + q >= greatest(12, 2 * q)),
+u as (select * from g where not exists (select 1 from g f where f.r = g.r and f.q < g.q and g.q % f.q = 0 and f.start <= g.start and f.start + f.length >= g.start + g.length)),
+b as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as lines, arg_max((start, length, q), (length, -start, -q)) as top from u group by r),
+k as (select r, string_agg(x, ' ' order by i) as kept from (select r, unnest(w) as x, unnest(range(0, len(w))) as i from d) v where not exists (select 1 from u where u.r = v.r and v.i >= u.start + u.q and v.i < u.start + u.length) group by r)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(top[1] as bigint) as start, cast(top[2] as bigint) as length, cast(top[3] as bigint) as period, cast(1000 * top[2] // top[3] as bigint) as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from d left join b using (r) left join k using (r)"""
