@@ -19,6 +19,7 @@ from .sale_enrichment import enriched_sales
 from .suffix_dedup import remove_repeats
 from .tandem_runs import periodic_runs
 from .training import crc_fold
+from .url_templates import judged_urls, url_parts
 
 
 #: the pseudonyms' key in the registered query; a caller has one of its own
@@ -79,6 +80,19 @@ def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched_sales(shared.table(spark, sf_dir, "sales"), shared.table(spark, sf_dir, "client_changes"))
 
 
+#: the policy of query 12
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labels are those of the document whose number ends its path: good is of quality and not toxic."""
+    pages, labels = shared.table(spark, sf_dir, "pages").select("page_id", "url"), shared.table(spark, sf_dir, "labels")
+    number = F.regexp_extract(url_parts(F.col("url"))[1], r"([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    numbered = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
+    known = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
+    return judged_urls(pages, URL_RULES, numbered.join(known, "doc_id").select("page_id", "good"))
+
+
 def _looped(docs: DataFrame) -> DataFrame:
     """The documents of query 13: in a tenth of them, by crc32 of the id, the words from some place on go round in a loop."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -101,9 +115,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_main_text, op4_sentencepiece, op5_line_dedup, op6_suffix_array_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination, op11_sale_enrichment, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_html_main_text, op4_sentencepiece, op5_line_dedup, op6_suffix_array_dedup, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_quality_gam, op10_benchmark_decontamination, op11_sale_enrichment, op12_url_filter, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others have none: trained models (2, 9), a style tree (3), keyed draws (4, 8), MinHash candidates (5), block-max search (10)."""
+    """The others have none: trained models (2, 9), a style tree (3), keyed draws (4, 8), MinHash candidates (5), block-max search (10), a template tree (12)."""
     return {"op1_ngram_jaccard_join": sql.OP1, "op6_suffix_array_dedup": sql.OP6, "op7_embedding_near_dedup": sql.OP7, "op11_sale_enrichment": sql.OP11, "op13_periodic_runs": sql.OP13}
