@@ -1,25 +1,26 @@
 """Valid-time enrichment of sales by a stateful stream: every sale gets its client's version of the time it was sold.
 
-Segment ownership. State is a MapState with one entry a version; its segment reaches from the version's valid time to
-the next version's and owns the sales that wait in this span. A new version splits the segment it falls into, the
-horizon H drains the sales it has passed, pruning deletes versions whose segments are empty and whose successor H has
-passed as well.
-
-Hot clients. A client's time line is cut into slots of slot_seconds, and (client, slot) pairs are dealt to buckets; a
-bucket is one key of the stream, so that a client with a third of all rows is spread over all tasks. A slot knows its own
-versions only. For what crosses slots every start reports what each slot holds (its last version, their number): a sale in
-front of its slot's first version takes the last version of the slots before, found by running maxima over the slots of
-a day and over the days of a client, both bounded by the time span; slots that H and a later slot's version have
-passed are cleared at the next start.
+Segment ownership. A version's segment reaches from its valid time to that of the client's next version and owns the sales
+that wait in this span. A new version splits the segment it falls into, the horizon H drains the sales it has passed,
+pruning deletes versions whose successor H has passed as well and whose segments are therefore empty. State is a
+MapState of blocks: neighbouring segments, each version followed by its waiting sales, some thousand rows an entry. (One entry
+a segment took 13,700 CPU seconds a GB, nearly all of it for single calls to the state server.)
+
+Hot clients. Clients with more than a small part of all rows, of which there are 2 * buckets at most, have their time lines cut
+into slots of slot_seconds, which are dealt to buckets like clients of their own; a bucket is one key of the stream. A
+slot knows its own versions only. For what crosses slots every start reports what each slot of a hot client holds (its last
+version, their number): a sale in front of its slot's first version takes the last version of the slots before, found by
+running maxima over the slots of a day and over the days of a client, both bounded by the time span; slots that H
+and a later slot's version have passed are cleared at the next start.
 """
 
 from __future__ import annotations
 
-import bisect
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -33,11 +34,12 @@ ALL = (1 << 63) - 1
 CHANGE = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
 SALE, VERSION, CLEAR, WAKE, LATE, HELD = range(6)
 
-_INPUT = "kind int, bucket int, client long, known int, slot long, at long, id long, tie long, cents long, op string"
-_OUTPUT = "kind int, client long, known int, slot long, id long, at long, change long, tie long, cents long, op string, n long, passed int"
-_KEY = "client long, known int, slot long, at long, change long, tie long"
-_VALUE = "cents long, op string, waiting binary"
-_ROWS = 50_000
+_INPUT = "kind int, bucket int, client long, known int, hot int, slot long, at long, id long, tie long, cents long, op string"
+_OUTPUT = "kind int, client long, known int, hot int, slot long, id long, at long, change long, tie long, cents long, op string, n long, passed int"
+_PLACE, _ROW = ("known", "client", "slot"), ("hot", "at", "id", "tie", "cents")
+_BLOCK = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in (*_PLACE, *_ROW)), ("op", pa.string())])
+#: rows of a block of state, and of a frame of results
+_ROWS, _FRAME = 4096, 50_000
 
 
 def _day(c: Column) -> Column:
@@ -55,101 +57,93 @@ def _batch(day: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(BATCHES - 1), F.floor((day - FIRST_DAY) * BATCHES / DAYS))).cast("int")
 
 
+def _packed(rows: dict[str, np.ndarray]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _BLOCK) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _BLOCK], schema=_BLOCK))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(data).read_all()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
+
+
 class Segments(StatefulProcessor):
-    """One start: batch number, horizon and the changes' watermark are fixed for it. Keys are buckets; a segment is
-    [at, change, tie, cents, op, waiting sales, stored], the one in front of a slot's first version has NONE for the first three."""
+    """One start, with its horizon and its changes' watermark. Keys are buckets. In state and in memory rows stand in the order of
+    client, slot and time, sales behind the versions of their time: a segment is a version and the sales up to the next one."""
 
     def __init__(self, horizon: int, floor: int) -> None:
         self.horizon, self.floor = horizon, floor
 
     def init(self, handle) -> None:
-        self.state = handle.getMapState("segments", _KEY, _VALUE)
-
-    def _load(self) -> dict:
-        slots: dict[tuple, list] = {}
-        for k, v in self.state.iterator():
-            sales = np.frombuffer(v[2], np.int64).reshape(-1, 2).tolist() if v[2] else []
-            slots.setdefault((k[0], k[1], k[2]), []).append([k[3], k[4], k[5], v[0], v[1], sales, True])
-        for segments in slots.values():
-            segments.sort(key=lambda s: s[:3])
-        return slots
+        self.state = handle.getMapState("segments", "block int", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        slots, touched = self._load(), set()
-        gone: list[tuple] = []  # keys of entries to delete
-        out: list[tuple] = []
-        new_sales = []
-        for frame in rows:
-            for kind, client, known, slot, at, id_, tie, cents, op in zip(*(frame[c].tolist() for c in ("kind", "client", "known", "slot", "at", "id", "tie", "cents", "op"))):
-                place = (client, known, slot)
-                if kind == SALE:
-                    new_sales.append((place, at, id_))
-                elif kind == VERSION:
-                    if at < self.floor:
-                        out.append((LATE, client, known, slot, id_, at, NONE, NONE, NONE, None, 0, 0))
-                        continue
-                    segments = slots.setdefault(place, [])
-                    k = bisect.bisect(segments, [at, id_, tie], key=lambda s: s[:3])
-                    moved = []
-                    if k and segments[k - 1][5] and segments[k - 1][0] < at:  # the segment in front is split
-                        before = segments[k - 1]
-                        moved = [s for s in before[5] if s[0] >= at]
-                        before[5] = [s for s in before[5] if s[0] < at]
-                        touched.add((place, *before[:3]))
-                    elif k:  # equal times: the later version owns what waits
-                        moved, segments[k - 1][5] = segments[k - 1][5], []
-                        touched.add((place, *segments[k - 1][:3]))
-                    segments.insert(k, [at, id_, tie, cents, op, moved, False])
-                    touched.add((place, at, id_, tie))
-                elif kind == CLEAR:
-                    for s in slots.get(place, []):
-                        if s[0] != NONE and s[6]:
-                            gone.append((*place, *s[:3]))
-                    slots[place] = [s for s in slots.get(place, []) if s[0] == NONE or not s[6]]
-        for place, at, id_ in new_sales:
-            segments = slots.setdefault(place, [])
-            k = bisect.bisect(segments, at, key=lambda s: s[0]) if at != NONE else 0
-            if not k:  # no version in this slot at that time: the slot's head owns the sale
-                segments.insert(0, [NONE, NONE, NONE, NONE, None, [], False])
-                k = 1
-            segments[k - 1][5].append([at, id_])
-            touched.add((place, *segments[k - 1][:3]))
-        for place, segments in slots.items():
-            n = passed = 0
-            for s in segments:
-                if s[0] != NONE:
-                    n += 1
-                    passed += s[0] <= self.horizon
-                if s[5]:
-                    ready = [x for x in s[5] if x[0] < self.horizon or x[0] == NONE]  # sales without a time never wait
-                    if ready:
-                        out += [(SALE, *place, id_, at, *s[1:3], s[3], s[4], int(s[0] != NONE and at != NONE), 0) for at, id_ in ready]
-                        s[5] = [x for x in s[5] if x[0] >= self.horizon and x[0] != NONE] if len(ready) < len(s[5]) else []
-                        touched.add((place, *s[:3]))
-            if n:
-                out.append((HELD, *place, NONE, segments[-1][0], *segments[-1][1:5], n, int(passed > 0)))
-            left = passed
-            for s in segments:  # of those that H has passed the last one stays
-                stays = bool(s[5]) or s[0] != NONE
-                if s[0] != NONE and s[0] <= self.horizon:
-                    left -= 1
-                    stays = left == 0
-                if not stays:
-                    if s[6]:
-                        gone.append((*place, *s[:3]))
-                elif (place, *s[:3]) in touched:
-                    self.state.updateValue((*place, *s[:3]), (s[3], s[4], np.array(s[5], np.int64).tobytes()))
-        for k in gone:
-            self.state.removeKey(k)
-        names = [x.split()[0] for x in _OUTPUT.split(", ")]
-        for k in range(0, len(out), _ROWS):
-            columns = list(zip(*out[k : k + _ROWS]))
-            yield pd.DataFrame({name: np.array(c, np.int32 if name in ("kind", "known", "passed") else np.int64) if name != "op" else pd.Series(c, dtype=object) for name, c in zip(names, columns)})
+        names = [f.name for f in _BLOCK]
+        told = [{c: f[c].to_numpy() for c in names} for f in rows]
+        held = [(k[0], _unpacked(v[0])) for k, v in self.state.iterator()]
+        told = {c: np.concatenate([x[c] for x in told]) for c in names}
+        old = {c: np.concatenate([x[c] for _, x in held] or [told[c][:0]]) for c in names}
+        cleared = {(n, c, s) for n, c, s in zip(*(told[x][told["kind"] == CLEAR].tolist() for x in _PLACE))}
+        if cleared:
+            doubtful = np.flatnonzero((old["kind"] == VERSION) & (old["hot"] == 1))
+            gone = [k for k, *place in zip(doubtful.tolist(), *(old[x][doubtful].tolist() for x in _PLACE)) if tuple(place) in cleared]
+            stays = np.ones(len(old["kind"]), bool)
+            stays[gone] = False
+            old = {c: x[stays] for c, x in old.items()}
+        late = (told["kind"] == VERSION) & (told["at"] < self.floor)
+        new = ((told["kind"] == VERSION) & ~late) | (told["kind"] == SALE)
+        if late.any():
+            yield from _results(LATE, {c: x[late] for c, x in told.items()})
+        at = {c: np.concatenate([old[c], told[c][new]]) for c in names}
+        is_sale = at["kind"] == SALE
+        order = np.lexsort((at["tie"], at["id"], is_sale, at["at"], at["slot"], at["client"], at["known"]))
+        at, is_sale = {c: x[order] for c, x in at.items()}, is_sale[order]
+        n = len(order)
+        head = np.ones(n, bool)  # first row of its client and slot
+        if n:
+            head[1:] = np.any([at[c][1:] != at[c][:-1] for c in _PLACE], axis=0)
+        place = np.cumsum(head) - 1
+        count = np.bincount(place, ~is_sale).astype(np.int64)
+        owner = np.maximum.accumulate(np.where(is_sale, -1, np.arange(n))) if n else np.zeros(0, np.int64)
+        owned = (owner >= 0) & (place[owner] == place) if n else np.zeros(0, bool)
+        ready = is_sale & ((at["at"] == NONE) | (at["at"] < self.horizon))
+        if ready.any():
+            own, mine = np.where(owned, owner, 0)[ready], owned[ready]
+            version = {c: np.where(mine, at[c][own], NONE) for c in ("tie", "cents")} | {"op": np.where(mine, at["op"][own], None)}
+            yield from _results(SALE, {c: x[ready] for c, x in at.items()} | version, np.where(mine, at["id"][own], NONE), count[place[ready]], mine)
+        last = np.flatnonzero(~is_sale)
+        following = np.append(last[1:], -1)
+        same = (following >= 0) & (place[following] == place[last]) if len(last) else np.zeros(0, bool)
+        hot = last[~same & (at["hot"][last] == 1)]
+        if len(hot):
+            passed = np.zeros(count.shape, bool)
+            passed[place[last[at["at"][last] <= self.horizon]]] = True
+            yield from _results(HELD, {c: x[hot] for c, x in at.items()}, at["id"][hot], count[place[hot]], passed[place[hot]])
+        stays = ~ready
+        stays[last[same & (at["at"][following] <= self.horizon)]] = False  # pruned: the successor has been passed
+        at = {c: x[stays] for c, x in at.items()}
+        blocks = -(-int(stays.sum()) // _ROWS)
+        for k in range(blocks):
+            self.state.updateValue((k,), (_packed({c: x[k * _ROWS : (k + 1) * _ROWS] for c, x in at.items()}),))
+        for k, _ in held:
+            if k >= blocks:
+                self.state.removeKey((k,))
 
     def close(self) -> None:
         pass
 
 
+def _results(kind: int, rows: dict[str, np.ndarray], change=NONE, n=0, passed=0):
+    total = len(rows["id"])
+    whole = rows | {"kind": np.full(total, kind), "change": np.broadcast_to(change, total), "n": np.broadcast_to(n, total), "passed": np.broadcast_to(passed, total)}
+    columns = [x.split() for x in _OUTPUT.split(", ")]
+    frame = pd.DataFrame({name: pd.Series(whole[name], dtype=object) if t == "string" else whole[name].astype(np.int32 if t == "int" else np.int64) for name, t in columns})
+    for k in range(0, total, _FRAME):
+        yield frame.iloc[k : k + _FRAME]
+
+
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -168,34 +162,43 @@ def _staged(sales: DataFrame, changes: DataFrame, slot_us: int, buckets: int) ->
     c = changes.select(*[x for x in CHANGE if x in changes.columns]).where("valid_at is not null").distinct()
     late = F.crc32(F.col("change_id").cast("string").cast("binary")) % 4
     c = c.select(F.lit(VERSION).alias("kind"), _batch(_day(F.col("valid_at")) + late).alias("batch"), "client_id", _micros(F.col("valid_at")).alias("at"), fill(F.col("change_id")).alias("id"), F.xxhash64(*c.columns).alias("tie"), fill(F.floor(100 * F.col("balance") + 0.5)).alias("cents"), F.col("op").cast("string").alias("op"))
-    rows = s.unionByName(c)
+    named = lambda df: df.withColumns({"client": F.coalesce(F.col("client_id").cast("long"), F.lit(0)), "known": F.col("client_id").isNotNull().cast("int")}).drop("client_id")
+    # clients with more than 1 / (2 buckets) of all rows: not more than 2 buckets, so they can be broadcast
+    sizes = named(sales.select("client_id").unionAll(changes.select("client_id"))).groupBy("client", "known").agg(F.count(F.lit(1)).alias("n"))
+    sizes = shared.written(sizes)
+    all_rows = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.where(F.col("n") > all_rows / (2 * buckets)).select("client", "known", F.lit(1).alias("hot"))
+    rows = named(s.unionByName(c)).join(F.broadcast(hot), ["client", "known"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     # sales without a time are in no slot; they are dealt by their ids
-    slot = F.when(F.col("at") == none, -(F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1024)))).otherwise(F.floor(F.col("at") / slot_us))
-    rows = rows.withColumns({"client": F.coalesce(F.col("client_id").cast("long"), F.lit(0)), "known": F.col("client_id").isNotNull().cast("int"), "slot": slot.cast("long")}).drop("client_id")
+    slot = F.when(F.col("hot") == 0, 0).when(F.col("at") == none, -(F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1024)))).otherwise(F.floor(F.col("at") / slot_us))
+    rows = rows.withColumn("slot", slot.cast("long"))
     return rows.withColumn("bucket", F.pmod(F.xxhash64("client", "known", "slot"), F.lit(buckets)).cast("int"))
 
 
 def _with_versions(raw: DataFrame) -> DataFrame:
-    """The stream's rows of all starts as results: sales in front of their slot's first version look further back."""
+    """The stream's rows of all starts as results: a hot client's sales in front of their slot's first version look further back."""
     client, slot = ["batch", "client"], F.col("slot")
     last = F.struct("at", "change", "tie", "cents", "op")
-    known = raw.where("known = 1")
+    known = raw.where("known = 1 and hot = 1")
     held = known.where(F.col("kind") == HELD).select(*client, "slot", last.alias("last"), "n")
     asked = known.where(F.col("kind") == SALE).select(*client, "slot", F.lit(None).cast(held.schema["last"].dataType).alias("last"), F.lit(0).cast("long").alias("n"))
     slots = held.unionByName(asked).groupBy(*client, F.floor(slot / 24).alias("day"), "slot").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+    slots = shared.written(slots)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     days = slots.groupBy(*client, "day").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
     days = days.select(*client, "day", F.max("last").over(before(Window.partitionBy(*client).orderBy("day"))).alias("of_days"), F.sum("n").over(Window.partitionBy(*client)).alias("held"))
     slots = slots.select(*client, "day", "slot", F.max("last").over(before(Window.partitionBy(*client, "day").orderBy("slot"))).alias("of_slots"))
-    back = slots.join(days, [*client, "day"]).select(*client, "slot", F.lit(1).alias("known"), F.coalesce("of_slots", "of_days").alias("back"), "held")
-    sales = raw.where(F.col("kind") == SALE).join(back, [*client, "slot", "known"], "left")
-    timed = F.when(F.col("at") != NONE, F.col("back"))
-    own = lambda name: F.when(F.col("known") == 0, None).when(F.col("n") == 1, F.col(name)).otherwise(timed[name])
-    number = lambda name: F.when(own(name) != NONE, own(name))
-    id_ = F.when(F.col("id") != NONE, F.col("id")).alias("id")
-    sales = sales.select(F.lit("sale").alias("rec"), id_, F.col("batch").cast("long").alias("batch"), F.coalesce("held", F.lit(0)).cast("long").alias("n_held"), number("change").alias("change_id"), number("cents").alias("balance_cents"), own("op").alias("op"))
+    back = slots.join(days, [*client, "day"]).select(*client, "slot", F.coalesce("of_slots", "of_days").alias("back"), "held")
+    sales = known.where(F.col("kind") == SALE).join(back, [*client, "slot"])
+    further = (F.col("passed") == 0) & (F.col("at") != NONE)
+    of_hot = {c: F.when(further, F.coalesce(F.col("back")[c], F.lit(NONE))).otherwise(F.col(c)) for c in ("change", "cents")} | {"op": F.when(further, F.col("back")["op"]).otherwise(F.col("op")), "n": F.col("held")}
+    columns = ["id", "batch", "n", "change", "cents", "op"]
+    sales = sales.withColumns(of_hot).select(*columns)
+    light = raw.where((F.col("kind") == SALE) & (F.col("hot") * F.col("known") == 0)).withColumns({c: F.when(F.col("known") == 1, F.col(c)) for c in ("n", "change", "cents", "op")}).select(*columns)
+    number = lambda name: F.when(F.col(name) != NONE, F.col(name))
+    sales = sales.unionByName(light).select(F.lit("sale").alias("rec"), number("id").alias("id"), F.col("batch").cast("long").alias("batch"), F.coalesce("n", F.lit(0)).cast("long").alias("n_held"), number("change").alias("change_id"), number("cents").alias("balance_cents"), "op")
     nothing = F.lit(None).cast("long")
-    late = raw.where(F.col("kind") == LATE).select(F.lit("late").alias("rec"), id_, F.col("batch").cast("long").alias("batch"), nothing.alias("n_held"), nothing.alias("change_id"), nothing.alias("balance_cents"), F.lit(None).cast("string").alias("op"))
+    late = raw.where(F.col("kind") == LATE).select(F.lit("late").alias("rec"), number("id").alias("id"), F.col("batch").cast("long").alias("batch"), nothing.alias("n_held"), nothing.alias("change_id"), nothing.alias("balance_cents"), F.lit(None).cast("string").alias("op"))
     return sales.unionByName(late)
 
 
@@ -204,7 +207,7 @@ def enriched_sales(sales: DataFrame, changes: DataFrame, slot_seconds: int = 360
 
     Twelve batches by day are fed to one stateful query, started anew for each on one checkpoint in a new folder under
     spark.checkpoint.dir; a last start emits what still waits, as batch 12. Watermarks are two numbers a batch. buckets:
-    keys of the stream, four a shuffle partition by default; a bucket's waiting rows are held by one task at a time.
+    keys of the stream, four a shuffle partition by default; a task holds the rows of one bucket at a time.
     Sales without a time are emitted on arrival without a version, sales without a client have none and n_held 0, changes
     without valid_at are ignored, those without a client are versions of nobody; repeated sales give repeated rows; versions
     with equal time and change_id follow each other by a hash of their rows; rows without arrived_at come in the last
@@ -220,10 +223,10 @@ def enriched_sales(sales: DataFrame, changes: DataFrame, slot_seconds: int = 360
         own.tables.append((spark, feed))
         own.tables.append((spark, f"{root}/state"))
         staged = _staged(sales, changes, slot_seconds * 1_000_000, buckets)
-        staged.repartition(shared.partitions(spark), "bucket").write.partitionBy("batch").parquet(f"{root}/staged")
+        staged.write.partitionBy("batch").parquet(f"{root}/staged")
         written = spark.read.schema(f"{_INPUT}, batch int").parquet(f"{root}/staged")
         tops = {(r.batch, r.kind): r.top for r in written.where(F.col("at") != NONE).groupBy("batch", "kind").agg(F.max("at").alias("top")).collect()}
-        wake = spark.range(0, buckets, 1, 1).select(F.lit(WAKE).alias("kind"), F.col("id").cast("int").alias("bucket"), *[F.lit(NONE if t != "int" else 0).cast(t).alias(n) for n, t in (("client", "long"), ("known", "int"), ("slot", "long"), ("at", "long"), ("id", "long"), ("tie", "long"), ("cents", "long"))], F.lit(None).cast("string").alias("op"))
+        wake = spark.range(0, buckets, 1, 1).select(F.lit(WAKE).alias("kind"), F.col("id").cast("int").alias("bucket"), *[F.lit(NONE if t != "int" else 0).cast(t).alias(n) for n, t in (("client", "long"), ("known", "int"), ("hot", "int"), ("slot", "long"), ("at", "long"), ("id", "long"), ("tie", "long"), ("cents", "long"))], F.lit(None).cast("string").alias("op"))
         try:
             for k, v in _SETTINGS.items():
                 spark.conf.set(k, v)
@@ -251,12 +254,12 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
 
 def _cleared(raw: DataFrame, buckets: int) -> DataFrame:
     """Rows that clear the slots which a later slot's version, passed by H as well, makes obsolete."""
-    held = raw.where(F.col("kind") == HELD).select("client", "known", "slot", "passed")
+    held = raw.where(F.col("kind") == HELD).select("client", "known", "slot", "passed")  # hot clients only
     latest = held.where("passed = 1").groupBy("client", "known").agg(F.max("slot").alias("latest"))
     old = held.join(latest, ["client", "known"]).where("slot < latest")
     bucket = F.pmod(F.xxhash64("client", "known", "slot"), F.lit(buckets)).cast("int")
     none = F.lit(NONE)
-    return old.select(F.lit(CLEAR).alias("kind"), bucket.alias("bucket"), "client", "known", "slot", none.alias("at"), none.alias("id"), none.alias("tie"), none.alias("cents"), F.lit(None).cast("string").alias("op"))
+    return old.select(F.lit(CLEAR).alias("kind"), bucket.alias("bucket"), "client", "known", F.lit(1).alias("hot"), "slot", none.alias("at"), none.alias("id"), none.alias("tie"), none.alias("cents"), F.lit(None).cast("string").alias("op"))
 
 
 def _start(spark: SparkSession, feed: str, state: str, target: str, processor: Segments) -> None:
