@@ -35,7 +35,7 @@ def facet_values(facet: Facet, registry: Registry) -> Column:
     return F.coalesce(F.array_distinct(F.array_compact(values)), F.array().cast("array<string>"))
 
 
-def _tagged(name: str):
+def tagged_value(name: str):
     return lambda x: F.struct(F.lit(name).alias("facet"), x.alias("value"))
 
 
@@ -48,7 +48,7 @@ def facet_counts(docs: DataFrame, spec: Spec, registry: Registry, names: Iterabl
     for name in names:
         f = registry.facet(name)
         mask = document_matches(spec.without(f.relaxes), registry)
-        parts.append(F.when(mask, F.transform(facet_values(f, registry), _tagged(name))))
+        parts.append(F.when(mask, F.transform(facet_values(f, registry), tagged_value(name))))
     every = F.flatten(F.array_compact(F.array(*parts)))
     return docs.select(F.explode(every).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("count"))
 

@@ -61,7 +61,7 @@ def _flag(registry: Registry, field: Field, want: bool) -> Column:
     return _sure(F.exists(registry.variants, holds))
 
 
-def _text(needle: str, locale: str | None) -> Column:
+def text_predicate(needle: str, locale: str | None) -> Column:
     found = F.exists("descriptions", lambda d: folded_contains(d["text"], needle) & (F.lit(True) if locale is None else d["locale"] == locale))
     return _sure(found) | _sure(folded_contains(F.col("manufacturer"), needle)) | _sure(folded_contains(F.col("product"), needle)) | _sure(F.exists("keywords", lambda k: folded_contains(k, needle)))
 
@@ -71,7 +71,7 @@ def _doc_conditions(spec: Spec, registry: Registry, one) -> list[Column]:
     fields = [f for f in registry.fields if f.scope == "doc" and spec.get(f.name) is not None]
     plain = [one(f, spec.get(f.name), None) for f in fields if f.kind not in ("flag", "text")]
     flags = [_flag(registry, f, spec.get(f.name)) for f in fields if f.kind == "flag"]
-    text = [_text(spec.get(f.name), spec.get("locale")) for f in fields if f.kind == "text"]
+    text = [text_predicate(spec.get(f.name), spec.get("locale")) for f in fields if f.kind == "text"]
     return [*plain, *flags, *text]
 
 

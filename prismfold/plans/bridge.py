@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bitmaps, flat
+from ..sources.store import stored
 from .spec import Facet, Field, Registry
 
 ORDERS = Registry(
@@ -61,6 +63,16 @@ def orders(spark: SparkSession, sf_dir: str, codes: bool = False) -> DataFrame:
     return joined.withColumn("variants", empty).withColumn("flags", F.array_sort(F.array_distinct(F.transform("variants", lambda v: v["l_returnflag"]))))
 
 
+def stored_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, variant table, facet index) of the orders, built once for the files as they are. Lines are clustered by what
+    catalogue requests filter by: states first, then the quantity."""
+    inputs = [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"]
+    docs = stored(spark, "order-docs", inputs, lambda: flat.numbered(orders(spark, sf_dir, codes=True), ORDERS))
+    lines = stored(spark, "order-lines", inputs, lambda: flat.clustered(flat.flat_table(docs, ORDERS), "v_l_linestatus", "d_o_orderstatus", "d_o_orderpriority", "v_l_quantity"))
+    index = stored(spark, "order-facets", inputs, lambda: bitmaps.facet_index(docs, ORDERS).repartition("facet", "value").sortWithinPartitions("facet", "value", "part"))
+    return docs, lines, index
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per part, its family key (brand, type)."""
     p = read(spark, sf_dir, "part")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mining, photometry, text
-from ..operators import counts, fold, reports, search
+from ..operators import bitmaps, counts, flat, fold, reports, search
 from ..operators.predicates import matching
 from ..sources import ingest
 from . import bridge
@@ -45,7 +45,11 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def _docs(spark, sf_dir, spec: Spec) -> DataFrame:
-    return matching(bridge.orders(spark, sf_dir), spec, ORDERS).select("o_orderkey")
+    return flat.matching(_lines(spark, sf_dir), spec, ORDERS).select("o_orderkey")
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return bridge.stored_orders(spark, sf_dir)[1]
 
 
 MAIN = Spec.of(priority=("1-URGENT", "2-HIGH"), quantity=(10.0, 20.0), line_status=("O",))
@@ -53,23 +57,28 @@ MAIN = Spec.of(priority=("1-URGENT", "2-HIGH"), quantity=(10.0, 20.0), line_stat
 
 @query(BASE + "select o_orderkey, ix as variant_ix from v where o_orderpriority in ('1-URGENT', '2-HIGH') and l_quantity between 10 and 20 and l_linestatus = 'O'")
 def q_search_doc_variant(spark, sf_dir):
+    return _hits(flat.search(_lines(spark, sf_dir), MAIN, ORDERS))
+
+
+@query(_SQL["q_search_doc_variant"])
+def q_search_nested(spark, sf_dir):
     return _hits(search.search(bridge.orders(spark, sf_dir), MAIN, ORDERS))
 
 
 @query(BASE + "select o_orderkey, ix as variant_ix from v where o_orderstatus = 'F'")
 def q_search_docscope_only(spark, sf_dir):
-    return _hits(search.search(bridge.orders(spark, sf_dir), Spec.of(status=("F",)), ORDERS))
+    return _hits(flat.search(_lines(spark, sf_dir), Spec.of(status=("F",)), ORDERS))
 
 
 @query(BASE + "select o_orderkey, ix as variant_ix from v where o_orderpriority in ('1-URGENT', '2-HIGH') and l_quantity between 10 and 20 and l_linestatus = 'O' order by 1, 2 limit 25 offset 50")
 def q_search_page(spark, sf_dir):
-    hits = _hits(search.search(bridge.orders(spark, sf_dir), MAIN, ORDERS))
+    hits = _hits(flat.search(_lines(spark, sf_dir), MAIN, ORDERS))
     return search.page(hits, "o_orderkey", "variant_ix", offset=50, limit=25)
 
 
 @query(BASE + "select count(*) as total from v where o_orderpriority in ('1-URGENT', '2-HIGH') and l_quantity between 10 and 20 and l_linestatus = 'O'")
 def q_total(spark, sf_dir):
-    return search.total(search.search(bridge.orders(spark, sf_dir), MAIN, ORDERS))
+    return search.total(flat.search(_lines(spark, sf_dir), MAIN, ORDERS))
 
 
 def _filter(name: str, sql: str, **values):
@@ -92,12 +101,26 @@ _filter("q_filter_presence_false", f"select distinct l_orderkey as o_orderkey fr
 _filter("q_filter_depth_guard", "select distinct l_orderkey as o_orderkey from lineitem where l_returnflag = 'R' and l_quantity between 5 and 9", returned_quantity=(5.0, 9.0))
 _filter("q_filter_uncorrelated", "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_discount > 0.05) and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity between 1 and 3 and l_linestatus = 'F')", has_discount=True, quantity=(1.0, 3.0), line_status=("F",))
 
+
+
+@query(_SQL["q_filter_uncorrelated"])
+def q_filter_nested(spark, sf_dir):
+    return matching(bridge.orders(spark, sf_dir), Spec.of(has_discount=True, quantity=(1.0, 3.0), line_status=("F",)), ORDERS).select("o_orderkey")
+
+
+@query("select o_orderkey, o_custkey, count(l_orderkey) as n_lines from orders join lineitem on l_orderkey = o_orderkey where o_orderkey in (select l_orderkey from lineitem where l_tax >= 0.07 and l_quantity between 45 and 50) and o_orderpriority = '2-HIGH' group by 1, 2")
+def q_search_documents(spark, sf_dir):
+    docs, lines, _ = bridge.stored_orders(spark, sf_dir)
+    found = flat.matching(lines, Spec.of(tax_min=0.07, quantity=(45.0, 50.0), priority=("2-HIGH",)), ORDERS)
+    return flat.documents_of(docs, found).select("o_orderkey", "o_custkey", F.size("variants").cast("long").alias("n_lines"))
+
+
 _filter("q_filter_integer_range", "select distinct l_orderkey as o_orderkey from lineitem where l_linenumber between 3 and 4 and l_linestatus = 'F'", line_number=(3, 4), line_status=("F",))
 
 
 @query("select distinct l_orderkey as o_orderkey from lineitem where (l_returnflag in ('R', 'O') or l_linestatus in ('R', 'O')) and l_quantity between 1 and 4")
 def q_filter_variant_array(spark, sf_dir):
-    return matching(bridge.orders(spark, sf_dir, codes=True), Spec.of(codes=("R", "O"), quantity=(1.0, 4.0)), ORDERS).select("o_orderkey")
+    return _docs(spark, sf_dir, Spec.of(codes=("R", "O"), quantity=(1.0, 4.0)))
 
 
 FACETED = Spec.of(status=("F", "O"), quantity=(5.0, 30.0), line_status=("O",), priority=("1-URGENT", "3-MEDIUM", "5-LOW"))
@@ -127,7 +150,8 @@ _FACET_SQL = {
 
 def _facets(name: str, *facets: str):
     def run(spark, sf_dir):
-        return counts.facet_counts(bridge.orders(spark, sf_dir), FACETED, ORDERS, facets)
+        _, lines, index = bridge.stored_orders(spark, sf_dir)
+        return bitmaps.facet_counts(index, lines, FACETED, ORDERS, facets)
 
     run.__name__ = name
     query(" union all ".join(f"({_FACET_SQL[f]})" for f in facets))(run)
@@ -142,14 +166,26 @@ _facets("q_facet_presence", "has_discount")
 _facets("q_facet_unspecified", "kind")
 
 
+@query(_SQL["q_facets_onepass"])
+def q_facets_nested(spark, sf_dir):
+    return counts.facet_counts(bridge.orders(spark, sf_dir), FACETED, ORDERS, _FACET_SQL)
+
+
 @query("select facet, value, count, rank, greatest(n - 2, 0) as remainder from (select *, row_number() over (partition by facet order by count desc, value) as rank, count(*) over (partition by facet) as n from (" + " union all ".join(f"({_FACET_SQL[f]})" for f in ("priority", "kind")) + ")) where rank <= 2")
 def q_facet_top(spark, sf_dir):
-    got = counts.facet_counts(bridge.orders(spark, sf_dir), FACETED, ORDERS, ["priority", "kind"])
+    _, lines, index = bridge.stored_orders(spark, sf_dir)
+    got = bitmaps.facet_counts(index, lines, FACETED, ORDERS, ["priority", "kind"])
     return reports.top_per_facet(got, 2).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(BASE + "select min(l_quantity) filter (where l_discount between 0.02 and 0.06) as quantity_min, max(l_quantity) filter (where l_discount between 0.02 and 0.06) as quantity_max, min(l_discount) filter (where l_quantity between 10 and 30) as discount_min, max(l_discount) filter (where l_quantity between 10 and 30) as discount_max, min(l_quantity) filter (where l_returnflag = 'R' and l_discount between 0.02 and 0.06 and l_quantity between 10 and 30) as returned_quantity_min, max(l_quantity) filter (where l_returnflag = 'R' and l_discount between 0.02 and 0.06 and l_quantity between 10 and 30) as returned_quantity_max from v where o_orderstatus = 'F'")
 def q_bounds(spark, sf_dir):
+    spec = Spec.of(status=("F",), quantity=(10.0, 30.0), discount=(0.02, 0.06))
+    return flat.range_bounds(_lines(spark, sf_dir), spec, ORDERS, ["quantity", "discount", "returned_quantity"])
+
+
+@query(_SQL["q_bounds"])
+def q_bounds_nested(spark, sf_dir):
     spec = Spec.of(status=("F",), quantity=(10.0, 30.0), discount=(0.02, 0.06))
     return counts.range_bounds(bridge.orders(spark, sf_dir), spec, ORDERS, ["quantity", "discount", "returned_quantity"])
 

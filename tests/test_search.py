@@ -128,5 +128,5 @@ def test_conditions_reach_the_scan(spark, sf):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         return [x for x in plan.split("\n") if "PushedFilters" in x]
 
-    assert any("In(o_orderpriority, [1-URGENT,2-HIGH])" in x for x in scans("q_search_doc_variant"))
+    assert any("In(o_orderpriority, [1-URGENT,2-HIGH])" in x for x in scans("q_search_nested"))
     assert any("In(l_orderkey, [2,3,32,7,999999999])" in x for x in scans("q_batch_lookup"))
