@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import mining, photometry, text
 from ..operators import bitmaps, counts, flat, fold, reports, search
 from ..operators.predicates import matching
-from ..sources import ingest
+from ..sources import ingest, store
 from . import bridge
 from .bridge import ORDERS
 from .spec import Spec
@@ -256,6 +256,23 @@ def q_fold_stats(spark, sf_dir):
     return fold.fold_stats(bridge.parts(spark, sf_dir), _folded(spark, sf_dir))
 
 
+def _members(spark, sf_dir):
+    """Placed and stored once for the file as it is."""
+    stored = store.stored(spark, "part-members", [f"{sf_dir}/part.parquet"], lambda: fold.placed(bridge.parts(spark, sf_dir), 8))
+    return fold.members(stored)
+
+
+@query(_FOLD.replace(", array_to_string(list(p_partkey order by p_partkey), ',') as member_list", ""))
+def q_fold_flat(spark, sf_dir):
+    f = fold.families(_members(spark, sf_dir), union=("keywords",), first=("ip_code",), meta=None)
+    return f.select("manufacturer", "product", "n_members", F.array_join("keywords", ",").alias("keywords"), "ip_code", "n_variants")
+
+
+@query("select case when count(*) over (partition by p_brand, p_type) = 1 then cast(p_partkey as varchar) else sha256('family:' || p_brand || ':' || p_type) end as family_id, case when count(*) over (partition by p_brand, p_type) = 1 then 0 else row_number() over (partition by p_brand, p_type order by p_partkey) - 1 end as id, row_number() over (partition by p_brand, p_type order by p_partkey) - 1 as source_index, p_retailprice as price from part")
+def q_fold_flat_variants(spark, sf_dir):
+    return fold.family_variants(_members(spark, sf_dir)).select(F.col("family_id").cast("string").alias("family_id"), "id", "source_index", F.col("v.price").alias("price"))
+
+
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
