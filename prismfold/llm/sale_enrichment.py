@@ -32,7 +32,7 @@ BATCHES, FIRST_DAY, DAYS = 12, 19723, 152
 NONE = -(1 << 63)
 ALL = (1 << 63) - 1
 CHANGE = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
-SALE, VERSION, CLEAR, WAKE, LATE, HELD = range(6)
+SALE, VERSION, CLEAR, WAKE, LATE, HELD, LEFT_SALE, LEFT_HELD = range(8)
 
 _INPUT = "kind int, bucket int, client long, known int, hot int, slot long, at long, id long, tie long, cents long, op string"
 _OUTPUT = "kind int, client long, known int, hot int, slot long, id long, at long, change long, tie long, cents long, op string, n long, passed int"
@@ -70,11 +70,11 @@ def _unpacked(data: bytes) -> dict[str, np.ndarray]:
 
 
 class Segments(StatefulProcessor):
-    """One start, with its horizon and its changes' watermark. Keys are buckets. In state and in memory rows stand in the order of
+    """One start, with its horizon and its changes' watermark; the last one emits what waits when it has pruned. Keys are buckets. In state and in memory rows stand in the order of
     client, slot and time, sales behind the versions of their time: a segment is a version and the sales up to the next one."""
 
-    def __init__(self, horizon: int, floor: int) -> None:
-        self.horizon, self.floor = horizon, floor
+    def __init__(self, horizon: int, floor: int, last: bool) -> None:
+        self.horizon, self.floor, self.last = horizon, floor, last
 
     def init(self, handle) -> None:
         self.state = handle.getMapState("segments", "block int", "rows binary")
@@ -98,38 +98,52 @@ class Segments(StatefulProcessor):
             yield from _results(LATE, {c: x[late] for c, x in told.items()})
         at = {c: np.concatenate([old[c], told[c][new]]) for c in names}
         is_sale = at["kind"] == SALE
-        order = np.lexsort((at["tie"], at["id"], is_sale, at["at"], at["slot"], at["client"], at["known"]))
-        at, is_sale = {c: x[order] for c, x in at.items()}, is_sale[order]
-        n = len(order)
+        order = np.lexsort((at["tie"], at["id"], at["kind"] == SALE, at["at"], at["slot"], at["client"], at["known"]))
+        at = {c: x[order] for c, x in at.items()}
+        found, stays = self._drained(at, self.horizon, SALE, HELD)
+        yield from found
+        at = {c: x[stays] for c, x in at.items()}
+        if self.last:
+            found, stays = self._drained(at, ALL, LEFT_SALE, LEFT_HELD)
+            yield from found
+            at = {c: x[stays] for c, x in at.items()}
+        blocks = -(-len(at["id"]) // _ROWS)
+        for k in range(blocks):
+            self.state.updateValue((k,), (_packed({c: x[k * _ROWS : (k + 1) * _ROWS] for c, x in at.items()}),))
+        for k, _ in held:
+            if k >= blocks:
+                self.state.removeKey((k,))
+
+    def _drained(self, at: dict[str, np.ndarray], until: int, sale: int, held: int) -> tuple[list[pd.DataFrame], np.ndarray]:
+        """Results for the sales before until and for hot slots, and which rows stay: sales that wait, versions that the horizon
+        has not passed, and the last one that it has."""
+        is_sale = at["kind"] == SALE
+        n = len(is_sale)
+        if not n:
+            return [], is_sale
+        out = []
         head = np.ones(n, bool)  # first row of its client and slot
-        if n:
-            head[1:] = np.any([at[c][1:] != at[c][:-1] for c in _PLACE], axis=0)
+        head[1:] = np.any([at[c][1:] != at[c][:-1] for c in _PLACE], axis=0)
         place = np.cumsum(head) - 1
         count = np.bincount(place, ~is_sale).astype(np.int64)
-        owner = np.maximum.accumulate(np.where(is_sale, -1, np.arange(n))) if n else np.zeros(0, np.int64)
-        owned = (owner >= 0) & (place[owner] == place) if n else np.zeros(0, bool)
-        ready = is_sale & ((at["at"] == NONE) | (at["at"] < self.horizon))
+        owner = np.maximum.accumulate(np.where(is_sale, -1, np.arange(n)))
+        owned = (owner >= 0) & (place[owner] == place)
+        ready = is_sale & ((at["at"] == NONE) | (at["at"] < until))
         if ready.any():
             own, mine = np.where(owned, owner, 0)[ready], owned[ready]
             version = {c: np.where(mine, at[c][own], NONE) for c in ("tie", "cents")} | {"op": np.where(mine, at["op"][own], None)}
-            yield from _results(SALE, {c: x[ready] for c, x in at.items()} | version, np.where(mine, at["id"][own], NONE), count[place[ready]], mine)
+            out += _results(sale, {c: x[ready] for c, x in at.items()} | version, np.where(mine, at["id"][own], NONE), count[place[ready]], mine)
         last = np.flatnonzero(~is_sale)
-        following = np.append(last[1:], -1)
-        same = (following >= 0) & (place[following] == place[last]) if len(last) else np.zeros(0, bool)
+        following = np.append(last[1:], -1)[: len(last)]
+        same = (following >= 0) & (place[following] == place[last])
         hot = last[~same & (at["hot"][last] == 1)]
         if len(hot):
             passed = np.zeros(count.shape, bool)
             passed[place[last[at["at"][last] <= self.horizon]]] = True
-            yield from _results(HELD, {c: x[hot] for c, x in at.items()}, at["id"][hot], count[place[hot]], passed[place[hot]])
+            out += _results(held, {c: x[hot] for c, x in at.items()}, at["id"][hot], count[place[hot]], passed[place[hot]])
         stays = ~ready
         stays[last[same & (at["at"][following] <= self.horizon)]] = False  # pruned: the successor has been passed
-        at = {c: x[stays] for c, x in at.items()}
-        blocks = -(-int(stays.sum()) // _ROWS)
-        for k in range(blocks):
-            self.state.updateValue((k,), (_packed({c: x[k * _ROWS : (k + 1) * _ROWS] for c, x in at.items()}),))
-        for k, _ in held:
-            if k >= blocks:
-                self.state.removeKey((k,))
+        return out, stays
 
     def close(self) -> None:
         pass
@@ -152,6 +166,7 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store of every start takes 4 MB of disk at least
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of ended starts are closed then
     "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # a second file beside each one of a checkpoint that ends with the call
 }
 
 
@@ -176,7 +191,13 @@ def _staged(sales: DataFrame, changes: DataFrame, slot_us: int, buckets: int) ->
 
 
 def _with_versions(raw: DataFrame) -> DataFrame:
-    """The stream's rows of all starts as results: a hot client's sales in front of their slot's first version look further back."""
+    """The stream's rows of all starts as results: a hot client's sales in front of their slot's first version look further back.
+
+    What the last start leaves is a batch of its own; slots that would have been cleared before it hold nothing then."""
+    left = F.col("kind").isin(LEFT_SALE, LEFT_HELD)
+    latest = raw.where(F.col("kind") == LEFT_HELD).where("passed = 1").groupBy("client", "known").agg(F.max("slot").alias("latest"))
+    raw = raw.join(F.broadcast(latest), ["client", "known"], "left").where((F.col("kind") != LEFT_HELD) | F.coalesce(F.col("slot") >= F.col("latest"), F.lit(True)))  # 2 * buckets rows at most
+    raw = raw.withColumns({"batch": F.col("batch") + left.cast("int"), "kind": F.when(F.col("kind") == LEFT_SALE, SALE).when(F.col("kind") == LEFT_HELD, HELD).otherwise(F.col("kind"))})
     client, slot = ["batch", "client"], F.col("slot")
     last = F.struct("at", "change", "tie", "cents", "op")
     known = raw.where("known = 1 and hot = 1")
@@ -206,7 +227,7 @@ def enriched_sales(sales: DataFrame, changes: DataFrame, slot_seconds: int = 360
     """(rec, id, batch, n_held, change_id, balance_cents, op): one row a sale, and one a change that came too late.
 
     Twelve batches by day are fed to one stateful query, started anew for each on one checkpoint in a new folder under
-    spark.checkpoint.dir; a last start emits what still waits, as batch 12. Watermarks are two numbers a batch. buckets:
+    spark.checkpoint.dir; the last start then emits what still waits, as batch 12. Watermarks are two numbers a batch. buckets:
     keys of the stream, four a shuffle partition by default; a task holds the rows of one bucket at a time.
     Sales without a time are emitted on arrival without a version, sales without a client have none and n_held 0, changes
     without valid_at are ignored, those without a client are versions of nobody; repeated sales give repeated rows; versions
@@ -230,13 +251,13 @@ def enriched_sales(sales: DataFrame, changes: DataFrame, slot_seconds: int = 360
         try:
             for k, v in _SETTINGS.items():
                 spark.conf.set(k, v)
-            for b in range(BATCHES + 1):
+            for b in range(BATCHES):
                 mark = lambda kind: max((t for (k, d), t in tops.items() if d == kind and k < b), default=NONE)  # noqa: B023, E731
-                floor, horizon = mark(VERSION), min(mark(SALE), mark(VERSION)) if b < BATCHES else ALL
+                floor, horizon = mark(VERSION), min(mark(SALE), mark(VERSION))
                 rows = wake if not b else wake.unionByName(_cleared(spark.read.schema(_OUTPUT).parquet(f"{out}/batch={b - 1}"), buckets))
                 rows.write.parquet(f"{feed}/told={b}")
                 _move(spark, f"{root}/staged/batch={b}", f"{feed}/rows={b}")
-                _start(spark, feed, f"{root}/state", f"{out}/batch={b}", Segments(horizon, floor))
+                _start(spark, feed, f"{root}/state", f"{out}/batch={b}", Segments(horizon, floor, b == BATCHES - 1))
         finally:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -256,7 +277,7 @@ def _cleared(raw: DataFrame, buckets: int) -> DataFrame:
     """Rows that clear the slots which a later slot's version, passed by H as well, makes obsolete."""
     held = raw.where(F.col("kind") == HELD).select("client", "known", "slot", "passed")  # hot clients only
     latest = held.where("passed = 1").groupBy("client", "known").agg(F.max("slot").alias("latest"))
-    old = held.join(latest, ["client", "known"]).where("slot < latest")
+    old = held.join(F.broadcast(latest), ["client", "known"]).where("slot < latest")  # 2 * buckets rows at most
     bucket = F.pmod(F.xxhash64("client", "known", "slot"), F.lit(buckets)).cast("int")
     none = F.lit(NONE)
     return old.select(F.lit(CLEAR).alias("kind"), bucket.alias("bucket"), "client", "known", F.lit(1).alias("hot"), "slot", none.alias("at"), none.alias("id"), none.alias("tie"), none.alias("cents"), F.lit(None).cast("string").alias("op"))
