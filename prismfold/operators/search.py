@@ -123,6 +123,39 @@ def suggest_articles(table: DataFrame, prefix: str, *order: str, limit: int = SU
     return table.where(F.col("key").startswith(key)).orderBy("key", *order).limit(min(limit, SUGGEST_ARTICLES_MOST))
 
 
+SPAN = "span"
+
+
+def article_index(table: DataFrame, parts: int) -> DataFrame:
+    """The side table in ranges of its keys, sorted, with the range's number; to be written in folders by span (article_bounds
+    has each one's first and last key). Equal keys are told apart by originals, so no range grows with a key."""
+    order = ["key", "original"]
+    return table.repartitionByRange(parts, *order).withColumn(SPAN, F.spark_partition_id()).sortWithinPartitions(*order)
+
+
+def article_bounds(index: DataFrame) -> DataFrame:
+    """(span, low, high): one row a range."""
+    return index.groupBy(SPAN).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+
+
+def _within(index: DataFrame, bounds: DataFrame, low: Column, high: Column) -> DataFrame:
+    """The ranges that can hold keys from low to high; Spark prunes the other folders when it runs."""
+    spans = bounds.where((F.col("high") >= low) & (F.col("low") <= high)).select(SPAN)
+    return index.join(F.broadcast(spans), SPAN).drop(SPAN)
+
+
+def lookup_indexed(index: DataFrame, bounds: DataFrame, text: str, doc_id: str = "doc_id", tenant: str | None = None) -> DataFrame:
+    """As lookup_article, from the ranges that can hold the key."""
+    key = article_key(F.lit(text))
+    return lookup_article(_within(index, bounds, key, key), text, doc_id, tenant)
+
+
+def suggest_indexed(index: DataFrame, bounds: DataFrame, prefix: str, *order: str, limit: int = SUGGEST_ARTICLES, tenant: str | None = None) -> DataFrame:
+    """As suggest_articles, from the ranges that can hold keys with the prefix."""
+    low = "".join(c for c in prefix if c.isalnum()).lower()
+    return suggest_articles(_within(index, bounds, F.lit(low), F.lit(low + chr(0x10FFFF))), prefix, *order, limit=limit, tenant=tenant)
+
+
 #: names that a slug rule cannot reach (fixed values)
 SLUG_NAMES = {"als": "A.L.S.", "a-l-s": "A.L.S.", "nobile": "nobilé"}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import mining, photometry, text
 from ..operators import bitmaps, counts, flat, fold, reports, search
 from ..operators.predicates import matching
-from ..sources import ingest, store
+from ..sources import ingest, snapshot, store
 from . import bridge
 from .bridge import ORDERS
 from .spec import Spec
@@ -204,12 +204,28 @@ _KEY = "lower(regexp_replace(c_name, '[^\\p{L}\\p{N}]', '', 'g'))"
 
 @query(f"select c_custkey as doc_id, c_name as original from customer where {_KEY} = 'customer000000042'")
 def q_article_exact(spark, sf_dir):
+    return search.lookup_indexed(*_articles(spark, sf_dir), "customer 000.000-042").select("doc_id", "original")
+
+
+def _articles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    inputs = [f"{sf_dir}/customer.parquet"]
+    index = store.stored(spark, "articles", inputs, lambda: search.article_index(search.articles(bridge.identifiers(spark, sf_dir), "gtin", keep=("product",)), 16), by=search.SPAN)
+    return index, store.stored(spark, "article-bounds", inputs, lambda: search.article_bounds(index))
+
+
+@query(_SQL["q_article_exact"])
+def q_article_exact_scan(spark, sf_dir):
     table = search.articles(bridge.identifiers(spark, sf_dir), "gtin")
     return search.lookup_article(table, "customer 000.000-042").select("doc_id", "original")
 
 
 @query(f"select {_KEY} as key, c_name as original, c_mktsegment as product from customer where {_KEY} like 'customer00000001%' order by 1 limit 12")
 def q_article_prefix(spark, sf_dir):
+    return search.suggest_indexed(*_articles(spark, sf_dir), "Customer#00000001", "doc_id", limit=12).select("key", "original", "product")
+
+
+@query(_SQL["q_article_prefix"])
+def q_article_prefix_scan(spark, sf_dir):
     table = search.articles(bridge.identifiers(spark, sf_dir), "gtin", keep=("product",))
     return search.suggest_articles(table, "Customer#00000001", "doc_id", limit=12).select("key", "original", "product")
 
@@ -377,6 +393,17 @@ def q_incremental(spark, sf_dir):
     return ingest.incremental(now, old).select("relative", "length", "mtime", "reused")
 
 
+@query("select o_orderkey, case when o_orderkey % 7 = 2 then o_totalprice + 1 else o_totalprice end as price from orders where o_orderkey % 11 <> 5 or o_orderkey % 7 = 2")
+def q_snapshot_update(spark, sf_dir):
+    o = bridge.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    path = store.fresh_folder(spark, "snapshot")
+    snapshot.write_bucketed(o.where("o_orderkey % 5 <> 4"), path, "o_orderkey", 8)
+    changed = o.where("o_orderkey % 7 = 2").withColumn("price", F.col("price") + 1)
+    snapshot.update_bucketed(spark, path, o.where("o_orderkey % 5 = 4"), o.where("o_orderkey % 11 = 5 and o_orderkey % 5 <> 4"))
+    snapshot.update_bucketed(spark, path, changed, o.where("o_orderkey % 11 = 5 and o_orderkey % 7 <> 2"))
+    return snapshot.read_bucketed(spark, path).select("o_orderkey", "price")
+
+
 @query("select count(distinct o_orderkey) as docs, count(l_orderkey) as variants, count(case when l_tax > 0.06 or l_tax < 0.02 then 1 end) as with_photometry, count(distinct o_orderkey) filter (where l_discount > 0.09) as with_applications, (select count(*) from region) as failures, (select count(*) from nation) as warnings, 100.0 * count(case when l_tax > 0.06 or l_tax < 0.02 then 1 end) / count(l_orderkey) as photometry_percent from orders left join lineitem on l_orderkey = o_orderkey")
 def q_probe_summary(spark, sf_dir):
     docs = bridge.orders(spark, sf_dir).withColumn("applications", F.filter("variants", lambda v: v["l_discount"] > 0.09))

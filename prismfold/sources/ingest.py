@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import mining, photometry
 from ..functions.text import unicode_trim
 from ..plans.luminaires import VARIANT
+from . import snapshot
 
 PATTERN = "*.[gG][lL][dD][fF]"
 
@@ -262,9 +263,9 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
     )
 
 
-def incremental(listed: DataFrame, snapshot: DataFrame) -> DataFrame:
+def incremental(listed: DataFrame, old: DataFrame) -> DataFrame:
     """listed with reused: same relative path, equal size and equal known time as in the snapshot (relative, length, mtime)."""
-    old = snapshot.select("relative", F.col("length").alias("old_length"), F.col("mtime").alias("old_mtime"))
+    old = old.select("relative", F.col("length").alias("old_length"), F.col("mtime").alias("old_mtime"))
     return listed.join(old, "relative", "left").withColumn("reused", F.coalesce((F.col("length") == F.col("old_length")) & (F.col("mtime") == F.col("old_mtime")), F.lit(False))).drop("old_length", "old_mtime")
 
 
@@ -309,16 +310,27 @@ def as_json(docs: DataFrame) -> DataFrame:
     return docs.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def rebuilt(listed: DataFrame, snapshot: DataFrame, extract, path: str = "relative") -> DataFrame:
+def rebuilt(listed: DataFrame, old: DataFrame, extract, path: str = "relative") -> DataFrame:
     """Documents of all listed files: those of unchanged files from the snapshot, the rest extracted anew; deleted files
     drop out. extract turns listed rows into documents; a document's file is source.value, its size and time are in file_meta."""
-    known = snapshot.select(F.col("source.value").alias(path), F.col("file_meta.size_bytes").alias("length"), F.col("file_meta.mtime_epoch_s").alias("mtime"))
+    known = old.select(F.col("source.value").alias(path), F.col("file_meta.size_bytes").alias("length"), F.col("file_meta.mtime_epoch_s").alias("mtime"))
     marked = incremental(listed, known)
     same = marked.where("reused").select(F.col(path).alias("__file"))
-    kept = snapshot.join(same, F.col("source.value") == F.col("__file"), "left_semi")
+    kept = old.join(same, F.col("source.value") == F.col("__file"), "left_semi")
     return kept.unionByName(extract(marked.where("not reused").drop("reused")), allowMissingColumns=True)
 
 
+def rebuild_buckets(listed: DataFrame, path: str, extract) -> list[int]:
+    """Bring a snapshot in buckets by path (snapshot.write_bucketed) up to the listed files: only new and changed files are
+    extracted, files that are gone drop out, and only the buckets of those are rewritten; their numbers."""
+    spark = listed.sparkSession
+    old = snapshot.read_bucketed(spark, path)
+    known = old.select(F.col("source.value").alias("relative"), F.col("file_meta.size_bytes").alias("length"), F.col("file_meta.mtime_epoch_s").alias("mtime"), F.col("path").alias("__path"))
+    marked = incremental(listed, known)
+    gone = known.join(listed, "relative", "left_anti").select(F.col("__path").alias("path"))
+    return snapshot.update_bucketed(spark, path, extract(marked.where("not reused").drop("reused")), gone)
+
+
 def inspect(parsed: DataFrame) -> DataFrame:
     """Files of each archive by class of content type, with variants and locales."""
     kind = F.col("f.content_type")

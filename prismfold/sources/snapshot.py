@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VERSION = "1"
 
@@ -63,3 +64,68 @@ def cached(spark: SparkSession, path: str | None, build: Callable[[], DataFrame]
     except (SnapshotMissing, SnapshotMismatch):
         write(build(), path)
         return read(spark, path)
+
+
+# Snapshots in buckets: a change rewrites the buckets of the changed keys only.
+
+BUCKET = "bucket"
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(docs: DataFrame, path: str, key: str, buckets: int = 64, version: str = VERSION) -> None:
+    """A new snapshot dealt to buckets by a hash of the key (one folder each); an existing one is replaced."""
+    dealt = docs.withColumn(BUCKET, _bucket(key, buckets))
+    dealt.repartition(buckets, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/data")
+    about = docs.sparkSession.createDataFrame([(version, key, buckets)], "version string, key string, buckets int")
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def _about(spark: SparkSession, path: str, version: str):
+    where, fs = _fs(spark, f"{path}/about/_SUCCESS")
+    if not fs.exists(where):
+        raise SnapshotMissing(path)
+    found = spark.read.schema("version string, key string, buckets int").json(f"{path}/about").first()
+    if found is None or found.version != version:
+        raise SnapshotMismatch(f"{path}: version {found and found.version}, wanted {version}")
+    return found
+
+
+def _dealt(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/data")
+
+
+def read_bucketed(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    _about(spark, path, version)
+    return _dealt(spark, path).drop(BUCKET)
+
+
+def update_bucketed(spark: SparkSession, path: str, changed: DataFrame | None = None, gone: DataFrame | None = None, version: str = VERSION) -> list[int]:
+    """Put changed documents in the place of those with their keys, drop the keys in gone (rows with the key column), and rewrite the
+    buckets of both alone; the numbers of these buckets. Further columns of changed documents are added, missing ones are null.
+
+    Spark replaces each touched bucket's files when the job ends; a reader that has begun to read those fails and starts
+    anew, others notice nothing. Of changed rows that share a key all are kept. With nothing to do nothing is written.
+    """
+    about = _about(spark, path, version)
+    bucket = _bucket(about.key, about.buckets)
+    current = _dealt(spark, path)
+    new = None if changed is None else changed.withColumn(BUCKET, bucket)
+    keys = [x.select(about.key) for x in (changed, gone) if x is not None]
+    if not keys:
+        return []
+    out = keys[0] if len(keys) == 1 else keys[0].unionAll(keys[1])
+    touched = sorted(r[0] for r in out.select(bucket.alias("b")).where(F.col(about.key).isNotNull()).distinct().collect())  # buckets at most
+    if not touched:
+        return []
+    left = current.where(F.col(BUCKET).isin(*touched)).join(out.distinct(), about.key, "left_anti").select(*current.columns)
+    rows = left if new is None else left.unionByName(new, allowMissingColumns=True)
+    # a bucket that loses its last row is not written, so its folder goes by hand; both frames may read this snapshot, so before it changes
+    kept = touched if gone is None else [r[0] for r in rows.select(BUCKET).distinct().collect()]
+    rows.repartition(len(touched), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{path}/data")
+    for b in set(touched) - set(kept):
+        where, fs = _fs(spark, f"{path}/data/{BUCKET}={b}")
+        fs.delete(where, True)
+    return touched

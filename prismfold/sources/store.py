@@ -28,6 +28,11 @@ def shared_root(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a table that a caller writes."""
+    return f"{shared_root(spark)}/prismfold-{name}-{uuid.uuid4().hex}"
+
+
 def signature(spark: SparkSession, inputs: list[str]) -> str:
     """Changes with the names, sizes, numbers and times of the input files or folders."""
     seen = [LAYOUT]
@@ -38,9 +43,9 @@ def signature(spark: SparkSession, inputs: list[str]) -> str:
     return hashlib.sha256(repr(seen).encode()).hexdigest()[:20]
 
 
-def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
     """The table as it was built for these inputs, or a new build. Builds stand beside each other, complete ones are marked
-    by Spark's success file; two sessions that build at once both end with the same one."""
+    by Spark's success file; two sessions that build at once both end with the same one. by: a column whose values are folders of their own."""
     base = f"{shared_root(spark)}/prismfold-store/{name}-{signature(spark, inputs)}"
 
     def complete() -> str | None:
@@ -51,5 +56,6 @@ def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[]
         return next((f"{base}/{n}" for n in names if fs.exists(_fs(spark, f"{base}/{n}/_SUCCESS")[0])), None)
 
     if complete() is None:
-        build().write.parquet(f"{base}/{uuid.uuid4().hex}")
+        out = build().write
+        (out.partitionBy(by) if by else out).parquet(f"{base}/{uuid.uuid4().hex}")
     return spark.read.parquet(complete())

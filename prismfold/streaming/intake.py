@@ -17,14 +17,22 @@ def upsert(current: DataFrame | None, arrived: DataFrame, key: str = "path", ord
     return both.withColumn("__rank", latest).where("__rank = 1").drop("__rank")
 
 
-def watch(spark: SparkSession, root: str, target: str, checkpoint: str, transform=None) -> StreamingQuery:
-    """Files that appear under root are transformed and merged into the snapshot at target, batch by batch."""
+def watch(spark: SparkSession, root: str, target: str, checkpoint: str, transform=None, buckets: int | None = None) -> StreamingQuery:
+    """Files that appear under root are transformed and merged into the snapshot at target, batch by batch. With buckets the
+    snapshot is one in buckets by path, and a batch rewrites those of its own files only."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN).load(root)
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = batch.withColumn("mtime", F.unix_timestamp("modificationTime")).drop("modificationTime")
         rows = transform(rows) if transform else rows.drop("content")
+        if buckets:
+            rows = upsert(None, rows)
+            try:
+                snapshot.update_bucketed(spark, target, rows)
+            except snapshot.SnapshotMissing:
+                snapshot.write_bucketed(rows, target, "path", buckets)
+            return
         try:
             current = snapshot.read(spark, target)
         except snapshot.SnapshotMissing:  # the first batch; any other failure stops the query before anything is replaced

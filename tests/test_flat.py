@@ -87,3 +87,34 @@ def test_store_follows_its_inputs(spark, tmp_path):
     assert store.stored(spark, "t", [source], build).count() == 3 == store.stored(spark, "t", [source], build).count() and len(calls) == 1
     spark.range(3, 8).write.mode("append").parquet(source)
     assert store.stored(spark, "t", [source], build).count() == 8 and len(calls) == 2
+
+
+def test_article_index_reads_few_files(spark, tmp_path):
+    """Look-ups in the stored key index read the folders of their range; results are those of the whole table."""
+    rows = [(k, f"Art-{k * 7919 % 3000:04d}") for k in range(3000)] + [(9000 + k, "SAME 1") for k in range(50)] + [(9999, "Ünï 77")]
+    table = search.articles(spark.createDataFrame(rows, "doc_id long, gtin string"), "gtin")
+    where = str(tmp_path / "ix")
+    search.article_index(table, 12).write.partitionBy(search.SPAN).parquet(where)
+    index = spark.read.parquet(where)
+    bounds = search.article_bounds(index).cache()
+    assert bounds.count() == 12
+
+    def files_read(df):
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        scans = [leaves.apply(k) for k in range(leaves.size())]
+        return max(x.metrics().apply("numFiles").value() for x in scans if x.nodeName().startswith("Scan parquet")) if any(x.nodeName().startswith("Scan parquet") for x in scans) else 0
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for text in ("art 0042", "same-1", "ÜNÏ77", "nowhere", ""):
+            found = search.lookup_indexed(index, bounds, text)
+            assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in search.lookup_article(table, text).collect()), text
+            assert files_read(found) <= 2, text
+        for prefix in ("art004", "ART-1", "sam", "ünï", "ar"):
+            got = search.suggest_indexed(index, bounds, prefix, "doc_id", limit=20)
+            assert [tuple(r) for r in got.select("key", "doc_id").collect()] == [tuple(r) for r in search.suggest_articles(table, prefix, "doc_id", limit=20).select("key", "doc_id").collect()], prefix
+        assert files_read(search.suggest_indexed(index, bounds, "art004", "doc_id")) <= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -129,3 +129,54 @@ def test_positions_and_paths(spark, monkeypatch):
         ingest.corpus_root()
     entries = spark.createDataFrame([("a.ldt", 10, 5), ("b/p.PNG", 20, 20), ("x", 1, 1)], "name string, size long, packed long")
     assert {r.category: r.bytes for r in reports.archive_categories(entries).collect()} == {"photometry": 10, "image": 20, "other": 1}
+
+
+def files_of(path):
+    return {os.path.relpath(os.path.join(d, n), path): os.stat(os.path.join(d, n)).st_mtime_ns for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+
+def test_bucketed_snapshot(spark, tmp_path):
+    path = str(tmp_path / "b")
+    with pytest.raises(snapshot.SnapshotMissing):
+        snapshot.read_bucketed(spark, path)
+    df = spark.range(200).select(F.col("id").cast("string").alias("path"), F.col("id").alias("x"))
+    snapshot.write_bucketed(df, path, "path", 16)
+    before = files_of(path + "/data")
+    assert len(before) == 16
+    # one changed document: one bucket has a new file, the others their old ones
+    touched = snapshot.update_bucketed(spark, path, spark.createDataFrame([("7", -7, "new")], "path string, x long, extra string"))
+    after = files_of(path + "/data")
+    assert len(touched) == 1 and {f for f in set(before) ^ set(after)} and all(f"bucket={touched[0]}/" in f for f in set(before) ^ set(after))
+    assert all(after[f] == t for f, t in before.items() if f"bucket={touched[0]}/" not in f)
+    got = {r.path: (r.x, r.extra) for r in snapshot.read_bucketed(spark, path).collect()}
+    assert len(got) == 200 and got["7"] == (-7, "new") and got["8"] == (8, None)
+    # a whole bucket and another document go; a new one comes
+    one = snapshot._bucket("path", 16)
+    lost = df.where(one == touched[0]).select("path")
+    n = lost.count()
+    snapshot.update_bucketed(spark, path, spark.createDataFrame([("new", 1)], "path string, x long"), lost.unionAll(spark.createDataFrame([("8",), ("nowhere",)], "path string")))
+    left = {r.path for r in snapshot.read_bucketed(spark, path).collect()}
+    assert left == {str(k) for k in range(200)} - {r.path for r in lost.collect()} - {"8"} | {"new"} and n > 1
+    assert snapshot.update_bucketed(spark, path) == [] and snapshot.update_bucketed(spark, path, df.limit(0)) == []
+    with pytest.raises(snapshot.SnapshotMismatch):
+        snapshot.read_bucketed(spark, path, "0")
+
+
+def test_changed_file_rewrites_one_bucket(spark, corpus, tmp_path):
+    path = str(tmp_path / "s")
+    files = ingest.listing(spark, corpus, content=True).where("relative <> 'bad.gldf'")
+    snapshot.write_bucketed(ingest.documents(files).withColumn("product", F.lit("kept")), path, "path", 32)
+    before = files_of(path + "/data")
+    changed = files.withColumn("mtime", F.when(F.col("relative") == "a.gldf", F.col("mtime") + 1).otherwise(F.col("mtime")))
+    touched = ingest.rebuild_buckets(changed, path, ingest.documents)
+    after = files_of(path + "/data")
+    assert len(touched) == 1 and len(set(before) & set(after)) == len(before) - 1
+    assert {r.source.value: r["product"] for r in snapshot.read_bucketed(spark, path).collect()} == {"a.gldf": "Test Product", "sub/b.GLDF": "kept"}
+    assert len(ingest.rebuild_buckets(changed.where("relative = 'a.gldf'"), path, ingest.documents)) == 1
+    assert [r.source.value for r in snapshot.read_bucketed(spark, path).collect()] == ["a.gldf"]
+
+
+def test_stream_into_buckets(spark, corpus, tmp_path):
+    q = intake.watch(spark, corpus, str(tmp_path / "t"), str(tmp_path / "c"), buckets=4)
+    q.awaitTermination(120)
+    assert snapshot.read_bucketed(spark, str(tmp_path / "t")).count() == 3
