@@ -57,7 +57,8 @@ def iban_remainder(compact: str) -> int:
 
 @lru_cache(1 << 14)
 def _round(key: bytes, tweak: str, k: int, value: int, modulus: int) -> int:
-    h = hashlib.blake2b(f"{tweak}|{k}|{value}".encode(), key=key, digest_size=24).digest()
+    text = f"{value}" if value < 1 << 4096 else f"{value:x}"  # Python writes long numbers in decimal in square time, up to 4,300 digits
+    h = hashlib.blake2b(f"{tweak}|{k}|{text}".encode(), key=key, digest_size=24).digest()
     return int.from_bytes(h, "big") % modulus if modulus < 1 << 128 else int.from_bytes(h * (modulus.bit_length() // 192 + 1), "big") % modulus
 
 
