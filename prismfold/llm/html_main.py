@@ -34,16 +34,18 @@ MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
 #: different pages below which nothing counts as repeated: two may be two versions of one page
 FEWEST = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?/]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+#: outside quotes every "<" ends an open tag, so that no text is scanned again and again for the end of unclosed ones
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?/]?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>|<[!?][^>]*(?:>|$)", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOT_CONTENT = frozenset("head nav footer aside form button menu dialog header search object audio video canvas map label".split())
-_BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond widget toolbar pagination pager login signup search contentinfo complementary hidden response responses discussion".split())
+_BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond widget toolbar pagination pager login signup search contentinfo complementary hidden response responses discussion opinion opinions".split())
+_HEADERS = frozenset(("header", "masthead"))
 #: words that may stand beside one of those in a name without changing what it says
-_NEUTRAL = frozenset("a area bar block body bottom box col column container content desktop fixed footer form global group head inner item items left link links list main mobile outer page post posts primary right row secondary section site slot sticky text thread title top unit wrap wrapper zone".split())
+_NEUTRAL = frozenset("a area bar block body bottom box col column container content desktop fixed footer form global group head inner item items left link links list main mobile outer page post posts primary right row secondary section site slot sticky text thread title top unit user users wrap wrapper zone".split())
 #: elements of running text; inside an article or main element their blocks always stay
 _PROSE = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 _ENDS_P = _BLOCK - {"html", "body"}
@@ -51,18 +53,23 @@ _ENDS_P = _BLOCK - {"html", "body"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+#: elements below this depth count as parts of the one there, as in browsers; their text stays
+_DEEPEST = 512
+
+
 def host_of(url: str | None) -> str | None:
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
     return m.group(1).lower() if m else None
 
 
-def _says_no(name: str) -> bool:
-    """Whether a class, id or role is the name of something that is no content: all its words, one of them a telling one."""
+def _says_no(name: str, inside: bool) -> bool:
+    """Whether a class, id or role is the name of something that is no content: all its words, one of them a telling one.
+    Inside an article a header is the article's own."""
     words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
-    return any(w in _BOILERPLATE for w in words) and all(w in _BOILERPLATE or w in _NEUTRAL for w in words)
+    return any(w in _BOILERPLATE and not (inside and w in _HEADERS) for w in words) and all(w in _BOILERPLATE or w in _NEUTRAL for w in words)
 
 
-def _names(tag: str, at: int) -> tuple[str, bool, bool]:
+def _names(tag: str, at: int, inside: bool) -> tuple[str, bool, bool]:
     """Of a start tag whose name ends at a place: the part that goes into its chain, whether its names say that it is no content, and whether it has the role main."""
     label, out, main = "", False, False
     for name, value in _ATTRIBUTE.findall(tag, at):
@@ -75,39 +82,59 @@ def _names(tag: str, at: int) -> tuple[str, bool, bool]:
             if name == "class":
                 label = "." + ".".join(sorted(value.split())).replace(">", ")")
             main |= name == "role" and value.lower() == "main"
-            out |= any(_says_no(w) for w in value.split())
+            out |= any(_says_no(w, inside) for w in value.split())
     return label, out, main
 
 
+def _without_cdata(page: str) -> str:
+    """page without its CDATA sections; one that is not closed stays as it is."""
+    out, at = [], 0
+    while (start := page.find("<![CDATA[", at)) >= 0 and (end := page.find("]]>", start)) >= 0:
+        out.append(page[at:start])
+        at = end + 3
+    return "".join(out) + page[at:] if at else page
+
+
 def blocks(page: str):
-    """(chain, text, inside article or main, structural boilerplate) for each block with text, in page order."""
+    """(chain, text, inside article or main, structural boilerplate) for each block with text, in page order.
+
+    Each piece of text has the state of the element it stands in: what no-content elements within a block hold is left
+    out of its text, and a block of nothing else is boilerplate itself.
+    """
+    page = _without_cdata(page)
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     out, piece, at = [], [], 0
+    still: Counter = Counter()  # open elements by name
 
     def flush():
-        text = " ".join(html.unescape("".join(piece)).split()) if piece else ""
+        _, chain, inside, _ = stack[-1]
+        for gone in (False, True) if piece else ():
+            text = " ".join(html.unescape("".join(t for t, g in piece if g == gone)).split())
+            if text:
+                out.append((chain, text, inside, gone))
+                break
         piece.clear()
-        if text:
-            _, chain, inside, gone = stack[-1]
-            out.append((chain, text, inside, gone))
 
     def close(depth):
         if any(t[0] in _BLOCK for t in stack[depth:]):
             flush()
+        still.subtract(t[0] for t in stack[depth:])
         del stack[depth:]
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            piece.append(page[at : m.start()])
+            piece.append((page[at : m.start()], stack[-1][3]))
         at = m.end()
         tag = _TAG.match(page, m.start())
         if m.group(1) or not tag:
             continue
         name = tag.group(2).lower()
         if name == "br":
-            piece.append(" ")
+            piece.append((" ", stack[-1][3]))
             continue
         if tag.group(1):
+            if not still[name]:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     close(k)
@@ -117,7 +144,7 @@ def blocks(page: str):
             continue
         if name in _BLOCK:
             flush()
-            if name in _ENDS_P:
+            if name in _ENDS_P and still["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         close(k)
@@ -126,7 +153,7 @@ def blocks(page: str):
                         break
         if name in _SIBLINGS:
             ends, holders = _SIBLINGS[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in () if not any(still[e] for e in ends) else range(len(stack) - 1, 0, -1):
                 if stack[k][0] in holders:
                     break
                 if stack[k][0] in ends:
@@ -135,11 +162,12 @@ def blocks(page: str):
         if name in _VOID or m.group().endswith("/>") and name not in _BLOCK:
             continue
         _, chain, inside, gone = stack[-1]
-        label, no, main = _names(m.group(), tag.end() - m.start()) if "=" in m.group() or "hidden" in m.group() else ("", False, False)
+        label, no, main = _names(m.group(), tag.end() - m.start(), inside) if "=" in m.group() or "hidden" in m.group() else ("", False, False)
         whole = main or name in ("html", "body", "article", "main")
         in_article_header = name == "header" and inside
-        stack.append((name, f"{chain}>{name}{label}" if name in _BLOCK else chain, inside or main or name in ("article", "main"), gone or (not whole and no) or (name in _NOT_CONTENT and not in_article_header)))
-    piece.append(page[at:])
+        still[name] += 1
+        stack.append((name, f"{chain}>{name}{label}" if name in _BLOCK and len(stack) < _DEEPEST else chain, inside or main or name in ("article", "main"), gone or (not whole and no) or (name in _NOT_CONTENT and not in_article_header)))
+    piece.append((page[at:], stack[-1][3]))
     flush()
     return out
 
@@ -149,8 +177,11 @@ def _prose(chain: str) -> bool:
 
 
 def _beside(chain: str, holders: set[str]) -> bool:
-    """Running text next to an article or main element."""
-    return _prose(chain) and chain.rpartition(">")[0] in holders
+    """Running text next to an article or main element, whatever it is wrapped in."""
+    if not _prose(chain):
+        return False
+    names = chain.split(">")
+    return any(">".join(names[:k]) in holders for k in range(1, len(names)))
 
 
 def main_text(page: str | None, low: frozenset = frozenset(), own: frozenset = frozenset()) -> str:

@@ -57,8 +57,7 @@ def iban_remainder(compact: str) -> int:
 
 @lru_cache(1 << 14)
 def _round(key: bytes, tweak: str, k: int, value: int, modulus: int) -> int:
-    text = f"{value}" if value < 1 << 4096 else f"{value:x}"  # Python writes long numbers in decimal in square time, up to 4,300 digits
-    h = hashlib.blake2b(f"{tweak}|{k}|{text}".encode(), key=key, digest_size=24).digest()
+    h = hashlib.blake2b(f"{tweak}|{k}|{value}".encode(), key=key, digest_size=24).digest()
     return int.from_bytes(h, "big") % modulus if modulus < 1 << 128 else int.from_bytes(h * (modulus.bit_length() // 192 + 1), "big") % modulus
 
 
@@ -89,11 +88,16 @@ def cycled(x: int, size: int, key: bytes, tweak: str, valid=None) -> int:
             return y
 
 
+#: far above the 64 characters of a real address's local part
+_WIDE = 512
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def _by_class(text: str, classes, key: bytes, tweak: str) -> str:
-    """text with each character permuted within its class, all as one number; other characters stay."""
+    """text with each character permuted within its class, all as one number; other characters stay. Texts of more than
+    _WIDE characters are permuted in pieces, each with its place and the length of the whole as tweak."""
+    if len(text) > _WIDE:
+        return "".join(_by_class(text[k : k + _WIDE], classes, key, f"{tweak}:{k}:{len(text)}") for k in range(0, len(text), _WIDE))
     places = [(k, c, next((s for s in classes if c in s), None)) for k, c in enumerate(text)]
     places = [(k, s.index(c), s) for k, c, s in places if s]
     size, value = 1, 0

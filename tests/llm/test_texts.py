@@ -365,3 +365,56 @@ def test_frames_outlive_a_pipeline_run(spark, sf):
     made = queries.queries()["op6_suffix_array_dedup"](spark, sf)
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert made.count() == 200
+
+
+def test_html_pieces_of_a_block():
+    """Each piece of text has the state of its own element; text beside an article stays."""
+    main_text = html_main.main_text
+    cases = {
+        "<p>Text <span class='advert'>Buy now</span> more</p>": "Text more",
+        "<p>a <a class='share'>x</a><button>no</button> b <span hidden>h</span><video>fallback</video></p>": "a b",
+        "<article><div>Real start text <span class='share'>Share<div>links</div></span></div></article>": "Real start text",
+        "<article><div>Start <label>name<div>x</div></label> end</div></article>": "Start\n\nend",
+        "<article><div class='post-header'><h1>Title</h1></div><p>x</p></article>": "Title\n\nx",
+        "<div class='post-header'>no</div><article><p>x</p></article>": "x",
+        "<article><p>t</p><div class='user-opinions'><p>c</p></div></article>": "t",
+        "<article>teaser</article><div class='body'><p>main text</p></div>": "teaser\n\nmain text",
+        "<main><p>a</p></main><div><p>b</p></div><div class='sidebar'><p>no</p></div>": "a\n\nb",
+        "<p>x<![CDATA[ z ]]>y</p><p><![CDATA[ open</p>": "xy",
+    }
+    for page, text in cases.items():
+        assert main_text(page) == text, page
+
+
+def test_html_malformed_pages_are_linear():
+    main_text = html_main.main_text
+    began = time.perf_counter()
+    for page in ("<a " * 300_000, '<a href="' * 110_000, "<!x" * 300_000, "<![CDATA[" * 110_000, "<script " * 120_000, "<div>" * 200_000, "<p>" * 300_000, "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 50_000 + "<p>x</p>" * 50_000, "<a '\"" * 200_000):
+        main_text(page)
+    assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p>") == "deep\n\nafter"
+    assert time.perf_counter() - began < 60
+
+
+def test_html_long_and_repeated_pages(spark):
+    page = "<article>" + "<p>word " * 60_000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://h.org/1", page, "x")] * 3 + [(None, None, None, "y")], "page_id long, url string, html string, text string")
+    rows = html_main.extract_main_text(pages).collect()
+    assert sorted(r.n_chars for r in rows) == [0] + [len("\n\n".join(["word"] * 60_000))] * 3
+
+
+def test_pii_long_addresses(spark):
+    """Local parts of any length; equal ones stay linked; a plain redactor over a table gives the same."""
+    long = "a.b1" * 250_000 + "@mail7.example.com"
+    texts = ["see " + "a.b1" * 3000 + "@mail7.example.com", long, long, "x" * 20_000 + "@mail7.example.com", None, "", "mail me: joe.b@example.org, joe.b@example.org or +1 (555) 123-4567", "7" * 100_000, "no personal data"]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate([*texts, *texts])], "doc_id long, text string, n_pii int")
+    rows = {}
+    for r in pii_feistel.pseudonymise(docs.select("doc_id", "text"), "key").collect():
+        rows.setdefault(r.doc_id % len(texts), set()).add((r.text, r.n_pii))
+    assert all(len(v) == 1 for v in rows.values())
+    out = {k: next(iter(v)) for k, v in rows.items()}
+    assert out[1] == out[2] and out[1][0] != long and len(out[1][0]) == len(long) and out[1][1] == 1
+    for k, t in enumerate(texts):
+        if t:
+            plain, kinds = pii_feistel.redact(t, b"key")
+            assert out[k] == (plain, sum(kinds)), k
+    assert pii_feistel.pseudonymise(docs.select("doc_id", "text").limit(0), "key").count() == 0
