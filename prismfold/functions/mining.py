@@ -98,6 +98,12 @@ def taxonomy(path: str) -> tuple[str, str | None, str]:
     return parts[0], parts[1] if len(parts) >= 3 else None, parts[-1]
 
 
+def taxonomy_of(path: Column) -> Column:
+    """struct(top, mid, leaf) of a text column, as taxonomy gives it."""
+    parts = F.transform(F.split(path, ":"), lambda x: F.trim(x))
+    return F.struct(F.get(parts, F.lit(0)).alias("top"), F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).alias("mid"), F.element_at(parts, -1).alias("leaf"))
+
+
 def probes(applications: list[str]) -> list[tuple[str, int]]:
     """(text, application id), longest first: phrases and words of the leaves and their singulars; the first id keeps a text."""
     import re

@@ -79,3 +79,67 @@ def colour(appearance: Column, render: Column) -> Column:
     din = F.coalesce(din_code(appearance), din_code(render))
     plain = F.struct(F.coalesce(kelvin(appearance), kelvin(render)).alias("cct"), F.coalesce(rendering(render), rendering(appearance)).alias("cri"))
     return F.coalesce(din, plain)
+
+
+#: polar profiles of the distributions in their order (fixed values): for the planes C0 and C90 lobes of (height, centre, width) in degrees,
+#: width 0 being constant, and the range of angles outside which they are 0
+GLYPHS = (
+    (((1.0, 0.0, 12.0),), ((1.0, 0.0, 12.0),), (0, 180)),
+    (((1.0, 0.0, 25.0),), ((1.0, 0.0, 25.0),), (0, 180)),
+    (((1.0, 0.0, 45.0),), ((1.0, 0.0, 45.0),), (0, 180)),
+    (((1.0, 0.0, 25.0),), ((1.0, 0.0, 30.0),), (0, 180)),
+    (((1.0, 0.0, 18.0),), ((1.0, 0.0, 40.0),), (0, 180)),
+    (((1.0, 0.0, 40.0),), ((1.0, 0.0, 18.0),), (0, 180)),
+    (((1.0, 25.0, 22.0),), ((1.0, 10.0, 28.0),), (0, 180)),
+    (((1.0, 35.0, 30.0),), ((1.0, 15.0, 35.0),), (0, 180)),
+    (((1.0, 55.0, 38.0),), ((1.0, 25.0, 42.0),), (0, 180)),
+    (((1.0, 0.0, 0.0),), ((1.0, 0.0, 0.0),), (0, 90)),
+    (((1.0, 0.0, 0.0),), ((1.0, 0.0, 0.0),), (0, 180)),
+    (((1.0, 0.0, 28.0),), ((1.0, 0.0, 28.0),), (0, 90)),
+    (((1.0, 180.0, 28.0),), ((1.0, 180.0, 28.0),), (90, 180)),
+    (((1.0, 0.0, 25.0), (0.6, 180.0, 25.0)), ((1.0, 0.0, 25.0), (0.6, 180.0, 25.0)), (0, 180)),
+    (((0.7, 0.0, 0.0),), ((0.7, 0.0, 0.0),), (0, 180)),
+)
+
+
+def _lobe(gamma: Column, lobe: Column) -> Column:
+    z = (gamma - lobe["centre"]) / F.nullif(lobe["width"], F.lit(0.0))
+    return lobe["height"] * F.coalesce(F.exp(-0.5 * z * z), F.lit(1.0))
+
+
+def _profile(shape: Column, plane: str) -> Column:
+    """Intensities from 0 (down) to 180 degrees, every 5."""
+
+    def at(gamma: Column) -> Column:
+        inside = gamma.between(shape["low"], shape["high"])
+        return F.when(inside, F.array_max(F.transform(shape[plane], lambda lobe: _lobe(gamma, lobe)))).otherwise(0.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(180), F.lit(5)), at)
+
+
+def glyph(distribution: Column) -> Column:
+    """struct(c0, c90, both) of a distribution id: radii of its polar curves, 37 samples each, scaled so that the largest of
+    both is 1, and whether the second curve differs enough to be drawn. Null for ids out of the table."""
+    lobes = lambda part: F.array(*[F.struct(F.lit(h).alias("height"), F.lit(c).alias("centre"), F.lit(w).alias("width")) for h, c, w in part])
+    table = F.array(*[F.struct(lobes(a).alias("c0"), lobes(b).alias("c90"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for a, b, (lo, hi) in GLYPHS])
+    shape = F.get(table, distribution.cast("int"))
+    c0, c90 = _profile(shape, "c0"), _profile(shape, "c90")
+    top0, top90 = F.array_max(c0), F.array_max(c90)
+    top = F.greatest(top0, top90, F.lit(1e-6))
+    apart = lambda a, b: F.abs(a - b) / F.greatest(a, F.lit(1e-6))
+    both = (apart(top0, top90) > 0.05) | (apart(F.get(c0, F.lit(18)), F.get(c90, F.lit(18))) > 0.1) | (apart(F.get(c0, F.lit(27)), F.get(c90, F.lit(27))) > 0.1) | (apart(F.get(c0, F.lit(36)), F.get(c90, F.lit(36))) > 0.1)
+    scaled = lambda curve: F.transform(curve, lambda x: x / top)
+    return F.when(shape.isNotNull(), F.struct(scaled(c0).alias("c0"), scaled(c90).alias("c90"), both.alias("both")))
+
+
+def glyph_path(curve: Column, size: float = 64.0, pad: float = 4.0) -> Column:
+    """The closed curve of scaled radii as the path of a drawing of that size: down the right side, up the mirrored left one."""
+    middle, radius = size / 2, size / 2 - pad
+
+    def point(r: Column, k: Column, side: int) -> Column:
+        angle = F.radians(90 - 5 * k)
+        return F.format_string("%.2f %.2f", middle + side * r * F.cos(angle) * radius, middle + r * F.sin(angle) * radius)
+
+    right = F.transform(curve, lambda r, k: point(r, k, 1))
+    left = F.reverse(F.transform(curve, lambda r, k: point(r, k, -1)))
+    return F.concat(F.lit("M"), F.array_join(F.concat(right, left), " L"), F.lit(" Z"))

@@ -56,6 +56,18 @@ def intake_summary(docs: DataFrame, errors: DataFrame, warnings: DataFrame) -> D
     return body.crossJoin(errors.agg(F.count(F.lit(1)).alias("failures"))).crossJoin(warnings.agg(F.count(F.lit(1)).alias("warnings"))).withColumn("photometry_percent", 100 * F.col("with_photometry") / F.greatest("variants", F.lit(1)))
 
 
+def intake_by_manufacturer(docs: DataFrame) -> DataFrame:
+    """One row a manufacturer, most documents first: documents, variants, how many of them have photometry and their percentage,
+    documents with applications, warnings, and the slug of the name's first word. Partial sums only; files that failed have no manufacturer."""
+    has = F.size(F.filter("variants", lambda v: v["photometry"].isNotNull()))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    sums = docs.groupBy("manufacturer").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(size("variants")).cast("long").alias("variants"), F.sum(F.greatest(has, F.lit(0))).cast("long").alias("with_photometry"), F.count_if(size("applications") > 0).alias("with_applications"), F.sum(size("warnings")).cast("long").alias("warnings")
+    )
+    slug = F.lower(F.coalesce(F.try_element_at(F.split(F.trim("manufacturer"), r"\s+"), F.lit(1)), F.lit("")))
+    return sums.select("manufacturer", slug.alias("slug"), "docs", "variants", "with_photometry", (100 * F.col("with_photometry") / F.greatest("variants", F.lit(1))).alias("photometry_percent"), "with_applications", "warnings").orderBy(F.desc("docs"), "manufacturer")
+
+
 def warning_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("warnings").alias("w")).groupBy(F.col("w.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -547,6 +547,35 @@ def q_phot_symmetry(spark, sf_dir):
     return bridge.read(spark, sf_dir, "part").select("p_partkey", photometry.symmetry_of(F.when(k != 16, k)).alias("symmetry"))
 
 
+def _glyph_rows() -> str:
+    rows = [f"({k}, {p}, {lo}, {hi}, {h}, {c}, {w})" for k, (a, b, (lo, hi)) in enumerate(photometry.GLYPHS) for p, part in ((0, a), (90, b)) for h, c, w in part]
+    return ", ".join(rows)
+
+
+@query(f"with lobe as (select * from (values {_glyph_rows()}) t(id, plane, low, high, height, centre, width)), v as (select id, plane, gamma, max(case when gamma between low and high then height * case when width = 0 then 1 else exp(-0.5 * ((gamma - centre) / width) ** 2) end else 0 end) as r from lobe, (select unnest(range(0, 181, 5)) as gamma) group by 1, 2, 3), m as (select id, max(r) as top from v group by 1) select n.id, cast(plane as bigint) as plane, gamma, round(r / top, 6) as radius, n.parts from v join m using (id) join (select p_partkey % 17 as id, count(*) as parts from part group by 1) n using (id)")
+def q_glyphs(spark, sf_dir):
+    ids = bridge.read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 17).alias("id")).agg(F.count(F.lit(1)).alias("parts"))
+    curves = ids.select("*", photometry.glyph(F.col("id")).alias("g")).where("g is not null")
+    planes = F.array(F.struct(F.lit(0).cast("long").alias("plane"), F.col("g.c0").alias("r")), F.struct(F.lit(90).cast("long").alias("plane"), F.col("g.c90").alias("r")))
+    rows = curves.select("id", "parts", F.explode(planes).alias("p")).select("id", "parts", "p.plane", F.posexplode("p.r").alias("k", "r"))
+    return rows.select("id", "plane", (F.col("k") * 5).cast("long").alias("gamma"), F.round("r", 6).alias("radius"), "parts")
+
+
+_PATHS = "case p_partkey % 4 when 0 then p_brand || ': ' || p_type || ' :  ' || p_name when 1 then p_brand || ' : ' || p_name when 2 then p_name else p_brand || ':' || p_type || ':' || p_name || ': ' || p_size end"
+
+
+@query(f"select p_partkey, trim(x[1]) as top, case when len(x) >= 3 then trim(x[2]) end as mid, trim(x[len(x)]) as leaf from (select p_partkey, string_split({_PATHS}, ':') as x from part)")
+def q_taxonomy(spark, sf_dir):
+    return bridge.read(spark, sf_dir, "part").select("p_partkey", mining.taxonomy_of(F.expr(_PATHS)).alias("t")).select("p_partkey", "t.*")
+
+
+@query("select p_brand as manufacturer, lower(split_part(p_brand, ' ', 1)) as slug, count(*) as docs, count(*) * 2 as variants, cast(sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) as bigint) as with_photometry, 100.0 * sum(case when p_partkey % 6 <> 5 then 1 else 0 end + case when p_partkey % 4 <> 0 then 1 else 0 end) / (count(*) * 2) as photometry_percent, count(*) filter (where p_size % 3 = 0) as with_applications, cast(sum(p_size % 2) as bigint) as warnings from part group by 1")
+def q_probe_manufacturers(spark, sf_dir):
+    p = bridge.read(spark, sf_dir, "part")
+    marks = p.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 3 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("applications"), F.when(F.col("p_size") % 2 == 1, F.array(F.lit("w"))).alias("warnings"))
+    return reports.intake_by_manufacturer(bridge.products(spark, sf_dir).join(marks, "doc_id"))
+
+
 IK_RATINGS = tuple(f"IK{k:02d}" for k in range(11)) + ("IK10+",)
 APPLICATIONS = ("Indoor: Office: Widgets and rings", "Indoor: Gears", "Outdoor: Street: Hot bolts (small)", "Outdoor: Small areas/red zones")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mining, photometry
 from ..functions.text import unicode_trim
+from ..operators import fold
 from ..plans.luminaires import VARIANT
 from . import snapshot
 
@@ -320,6 +321,25 @@ def rebuilt(listed: DataFrame, old: DataFrame, extract, path: str = "relative")
     return kept.unionByName(extract(marked.where("not reused").drop("reused")), allowMissingColumns=True)
 
 
+def build_index(spark: SparkSession, root: str, path: str, dictionaries: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Files below root as a new build at path: families, aliases of their members, and the files that could not be read, each a
+    snapshot of its own (families, aliases, failures). One row of figures: files, failures, documents and variants in and out.
+
+    Archives are parsed once; everything else reads what was stored.
+    """
+    files = listing(spark, root, content=True)
+    parsed = documents(files, dictionaries)
+    snapshot.write(parsed, f"{path}/documents")
+    docs = snapshot.read(spark, f"{path}/documents")
+    snapshot.write(fold.fold(docs.drop("warnings", "path"), nameless=False), f"{path}/families")
+    families = snapshot.read(spark, f"{path}/families")
+    snapshot.write(fold.aliases(families), f"{path}/aliases")
+    seen = docs.select("path")
+    snapshot.write(listing(spark, root).join(seen, "path", "left_anti").select("relative", "length"), f"{path}/failures")
+    failures = snapshot.read(spark, f"{path}/failures").agg(F.count(F.lit(1)).alias("failures"))
+    return fold.fold_stats(docs, families).crossJoin(failures).withColumn("files", F.col("docs_in") + F.col("failures"))
+
+
 def rebuild_buckets(listed: DataFrame, path: str, extract) -> list[int]:
     """Bring a snapshot in buckets by path (snapshot.write_bucketed) up to the listed files: only new and changed files are
     extracted, files that are gone drop out, and only the buckets of those are rewritten; their numbers."""

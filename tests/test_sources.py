@@ -180,3 +180,15 @@ def test_stream_into_buckets(spark, corpus, tmp_path):
     q = intake.watch(spark, corpus, str(tmp_path / "t"), str(tmp_path / "c"), buckets=4)
     q.awaitTermination(120)
     assert snapshot.read_bucketed(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_build_index(spark, corpus, tmp_path):
+    path = str(tmp_path / "ix")
+    got = ingest.build_index(spark, corpus, path).first()
+    assert (got.files, got.failures, got.docs_in, got.docs_out, got.variants_in, got.variants_out, got.aliases) == (3, 1, 2, 1, 4, 4, 2)
+    family = snapshot.read(spark, f"{path}/families").first()
+    assert (family.manufacturer, family["product"], len(family.members)) == ("ACME", "Test Product", 2)
+    assert {r.family_id for r in snapshot.read(spark, f"{path}/aliases").collect()} == {family.doc_id}
+    assert [r.relative for r in snapshot.read(spark, f"{path}/failures").collect()] == ["bad.gldf"]
+    by = reports.intake_by_manufacturer(snapshot.read(spark, f"{path}/documents")).first()
+    assert (by.manufacturer, by.slug, by.docs, by.variants) == ("ACME", "acme", 2, 4)

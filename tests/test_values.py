@@ -118,3 +118,14 @@ def test_fold_nameless(spark):
     df = spark.createDataFrame(rows, "doc_id long, manufacturer string, product string").selectExpr("cast(doc_id as string) as doc_id", "manufacturer", "product", "array(named_struct('id', 0, 'source_index', 0)) as variants")
     sizes = lambda **kw: sorted(len(r.members) for r in fold.fold(df, meta=None, source=None, **kw).collect())
     assert sizes() == [1, 2, 2] and sizes(nameless=False) == [1, 1, 1, 2]
+
+
+def test_glyphs(spark):
+    rows = spark.range(-1, 17).select("id", photometry.glyph(F.col("id")).alias("g")).select("id", "g", photometry.glyph_path(F.col("g.c0")).alias("path")).collect()
+    g = {r.id: r.g for r in rows}
+    assert g[-1] is None and g[15] is None and all(len(g[k].c0) == 37 == len(g[k].c90) for k in range(15))
+    assert g[0].c0[3] == math.exp(-0.5 * (15 / 12) ** 2) and not g[0].both and g[4].both and g[6].both
+    assert g[9].c0[18] == 1 and g[9].c0[19] == 0 and g[12].c0[0] == 0 and g[12].c0[36] == 1
+    assert abs(g[13].c0[36] - 0.6) < 1e-9 and g[14].c0 == [1.0] * 37  # scaled to the largest
+    path = {r.id: r.path for r in rows}[10]
+    assert path.startswith("M32.00 60.00 L34.44 59.89") and path.endswith("L32.00 60.00 Z") and path.count("L") == 73
