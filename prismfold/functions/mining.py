@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: words in a name and the product form they mean, first match counts (fixed values)
@@ -129,6 +129,39 @@ def applications(c: Column, table: list[tuple[str, int]]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(has_word(low, text), F.lit(k).cast("smallint")) for text, k in table])))
 
 
+def anchored(table: list[tuple[str, int]]) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, int]]]:
+    """(anchor, probe, id, place) of the probes that hold an ASCII word, their first one, and the other probes. A probe stands in a text
+    only where its anchor is one of the text's own words."""
+    import re
+
+    found = [(re.search("[a-z0-9_]+", text), text, k, place) for place, (text, k) in enumerate(table)]
+    return [(m[0], text, k, place) for m, text, k, place in found if m], [(text, k) for m, text, k, _ in found if not m]
+
+
+def applications_joined(names: DataFrame, key: str, name: str, table: list[tuple[str, int]]) -> DataFrame:
+    """(key, applications) of the rows of which any probe stands in the name, as applications gives it, for tables of thousands of probes.
+
+    One pass: the words of each name meet the broadcast probes by their anchors (the table comes from the driver, so it is small),
+    candidates are verified exactly, and only matches are shuffled, to be put together by key. Keys must be unique.
+    """
+    spark = names.sparkSession
+    anchors, rest = anchored(table)
+    if not anchors:
+        found = names.select(key, applications(F.col(name), table).alias("applications"))
+        return found.where(F.size("applications") > 0)
+    probes_ = F.broadcast(spark.createDataFrame(anchors, "__anchor string, __text string, __id smallint, __place int"))
+    low = names.select(F.col(key), F.lower(name).alias("__low"))
+    words = low.select("*", F.explode(F.array_distinct(F.regexp_extract_all("__low", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))).alias("__anchor"))
+    bounded = F.expr(r"__low rlike concat('(?<![A-Za-z0-9_])\\Q', __text, '\\E(?![A-Za-z0-9_])')")
+    hits = words.join(probes_, "__anchor").where(F.contains("__low", "__text") & bounded).select(key, "__place", "__id")
+    if rest:
+        own = {text: place for place, (text, _) in enumerate(table)}
+        for text, k in rest:
+            hits = hits.unionByName(low.where(has_word(F.col("__low"), text)).select(key, F.lit(own[text]).alias("__place"), F.lit(k).cast("smallint").alias("__id")))
+    ordered = F.array_sort(F.collect_list(F.struct("__place", "__id")))
+    return hits.groupBy(key).agg(F.array_distinct(F.transform(ordered, lambda x: x["__id"])).alias("applications"))
+
+
 def keywords(c: Column, ip_known: Iterable[str], ik_known: Iterable[str]) -> Column:
     """Every mined value as a keyword."""
     whole = lambda x: x.cast("int").cast("string")

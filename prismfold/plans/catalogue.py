@@ -600,6 +600,14 @@ def q_mine_app(spark, sf_dir):
     return bridge.read(spark, sf_dir, "part").select("p_partkey", F.nullif(F.array_join(F.array_sort(F.transform(found, lambda k: k.cast("string"))), ","), F.lit("")).alias("applications"))
 
 
+@query(_SQL["q_mine_app"])
+def q_mine_app_joined(spark, sf_dir):
+    parts = bridge.read(spark, sf_dir, "part")
+    found = mining.applications_joined(parts, "p_partkey", "p_name", mining.probes(list(APPLICATIONS)))
+    listed = F.array_join(F.array_sort(F.transform("applications", lambda k: k.cast("string"))), ",")
+    return parts.select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", listed.alias("applications"))
+
+
 @query("select p_partkey, 'http://view.example/?f=' || replace(replace(url_encode('http://files.example/' || replace(url_encode(p_name), '%2F', '/') || '/' || p_partkey || '.x'), '%7E', '~'), '+', '%20') as link from part")
 def q_viewer(spark, sf_dir):
     path = F.concat_ws("/", "p_name", F.concat(F.col("p_partkey"), F.lit(".x")))

@@ -1,6 +1,8 @@
 """Scalar functions, mining, specs and folding against fixed expectations."""
 
 import math
+import random
+import re
 
 import pytest
 from catalogue_docs import doc, frame, variant
@@ -129,3 +131,29 @@ def test_glyphs(spark):
     assert abs(g[13].c0[36] - 0.6) < 1e-9 and g[14].c0 == [1.0] * 37  # scaled to the largest
     path = {r.id: r.path for r in rows}[10]
     assert path.startswith("M32.00 60.00 L34.44 59.89") and path.endswith("L32.00 60.00 Z") and path.count("L") == 73
+
+
+def test_a_thousand_applications(spark):
+    """Words meet a broadcast table; the same as one pattern a probe."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 6))) for _ in range(700)] + ["äöü", "ab-cd", "c++x", "x_1y"]
+    leaves = [f"Top: {' '.join(rng.sample(words, rng.randint(1, 3)))}{rng.choice(['', 's', ' (note)', '/zones'])}" for _ in range(1000)]
+    table = mining.probes(leaves)
+    names = [None, "", "äöü", "xäöü", "Straße ÄÖÜ!"] + [" ".join(rng.choice(words).title() + rng.choice(["", "s", "-", ".", "_"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    names += [" ".join(rng.choice(leaves)[5:].split()[:2]) + "x" * (k % 2) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string")
+    got = {r.k: r.applications for r in mining.applications_joined(df, "k", "name", table).collect()}
+    small = [t for t in table if any(t[0].split()[0] in (n or "").lower() for n in names)]  # others cannot stand anywhere
+    want = {}
+    for k, name in enumerate(names):
+        low = (name or "").lower()
+        ids = [i for text, i in small if re.search("(?<![A-Za-z0-9_])" + re.escape(text) + "(?![A-Za-z0-9_])", low)]
+        if ids:
+            want[k] = list(dict.fromkeys(ids))
+    assert got == want and len(want) > 60
+    few = df.limit(20)
+    by_pattern = {r.k: r.a for r in few.select("k", mining.applications(F.col("name"), small[:150]).alias("a")).collect() if r.a}
+    assert by_pattern == {r.k: r.applications for r in mining.applications_joined(few, "k", "name", small[:150]).collect()}
+    assert mining.applications_joined(df, "k", "name", []).count() == 0
+    plan = mining.applications_joined(df, "k", "name", [t for t in table if t[0].isascii()])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("Exchange hashpartitioning") == 1
