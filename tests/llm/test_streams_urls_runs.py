@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismfold.llm import queries
+from prismfold.llm import queries, url_templates
 from prismfold.llm.sale_enrichment import enriched_sales
 from prismfold.llm.tandem_runs import periodic_runs, runs_of
 from prismfold.llm.url_templates import judged_urls, merged, url_parts
@@ -150,6 +150,64 @@ def test_templates(spark):
     assert got[601].purity == pytest.approx(p)
 
 
+def plain_templates(rows):
+    """rows (host, path, good or None): templates and purities, level by level with dictionaries."""
+    parts = [[s for s in p.split("/") if s] for _, p, _ in rows]
+    names = [""] * len(rows)
+    number = re.compile(url_templates.NUMBER)
+    for k in range(min(max(map(len, parts), default=0), url_templates.DEPTH)):
+        seen = {}
+        for i, (host, _, good) in enumerate(rows):
+            if len(parts[i]) > k:
+                x = seen.setdefault((host, names[i]), {}).setdefault(parts[i][k], [0] * 5)
+                after = parts[i][k + 1] if len(parts[i]) > k + 1 else None
+                for j, v in enumerate((1, after is None, after is not None and bool(number.search(after)), good or 0, good is not None)):
+                    x[j] += int(v)
+        kept = {b: merged([(s, *x) for s, x in c.items() if x[0] >= 5 and x[0] >= 0.02 * sum(y[0] for y in c.values())]) for b, c in seen.items()}
+        for i, (host, _, _) in enumerate(rows):
+            if len(parts[i]) > k:
+                names[i] += "/" + kept[host, names[i]].get(parts[i][k], "{#}" if number.search(parts[i][k]) else "{*}")
+    names = [n + "/**" if len(p) > url_templates.DEPTH else n for n, p in zip(names, parts)]
+    sums = {}
+    above = lambda n: ["/".join(n.split("/")[:j]) for j in range(1, len(n.split("/")) + 1)]
+    for (host, _, good), n in zip(rows, names):
+        for up in above(n) if good is not None else ():
+            x = sums.setdefault((host, up), [0, 0])
+            x[0], x[1] = x[0] + good, x[1] + 1
+    labelled = [g for _, _, g in rows if g is not None]
+    out = []
+    for (host, _, _), n in zip(rows, names):
+        p = (sum(labelled) + 1) / (len(labelled) + 1)
+        for up in above(n):
+            g, m = sums.get((host, up), (0, 0))
+            p = (g + 10 * p) / (m + 10)
+        out.append((n, p))
+    return out
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_url_filter_query(spark, scale):
+    """The whole table by a plain version."""
+    where = f"/root/testdata/{scale}"
+    labels = {}
+    for r in spark.read.parquet(f"{where}/labels.parquet").collect():
+        good = int(r.quality == 1 and r.toxic == 0)
+        labels[r.doc_id] = min(good, labels.get(r.doc_id, 1))
+    pages = spark.read.parquet(f"{where}/pages.parquet").select("page_id", "url").collect()
+    rows = []
+    for r in pages:
+        host, path = plain_parts(r.url)
+        m = re.search(r"([0-9]{1,18})(?:\.[a-z]+)?/?$", path)
+        rows.append((host, path, labels.get(int(m[1])) if m else None))
+    want = {r.page_id: (h, p, *plain_rule(h, p)[::-1], t, pure) for r, (h, p, _), (t, pure) in zip(pages, rows, plain_templates(rows))}
+    got = queries.op12_url_filter(spark, where).collect()
+    assert len(got) == len(want) == len(pages)
+    for r in got:
+        host, path, rule, verdict, template, pure = want[r.page_id]
+        assert (r.host, r.path, r.rule, r.template) == (host, path, rule, template)
+        assert r.purity == pytest.approx(pure) and r.verdict == (verdict or ("block" if pure < 0.5 else "allow"))
+
+
 def test_merged_branches():
     same = [("a", 100, 0, 100, 90, 100), ("b", 100, 0, 100, 88, 100), ("c", 100, 0, 100, 10, 100), ("d", 100, 100, 0, 90, 100)]
     assert merged(same) == {"a": "{a|b}", "b": "{a|b}", "c": "c", "d": "d"}
