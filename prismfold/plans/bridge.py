@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +97,35 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: the table of closed values that the archives' typed elements refer to
+CLOSED = {"applications": ("Indoor: Office", "Indoor: School rooms"), "labels": ("ENEC", "CE"), "ip_code": ("IP20", "IP65"), "ik_rating": ("IK08",), "product_form": ("Round", "Square"), "safety_class": ("I", "II"), "emergency_type": ("Central",)}
+_ARCHIVE = """concat('<Root><Header><Manufacturer>', if(p_partkey % 11 = 0, ' ', concat('  ', p_brand, ' ')), '</Manufacturer>', if(p_partkey % 4 = 0, '', concat('<UniqueGldfId> uid-', p_partkey, ' </UniqueGldfId>')),
+    if(p_partkey % 5 = 0, '', concat('<FormatVersion major="1" minor="', p_partkey % 3, '" pre-release="', p_partkey % 2, '"/>')), '</Header><GeneralDefinitions><Files><File id="p" contentType="image/png">p.png</File></Files></GeneralDefinitions>',
+    '<ProductDefinitions><ProductMetaData><Name><Locale language="de">Teil ', p_partkey, '</Locale>', if(p_partkey % 2 = 0, concat('<Locale language="en">', p_name, '</Locale>'), ''), '</Name><ProductNumber><Locale language="en">N-', p_partkey, '</Locale></ProductNumber>',
+    if(p_partkey % 3 = 0, concat('<GTIN> </GTIN><GTIN>G', p_partkey, '</GTIN>'), ''), '<Description><Locale language="en">text ', p_partkey, '</Locale><Locale language="en-US">no</Locale><Locale language="de">Teil</Locale></Description></ProductMetaData>',
+    '<Variants><Variant id="v1"><Name><Locale language="en">Unit ', p_partkey % 200 + 1, 'W ', p_partkey * 7 % 9000 + 1, 'lm IP65 840</Locale></Name><Mountings>',
+    case p_partkey % 5 when 0 then concat('<Ceiling><Recessed recessedDepth="', p_partkey % 1200 + 1, '"/></Ceiling>') when 1 then '<Wall><SurfaceMounted/></Wall>' when 2 then '<Ground><PoleTop/></Ground>' when 3 then '<WorkingPlane><FreeStanding/></WorkingPlane>' else '' end, '</Mountings><DescriptiveAttributes>',
+    '<Application>', if(p_partkey % 2 = 1, 'Indoor: Office', 'Nowhere'), '</Application>', if(p_partkey % 3 = 0, '<Label>CE</Label>', ''), if(p_partkey % 7 = 0, '<ProductForm>Round</ProductForm>', ''), if(p_partkey % 2 = 0, '<IngressProtectionIPCode>IP20</IngressProtectionIPCode>', ''),
+    if(p_partkey % 3 = 1, '<ElectricalSafetyClass>II</ElectricalSafetyClass>', ''), '</DescriptiveAttributes>', if(p_partkey % 6 = 0, '<EmergencyLighting><EmergencyLightingType>Central</EmergencyLightingType></EmergencyLighting>', ''), if(p_partkey % 4 = 1, '<ModelGeometryReference/>', ''), '</Variant><Variant id="v2"/></Variants></ProductDefinitions></Root>')"""
+
+
+def _zipped(frames):
+    for f in frames:
+        packed = []
+        for text, broken in zip(f["xml"], f["broken"]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("product.xml", text)
+            packed.append(out.getvalue()[: 20 if broken else None])
+        yield f.assign(content=packed)[["path", "relative", "length", "mtime", "content"]]
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product archive a part, as listing(content=True) gives files; those of every thirteenth part are broken."""
+    p = read(spark, sf_dir, "part").selectExpr("concat('file:/c/', p_partkey, '.gldf') as path", "concat(p_partkey, '.gldf') as relative", "cast(p_size as bigint) as length", "cast(p_partkey as bigint) as mtime", f"{_ARCHIVE} as xml", "p_partkey % 13 = 0 as broken")
+    return p.mapInPandas(_zipped, "path string, relative string, length long, mtime long, content binary")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: language as locale, source as manufacturer."""
     d = read(spark, sf_dir, "documents")

@@ -547,6 +547,57 @@ def q_phot_symmetry(spark, sf_dir):
     return bridge.read(spark, sf_dir, "part").select("p_partkey", photometry.symmetry_of(F.when(k != 16, k)).alias("symmetry"))
 
 
+def _extracted(spark, sf_dir) -> DataFrame:
+    key = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("p_partkey")
+    return ingest.documents(bridge.archives(spark, sf_dir), bridge.CLOSED).select(key, "*")
+
+
+_WHOLE = "from (select *, p_partkey as k from part where p_partkey % 13 <> 0)"
+
+
+@query(f"select k as p_partkey, case when k % 4 <> 0 then sha256('uid-' || k) else sha256('path:' || k || '.gldf') end as doc_id, case when k % 11 = 0 then '' else p_brand end as manufacturer, case when k % 2 = 0 then p_name else 'Teil ' || k end as product, case when k % 3 = 0 then 'G' || k end as gtin, 'N-' || k as product_code, cast(case when k % 2 = 0 then 0 else 1 end as int) as ip_code, cast(case when k % 3 = 1 then 1 end as int) as safety_class, cast(case when k % 7 = 0 then 0 end as int) as product_form, case when k % 5 <> 0 then '1.' || (k % 3) || '.' || case when k % 2 = 1 then '-rc.1' else '' end end as version, cast(p_size as bigint) as size_bytes, cast(k as bigint) as mtime, k || '.gldf' as source {_WHOLE}")
+def q_ext_documents(spark, sf_dir):
+    d = _extracted(spark, sf_dir)
+    small = [F.col(c).cast("int").alias(c) for c in ("ip_code", "safety_class", "product_form")]
+    return d.select("p_partkey", "doc_id", "manufacturer", "product", "gtin", "product_code", *small, F.col("file_meta.format_version").alias("version"), F.col("file_meta.size_bytes").alias("size_bytes"), F.col("file_meta.mtime_epoch_s").alias("mtime"), F.col("source.value").alias("source"))
+
+
+_V1 = "'Unit ' || (k % 200 + 1) || 'W ' || (k * 7 % 9000 + 1) || 'lm IP65 840'"
+
+
+@query(f"select k as p_partkey, cast(0 as int) as ix, {_V1} as name, case k % 5 when 0 then 'Ceiling' when 1 then 'Wall' when 2 then 'Ground' when 3 then 'WorkingPlane' else 'Unknown' end as place, case k % 5 when 0 then 'Recessed' when 1 then 'SurfaceMounted' when 2 then 'PoleTop' when 3 then 'FreeStanding' else 'Unknown' end as type, cast(case when k % 5 = 0 and k % 1200 < 1000 then k % 1200 + 1 end as bigint) as depth, k % 4 = 1 as has_3d, k % 6 = 0 as has_emergency, cast(case when k % 6 = 0 then 0 end as int) as emergency_type, cast(k * 7 % 9000 + 1 as bigint) as flux, cast(k % 200 + 1 as bigint) as power, cast(4000 as int) as cct, cast(80 as int) as cri {_WHOLE} union all select k, 1, 'v2', 'Unknown', 'Unknown', null, false, false, null, null, null, null, null {_WHOLE}")
+def q_ext_variants(spark, sf_dir):
+    v = _extracted(spark, sf_dir).select("p_partkey", F.explode("variants").alias("v"))
+    f = F.col("v.photometry")
+    return v.select("p_partkey", F.col("v.id").alias("ix"), "v.name", F.col("v.mounting_place").alias("place"), F.col("v.mounting_type").alias("type"), F.col("v.recessed_depth_mm").alias("depth"), "v.has_3d", F.col("v.has_emergency_lighting").alias("has_emergency"), F.col("v.emergency_lighting_type").cast("int").alias("emergency_type"), f["flux_lm"].cast("bigint").alias("flux"), f["power_w"].cast("bigint").alias("power"), f["cct_k"].alias("cct"), f["cri_ra"].cast("int").alias("cri"))
+
+
+@query(f"select k as p_partkey, array_to_string(list_sort(list_filter([(k * 7 % 9000 + 1) || 'lm', (k % 200 + 1) || 'W', 'IP65', 'CRI80', '4000K', case when k % 2 = 1 then 'Indoor: Office' end, case when k % 3 = 0 then 'CE' end, case when k % 7 = 0 then 'Round' end, case when k % 2 = 0 then 'IP20' end, case when k % 3 = 1 then 'II' end], lambda x: x is not null)), ',') as keywords, case when k % 2 = 1 then '0' else '' end as applications, case when k % 3 = 0 then '1' else '' end as labels, 'Teil ' || k || ' Teil' as de, case when k % 2 = 0 then p_name || ' ' else '' end || 'text ' || k || ' N-' || k || ' ' || {_V1} as en {_WHOLE}")
+def q_ext_sets(spark, sf_dir):
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    text = lambda code: F.try_element_at(F.filter("descriptions", lambda d: d["locale"] == code), F.lit(1))["text"].alias(code)
+    return _extracted(spark, sf_dir).select("p_partkey", listed("keywords"), listed("applications"), listed("labels"), text("de"), text("en"))
+
+
+@query(f"select k as p_partkey, unnest(['PhotometryMissing', 'PhotometryMissing']) as kind, unnest(['v1', 'v2']) as detail {_WHOLE} union all select k, 'ManufacturerEmpty', '' {_WHOLE} where k % 11 = 0 union all select k, 'DocIdUnavailable', '' {_WHOLE} where k % 4 = 0 union all select k, 'NonCanonicalEnumValue', 'v1 Application Nowhere' {_WHOLE} where k % 2 = 0")
+def q_ext_warnings(spark, sf_dir):
+    return _extracted(spark, sf_dir).select("p_partkey", F.explode("warnings").alias("w")).select("p_partkey", "w.kind", "w.detail")
+
+
+@query("select count(*) as files, count(*) filter (where p_partkey % 13 = 0) as failures, count(*) filter (where p_partkey % 13 <> 0) * 2 as variants, count(*) filter (where p_partkey % 13 <> 0) as images from part")
+def q_archives(spark, sf_dir):
+    parsed = ingest.products(bridge.archives(spark, sf_dir))
+    read = ingest.inspect(parsed.where("error is null")).agg(F.sum("n_variants").alias("variants"), F.sum("image").alias("images"))
+    return parsed.agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("failures")).crossJoin(read)
+
+
+@query("select p_partkey, sha256('uid-' || p_partkey) is not null as there, cast(p_size as bigint) as length from part where p_partkey % 3 = 0")
+def q_manifest(spark, sf_dir):
+    path = store.fresh_folder(spark, "manifest")
+    ingest.manifest(bridge.archives(spark, sf_dir).where("mtime % 3 = 0"), path)
+    return spark.read.schema("relative string, length long, sha256 string").json(path).select(F.regexp_extract("relative", "([0-9]+)", 1).cast("bigint").alias("p_partkey"), (F.length("sha256") == 64).alias("there"), "length")
+
+
 def _glyph_rows() -> str:
     rows = [f"({k}, {p}, {lo}, {hi}, {h}, {c}, {w})" for k, (a, b, (lo, hi)) in enumerate(photometry.GLYPHS) for p, part in ((0, a), (90, b)) for h, c, w in part]
     return ", ".join(rows)
