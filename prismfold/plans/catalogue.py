@@ -507,8 +507,7 @@ _ENTRIES = "select case p_partkey % 7 when 0 then 'a.ldt' when 1 then 'b/p.PNG'
 
 @query(f"select category, n, bytes, packed, packed / cast(bytes as double) as ratio, bytes * 10 as projected_bytes, packed * 10 as projected_packed from (select case when name in ('a.ldt', 'e.IES') then 'photometry' when name = 'b/p.PNG' then 'image' when name = 'c.glb' then 'geometry' when name = 'product.xml' then 'xml' when name = 'd.pdf' then 'document' else 'other' end as category, count(*) as n, cast(sum(size) as bigint) as bytes, cast(sum(packed) as bigint) as packed from ({_ENTRIES}) group by 1)")
 def q_zipcat(spark, sf_dir):
-    bridge.read(spark, sf_dir, "part").createOrReplaceTempView("__prismfold_part")
-    entries = spark.sql(_ENTRIES.replace("from part", "from __prismfold_part"))
+    entries = spark.sql(_ENTRIES.replace("from part", "from {part}"), part=bridge.read(spark, sf_dir, "part"))
     return reports.projected(reports.archive_categories(entries), sampled=20, files=200)
 
 
@@ -535,8 +534,7 @@ _RA_OF = "case when try_cast(nullif(regexp_extract({0}, '(?i)ra([0-9]*)', 1), ''
 
 @query(f"with t as ({_PHOT}), d as (select *, coalesce({_DIN_OF.format('appearance')}, {_DIN_OF.format('render')}) as din from t) select p_partkey, {_KELVIN_OF.format('render')} as kelvin, {_RA_OF.format('render')} as ra, cast({_DIN_OF.format('appearance')}[2:3] as int) * 100 as din_cct, case when din is not null then cast(din[2:3] as int) * 100 else coalesce({_KELVIN_OF.format('appearance')}, {_KELVIN_OF.format('render')}) end as cct, case when din is not null then cast(din[1] as int) * 10 else coalesce({_RA_OF.format('render')}, {_RA_OF.format('appearance')}) end as cri from d")
 def q_phot_colour(spark, sf_dir):
-    bridge.read(spark, sf_dir, "part").createOrReplaceTempView("__prismfold_part")
-    t = spark.sql(_PHOT.replace("from part", "from __prismfold_part"))
+    t = spark.sql(_PHOT.replace("from part", "from {part}"), part=bridge.read(spark, sf_dir, "part"))
     c = photometry.colour(F.col("appearance"), F.col("render"))
     return t.select("p_partkey", photometry.kelvin(F.col("render")).alias("kelvin"), photometry.rendering(F.col("render")).alias("ra"), photometry.din_code(F.col("appearance"))["cct"].alias("din_cct"), c["cct"].alias("cct"), c["cri"].alias("cri"))
 
