@@ -103,37 +103,41 @@ def blocks(page: str):
     """
     page = _without_cdata(page)
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    out, piece, at = [], [], 0
-    still: Counter = Counter()  # open elements by name
+    out, at = [], 0
+    kept, lost = [], []  # pieces of the open block's text, and those in elements that are no content
+    still: dict[str, int] = {}  # open elements by name
 
     def flush():
-        _, chain, inside, _ = stack[-1]
-        for gone in (False, True) if piece else ():
-            text = " ".join(html.unescape("".join(t for t, g in piece if g == gone)).split())
+        if kept or lost:
+            text = " ".join(html.unescape("".join(kept)).split())
+            gone = not text
+            if gone and lost:
+                text = " ".join(html.unescape("".join(lost)).split())
             if text:
-                out.append((chain, text, inside, gone))
-                break
-        piece.clear()
+                out.append((stack[-1][1], text, stack[-1][2], gone))
+            kept.clear()
+            lost.clear()
 
     def close(depth):
         if any(t[0] in _BLOCK for t in stack[depth:]):
             flush()
-        still.subtract(t[0] for t in stack[depth:])
+        for t in stack[depth:]:
+            still[t[0]] -= 1
         del stack[depth:]
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            piece.append((page[at : m.start()], stack[-1][3]))
+            (lost if stack[-1][3] else kept).append(page[at : m.start()])
         at = m.end()
         tag = _TAG.match(page, m.start())
         if m.group(1) or not tag:
             continue
         name = tag.group(2).lower()
         if name == "br":
-            piece.append((" ", stack[-1][3]))
+            (lost if stack[-1][3] else kept).append(" ")
             continue
         if tag.group(1):
-            if not still[name]:
+            if not still.get(name):
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
@@ -144,7 +148,7 @@ def blocks(page: str):
             continue
         if name in _BLOCK:
             flush()
-            if name in _ENDS_P and still["p"]:
+            if name in _ENDS_P and still.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         close(k)
@@ -153,7 +157,7 @@ def blocks(page: str):
                         break
         if name in _SIBLINGS:
             ends, holders = _SIBLINGS[name]
-            for k in () if not any(still[e] for e in ends) else range(len(stack) - 1, 0, -1):
+            for k in () if not any(still.get(e) for e in ends) else range(len(stack) - 1, 0, -1):
                 if stack[k][0] in holders:
                     break
                 if stack[k][0] in ends:
@@ -165,9 +169,9 @@ def blocks(page: str):
         label, no, main = _names(m.group(), tag.end() - m.start(), inside) if "=" in m.group() or "hidden" in m.group() else ("", False, False)
         whole = main or name in ("html", "body", "article", "main")
         in_article_header = name == "header" and inside
-        still[name] += 1
+        still[name] = still.get(name, 0) + 1
         stack.append((name, f"{chain}>{name}{label}" if name in _BLOCK and len(stack) < _DEEPEST else chain, inside or main or name in ("article", "main"), gone or (not whole and no) or (name in _NOT_CONTENT and not in_article_header)))
-    piece.append((page[at:], stack[-1][3]))
+    (lost if stack[-1][3] else kept).append(page[at:])
     flush()
     return out
 
