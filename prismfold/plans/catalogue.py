@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mining, photometry, text
-from ..operators import bitmaps, counts, flat, fold, reports, search
+from ..operators import bitmaps, counts, flat, fold, reports, search, trigrams
 from ..operators.predicates import matching
 from ..sources import ingest, snapshot, store
 from . import bridge
@@ -308,6 +309,39 @@ def _texts(spark, sf_dir, spec: Spec) -> DataFrame:
     return matching(bridge.texts(spark, sf_dir), spec, LUMINAIRES).select("doc_id")
 
 
+def _blocks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The stored documents in blocks, and their trigrams."""
+    inputs = [f"{sf_dir}/documents.parquet"]
+    table = store.stored(spark, "text-blocks", inputs, lambda: trigrams.blocked(bridge.texts(spark, sf_dir), 64, "manufacturer", "doc_id"), by=trigrams.BLOCK)
+    return table, store.stored(spark, "text-trigrams", inputs, lambda: trigrams.postings(table, 16))
+
+
+def _texts_indexed(spark, sf_dir, spec: Spec) -> DataFrame:
+    from .luminaires import LUMINAIRES
+
+    return trigrams.matching(*_blocks(spark, sf_dir), spec, LUMINAIRES).select("doc_id")
+
+
+@query(_SQL["q_text"])
+def q_text_blocks(spark, sf_dir):
+    return _texts_indexed(spark, sf_dir, Spec.of(text="ÉR"))
+
+
+@query(_SQL["q_text_locale"])
+def q_text_locale_blocks(spark, sf_dir):
+    return _texts_indexed(spark, sf_dir, Spec.of(text="le l", locale="fr"))
+
+
+NEEDLES = ("z", "qu", "ion", " the", "ÉR", "Union ", "over the", "xqzv", "a very long needle 77")
+
+
+@query(f"select n.needle, count(*) as found from (select unnest({list(NEEDLES)!r}) as needle) n join documents on contains({_ASCII.format('text')}, lower(n.needle)) or contains({_ASCII.format('source')}, lower(n.needle)) group by 1")
+def q_text_needles(spark, sf_dir):
+    """Documents found for needles of many lengths, each from the blocks that can hold it."""
+    found = [_texts_indexed(spark, sf_dir, Spec.of(text=n)).select(F.lit(n).alias("needle")) for n in NEEDLES]
+    return reduce(DataFrame.unionByName, found).groupBy("needle").agg(F.count(F.lit(1)).alias("found"))
+
+
 def _group(pattern: str, group: int = 1) -> str:
     return f"nullif(regexp_extract(name, '{pattern}', {group}), '')"
 
