@@ -630,6 +630,16 @@ def q_manifest(spark, sf_dir):
     return spark.read.schema("relative string, length long, sha256 string").json(path).select(F.regexp_extract("relative", "([0-9]+)", 1).cast("bigint").alias("p_partkey"), (F.length("sha256") == 64).alias("there"), "length")
 
 
+@query("select p_partkey, cast(p_size as bigint) as length, cast(p_partkey as bigint) as mtime, p_partkey % 13 <> 0 as readable, true as listed from part")
+def q_bundle(spark, sf_dir):
+    path = store.fresh_folder(spark, "bundle")
+    ingest.write_bundle(bridge.archives(spark, sf_dir), path)
+    parsed = ingest.products(ingest.read_bundle(spark, path))
+    listed = spark.read.schema("relative string, sha256 string").json(f"{path}/{ingest.BUNDLE_MANIFEST}").where(F.length("sha256") == 64).select("relative", F.lit(True).alias("listed"))
+    key = F.regexp_extract("relative", "([0-9]+)", 1).cast("bigint").alias("p_partkey")
+    return parsed.join(listed, "relative", "left").select(key, "length", "mtime", F.col("error").isNull().alias("readable"), F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 def _glyph_rows() -> str:
     rows = [f"({k}, {p}, {lo}, {hi}, {h}, {c}, {w})" for k, (a, b, (lo, hi)) in enumerate(photometry.GLYPHS) for p, part in ((0, a), (90, b)) for h, c, w in part]
     return ", ".join(rows)

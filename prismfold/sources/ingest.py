@@ -306,6 +306,44 @@ def copy_sample(files: DataFrame, target: str) -> DataFrame:
     return files.select("relative", "content").mapInPandas(run, "relative string, copied long")
 
 
+BUNDLE, BUNDLE_MANIFEST = "files", "manifest"
+
+
+def write_bundle(files: DataFrame, target: str, force: bool = False) -> DataFrame:
+    """Files (with content) as one table below target, and their manifest (relative, length, sha256) as JSON beside it; the manifest.
+
+    Executors write through Hadoop's file systems, and a table is there whole once its job is committed; the manifest is made
+    of what was stored, last, so a bundle with a manifest is complete. A target with files is refused without force, which
+    replaces the bundle. For loose files on a mounted folder see copy_sample."""
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path) and len(fs.listStatus(path)):
+        if not force:
+            raise FileExistsError(target)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, BUNDLE_MANIFEST), True)
+    hashed = files.select("path", "relative", "length", "mtime", F.sha2("content", 256).alias("sha256"), "content")
+    hashed.write.mode("overwrite").parquet(f"{target}/{BUNDLE}")
+    listed = spark.read.parquet(f"{target}/{BUNDLE}").select("relative", "length", "sha256")
+    listed.repartition(1).sortWithinPartitions("relative").write.mode("overwrite").json(f"{target}/{BUNDLE_MANIFEST}")
+    return listed
+
+
+def read_bundle(spark: SparkSession, target: str) -> DataFrame:
+    """The files of a complete bundle, as listing gives them with content; documents() takes them."""
+    spark.read.text(f"{target}/{BUNDLE_MANIFEST}/_SUCCESS")  # refuses a bundle without its manifest
+    return spark.read.parquet(f"{target}/{BUNDLE}").drop("sha256")
+
+
+def damaged(spark: SparkSession, target: str) -> DataFrame:
+    """Files of a bundle whose content is not what its manifest says, on either side: (relative, problem)."""
+    said = spark.read.schema("relative string, length long, sha256 string").json(f"{target}/{BUNDLE_MANIFEST}").withColumn("said", F.lit(True))
+    held = spark.read.parquet(f"{target}/{BUNDLE}").select("relative", F.length("content").cast("long").alias("n"), F.sha2("content", 256).alias("now"))
+    both = said.join(held, "relative", "full")
+    wrong = F.when(F.col("said").isNull(), "not listed").when(F.col("now").isNull(), "missing").when((F.col("n") != F.col("length")) | (F.col("now") != F.col("sha256")), "changed")
+    return both.select("relative", wrong.alias("problem")).where("problem is not null")
+
+
 def as_json(docs: DataFrame) -> DataFrame:
     """Documents with their warnings as one JSON text each (column json)."""
     return docs.select(F.to_json(F.struct("*")).alias("json"))

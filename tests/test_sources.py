@@ -1,3 +1,4 @@
+import hashlib
 import os
 import zipfile
 
@@ -93,6 +94,41 @@ def test_samples_and_manifest(spark, corpus, tmp_path):
     assert reports.largest_files(files, 1).count() == 1
 
 
+@pytest.mark.parametrize("scheme", ["file://", "viewfs://bundles"])
+def test_bundles(spark, corpus, tmp_path, scheme):
+    """The same bundle through two file systems; documents from it are those from the folder."""
+    root = str(tmp_path)
+    if scheme != "file://":
+        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.bundles.link./shelf", f"file://{root}")
+        root = "/shelf"
+    target = f"{scheme}{root}/bundle"
+    files = ingest.listing(spark, corpus, content=True)
+    want = sorted((r.relative, r.length, hashlib.sha256(bytes(r.content)).hexdigest()) for r in files.collect())
+    with pytest.raises(Exception):
+        ingest.read_bundle(spark, target)
+    assert sorted(tuple(r) for r in ingest.write_bundle(files, target).collect()) == want
+    assert sorted((r.relative, r.length, r.sha256) for r in spark.read.json(f"{target}/manifest").collect()) == want
+    back = ingest.read_bundle(spark, target)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, files.collect()))
+    names = lambda f: sorted((r.doc_id, r["product"]) for r in ingest.documents(f).collect())
+    assert names(back) == names(files)
+    with pytest.raises(FileExistsError):
+        ingest.write_bundle(files, target)
+    assert ingest.write_bundle(files.where("relative like '%a.gldf'"), target, force=True).count() == 1
+    assert ingest.read_bundle(spark, target).count() == 1 and ingest.damaged(spark, target).count() == 0
+
+
+def test_damaged_bundles(spark, corpus, tmp_path):
+    target = f"file://{tmp_path}/bundle"
+    files = ingest.listing(spark, corpus, content=True)
+    ingest.write_bundle(files, target)
+    first, second, third = sorted(r.relative for r in files.collect())
+    changed = F.when(F.col("relative") == first, F.concat("content", F.lit(b"x"))).otherwise(F.col("content"))
+    other = F.when(F.col("relative") == second, F.lit("new")).otherwise(F.col("relative"))
+    files.withColumn("sha256", F.lit("")).withColumn("content", changed).withColumn("relative", other).write.mode("overwrite").parquet(f"{target}/files")
+    assert {tuple(r) for r in ingest.damaged(spark, target).collect()} == {(first, "changed"), (second, "missing"), ("new", "not listed")}
+
+
 def test_snapshot(spark, tmp_path):
     df = spark.range(3)
     path = str(tmp_path / "snap")
