@@ -96,7 +96,7 @@ def test_samples_and_manifest(spark, corpus, tmp_path):
 
 @pytest.mark.parametrize("scheme", ["file://", "viewfs://bundles"])
 def test_bundles(spark, corpus, tmp_path, scheme):
-    """The same bundle through two file systems; documents from it are those from the folder."""
+    """The same bundle through two file systems; the archives in it are those of the folder."""
     root = str(tmp_path)
     if scheme != "file://":
         spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.bundles.link./shelf", f"file://{root}")
@@ -110,7 +110,7 @@ def test_bundles(spark, corpus, tmp_path, scheme):
     assert sorted((r.relative, r.length, r.sha256) for r in spark.read.json(f"{target}/manifest").collect()) == want
     back = ingest.read_bundle(spark, target)
     assert sorted(map(repr, back.collect())) == sorted(map(repr, files.collect()))
-    names = lambda f: sorted((r.doc_id, r["product"]) for r in ingest.documents(f).collect())
+    names = lambda f: sorted((r.relative, r.error is None) for r in ingest.products(f).select("relative", "error").collect())
     assert names(back) == names(files)
     with pytest.raises(FileExistsError):
         ingest.write_bundle(files, target)
