@@ -162,19 +162,29 @@ def applications_joined(names: DataFrame, key: str, name: str, table: list[tuple
     return hits.groupBy(key).agg(F.array_distinct(F.transform(ordered, lambda x: x["__id"])).alias("applications"))
 
 
+def values(c: Column, ip_known: Iterable[str], ik_known: Iterable[str]) -> dict[str, Column]:
+    """Every mined value of a name."""
+    return {"flux_lm": flux(c), "power_w": power(c), "beam_deg": beam(c), "ip_code": ip_code(c, ip_known), "ik_rating": ik_rating(c, ik_known), "cri_ra": cri_checked(c), "cct_k": cct(c), "emergency": emergency(c), "form": form(c)}
+
+
 def keywords(c: Column, ip_known: Iterable[str], ik_known: Iterable[str]) -> Column:
     """Every mined value as a keyword."""
+    return keywords_of(values(c, ip_known, ik_known))
+
+
+def keywords_of(v) -> Column:
+    """Values (by their names, in a dict or a struct) as keywords."""
     whole = lambda x: x.cast("int").cast("string")
     return F.array_compact(
         F.array(
-            F.concat(whole(flux(c)), F.lit("lm")),
-            F.concat(whole(power(c)), F.lit("W")),
-            F.concat(whole(beam(c)), F.lit("°")),
-            ip_code(c, ip_known),
-            ik_rating(c, ik_known),
-            F.concat(F.lit("CRI"), cri_checked(c).cast("string")),
-            F.concat(cct(c).cast("string"), F.lit("K")),
-            F.when(emergency(c), F.lit("emergency")),
-            form(c),
+            F.concat(whole(v["flux_lm"]), F.lit("lm")),
+            F.concat(whole(v["power_w"]), F.lit("W")),
+            F.concat(whole(v["beam_deg"]), F.lit("°")),
+            v["ip_code"],
+            v["ik_rating"],
+            F.concat(F.lit("CRI"), v["cri_ra"].cast("string")),
+            F.concat(v["cct_k"].cast("string"), F.lit("K")),
+            F.when(v["emergency"], F.lit("emergency")),
+            v["form"],
         )
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: light distributions in the order of their ids (fixed values)
 LIGHT_DISTRIBUTIONS = (
     "Laterally symmetrical narrow", "Laterally symmetrical medium", "Laterally symmetrical wide", "Symmetrical in each quadrant", "Symmetric about 0-180 plane", "Symmetric about 90-270 plane", "Asymmetrical", "Asymmetrical flood",
@@ -26,11 +28,15 @@ def efficacy(flux: Column, power: Column) -> Column:
 
 def sanitized(p: Column) -> Column:
     """A photometry struct with impossible figures nulled and efficacy made anew."""
-    flux, power = capped(p["flux_lm"], MAX_FLUX), capped(p["power_w"], MAX_POWER)
-    made = F.when(flux.isNotNull() & (power > 0), (flux / power).cast("float")).otherwise(p["efficacy_lm_w"])
-    out = p.withField("flux_lm", flux).withField("power_w", power).withField("efficacy_lm_w", capped(made, MAX_EFFICACY))
-    out = out.withField("beam_deg", capped(p["beam_deg"], MAX_ANGLE)).withField("field_deg", capped(p["field_deg"], MAX_ANGLE))
-    return F.when(p.isNotNull(), out)
+
+    def clean(p: Column) -> Column:
+        flux, power = capped(p["flux_lm"], MAX_FLUX), capped(p["power_w"], MAX_POWER)
+        made = F.when(flux.isNotNull() & (power > 0), (flux / power).cast("float")).otherwise(p["efficacy_lm_w"])
+        out = p.withField("flux_lm", flux).withField("power_w", power).withField("efficacy_lm_w", capped(made, MAX_EFFICACY))
+        out = out.withField("beam_deg", capped(p["beam_deg"], MAX_ANGLE)).withField("field_deg", capped(p["field_deg"], MAX_ANGLE))
+        return F.when(p.isNotNull(), out)
+
+    return once(p, clean)
 
 
 def sane_depth(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ LEGAL_SUFFIXES = (
 )
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once however often f uses it. Inside lambdas of higher-order functions Spark neither shares common
+    expressions nor splits them off, so that expressions built on each other grow, and cost, as the product of their uses."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ascii_folded(c: Column) -> Column:
     """Lower case of A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -8,16 +8,23 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import mining, photometry
-from ..functions.text import unicode_trim
+from ..functions.text import once, unicode_trim
 from ..operators import fold
 from ..plans.luminaires import VARIANT
 from . import snapshot
 
 PATTERN = "*.[gG][lL][dD][fF]"
+#: archives a task, where small rows that cost much each are dealt out
+TASK_ROWS = 5000
+#: parsed archives held at once
+PARSED_ROWS = 250
 
 
 def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
@@ -28,6 +35,11 @@ def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return files.select("path", relative.alias("relative"), "length", F.unix_timestamp("modificationTime").alias("mtime"), *(["content"] if content else []))
 
 
+def dealt(rows: DataFrame, n: int, *key: str, each: int = TASK_ROWS) -> DataFrame:
+    """n rows in tasks of about `each`, by the key: Spark cuts files by their bytes, which leaves short rows with much work in one task."""
+    return rows.repartition(-(-n // each) or 1, *key)
+
+
 #: typed elements of a variant, with the table that has their values and what they are also called
 MARKS = {"Application": "applications", "Label": "labels", "ProductForm": "product_form", "IKRating": "ik_rating", "Adjustability": "adjustability", "IngressProtectionIPCode": "ip_code", "ElectricalSafetyClass": "safety_class", "LightDistribution": "light_distribution"}
 _ALSO = {"IPCode": "IngressProtectionIPCode", "SafetyClass": "ElectricalSafetyClass"}
@@ -49,15 +61,17 @@ def parse_archive(path: str, content: bytes) -> dict:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ET.fromstring(z.read(next(n for n in z.namelist() if n.lower().rsplit("/", 1)[-1] == "product.xml")))
             for n in root.iter():
-                n.tag = n.tag.rsplit("}", 1)[-1]
-            text = lambda node, tag: (node.findtext(f".//{tag}") if node is not None else None)
-            head, meta = root.find("Header"), root.find(".//ProductMetaData")
+                if "}" in n.tag:
+                    n.tag = n.tag.rsplit("}", 1)[-1]
+            first = lambda node, tag: next((e for e in node.iter(tag) if e is not node), None) if node is not None else None
+            text = lambda node, tag: None if (e := first(node, tag)) is None else e.text or ""
+            head, meta = root.find("Header"), first(root, "ProductMetaData")
             row["manufacturer"], row["unique_id"] = text(head, "Manufacturer"), text(head, "UniqueGldfId") or text(head, "UniqueProductId")
-            version = head.find(".//FormatVersion") if head is not None else None
+            version = first(head, "FormatVersion")
             if version is not None:
                 row["version"] = {"major": int(version.get("major") or 0), "minor": int(version.get("minor") or 0), "rc": int(version.get("pre-release") or 0)}
             row["name"], row["product_number"] = _locales(meta.find("Name") if meta is not None else None), _locales(meta.find("ProductNumber") if meta is not None else None)
-            row["gtins"] = [g.text or "" for g in (meta.findall(".//GTIN") if meta is not None else [])]
+            row["gtins"] = [g.text or "" for g in (meta.iter("GTIN") if meta is not None else [])]
             order = 0
 
             def gather(node, *tags):
@@ -72,12 +86,14 @@ def parse_archive(path: str, content: bytes) -> dict:
             row["applications"] = [a.text or "" for a in root.iter("Application")]
             names = {n.rsplit("/", 1)[-1]: n for n in z.namelist()}
             row["ldts"] = [z.read(names[f["name"]]).decode("latin-1") for f in row["files"] if f["content_type"].startswith("ldc/") and f["name"] in names]
+            lamps = {s: [e.text or "" for n in root.iter(s) for e in n.iter("CIE97LampType")] for s in ("ChangeableLightSource", "FixedLightSource")}
+            gear = [e.text or "" for e in root.iter("Interface")]
             for v in root.iter("Variant"):
                 gather(v, "Name", "Description", "ProductNumber", "TenderText")
                 mounts = {f"{place.tag}.{kind.tag}": kind.findtext("RecessedDepth") or kind.get("recessedDepth") or "" for m in v.iter("Mountings") for place in m for kind in (list(place) or [place])}
                 marks = [{"field": _ALSO.get(e.tag, e.tag), "value": e.text.strip()} for e in v.iter() if _ALSO.get(e.tag, e.tag) in MARKS and (e.text or "").strip()]
-                block = v.find(".//EmergencyLighting")
-                row["variants"].append({"id": v.get("id") or "", "name": _locales(v.find("Name")), "mountings": mounts, "marks": marks, "model": v.find(".//ModelGeometryReference") is not None or v.find(".//SimpleGeometryReference") is not None, "emergency": text(block, "EmergencyLightingType"), "emergency_block": block is not None, "lamp_changeable": [e.text or "" for s in root.iter("ChangeableLightSource") for e in s.iter("CIE97LampType")], "lamp_fixed": [e.text or "" for s in root.iter("FixedLightSource") for e in s.iter("CIE97LampType")], "gear": [e.text or "" for e in root.iter("Interface")]})
+                block = first(v, "EmergencyLighting")
+                row["variants"].append({"id": v.get("id") or "", "name": _locales(v.find("Name")), "mountings": mounts, "marks": marks, "model": first(v, "ModelGeometryReference") is not None or first(v, "SimpleGeometryReference") is not None, "emergency": text(block, "EmergencyLightingType"), "emergency_block": block is not None, "lamp_changeable": lamps["ChangeableLightSource"], "lamp_fixed": lamps["FixedLightSource"], "gear": gear})
     except Exception as e:  # a bad file is a row with its error
         row["error"] = f"{type(e).__name__}: {e}"
     return row
@@ -88,16 +104,24 @@ _LISTED = ("relative", "length", "mtime")
 
 def products(files: DataFrame) -> DataFrame:
     """Parsed archives of a listing with content, broken ones with their error."""
+    schema = StructType.fromDDL(f"{_PRODUCT}, relative string, length long, mtime long")
+    arrow = to_arrow_schema(schema)
+    own = pa.schema([f for f in arrow if f.name not in _LISTED])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in ("path", "unique_id", "manufacturer", "name", "product_number", "texts", "gtins", "version", "applications", "variants", "ldts", "files", "error")]
-        for b in batches:
-            out = pd.DataFrame([parse_archive(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=columns)
-            for c in _LISTED:  # the listing's columns come along: nothing is joined back
-                out[c] = b[c].to_numpy()
-            yield out
+    def parsed(path: str, content: bytes) -> dict:
+        row = parse_archive(path, content)
+        for v in row["variants"]:
+            v["mountings"] = list(v["mountings"].items())  # Arrow's form of a map
+        return row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, PARSED_ROWS) for whole in batches for k in range(0, whole.num_rows, PARSED_ROWS)):
+            rows = [parsed(p, c) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist())]
+            out = pa.RecordBatch.from_pylist(rows, schema=own)
+            listed = [b.column(c).cast(arrow.field(c).type) for c in _LISTED]  # the listing's columns come along: nothing is joined back
+            yield pa.RecordBatch.from_arrays([*out.columns, *listed], schema=arrow)
 
-    return files.select("path", "content", *_LISTED).mapInPandas(run, f"{_PRODUCT}, relative string, length long, mtime long")
+    return files.select("path", "content", *_LISTED).mapInArrow(run, schema)
 
 
 LDT = "flux float, power float, appearance string, rendering string, lorl float, dff float, symmetry int, beam float, field float"
@@ -203,7 +227,10 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
     p = p.withColumn("ldt", ldt_stats(F.try_element_at("ldts", F.lit(1))))
     name = picked_text(F.col("name"))
 
-    named = lambda v: F.coalesce(picked_text(v["name"]), v["id"])
+    # what several columns draw on is worked out once a variant: its label, then what is mined from that
+    p = p.withColumn("variants", F.transform("variants", lambda v: v.withField("label", F.coalesce(picked_text(v["name"]), v["id"]))))
+    mined_of = lambda v: F.struct(*[c.alias(n) for n, c in mining.values(v["label"], known.get("ip_code", ("",)), known.get("ik_rating", ("",))).items()])
+    p = p.withColumn("variants", F.transform("variants", lambda v: v.withField("mined", mined_of(v))))
     table = mining.probes(list(known.get("applications", ())))
     flat = lambda f: F.flatten(F.transform("variants", f))
 
@@ -212,9 +239,9 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
         return F.array_compact(F.transform(F.filter(v["marks"], lambda m: m["field"] == field), lambda m: valid(ids(MARKS[field], m["value"]))))
 
     def variant(v: Column, ix: Column) -> Column:
-        label = named(v)
+        label = v["label"]
         place, kind, depth = mounting(v["mountings"])
-        mined = {"flux_lm": mining.flux(label), "power_w": mining.power(label), "cct_k": mining.cct(label), "cri_ra": mining.cri_checked(label), "beam_deg": mining.beam(label)}
+        mined = {n: v["mined"][n] for n in ("flux_lm", "power_w", "cct_k", "cri_ra", "beam_deg")}
         typed = F.try_element_at(typed_ids(v, "LightDistribution"), F.lit(1))
         none = F.lit(None)
         fields = {n: F.coalesce(F.col("ldt")[n], mined.get(n, none.cast(t))).cast(t) for n, t in (("flux_lm", "float"), ("power_w", "float"), ("efficacy_lm_w", "float"), ("cct_k", "int"), ("cri_ra", "smallint"), ("r9", "tinyint"), ("beam_deg", "float"), ("field_deg", "float"), ("ulor", "float"), ("dlor", "float"))}
@@ -230,10 +257,10 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
             gear.alias("control_gear_interfaces"), v["emergency_block"].alias("has_emergency_lighting"), valid(ids("emergency_type", v["emergency"])).alias("emergency_lighting_type"), F.lit(0).alias("emitter_count"), F.lit(0).alias("source_index"),
         ).cast(VARIANT)
 
-    def first(field: str, mined=None) -> Column:
+    def first(field: str, mined: str | None = None) -> Column:
         """Variant by variant the typed value, then the mined one; the first there is."""
         own = lambda v: F.try_element_at(typed_ids(v, field), F.lit(1))
-        both = flat(lambda v: F.array(own(v), *([valid(ids(MARKS[field], mined(named(v))))] if mined else [])))
+        both = flat(lambda v: F.array(own(v), *([valid(ids(MARKS[field], v["mined"][mined]))] if mined else [])))
         return F.try_element_at(F.array_compact(both), F.lit(1))
 
     def united(field: str, *more: Column) -> Column:
@@ -244,9 +271,9 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
         return F.coalesce(*[F.when(m["field"] == field, valid(ids(name, m["value"])).isNull()) for field, name in MARKS.items() if known.get(name)], F.lit(False))
 
     source = F.struct(F.lit("Path").alias("kind"), F.col("relative").alias("value"))
-    mined_words = flat(lambda v: mining.keywords(named(v), known.get("ip_code", ("",)), known.get("ik_rating", ("",))))
+    mined_words = flat(lambda v: mining.keywords_of(v["mined"]))
     typed_words = flat(lambda v: F.transform(F.filter(v["marks"], lambda m: F.coalesce(*[F.when(m["field"] == field, valid(ids(name, m["value"])).isNotNull()) for field, name in MARKS.items() if known.get(name)], F.lit(False))), lambda m: m["value"]))
-    mined_apps = flat(lambda v: mining.applications(named(v), table))
+    mined_apps = flat(lambda v: mining.applications(v["label"], table))
     app_words = F.transform(mined_apps, lambda k: F.get(F.array(*map(F.lit, known["applications"])), k.cast("int"))) if known.get("applications") else F.array().cast("array<string>")
     words = F.array_sort(F.array_distinct(F.array_compact(F.concat(mined_words, typed_words, app_words))))
     gtin = F.try_element_at(F.filter("gtins", lambda g: F.trim(g) != ""), F.lit(1))
@@ -259,7 +286,7 @@ def documents(files: DataFrame, dictionaries: dict[str, tuple[str, ...]] | None
     return p.select(
         document_id(F.col("unique_id"), F.concat(F.lit("path:"), "relative")).alias("doc_id"), source.alias("source"), F.array(source).alias("source_paths"), F.trim(F.coalesce("manufacturer", F.lit(""))).alias("manufacturer"), F.coalesce(name, F.lit("")).alias("product"), gtin.alias("gtin"), picked_text(F.col("product_number")).alias("product_code"),
         gathered_descriptions(F.col("texts")).alias("descriptions"), words.alias("keywords"), united("Application", loose_apps, mined_apps).alias("applications"), united("Label").alias("labels"), united("Adjustability").alias("adjustability"),
-        first("IngressProtectionIPCode", lambda c: mining.ip_code(c, known.get("ip_code", ("",)))).alias("ip_code"), first("ElectricalSafetyClass").alias("safety_class"), first("IKRating", lambda c: mining.ik_rating(c, known.get("ik_rating", ("",)))).alias("ik_rating"), first("ProductForm", mining.form).alias("product_form"),
+        first("IngressProtectionIPCode", "ip_code").alias("ip_code"), first("ElectricalSafetyClass").alias("safety_class"), first("IKRating", "ik_rating").alias("ik_rating"), first("ProductForm", "form").alias("product_form"),
         F.transform("variants", variant).alias("variants"), F.struct(F.col("length").alias("size_bytes"), F.col("mtime").alias("mtime_epoch_s"), version_text(F.col("version")).alias("format_version")).alias("file_meta"), "path", warnings.alias("warnings"),
     )
 
@@ -389,11 +416,12 @@ def rebuild_buckets(listed: DataFrame, path: str, extract) -> list[int]:
     return snapshot.update_bucketed(spark, path, extract(marked.where("not reused").drop("reused")), gone)
 
 
-def inspect(parsed: DataFrame) -> DataFrame:
-    """Files of each archive by class of content type, with variants and locales."""
-    kind = F.col("f.content_type")
-    bucket = F.when(kind.startswith("ldc/"), "ldc").when(kind.startswith("image/"), "image").when(kind.startswith("geo/"), "geo").when(kind.startswith("spectrum/"), "spectrum").otherwise("other")
-    return parsed.select("path", "manufacturer", F.size("variants").alias("n_variants"), F.size(F.array_distinct(F.transform("texts", lambda t: t["locale"]))).alias("n_locales"), F.explode_outer("files").alias("f")).groupBy("path", "manufacturer", "n_variants", "n_locales").agg(*[F.count(F.when(bucket == b, 1)).alias(b) for b in ("ldc", "image", "geo", "spectrum", "other")])
+def inspect(parsed: DataFrame, *keep: str) -> DataFrame:
+    """Files of each archive by class of content type, with variants and locales (and columns to keep): a row stays a row, nothing
+    is shuffled."""
+    bucket = lambda kind: F.when(kind.startswith("ldc/"), "ldc").when(kind.startswith("image/"), "image").when(kind.startswith("geo/"), "geo").when(kind.startswith("spectrum/"), "spectrum").otherwise("other")
+    kinds = parsed.select("path", "manufacturer", F.size("variants").alias("n_variants"), F.size(F.array_distinct(F.transform("texts", lambda t: t["locale"]))).alias("n_locales"), *keep, F.transform("files", lambda f: bucket(f["content_type"])).alias("__kinds"))
+    return kinds.select("*", *[F.coalesce(F.size(F.filter("__kinds", lambda k: k == F.lit(b))), F.lit(0)).cast("long").alias(b) for b in ("ldc", "image", "geo", "spectrum", "other")]).drop("__kinds")
 
 
 def file_of_variant(files: Column, n_variants: Column, ix: Column) -> Column:
