@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-LAYOUT = "1"
+LAYOUT = "2"
 
 
 def _fs(spark: SparkSession, path: str):

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from prismfold.functions.text import once
+from prismfold.operators import bitmaps, flat
 from prismfold.plans import bridge, catalogue
+from prismfold.plans.bridge import ORDERS
 from prismfold.sources import ingest
 
 
@@ -32,3 +34,29 @@ def test_inspect_keeps_rows(spark, sf):
     rows = spark.createDataFrame([("a", "m", [], [], []), ("b", "m", [], [], [("1", "image/png", "x"), ("2", "", "y")])], "path string, manufacturer string, variants array<string>, texts array<struct<locale:string>>, files array<struct<id:string,content_type:string,name:string>>")
     got = {r.path: (r.image, r.other, r.ldc) for r in ingest.inspect(rows).collect()}
     assert got == {"a": (0, 0, 0), "b": (1, 1, 0)}
+
+
+def test_lines_need_no_documents(spark, sf):
+    """The variant table made of flat rows is that of the nested documents, row for row; building it nests nothing."""
+    nested = flat.flat_table(flat.numbered(bridge.orders(spark, sf, codes=True), ORDERS), ORDERS)
+    plain = bridge.order_lines(spark, sf).select(*nested.columns)
+    assert nested.count() == plain.count() > 0 and nested.exceptAll(plain).isEmpty() and plain.exceptAll(nested).isEmpty()
+    assert "collect_list" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_without_rows_stay(spark):
+    docs = spark.createDataFrame([(1, "F", "2-HIGH", 5.0, 1), (2, "O", "5-LOW", 6.0, 2)], "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double, doc_no long")
+    rows = spark.createDataFrame([(1, 2, 9.0, 0.1, 0.0, "R", "F", True, "low", ["R", "F"]), (1, 1, 8.0, 0.0, 0.05, "A", "F", False, None, ["A", "F"])], "k long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, discounted boolean, kind string, codes array<string>")
+    got = {(r.o_orderkey, r.variant_ix): r for r in flat.table_of_rows(docs, rows, ORDERS, "k", ["l_linenumber"], {"flags": "l_returnflag"}).collect()}
+    assert sorted(got, key=repr) == [(1, 0), (1, 1), (2, None)]
+    assert got[1, 0].v_l_quantity == 8.0 and got[1, 1].d_flags == ["A", "R"] and got[1, 0].has_has_discount__yes and got[1, 1].has_has_kind__no
+    assert got[2, None].d_flags == [] and not got[2, None].has_has_discount__yes and not got[2, None].has_has_discount__no
+
+
+def test_bitmaps_are_made_after_the_shuffle(spark, sf):
+    """Numbers are shuffled, as many as rows; a bitmap a task and part would grow as tasks times documents."""
+    docs = flat.numbered(bridge.orders(spark, sf, codes=True), ORDERS)
+    for made in (bitmaps.facet_index(docs, ORDERS), bitmaps.matching_bitmaps(bridge.order_lines(spark, sf), catalogue.FACETED, ORDERS, ["status", ""])):
+        lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        first = next(k for k, line in enumerate(lines) if "Exchange" in line)
+        assert not any("bitmap_construct_agg" in line for line in lines[first:]), lines
