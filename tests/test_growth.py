@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from prismfold.functions.text import once
+from prismfold.functions.text import ascii_folded, folded_contains, once
 from prismfold.operators import bitmaps, flat
 from prismfold.plans import bridge, catalogue
 from prismfold.plans.bridge import ORDERS
@@ -60,3 +60,12 @@ def test_bitmaps_are_made_after_the_shuffle(spark, sf):
         lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
         first = next(k for k, line in enumerate(lines) if "Exchange" in line)
         assert not any("bitmap_construct_agg" in line for line in lines[first:]), lines
+
+
+def test_text_is_found_without_a_folded_copy(spark):
+    texts = ["Abc \\E DEF", "ÉR ér", "K k K", "ſs S", "a\nB", "", None, "(x+) $1 \\Q[", "😀Z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for needle in ["abc", "ÉR", "k", "S", "a\nb", "", "\\E d", "\\e d", "(X+) $", "\\q[", "😀z", "\\E", "İ", "\\"]:
+        plain = folded_contains(F.col("t"), needle)
+        assert "translate" not in df.select(plain)._jdf.queryExecution().analyzed().toString()
+        assert [r[0] for r in df.select(plain).collect()] == [r[0] for r in df.select(ascii_folded(F.col("t")).contains(needle.lower())).collect()], needle
