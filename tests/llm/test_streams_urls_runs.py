@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -89,6 +90,31 @@ def test_enriched_sales(spark):
     assert {r[0] for r in want} == {"sale", "late"} and max(r[3] or 0 for r in want) > 4
 
 
+def test_open_stores(spark):
+    """A store is open while its task runs, however many partitions the state has and however often the stream started."""
+    start = dt.datetime(2024, 1, 1)
+    sales = [(k, k, start + dt.timedelta(days=k), start + dt.timedelta(days=k + 1), "x") for k in range(150)]
+    changes = [(k, k, k, "U", start + dt.timedelta(days=k), "s", "g", "c", 1.0) for k in range(150)]
+    stores = spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager
+    seen, ended = [], threading.Event()
+
+    def watch():
+        while not ended.wait(0.05):
+            seen.append(stores.getNumRocksDBInstances(True))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    watcher = threading.Thread(target=watch)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        watcher.start()
+        assert enriched_sales(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES), buckets=12).count() >= 150
+    finally:
+        ended.set()
+        watcher.join()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < max(seen) <= spark.sparkContext.defaultParallelism and not stores.getNumRocksDBInstances(True)
+
+
 # ---------------------------------------------------------------- 12: urls
 
 
