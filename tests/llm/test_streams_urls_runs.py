@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import os
 import random
 import re
 import threading
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismfold.llm import queries, url_templates
+from prismfold.llm import queries, sale_enrichment, url_templates
 from prismfold.llm.sale_enrichment import enriched_sales
 from prismfold.llm.tandem_runs import periodic_runs, runs_of
 from prismfold.llm.url_templates import judged_urls, merged, url_parts
@@ -115,6 +116,30 @@ def test_open_stores(spark):
     assert 0 < max(seen) <= spark.sparkContext.defaultParallelism and not stores.getNumRocksDBInstances(True)
 
 
+def test_state_partitions(spark, monkeypatch):
+    """Every start opens a store a partition of the state and leaves memory behind: their number goes by cores, not by shuffle partitions."""
+    start = dt.datetime(2024, 1, 1)
+    sales = [(k, k % 40, start + dt.timedelta(days=k), start + dt.timedelta(days=k + 1), "x") for k in range(150)]
+    changes = [(k, k % 40, k, "U", start + dt.timedelta(days=k), "s", "g", "c", 1.0) for k in range(150)]
+    begin, found = sale_enrichment._start, []
+
+    def start_and_look(session, feed, state, target, processor):
+        begin(session, feed, state, target, processor)
+        found.append(sum(x.isdigit() for x in os.listdir(f"{state.removeprefix('file:')}/state/0")))
+
+    monkeypatch.setattr(sale_enrichment, "_start", start_and_look)
+    monkeypatch.setattr(sale_enrichment, "_STORES", 4, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        got = enriched_sales(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES)).select(*FIELDS).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "30"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == [2 * spark.sparkContext.defaultParallelism] * 12
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, plain_enrichment(sales, changes)))
+
+
 # ---------------------------------------------------------------- 12: urls
 
 
