@@ -301,7 +301,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = texts.mapInArrow(_texts(min_chars, members(family, "node")), "node long, text string").dropDuplicates(["node"])
         return family.join(found, "node")
 
-    linked = shared.written(verified_components(near, fetch, _char_sets(width), percent))
+    linked = shared.written(verified_components(near, fetch, _char_sets(width), percent, loose=True))
     listed = shared.written(texts.mapInArrow(_list(min_chars, parts), "part int, lines binary, docs binary, nos binary"))
     goes = "line long, doc_id long, line_no int"
     later = shared.written(listed.where("part >= 0").repartition(parts, "part").mapInArrow(_later(members(linked, "node")), goes))

@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, shared
-from .families import having, may_link, members, parity_maps, verified_components
+from .families import EDGE, MAP_WORDS, POSTINGS, bucket_pairs, ddl, dealt, having, members, parity_maps, prefix_sizes, verified_components
 
-MAP_WORDS = 4
 #: (from this set size on, twentieths of the shingle space that are counted at 90 percent; twice that at 80)
 SIZE_CLASSES = ((1, 20), (48, 10), (256, 4))
 _SEEDS = [np.uint64(0x5851F42D4C957F2D + 0x632BE59BD9B4E019 * k & (1 << 64) - 1) for k in range(8)]
@@ -35,17 +34,6 @@ _EXTRA = np.uint64(1)
 _NODE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("keys", pa.binary()), ("keys_up", pa.binary()), ("map", pa.binary())])
 _POST = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("ups", pa.binary())])
 _SEEN = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("ups", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("sent", pa.binary()), ("sizes", pa.binary()), ("maps", pa.binary())])
-_BLOB = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("maps", pa.binary())])
-_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-
-def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
-
-
-def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n + (-n * percent // 100) + 1, 0)
 
 
 def order_keys(ids: np.ndarray, order: int) -> np.ndarray:
@@ -59,8 +47,8 @@ def _prefixes(ids, bounds, order, percent):
     row = np.repeat(np.arange(len(n)), n)
     keys = np.sort((row.astype(np.uint64) << np.uint64(54)) | order_keys(ids, order))
     place = np.arange(len(ids)) - np.repeat(bounds[:-1], n)
-    keep = place < np.repeat(_prefix_sizes(n, percent), n)
-    return keys[keep] & np.uint64((1 << 54) - 1), np.concatenate([[0], np.cumsum(_prefix_sizes(n, percent))])
+    keep = place < np.repeat(prefix_sizes(n, percent), n)
+    return keys[keep] & np.uint64((1 << 54) - 1), np.concatenate([[0], np.cumsum(prefix_sizes(n, percent))])
 
 
 def _fingerprints(ids, bounds):
@@ -81,7 +69,7 @@ def _class_keys(ids, bounds, cls, percent):
     keys = kernels.mix(ids ^ (np.uint64(0x2545F4914F6CDD1D) * (cls[row] + 1).astype(np.uint64)))
     keys = np.where(counted, keys & ~_EXTRA, keys | _EXTRA)
     inside = np.bincount(row, counted, minlength=len(n)).astype(np.int64)
-    lack = np.maximum(_prefix_sizes(n, percent) - inside, 0)
+    lack = np.maximum(prefix_sizes(n, percent) - inside, 0)
     send = counted.copy()
     for k in np.flatnonzero(lack):
         rest = np.flatnonzero(~counted[bounds[k] : bounds[k + 1]]) + bounds[k]
@@ -109,15 +97,6 @@ def _nodes(width, percent):
     return run
 
 
-def _dealt(part, parts, *columns):
-    """(part, column values of its items...) for each part that has items."""
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cut)):
-        sel = order[cut[p] : cut[p + 1]]
-        yield int(p), *[c[sel] for c in columns]
-
-
 def _gathered(batches, dtypes):
     """Lists of arrays by column of packed rows, keyed by part."""
     held: dict[int, list] = {}
@@ -137,7 +116,7 @@ def _send(parts):
         part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
         nodes, ups = np.array(nodes, np.int64), np.array(ups, np.uint8)
         out = [[] for _ in _POST]
-        for p, k, a in _dealt(part, parts, short, at):
+        for p, k, a in dealt(part, parts, short, at):
             used, own = np.unique(a, return_inverse=True)
             for column, value in zip(out, (p, k.tobytes(), own.astype(np.uint32).tobytes(), nodes[used].tobytes(), ups[used].tobytes())):
                 column.append(value)
@@ -177,9 +156,9 @@ def _count(parts):
                 continue
             keys, at, count = keys[some].astype(np.uint64) | np.uint64(part << 32), at[some], count[some].astype(np.uint32)
             to = (kernels.mix(nodes[at].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            dealt = list(_dealt(to, parts, nodes[at], ups[at], keys, count))
-            empty = [b""] * len(dealt)
-            yield shared.batch(_SEEN, [d[0] for d in dealt], *[[d[k].tobytes() for d in dealt] for k in range(1, 5)], empty, empty, empty)
+            sent_on = list(dealt(to, parts, nodes[at], ups[at], keys, count))
+            empty = [b""] * len(sent_on)
+            yield shared.batch(_SEEN, [d[0] for d in sent_on], *[[d[k].tobytes() for d in sent_on] for k in range(1, 5)], empty, empty, empty)
 
     return run
 
@@ -195,9 +174,9 @@ def _describe(parts):
             sent = np.array([len(k) // 8 for k in b.column(2).to_pylist()], np.int64)
             maps = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, MAP_WORDS)
             to = (kernels.mix(nodes.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            dealt = list(_dealt(to, parts, nodes, ups, sent, sizes, maps))
-            empty = [b""] * len(dealt)
-            yield shared.batch(_SEEN, [d[0] for d in dealt], *[[d[k].tobytes() for d in dealt] for k in (1, 2)], empty, empty, *[[d[k].tobytes() for d in dealt] for k in (3, 4, 5)])
+            sent_on = list(dealt(to, parts, nodes, ups, sent, sizes, maps))
+            empty = [b""] * len(sent_on)
+            yield shared.batch(_SEEN, [d[0] for d in sent_on], *[[d[k].tobytes() for d in sent_on] for k in (1, 2)], empty, empty, *[[d[k].tobytes() for d in sent_on] for k in (3, 4, 5)])
 
     return run
 
@@ -224,82 +203,18 @@ def _first_prefix(parts, percent):
             length = np.diff(np.append(start, len(keys)))
             info = np.searchsorted(nodes, p_nodes[start])
             info += ups[info] != p_ups[start]
-            room = _prefix_sizes(sizes[info], percent) - (sent[info] - length)
+            room = prefix_sizes(sizes[info], percent) - (sent[info] - length)
             keep = np.arange(len(keys)) - np.repeat(start, length) < np.repeat(room, length)
             at, keys = np.repeat(info, length)[keep], keys[keep]
             if not len(keys):
                 continue
             to = (kernels.mix(keys) % np.uint64(parts)).astype(np.int64)
-            out = [[] for _ in _BLOB]
-            for p, k, a in _dealt(to, parts, keys, at):
+            out = [[] for _ in POSTINGS]
+            for p, k, a in dealt(to, parts, keys, at):
                 used, own = np.unique(a, return_inverse=True)
                 for column, value in zip(out, (p, k.tobytes(), own.astype(np.uint32).tobytes(), nodes[used].tobytes(), sizes[used].tobytes(), maps[used].tobytes())):
                     column.append(value)
-            yield shared.batch(_BLOB, *out)
-
-    return run
-
-
-def _bucket_edges(size, maps, percent):
-    """Forest edges (as places) of the pairs in one large bucket that may link, a block of rows at a time."""
-    label = np.arange(len(size))
-    for lo in range(0, len(size), 256):
-        rows = np.arange(lo, min(lo + 256, len(size)))
-        ok = may_link(size[rows][:, None], size[None, : rows[-1] + 1], maps[rows][:, None, :], maps[None, : rows[-1] + 1, :], percent)
-        for r, line in zip(rows, ok):
-            near = np.flatnonzero(line[:r])
-            if len(near):
-                roots = np.unique(np.append(label[near], label[r]))
-                if len(roots) > 1:
-                    label[np.isin(label[: r + 1], roots[1:]).nonzero()[0]] = roots[0]
-    own = np.flatnonzero(label != np.arange(len(size)))
-    return own, label[own]
-
-
-def _bucket_pairs(percent):
-    def run(batches):
-        held = [[] for _ in range(5)]
-        base = 0
-        for b in batches:
-            for keys, at, nodes, sizes, maps in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
-                held[0].append(np.frombuffer(keys, np.uint64))
-                held[1].append(np.frombuffer(at, np.uint32).astype(np.int64) + base)
-                held[2].append(np.frombuffer(nodes, np.int64))
-                held[3].append(np.frombuffer(sizes, np.int64))
-                held[4].append(np.frombuffer(maps, np.uint64).reshape(-1, MAP_WORDS))
-                base += len(held[2][-1])
-        if not base:
-            return
-        keys, at, nodes, sizes, maps = map(np.concatenate, held)
-        order = np.lexsort((at, keys))
-        keys, at = keys[order], at[order]
-        bounds = kernels.unique_spans(keys)
-        length = np.diff(bounds)
-        us, vs = [], []
-        for k in np.flatnonzero(length > 64):
-            own = at[bounds[k] : bounds[k + 1]]
-            own = own[np.argsort(sizes[own], kind="stable")]
-            i, j = _bucket_edges(sizes[own], maps[own], percent)
-            us.append(own[i])
-            vs.append(own[j])
-        left = np.repeat(np.where(length > 64, 0, length), length) - (np.arange(len(keys)) - np.repeat(bounds[:-1], length))
-        for step in range(1, 64):
-            i = np.flatnonzero(left > step)
-            if not len(i):
-                break
-            a, b = at[i], at[i + step]
-            for lo in range(0, len(a), 1 << 18):
-                x, y = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
-                ok = may_link(sizes[x], sizes[y], maps[x], maps[y], percent)
-                us.append(x[ok])
-                vs.append(y[ok])
-        if not us:
-            return
-        u, v = nodes[np.concatenate(us)], nodes[np.concatenate(vs)]
-        if len(u):
-            u, v = kernels.forest(u, v)
-            for k in range(0, len(u), 100_000):
-                yield shared.batch(_EDGE, u[k : k + 100_000], v[k : k + 100_000])
+            yield shared.batch(POSTINGS, *out)
 
     return run
 
@@ -335,7 +250,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = shared.ids_and_texts(docs, id_col, text_col)
-    found = shared.written(rows.mapInArrow(_nodes(width, percent), _ddl(_NODE)))
+    found = shared.written(rows.mapInArrow(_nodes(width, percent), ddl(_NODE)))
 
     parts = shared.partitions(spark)
     once = [F.first(c).alias(c) for c in ("keys", "keys_up", "map")]
@@ -343,9 +258,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = shared.written(sets.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("up"), "keys"), F.struct(F.lit(1).alias("up"), F.col("keys_up").alias("keys")))).alias("s"), "n", "map").where("s.keys is not null").select("fp", "s.up", "s.keys", "n", "map"))
     every = shared.written(found.select("doc_id", "n", "fp"))
     shared.forget(found)
-    seen = sets.select("fp", "up", "keys").mapInArrow(_send(parts), _ddl(_POST)).repartition(parts, "part").mapInArrow(_count(parts), _ddl(_SEEN))
-    seen = seen.unionAll(sets.mapInArrow(_describe(parts), _ddl(_SEEN))).repartition(parts, "part")
-    near = seen.mapInArrow(_first_prefix(parts, percent), _ddl(_BLOB)).repartition(parts, "part").mapInArrow(_bucket_pairs(percent), _ddl(_EDGE))
+    seen = sets.select("fp", "up", "keys").mapInArrow(_send(parts), ddl(_POST)).repartition(parts, "part").mapInArrow(_count(parts), ddl(_SEEN))
+    seen = seen.unionAll(sets.mapInArrow(_describe(parts), ddl(_SEEN))).repartition(parts, "part")
+    near = seen.mapInArrow(_first_prefix(parts, percent), ddl(POSTINGS)).repartition(parts, "part").mapInArrow(bucket_pairs(percent), ddl(EDGE))
 
     firsts = every.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prismfold.llm import embedding_dedup, kernels, line_dedup, ngram_join, queries, suffix_dedup
+from prismfold.llm import embedding_dedup, families, kernels, line_dedup, ngram_join, queries, suffix_dedup
 from prismfold.llm.components import components
 
 
@@ -303,3 +303,67 @@ def test_quantisation_bound():
     approx = (q.astype(float) @ q.astype(float).T) * np.outer(s, s)
     assert (np.abs(x @ x.T - approx) <= b[:, None] * e + e[:, None] * (b + e) + 1e-12).all()
     assert kernels.forest(np.array([5, 4, 9]), np.array([4, 3, 8]))[1].tolist() == [3, 3, 8]
+
+
+def test_loose_families_are_split_first(spark, monkeypatch):
+    """Unlike lines that bands chain to one family are not compared with each other, and no link is lost."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(4, 14))) for _ in range(240)]
+    lines += [s + rng.choice([" x", " yz", ""]) + "!" * k for s in lines[:12] for k in (1, 2, 3)]
+    lines = sorted(set(lines))
+    rng.shuffle(lines)
+    rows, verify = spark.sparkContext.accumulator(0), families._verify
+
+    def counted(*args):
+        run = verify(*args)
+
+        def each(batches):
+            def seen():
+                for b in batches:
+                    rows.add(b.num_rows)
+                    yield b
+
+            return run(seen())
+
+        return each
+
+    monkeypatch.setattr(families, "_verify", counted)
+    monkeypatch.setattr(families, "BLOCK", 16)
+    monkeypatch.setattr(families, "LOOSE", 16, raising=False)
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dropped_lines(docs, bands=70, rows=1).collect()}  # one row a band: nearly all lines in one family
+    sets, u = [{s[k : k + 8] for k in range(len(s) - 7)} for s in lines], Union()
+    for a in range(len(lines)):
+        u.find(a)
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                u.join(a, b)
+    assert got == {k for k in range(len(lines)) if u.find(k) != k} and len(got) > 20
+    assert 0 < rows.value < len(lines), rows.value
+
+
+def test_large_buckets_and_groups_lose_no_link():
+    """Pairs that are connected already are skipped, others are not: the components are those of all pairs."""
+    rng = np.random.default_rng(7)
+    sets = []
+    for k in range(200):
+        base = sets[rng.integers(k)] if k > 9 and k % 3 == 0 else set(rng.integers(0, 400, rng.integers(5, 60)).tolist())
+        sets.append(set(list(base)[rng.integers(0, 3) :]) | set(rng.integers(0, 400, rng.integers(1, 4)).tolist()))
+    sets.sort(key=len)
+    size, ids = np.array([len(s) for s in sets]), np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    maps, every, group = families.parity_maps(ids, bounds), np.arange(200), rng.integers(0, 150, 200)
+    same = [(int(np.flatnonzero(group == group[k])[0]), k) for k in range(200)]
+
+    def named(pairs):
+        u, v = kernels.forest(*np.array(pairs).T)
+        out = np.arange(200)
+        out[u] = v
+        return out.tolist()
+
+    may = [(a, b) for a in range(200) for b in range(a) if families.may_link(size[a], size[b], maps[a], maps[b], 80)]
+    assert named(may + same) == named([*zip(*families._bucket_edges(size, maps, group, 80)), *same])
+    for left, right in ((every, every), (every[::2], every[1::2])):
+        links = [(a, b) for a in left for b in right if (a < b or left is not right) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert len(links) > 5 and named(links) == named(list(zip(*families.verified_links(size, ids, bounds, maps, [], left, right, 80))))
